@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGEST_TYPE = "decimal(38,0)"
-# One group of long sums holds about 2**31 rows before it could overflow, so totals over
-# whole tables are first split by hash into this many groups.
-_GROUPS = 4096
 
 
 def row_hash(schema: T.StructType, columns: list[str] | None = None) -> Column:
@@ -46,21 +43,40 @@ def join_halves(high: Column, low: Column) -> Column:
     return (shifted + low.cast("decimal(20,0)")).cast(DIGEST_TYPE)
 
 
-def content_totals(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row `(rows, digest)` over the whole DataFrame; digest is 0 when it is empty."""
-    hashed = df.select(row_hash(df.schema, columns).alias("_hash"))
-    groups = (
-        hashed.groupBy(F.col("_hash").bitwiseAND(F.lit(_GROUPS - 1)).alias("_group"))
-        .agg(F.count(F.lit(1)).alias("rows"), *half_sums(F.col("_hash")))
+def _totals(df: DataFrame, by: dict[str, Column], columns: list[str] | None) -> DataFrame:
+    """Sums per group and task, as `(*by, rows, digest)`.
+
+    A long holds the half-sums of about 2**31 rows. One task never has that many, a
+    whole table or chunk may; so the sums of tasks are only joined as decimals. Each
+    task sends one row per group to the shuffle.
+    """
+    hashed = df.select(
+        *[c.alias(n) for n, c in by.items()], F.spark_partition_id().alias("_task"),
+        row_hash(df.schema, columns).alias("_hash"),
     )
-    return groups.agg(
+    sums = hashed.groupBy(*by, "_task").agg(F.count("_hash").alias("rows"), *half_sums(F.col("_hash")))
+    return sums.select(*by, "rows", join_halves(F.col("_high"), F.col("_low")).alias("digest"))
+
+
+def _added() -> list[Column]:
+    return [
         F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("rows"),
-        F.coalesce(F.sum(join_halves(F.col("_high"), F.col("_low"))), F.lit(0)).cast(DIGEST_TYPE).alias("digest"),
-    )
+        F.coalesce(F.sum("digest"), F.lit(0)).cast(DIGEST_TYPE).alias("digest"),
+    ]
+
+
+def content_totals(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row `(rows, digest)` over the whole DataFrame; both 0 when it is empty."""
+    return _totals(df, {}, columns).agg(*_added())
 
 
 def grouped_totals(df: DataFrame, by: dict[str, Column], columns: list[str] | None = None) -> DataFrame:
-    """`(rows, digest)` per group; partial sums are formed before the shuffle."""
-    hashed = df.select(*[c.alias(n) for n, c in by.items()], row_hash(df.schema, columns).alias("_hash"))
-    sums = hashed.groupBy(*by).agg(F.count("_hash").alias("rows"), *half_sums(F.col("_hash")))
-    return sums.select(*by, "rows", join_halves(F.col("_high"), F.col("_low")).alias("digest"))
+    """`(rows, digest)` per group, for groups of any size."""
+    return _totals(df, by, columns).groupBy(*by).agg(*_added())
+
+
+def file_totals(df: DataFrame) -> DataFrame:
+    """`(file_name, rows, digest)` per Parquet file, in one small shuffle."""
+    hashed = df.select(F.col("_metadata.file_name").alias("file_name"), row_hash(df.schema).alias("_hash"))
+    sums = hashed.groupBy("file_name").agg(F.count("_hash").alias("rows"), *half_sums(F.col("_hash")))
+    return sums.select("file_name", "rows", join_halves(F.col("_high"), F.col("_low")).alias("digest"))

@@ -10,7 +10,6 @@ Only one count per written file comes to the driver.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +17,6 @@ from pyspark.sql import types as T
 
 from coldkeep.session import workspace
 
-_STARTS = T.StructType([T.StructField("_part", T.LongType()), T.StructField("_start", T.LongType())])
-
-
 def writer_task(file_name: Column) -> Column:
     """Number of the task that wrote a Spark part file; tasks follow the key ranges."""
     return F.regexp_extract(file_name, r"^part-(\d+)-", 1).cast("bigint")
@@ -31,15 +27,24 @@ def roll_over(file_name: Column) -> Column:
     return F.regexp_extract(file_name, r"-c(\d+)", 1).cast("bigint")
 
 
-def task_starts(spark: SparkSession, amounts: DataFrame) -> DataFrame:
-    """Running totals before each writer task, from rows `(_part, _amount)`, one per task.
+def running_starts(spark: SparkSession, amounts: DataFrame, within: Iterable[str] = ()) -> DataFrame:
+    """Running totals before each writer task, from rows `(*within, _part, _amount)`.
 
-    The driver sees as many rows as there are shuffle partitions, whatever the size of
-    the table, so the result is safe to broadcast.
+    The driver sees one row per writer task, at most as many as there are shuffle
+    partitions (per run), whatever the size of the table. So the result is safe to
+    broadcast.
     """
-    ordered = sorted((r["_part"], r["_amount"]) for r in amounts.collect())
-    before = [0, *accumulate(amount for _, amount in ordered)]
-    return spark.createDataFrame([(part, before[i]) for i, (part, _) in enumerate(ordered)], _STARTS)
+    within = list(within)
+    rows, group, start = [], None, 0
+    for *here, part, amount in sorted(tuple(r) for r in amounts.select(*within, "_part", "_amount").collect()):
+        if here != group:
+            group, start = here, 0
+        rows.append((*here, part, start))
+        start += amount
+    schema = T.StructType([
+        *[amounts.schema[c] for c in within], T.StructField("_part", T.LongType()), T.StructField("_start", T.LongType()),
+    ])
+    return spark.createDataFrame(rows, schema)
 
 
 def with_ordinal(spark: SparkSession, df: DataFrame, key: Iterable[str]) -> DataFrame:
@@ -52,7 +57,7 @@ def with_ordinal(spark: SparkSession, df: DataFrame, key: Iterable[str]) -> Data
     written = spark.read.schema(df.schema).parquet(folder)
     part = writer_task(F.col("_metadata.file_name"))
     # Counted from the file footers.
-    starts = task_starts(spark, written.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_amount")))
+    starts = running_starts(spark, written.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_amount")))
     numbered = written.select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_row"))
     return (
         numbered.join(F.broadcast(starts), "_part")

@@ -4,32 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from coldkeep.session import workspace
 
 
-def key_match(left: DataFrame, right: DataFrame, key: Iterable[str]) -> Column:
-    condition = F.lit(True)
-    for name in key:
-        condition = condition & (left[name] == right[name])
-    return condition
-
-
 def purge_by_key(hot: DataFrame, keys: DataFrame, key: Iterable[str]) -> DataFrame:
     """Rows of the hot table whose key is not among the archived keys.
 
-    One anti join for single and composite keys; nothing is batched or collected.
+    One anti join for single and composite keys; nothing is batched or collected. The
+    keys are made distinct first, before their shuffle, so a key that was archived very
+    often is one row at the join, and the join reuses that shuffle.
     """
     key = list(key)
-    return hot.join(keys.select(*key), key, "left_anti")
+    return hot.join(keys.select(*key).distinct(), key, "left_anti")
 
 
 def purged_by_key(hot: DataFrame, keys: DataFrame, key: Iterable[str]) -> DataFrame:
     """Rows of the hot table that a purge by these keys removes."""
     key = list(key)
-    return hot.join(keys.select(*key), key, "left_semi")
+    return hot.join(keys.select(*key).distinct(), key, "left_semi")
 
 
 def late_keys(spark: SparkSession, expired_rows: DataFrame, archived: DataFrame, key: Iterable[str]) -> DataFrame:

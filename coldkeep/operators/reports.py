@@ -59,7 +59,11 @@ def reconcile(history: DataFrame, verified: DataFrame, full: bool = True) -> Dat
         .when(F.col("expected_rows") == F.col("actual_rows"), "match")
         .otherwise("mismatch")
     )
-    return joined.select("run_id", "table_name", "expected_rows", "actual_rows", status.alias("status"))
+    none = F.lit(0).cast("bigint")
+    return joined.select(
+        "run_id", "table_name", F.coalesce("expected_rows", none).alias("expected_rows"),
+        F.coalesce("actual_rows", none).alias("actual_rows"), status.alias("status"),
+    )
 
 
 def lifecycle_action(published_at: Column, policy: LifecyclePolicy, as_of: datetime) -> Column:

@@ -52,7 +52,7 @@ DAMAGED = f"""SELECT run_id, batch,
 
 RECONCILED = f"""SELECT run_id, 'orders' AS table_name,
         count(*) + CASE WHEN run_id = '12e45678' THEN 1 ELSE 0 END AS expected_rows,
-        CASE WHEN run_id <> 'c0ffee03' THEN count(*) END AS actual_rows,
+        CASE WHEN run_id <> 'c0ffee03' THEN count(*) ELSE 0 END AS actual_rows,
         CASE run_id WHEN '00000001' THEN 'match' WHEN '12e45678' THEN 'mismatch' ELSE 'missing' END AS status
     FROM ({NUMBERED}) GROUP BY run_id"""
 

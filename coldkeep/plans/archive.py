@@ -7,17 +7,19 @@ were read back from the archive. A purge that stops half-way can be run again.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.functions import canonical
 from coldkeep.functions.digest import content_totals
-from coldkeep.model import ArchiveCheckFailed, Rule, Selection, TableRule
-from coldkeep.operators.chunks import UNDATED, droppable_chunks
+from coldkeep.model import ArchiveCheckFailed, Rule, Selection, TableRule, check_rules
+from coldkeep.operators.chunks import chunk_name, droppable_chunks
 from coldkeep.operators.expire import expired, preview, unexpired
 from coldkeep.operators.keys import audit_key
 from coldkeep.operators.purge import late_keys
@@ -26,6 +28,9 @@ from coldkeep.sources.archive_store import ArchiveStore, Run, cutoff_date
 from coldkeep.sources.history import Event, History
 from coldkeep.sources.hot_table import HotTable, union_all
 
+# Tables of one rule worked on at the same time.
+TABLES_AT_ONCE = 4
+
 SUMMARY_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("rule", T.StringType()),
@@ -71,18 +76,17 @@ def _encode(rule: Rule, df: DataFrame) -> DataFrame:
 
 
 def stage_table(store: ArchiveStore, rule: Rule, table: TableRule, hot: HotTable, as_of: datetime,
-                run_id: str, exact_batches: bool = False) -> Staged:
+                run_id: str, order: str = "key") -> Staged:
     """Write one table's expired rows to the pending area and prove they are all there."""
     cutoff = table.cutoff(as_of)
     run = Run(rule.database, table.name, cutoff_date(cutoff), run_id)
-    snapshot = hot.snapshot()
-    rows = expired(hot.df(snapshot.parts), table.date_column, cutoff)
+    rows = expired(hot.df(hot.snapshot().parts_before(cutoff)), table.date_column, cutoff)
     audit_key(rows, table.key, f"table {table.name}")
     encoded = _encode(rule, rows)
     source = content_totals(encoded).first()
     if source["rows"] == 0:
         return Staged(run, table, cutoff, 0, 0)
-    manifest = store.stage(run, encoded, table.key, rule.batch_size, as_of, exact_batches)
+    manifest = store.stage(run, encoded, table.key, rule.batch_size, as_of, order)
     staged = manifest.agg(F.sum("rows").alias("rows"), F.sum("digest").alias("digest"), F.count("*").alias("files")).first()
     if (staged["rows"], staged["digest"]) != (source["rows"], source["digest"]):
         raise ArchiveCheckFailed(
@@ -105,11 +109,8 @@ def drop_archived_chunks(store: ArchiveStore, run: Run, table: TableRule, hot: H
     Only a new pointer is written. A table without chunks drops nothing.
     """
     snapshot = hot.snapshot()
-    if snapshot.unit is None:
-        return {}
-    newest = cutoff.date().isoformat()
-    old = [p for p in snapshot.parts if p.chunk != UNDATED and p.chunk <= newest]
-    if not old:
+    old = snapshot.parts_before(cutoff)
+    if snapshot.unit is None or not old:
         return {}
     columns = tuple(dict.fromkeys([*table.key, table.date_column]))
     found = droppable_chunks(
@@ -127,26 +128,32 @@ def purge_archived_keys(store: ArchiveStore, run: Run, table: TableRule, hot: Ho
     """Remove archived rows by key; returns how many.
 
     Rows at or after the cutoff cannot be in the archive, so they are copied without a
-    join. Expired rows are not shuffled either: only their keys are compared, to find
-    late arrivals that must stay. Chunks that start after the cutoff are not read.
+    join, and chunks that start after it are not read. If the expired rows and the
+    archive agree in count and key digest, all of them go and nothing is shuffled.
+    Otherwise the keys alone are joined, to find late arrivals that must stay.
     """
     snapshot = hot.snapshot()
     key = list(table.key)
-    parts = list(snapshot.parts)
-    if snapshot.unit is not None:
-        newest = cutoff.date().isoformat()
-        parts = [p for p in parts if p.chunk != UNDATED and p.chunk <= newest]
+    parts = snapshot.parts_before(cutoff)
     if not parts:
         return 0
     rows = hot.df(parts)
     before = expired(rows, table.date_column, cutoff)
-    late = late_keys(hot.spark, before, archived_keys(store, run, table, snapshot.schema, table.key), key)
-    n_late = late.count()
-    deleted = before.count() - n_late
-    if deleted:
-        keep = unexpired(rows, table.date_column, cutoff)
+    columns = tuple(dict.fromkeys([*key, table.date_column]))
+    archived = archived_keys(store, run, table, snapshot.schema, columns)
+    if snapshot.unit is not None:
+        chunk = chunk_name(archived, table.date_column, snapshot.unit)
+        archived = archived.filter(chunk.isin([p.chunk for p in parts]))
+    found, known = content_totals(before, key).first(), content_totals(archived, key).first()
+    keep = unexpired(rows, table.date_column, cutoff)
+    deleted = found["rows"]
+    if deleted and found != known:
+        late = late_keys(hot.spark, before, archived, key)
+        n_late = late.count()
+        deleted -= n_late
         if n_late:
             keep = keep.unionByName(before.join(late, key, "left_semi").select(*rows.columns))
+    if deleted:
         hot.replace(parts, keep)
     return deleted
 
@@ -165,50 +172,65 @@ def purge_run(store: ArchiveStore, rule: Rule, hot: dict[str, HotTable], as_of:
             purge_table(store, run, table, hot[table.name], table.cutoff(as_of))
 
 
+def _each_table(work, items: list) -> list:
+    """Run independent per-table work side by side; Spark shares its executors among the jobs."""
+    if len(items) < 2:
+        return [work(item) for item in items]
+    with ThreadPoolExecutor(max_workers=min(len(items), TABLES_AT_ONCE)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(work), item) for item in items]]
+
+
 def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict[str, HotTable],
                  as_of: datetime, run_id: str, history: History | None = None,
-                 exact_batches: bool = False, purge: bool = True) -> DataFrame:
+                 order: str = "key", purge: bool = True) -> DataFrame:
     """Archive and purge every table of a rule; one summary row per table."""
     prepare(spark)
-    started = as_of
     store.open_run(run_id)
+    failed: list[Event] = []
 
     def event(name, rows, folder, error=""):
         return Event(run_id, rule.name, "archive", name, rows, folder,
-                     "error" if error else "success", error, started, as_of)
+                     "error" if error else "success", error, as_of, as_of)
+
+    def stage(table: TableRule) -> Staged:
+        try:
+            return stage_table(store, rule, table, hot[table.name], as_of, run_id, order)
+        except Exception as problem:
+            failed.append(event(table.name, 0, (), str(problem)))
+            raise
 
-    staged: list[Staged] = []
-    table = rule.tables[0]
     try:
-        for table in rule.tables:
-            staged.append(stage_table(store, rule, table, hot[table.name], as_of, run_id, exact_batches))
-    except Exception as problem:
+        staged = _each_table(stage, list(rule.tables))
+    except Exception:
         store.abort(run_id)
         if history is not None:
-            history.record([event(table.name, 0, (), str(problem))])
+            history.record(failed)
         raise
-    written = [s for s in staged if s.rows]
-    store.publish([s.run for s in written])
+    store.publish([s.run for s in staged if s.rows])
+    done: list[Event] = []
 
-    rows, events = [], []
-    for s in staged:
+    def finish(s: Staged) -> tuple:
         folder = (f"{rule.database}/{s.table.name}/{s.run.folder}",) if s.rows else ()
-        done = Purged(0, 0, 0)
+        table = hot[s.table.name]
         try:
-            if s.rows and purge:
-                done = purge_table(store, s.run, s.table, hot[s.table.name], s.cutoff)
+            gone = purge_table(store, s.run, s.table, table, s.cutoff) if s.rows and purge else Purged(0, 0, 0)
+            remaining = table.count()
         except Exception as problem:
-            if history is not None:
-                history.record([*events, event(s.table.name, s.rows, folder, str(problem))])
+            done.append(event(s.table.name, s.rows, folder, str(problem)))
             raise
-        events.append(event(s.table.name, s.rows, folder))
-        deleted = done.chunk_deleted + done.key_deleted
-        rows.append((
-            run_id, rule.name, s.table.name, s.rows, s.files, done.chunks_dropped, done.chunk_deleted,
-            done.key_deleted, hot[s.table.name].count(), purge and deleted != s.rows,
-        ))
-    if history is not None:
-        history.record(events)
+        done.append(event(s.table.name, s.rows, folder))
+        deleted = gone.chunk_deleted + gone.key_deleted
+        return (
+            run_id, rule.name, s.table.name, s.rows, s.files, gone.chunks_dropped, gone.chunk_deleted,
+            gone.key_deleted, remaining, purge and deleted != s.rows,
+        )
+
+    try:
+        rows = _each_table(finish, staged)
+    finally:
+        if history is not None:
+            names = [t.name for t in rule.tables]
+            history.record(sorted(done, key=lambda e: names.index(e.table_name)))
     return spark.createDataFrame(rows, SUMMARY_SCHEMA)
 
 
@@ -216,14 +238,13 @@ def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStor
                       as_of: datetime, run_ids: dict[str, str], history: History | None = None,
                       keep_going: bool = False) -> DataFrame:
     """Archive rule after rule. Stops at the first failure unless told to keep going."""
-    reports, failures = [], []
+    check_rules(rules)
+    reports = []
     for rule in rules:
         try:
             reports.append(archive_rule(spark, rule, store, hot, as_of, run_ids[rule.name], history))
-        except Exception as problem:
+        except Exception:
+            # The failed rule has left its error event in the history.
             if not keep_going:
                 raise
-            failures.append((rule.name, problem))
-    if failures and not reports:
-        raise failures[0][1]
     return union_all(reports) if reports else spark.createDataFrame([], SUMMARY_SCHEMA)

@@ -262,7 +262,7 @@ def archive_idempotent(spark, sf_dir):
 
 def archive_manifest(spark, sf_dir):
     scene = Scene(spark, sf_dir)
-    scene.archive(rule_of(ORDERS), {"orders": scene.adopt("orders")}, ORDERS_AS_OF, "12e45678", exact_batches=True)
+    scene.archive(rule_of(ORDERS), {"orders": scene.adopt("orders")}, ORDERS_AS_OF, "12e45678", order="exact")
     manifest = scene.store.manifest(scene.store.runs("shop", "orders"))
     return manifest.groupBy("cutoff_date", "run_id").agg(
         F.count(F.lit(1)).alias("files"), F.sum("rows").cast("bigint").alias("rows"), F.max("rows").alias("largest_file")
@@ -306,7 +306,7 @@ def run_summary(spark, sf_dir):
     """Totals per run of three successive runs."""
     scene = Scene(spark, sf_dir)
     rule, hot = rule_of(ORDERS), {"orders": scene.adopt("orders")}
-    tables = [scene.archive(rule, hot, as_of_for(cutoff), run_id, exact_batches=True) for run_id, cutoff in STEPS.items()]
+    tables = [scene.archive(rule, hot, as_of_for(cutoff), run_id, order="exact") for run_id, cutoff in STEPS.items()]
     deleted = F.col("chunk_deleted") + F.col("key_deleted")
     return union_all(tables).groupBy("run_id").agg(
         F.sum("rows_archived").cast("bigint").alias("rows_archived"),
@@ -342,7 +342,7 @@ def restore_chunked_table(spark, sf_dir):
 
 def restore_preview(spark, sf_dir):
     scene = Scene(spark, sf_dir)
-    rule, _ = scene.orders_in_steps(exact_batches=True)
+    rule, _ = scene.orders_in_steps(order="exact")
     return restore.preview_restore(scene.store, rule)
 
 
@@ -393,7 +393,7 @@ def restore_canonical(spark, sf_dir):
 
 def _damaged(scene: Scene) -> Rule:
     """Three runs; the first file is replaced by text in one, emptied in another, lost in the third."""
-    rule, _ = scene.orders_in_steps(exact_batches=True)
+    rule, _ = scene.orders_in_steps(order="exact")
     for run, damage in zip(scene.store.runs("shop", "orders"), ("text", "empty", "lost")):
         folder = scene.store.run_path(run)
         first = min(n for n, _, _ in scene.store.files.files(folder) if n.startswith("part-"))
@@ -409,7 +409,7 @@ def verify_archive(spark, sf_dir):
     """Status of every file, with the batch number its manifest gives it."""
     scene = Scene(spark, sf_dir)
     rule = _damaged(scene)
-    batch = scene.store.manifest(scene.store.runs("shop", "orders")).select("run_id", "file_name", "batch")
+    batch = scene.store.batches(scene.store.runs("shop", "orders")).select("run_id", "file_name", "batch")
     verified = verify_rule(spark, rule, scene.store)
     return verified.join(batch, ["run_id", "file_name"], "left").select("run_id", "batch", "status", "rows")
 

@@ -20,23 +20,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coldkeep.functions.digest import DIGEST_TYPE, grouped_totals
+from coldkeep.functions.digest import file_totals
 from coldkeep.functions.names import sanitize
 from coldkeep.model import NoArchiveFiles, RunExists, Selection, check_run_id
-from coldkeep.operators.batches import in_exact_batches, in_key_order, roll_over, task_starts, writer_task
+from coldkeep.operators.batches import in_exact_batches, in_key_order, roll_over, running_starts, writer_task
 from coldkeep.sources.fs import Files
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("file_name", T.StringType()),
-    T.StructField("batch", T.LongType()),
     T.StructField("rows", T.LongType()),
     T.StructField("digest", T.DecimalType(38, 0)),
     T.StructField("schema_json", T.StringType()),
     T.StructField("published_at", T.TimestampNTZType()),
 ])
+ORDERS = ("key", "exact", "scan")
 RUN_COLUMNS = [T.StructField("cutoff_date", T.StringType()), T.StructField("run_id", T.StringType())]
 
 
+def _schema_text(schema: T.StructType) -> str:
+    return json.dumps(json.loads(schema.json()), sort_keys=True)
+
+
 @dataclass(frozen=True)
 class Run:
     """One archived (table, cutoff date, run id) and its folder below the table folder."""
@@ -56,6 +60,8 @@ class ArchiveStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.files = Files(spark)
+        # A published run never changes, so neither does its schema.
+        self._schemas: dict[Run, str] = {}
 
     # -- paths ------------------------------------------------------------------
 
@@ -85,31 +91,29 @@ class ArchiveStore:
             raise RunExists(f"run {run_id} is already being written")
 
     def stage(self, run: Run, rows: DataFrame, key: tuple[str, ...], batch_size: int,
-              published_at: datetime, exact_batches: bool = False) -> DataFrame:
-        """Write rows to the pending area with at most `batch_size` per file, in key order.
+              published_at: datetime, order: str = "key") -> DataFrame:
+        """Write rows to the pending area with at most `batch_size` per file.
 
-        Returns the staged manifest, computed by reading the files back. Nothing is
-        written when there are no rows: callers check that first.
+        `order` is "key" for files in key order (one range shuffle), "exact" for whole
+        batches as well (one write and shuffle more), or "scan" for the order of the
+        source without any shuffle. Returns the staged manifest, computed by reading
+        the files back. Callers do not stage an empty set of rows.
         """
+        if order not in ORDERS:
+            raise ValueError(f"order must be one of {ORDERS}")
         if self.files.exists(self.run_path(run)):
             raise RunExists(f"run {run.run_id} of {run.table} is already published")
         target = self._staged(run, "rows")
-        if exact_batches:
-            ordered = in_exact_batches(self.spark, rows, key, batch_size)
-        else:
-            ordered = in_key_order(rows, key)
-        ordered.write.option("maxRecordsPerFile", batch_size).parquet(target)
+        if order == "exact":
+            rows = in_exact_batches(self.spark, rows, key, batch_size)
+        elif order == "key":
+            rows = in_key_order(rows, key)
+        rows.write.option("maxRecordsPerFile", batch_size).parquet(target)
         staged = self.spark.read.schema(rows.schema).parquet(target)
-        facts = grouped_totals(staged, {"file_name": F.col("_metadata.file_name")})
-        drafted = f"{self.pending_path(run.run_id)}/facts/{sanitize(run.table)}"
-        facts.withColumn("_part", writer_task(F.col("file_name"))).write.parquet(drafted)
-        facts = self.spark.read.parquet(drafted)
-        starts = task_starts(self.spark, facts.groupBy("_part").agg(F.count(F.lit(1)).alias("_amount")))
         manifest_target = self._staged(run, "manifest")
-        facts.join(F.broadcast(starts), "_part").select(
-            "file_name", (F.col("_start") + roll_over(F.col("file_name"))).alias("batch"),
-            "rows", F.col("digest").cast(DIGEST_TYPE).alias("digest"),
-            F.lit(json.dumps(json.loads(rows.schema.json()), sort_keys=True)).alias("schema_json"),
+        file_totals(staged).select(
+            "file_name", "rows", "digest",
+            F.lit(_schema_text(rows.schema)).alias("schema_json"),
             F.lit(published_at.isoformat(sep=" ")).cast("timestamp_ntz").alias("published_at"),
         ).write.parquet(manifest_target)
         return self.spark.read.schema(MANIFEST_SCHEMA).parquet(manifest_target)
@@ -136,6 +140,7 @@ class ArchiveStore:
 
     def delete(self, run: Run) -> None:
         """Remove one published run; the manifest goes first, as it marks the run complete."""
+        self._schemas.pop(run, None)
         self.files.delete(self.run_manifest_path(run))
         self.files.delete(self.run_path(run))
 
@@ -179,6 +184,17 @@ class ArchiveStore:
         base = self.manifest_path(recorded[0].database, recorded[0].table)
         return self.read_paths(base, MANIFEST_SCHEMA, [self.run_manifest_path(r) for r in recorded])
 
+    def batches(self, runs: list[Run]) -> DataFrame:
+        """The manifest with each file's 0-based batch number in key order within its run."""
+        files = self.manifest(runs).withColumn("_part", writer_task(F.col("file_name")))
+        amounts = files.groupBy("cutoff_date", "run_id", "_part").agg(F.count(F.lit(1)).alias("_amount"))
+        starts = running_starts(self.spark, amounts, ["cutoff_date", "run_id"])
+        return (
+            files.join(F.broadcast(starts), ["cutoff_date", "run_id", "_part"])
+            .withColumn("batch", F.col("_start") + roll_over(F.col("file_name")))
+            .drop("_part", "_start")
+        )
+
     def by_schema(self, runs: list[Run]) -> list[tuple[T.StructType, list[Run]]]:
         """Runs grouped by the schema of their files.
 
@@ -188,17 +204,19 @@ class ArchiveStore:
         stored = [r for r in runs if self.files.exists(self.run_path(r))]
         if not stored:
             return []
-        known = {
-            (r["cutoff_date"], r["run_id"]): r["schema_json"]
-            for r in self.manifest(stored).select("cutoff_date", "run_id", "schema_json").distinct().collect()
-        }
+        unknown = [r for r in stored if r not in self._schemas]
+        if unknown:
+            recorded = self.manifest(unknown).select("cutoff_date", "run_id", "schema_json").distinct().collect()
+            by_folder = {(r["cutoff_date"], r["run_id"]): r["schema_json"] for r in recorded}
+            for run in unknown:
+                known = by_folder.get((run.cutoff_date, run.run_id))
+                if known is None:
+                    found = self.spark.read.option("ignoreCorruptFiles", "true").parquet(self.run_path(run)).schema
+                    known = _schema_text(found)
+                self._schemas[run] = known
         groups: dict[str, list[Run]] = {}
         for run in stored:
-            schema_json = known.get((run.cutoff_date, run.run_id))
-            if schema_json is None:
-                schema = self.spark.read.option("ignoreCorruptFiles", "true").parquet(self.run_path(run)).schema
-                schema_json = json.dumps(json.loads(schema.json()), sort_keys=True)
-            groups.setdefault(schema_json, []).append(run)
+            groups.setdefault(self._schemas[run], []).append(run)
         return [(T.StructType.fromJson(json.loads(s)), members) for s, members in groups.items()]
 
     def read(self, runs: list[Run], **options) -> list[DataFrame]:

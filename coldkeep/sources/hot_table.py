@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.model import CHUNK_UNITS, RetentionError
-from coldkeep.operators.chunks import chunk_name
+from coldkeep.operators.chunks import UNDATED, chunk_name
 from coldkeep.sources.fs import Files
 
 _CHUNK = "chunk_start"
+_PREFIX = f"{_CHUNK}="
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,13 @@ class Snapshot:
     date_column: str | None
     unit: str | None
 
+    def parts_before(self, cutoff: datetime) -> list[Part]:
+        """Parts that can hold rows before the cutoff; later chunks are never read."""
+        if self.unit is None:
+            return list(self.parts)
+        day = cutoff.date().isoformat()
+        return [p for p in self.parts if p.chunk != UNDATED and p.chunk <= day]
+
 
 class HotTable:
     def __init__(self, spark: SparkSession, root: str):
@@ -59,6 +68,21 @@ class HotTable:
         table._publish(Snapshot(0, schema, tuple(Part(p) for p in paths), None, None))
         return table
 
+    @classmethod
+    def adopt_chunks(cls, spark: SparkSession, root: str, folder: str, date_column: str, unit: str) -> HotTable:
+        """A chunked table over existing `chunk_start=YYYY-MM-DD` folders, read in place."""
+        table = cls(spark, root)
+        parts = [
+            Part(f"{folder.rstrip('/')}/{name}", name[len(_PREFIX):])
+            for name in table.files.directories(folder)
+            if name.startswith(_PREFIX)
+        ]
+        if not parts:
+            raise RetentionError(f"no {_PREFIX}... folders in {folder}")
+        schema = spark.read.parquet(parts[0].path).schema
+        table._publish(Snapshot(0, schema, tuple(parts), date_column, unit))
+        return table
+
     @classmethod
     def load(cls, spark: SparkSession, root: str, df: DataFrame,
              date_column: str | None = None, unit: str | None = None,
@@ -117,11 +141,10 @@ class HotTable:
         # ones together, so neither a hot chunk nor a flood of tiny files appears.
         order = (_CHUNK, snapshot.date_column, *[c for c in cluster_by if c != snapshot.date_column])
         chunked.repartitionByRange(*order).sortWithinPartitions(_CHUNK).write.partitionBy(_CHUNK).parquet(target)
-        prefix = f"{_CHUNK}="
         return [
-            Part(f"{folder}/{name}", name[len(prefix):])
+            Part(f"{folder}/{name}", name[len(_PREFIX):])
             for name in self.files.directories(target)
-            if name.startswith(prefix)
+            if name.startswith(_PREFIX)
         ]
 
     def replace(self, remove: list[Part], add: DataFrame | None = None) -> None:
@@ -141,6 +164,30 @@ class HotTable:
             Snapshot(version, snapshot.schema, (*snapshot.parts, *added), snapshot.date_column, snapshot.unit)
         )
 
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete pointers but the newest `keep` and every folder of this table that none
+        of those names; returns the folders. Adopted paths outside the table are kept.
+
+        Purged rows stay on disk until this runs. It must not run next to a writer, nor
+        while older snapshots are still being read.
+        """
+        names = sorted(n for n, _, _ in self.files.files(f"{self.root}/_snapshots") if n.endswith(".json"))
+        used = set()
+        for name in names[-keep:]:
+            raw = json.loads(self.files.read_text(f"{self.root}/_snapshots/{name}"))
+            used |= {p["path"] for p in raw["parts"]}
+        for name in names[:-keep]:
+            self.files.delete(f"{self.root}/_snapshots/{name}")
+        gone = []
+        for version in (d for d in self.files.directories(self.root) if d.startswith("v=")):
+            chunks = [f"{version}/{d}" for d in self.files.directories(f"{self.root}/{version}")]
+            unused = [c for c in chunks if c not in used] if any(c in used for c in chunks) else [version]
+            for folder in unused:
+                if folder not in used:
+                    self.files.delete(f"{self.root}/{folder}")
+                    gone.append(folder)
+        return gone
+
     def _publish(self, snapshot: Snapshot) -> None:
         name = f"{snapshot.version:020d}.json"
         body = json.dumps({
