@@ -24,7 +24,7 @@ def writer_task(file_name: Column) -> Column:
 
 def roll_over(file_name: Column) -> Column:
     """Number of the file within its writer task."""
-    return F.regexp_extract(file_name, r"-c(\d+)", 1).cast("bigint")
+    return F.regexp_extract(file_name, r"-c(\d+)\.", 1).cast("bigint")
 
 
 def running_starts(spark: SparkSession, amounts: DataFrame, within: Iterable[str] = ()) -> DataFrame:

@@ -27,6 +27,7 @@ from coldkeep.session import prepare
 from coldkeep.sources.archive_store import ArchiveStore, Run, cutoff_date
 from coldkeep.sources.history import Event, History
 from coldkeep.sources.hot_table import HotTable, union_all
+from coldkeep.sources.jdbc import JdbcTable
 
 # Tables of one rule worked on at the same time.
 TABLES_AT_ONCE = 4
@@ -61,7 +62,7 @@ class Purged:
     key_deleted: int
 
 
-def preview_rules(rules: list[Rule], hot: dict[str, HotTable], as_of: datetime) -> DataFrame:
+def preview_rules(rules: list[Rule], hot: dict[str, HotTable | JdbcTable], as_of: datetime) -> DataFrame:
     """Dry run of one or more rules: expired rows per table, counted in the scan."""
     reports = [
         preview([(t.name, hot[t.name].df(), t.date_column, t.cutoff(as_of)) for t in rule.tables])
@@ -75,12 +76,12 @@ def _encode(rule: Rule, df: DataFrame) -> DataFrame:
     return canonical.encode(df) if rule.encoding == "canonical" else df
 
 
-def stage_table(store: ArchiveStore, rule: Rule, table: TableRule, hot: HotTable, as_of: datetime,
+def stage_table(store: ArchiveStore, rule: Rule, table: TableRule, hot: HotTable | JdbcTable, as_of: datetime,
                 run_id: str, order: str = "key") -> Staged:
     """Write one table's expired rows to the pending area and prove they are all there."""
     cutoff = table.cutoff(as_of)
     run = Run(rule.database, table.name, cutoff_date(cutoff), run_id)
-    rows = expired(hot.df(hot.snapshot().parts_before(cutoff)), table.date_column, cutoff)
+    rows = hot.expired(table.date_column, cutoff)
     audit_key(rows, table.key, f"table {table.name}")
     encoded = _encode(rule, rows)
     source = content_totals(encoded).first()
@@ -158,29 +159,34 @@ def purge_archived_keys(store: ArchiveStore, run: Run, table: TableRule, hot: Ho
     return deleted
 
 
-def purge_table(store: ArchiveStore, run: Run, table: TableRule, hot: HotTable, cutoff: datetime) -> Purged:
+def purge_table(store: ArchiveStore, run: Run, table: TableRule, hot: HotTable | JdbcTable,
+                cutoff: datetime) -> Purged:
     """Remove the rows of one published run: whole chunks first, the rest by key."""
+    if isinstance(hot, JdbcTable):
+        keys = archived_keys(store, run, table, hot.schema(), table.key)
+        return Purged(0, 0, hot.delete_keys(keys, table.key, run.run_id))
     dropped = drop_archived_chunks(store, run, table, hot, cutoff)
     deleted = purge_archived_keys(store, run, table, hot, cutoff)
     return Purged(len(dropped), sum(dropped.values()), deleted)
 
 
-def purge_run(store: ArchiveStore, rule: Rule, hot: dict[str, HotTable], as_of: datetime, run_id: str) -> None:
+def purge_run(store: ArchiveStore, rule: Rule, hot: dict[str, HotTable | JdbcTable], as_of: datetime, run_id: str) -> None:
     """Finish the purge of a published run; rows already gone are simply not found."""
     for table in rule.tables:
         for run in store.runs(rule.database, table.name, Selection(run_id=run_id)):
             purge_table(store, run, table, hot[table.name], table.cutoff(as_of))
 
 
-def _each_table(work, items: list) -> list:
+def _each_table(spark: SparkSession, work, items: list) -> list:
     """Run independent per-table work side by side; Spark shares its executors among the jobs."""
     if len(items) < 2:
         return [work(item) for item in items]
     with ThreadPoolExecutor(max_workers=min(len(items), TABLES_AT_ONCE)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(work), item) for item in items]]
+        waiting = [pool.submit(inheritable_thread_target(spark)(work), item) for item in items]
+    return [w.result() for w in waiting]
 
 
-def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict[str, HotTable],
+def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
                  as_of: datetime, run_id: str, history: History | None = None,
                  order: str = "key", purge: bool = True) -> DataFrame:
     """Archive and purge every table of a rule; one summary row per table."""
@@ -200,7 +206,7 @@ def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
             raise
 
     try:
-        staged = _each_table(stage, list(rule.tables))
+        staged = _each_table(spark, stage, list(rule.tables))
     except Exception:
         store.abort(run_id)
         if history is not None:
@@ -226,7 +232,7 @@ def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
         )
 
     try:
-        rows = _each_table(finish, staged)
+        rows = _each_table(spark, finish, staged)
     finally:
         if history is not None:
             names = [t.name for t in rule.tables]
@@ -234,7 +240,7 @@ def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
     return spark.createDataFrame(rows, SUMMARY_SCHEMA)
 
 
-def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStore, hot: dict[str, HotTable],
+def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
                       as_of: datetime, run_ids: dict[str, str], history: History | None = None,
                       keep_going: bool = False) -> DataFrame:
     """Archive rule after rule. Stops at the first failure unless told to keep going."""

@@ -21,6 +21,7 @@ from coldkeep.session import prepare, workspace
 from coldkeep.sources.archive_store import ArchiveStore, Run
 from coldkeep.sources.history import Event, History
 from coldkeep.sources.hot_table import HotTable, union_all
+from coldkeep.sources.jdbc import JdbcTable
 
 RESTORE_SCHEMA = T.StructType([
     T.StructField("rule", T.StringType()),
@@ -73,8 +74,8 @@ def preview_restore(store: ArchiveStore, rule: Rule, selection: Selection = Sele
     return union_all(reports)
 
 
-def restore_table(spark: SparkSession, store: ArchiveStore, runs: list[Run], hot: HotTable, key: tuple[str, ...],
-                  encoding: str = "native", on_conflict: str = "error") -> int:
+def restore_table(spark: SparkSession, store: ArchiveStore, runs: list[Run], hot: HotTable | JdbcTable,
+                  key: tuple[str, ...], encoding: str = "native", on_conflict: str = "error") -> int:
     """Append the rows of some runs to the hot table; returns how many.
 
     `error` refuses any key that is already in the table or archived twice. `skip`
@@ -103,7 +104,7 @@ def restore_table(spark: SparkSession, store: ArchiveStore, runs: list[Run], hot
     return count
 
 
-def restore_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict[str, HotTable],
+def restore_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
                  as_of: datetime, selection: Selection = Selection(), history: History | None = None,
                  on_conflict: str = "error") -> DataFrame:
     """Restore the selected archives of a rule; one summary row per table.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from coldkeep.operators.verify import (
     zero_row_paths,
 )
 from coldkeep.session import prepare, workspace
-from coldkeep.sources.archive_store import ArchiveStore, Run
+from coldkeep.sources.archive_store import ARCHIVE_FILES, ArchiveStore, Run
 from coldkeep.sources.hot_table import union_all
 
 # Skips files that are damaged or gone while reading; the comparison finds them.
@@ -44,7 +45,7 @@ def list_files(store: ArchiveStore, runs: list[Run]) -> DataFrame:
         return store.spark.createDataFrame([], _LISTING_SCHEMA)
     path = F.col("path")
     seen = (
-        store.spark.read.format("binaryFile").load([store.run_path(r) for r in stored])
+        store.spark.read.format("binaryFile").option("pathGlobFilter", ARCHIVE_FILES).load([store.run_path(r) for r in stored])
         .select(
             path_cutoff_date(path).alias("cutoff_date"), path_run_id(path).alias("run_id"),
             F.substring_index(path, "/", -1).alias("file_name"), "length",
@@ -59,7 +60,7 @@ def list_files(store: ArchiveStore, runs: list[Run]) -> DataFrame:
             empty += [
                 (run.cutoff_date, run.run_id, name, 0)
                 for name, length, _ in store.files.files(store.run_path(run))
-                if length == 0 and not name.startswith(("_", "."))
+                if length == 0 and fnmatch(name, ARCHIVE_FILES) and not name.startswith(("_", "."))
             ]
     listing = seen.select(*_LISTING_SCHEMA.fieldNames())
     return listing.unionByName(store.spark.createDataFrame(empty, _LISTING_SCHEMA)) if empty else listing

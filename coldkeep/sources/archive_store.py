@@ -33,6 +33,10 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("schema_json", T.StringType()),
     T.StructField("published_at", T.TimestampNTZType()),
 ])
+# Only these are archive files; whatever else lies in a run folder is not read.
+ARCHIVE_FILES = "*.parquet"
+# Run folders hold nothing but archive files, so their entries can be counted.
+NO_MARKER = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 ORDERS = ("key", "exact", "scan")
 RUN_COLUMNS = [T.StructField("cutoff_date", T.StringType()), T.StructField("run_id", T.StringType())]
 
@@ -108,7 +112,7 @@ class ArchiveStore:
             rows = in_exact_batches(self.spark, rows, key, batch_size)
         elif order == "key":
             rows = in_key_order(rows, key)
-        rows.write.option("maxRecordsPerFile", batch_size).parquet(target)
+        rows.write.options(maxRecordsPerFile=batch_size, **NO_MARKER).parquet(target)
         staged = self.spark.read.schema(rows.schema).parquet(target)
         manifest_target = self._staged(run, "manifest")
         file_totals(staged).select(
@@ -174,7 +178,8 @@ class ArchiveStore:
         The explicit schema keeps a run id such as 12e45678 from being read as a number.
         """
         full = T.StructType([*schema.fields, *RUN_COLUMNS])
-        return self.spark.read.schema(full).option("basePath", base).options(**options).parquet(*paths)
+        reader = self.spark.read.schema(full).options(basePath=base, pathGlobFilter=ARCHIVE_FILES, **options)
+        return reader.parquet(*paths)
 
     def manifest(self, runs: list[Run]) -> DataFrame:
         """One row per recorded file of these runs (of one table)."""
@@ -211,7 +216,9 @@ class ArchiveStore:
             for run in unknown:
                 known = by_folder.get((run.cutoff_date, run.run_id))
                 if known is None:
-                    found = self.spark.read.option("ignoreCorruptFiles", "true").parquet(self.run_path(run)).schema
+                    found = self.spark.read.options(ignoreCorruptFiles="true", pathGlobFilter=ARCHIVE_FILES).parquet(
+                        self.run_path(run)
+                    ).schema
                     known = _schema_text(found)
                 self._schemas[run] = known
         groups: dict[str, list[Run]] = {}

@@ -17,11 +17,11 @@ from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.model import CHUNK_UNITS, RetentionError
 from coldkeep.operators.chunks import UNDATED, chunk_name
+from coldkeep.operators.expire import expired
 from coldkeep.sources.fs import Files
 
 _CHUNK = "chunk_start"
@@ -120,6 +120,10 @@ class HotTable:
         paths = [p.path if ":" in p.path or p.path.startswith("/") else f"{self.root}/{p.path}" for p in chosen]
         return self.spark.read.schema(snapshot.schema).parquet(*paths)
 
+    def expired(self, date_column: str, cutoff: datetime) -> DataFrame:
+        """Expired rows of the current snapshot, whose files never change."""
+        return expired(self.df(self.snapshot().parts_before(cutoff)), date_column, cutoff)
+
     def count(self) -> int:
         """Rows from the file footers."""
         return self.df().count()
