@@ -20,15 +20,13 @@ def row_hash(schema: T.StructType, columns: list[str] | None = None) -> Column:
     The null flags are part of the input: the hash itself skips NULLs, so a value
     moving between two columns would otherwise go unnoticed.
     """
-    names = sorted(columns or schema.fieldNames())
-    values = []
-    for name in names:
-        column = F.col(f"`{name}`")
-        if isinstance(schema[name].dataType, T.MapType):
-            column = F.array_sort(F.map_entries(column))
-        values.append(column)
-    flags = [F.col(f"`{name}`").isNull() for name in names]
-    return F.xxhash64(*values, *flags)
+    names = {name: f"`{name.replace('`', '``')}`" for name in sorted(columns or schema.fieldNames())}
+    values = [
+        f"array_sort(map_entries({quoted}))" if isinstance(schema[name].dataType, T.MapType) else quoted
+        for name, quoted in names.items()
+    ]
+    flags = [f"isnull({quoted})" for quoted in names.values()]
+    return F.expr(f"xxhash64({', '.join([*values, *flags])})")
 
 
 def half_sums(hash_column: Column) -> list[Column]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coldkeep.session import workspace
+from coldkeep.session import small_frame, workspace
 
 def writer_task(file_name: Column) -> Column:
     """Number of the task that wrote a Spark part file; tasks follow the key ranges."""
@@ -44,7 +44,7 @@ def running_starts(spark: SparkSession, amounts: DataFrame, within: Iterable[str
     schema = T.StructType([
         *[amounts.schema[c] for c in within], T.StructField("_part", T.LongType()), T.StructField("_start", T.LongType()),
     ])
-    return spark.createDataFrame(rows, schema)
+    return small_frame(spark, rows, schema)
 
 
 def with_ordinal(spark: SparkSession, df: DataFrame, key: Iterable[str]) -> DataFrame:

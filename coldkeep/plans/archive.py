@@ -7,11 +7,10 @@ were read back from the archive. A purge that stops half-way can be run again.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
+from functools import partial
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,15 +22,12 @@ from coldkeep.operators.chunks import chunk_name, droppable_chunks
 from coldkeep.operators.expire import expired, preview, unexpired
 from coldkeep.operators.keys import audit_key
 from coldkeep.operators.purge import late_keys
-from coldkeep.session import prepare
+from coldkeep.session import prepare, small_frame, together
 from coldkeep.sources.archive_store import ArchiveStore, Run, cutoff_date
 from coldkeep.sources.history import Event, History
 from coldkeep.sources.hot_table import HotTable, union_all
 from coldkeep.sources.jdbc import JdbcTable
 
-# Tables of one rule worked on at the same time.
-TABLES_AT_ONCE = 4
-
 SUMMARY_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("rule", T.StringType()),
@@ -82,9 +78,11 @@ def stage_table(store: ArchiveStore, rule: Rule, table: TableRule, hot: HotTable
     cutoff = table.cutoff(as_of)
     run = Run(rule.database, table.name, cutoff_date(cutoff), run_id)
     rows = hot.expired(table.date_column, cutoff)
-    audit_key(rows, table.key, f"table {table.name}")
     encoded = _encode(rule, rows)
-    source = content_totals(encoded).first()
+    _, source = together(store.spark, [
+        lambda: audit_key(rows, table.key, f"table {table.name}"),
+        lambda: content_totals(encoded).first(),
+    ])
     if source["rows"] == 0:
         return Staged(run, table, cutoff, 0, 0)
     manifest = store.stage(run, encoded, table.key, rule.batch_size, as_of, order)
@@ -145,7 +143,7 @@ def purge_archived_keys(store: ArchiveStore, run: Run, table: TableRule, hot: Ho
     if snapshot.unit is not None:
         chunk = chunk_name(archived, table.date_column, snapshot.unit)
         archived = archived.filter(chunk.isin([p.chunk for p in parts]))
-    found, known = content_totals(before, key).first(), content_totals(archived, key).first()
+    found, known = together(hot.spark, [content_totals(before, key).first, content_totals(archived, key).first])
     keep = unexpired(rows, table.date_column, cutoff)
     deleted = found["rows"]
     if deleted and found != known:
@@ -177,15 +175,6 @@ def purge_run(store: ArchiveStore, rule: Rule, hot: dict[str, HotTable | JdbcTab
             purge_table(store, run, table, hot[table.name], table.cutoff(as_of))
 
 
-def _each_table(spark: SparkSession, work, items: list) -> list:
-    """Run independent per-table work side by side; Spark shares its executors among the jobs."""
-    if len(items) < 2:
-        return [work(item) for item in items]
-    with ThreadPoolExecutor(max_workers=min(len(items), TABLES_AT_ONCE)) as pool:
-        waiting = [pool.submit(inheritable_thread_target(spark)(work), item) for item in items]
-    return [w.result() for w in waiting]
-
-
 def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
                  as_of: datetime, run_id: str, history: History | None = None,
                  order: str = "key", purge: bool = True) -> DataFrame:
@@ -206,7 +195,7 @@ def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
             raise
 
     try:
-        staged = _each_table(spark, stage, list(rule.tables))
+        staged = together(spark, [partial(stage, t) for t in rule.tables])
     except Exception:
         store.abort(run_id)
         if history is not None:
@@ -232,12 +221,12 @@ def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
         )
 
     try:
-        rows = _each_table(spark, finish, staged)
+        rows = together(spark, [partial(finish, s) for s in staged])
     finally:
         if history is not None:
             names = [t.name for t in rule.tables]
             history.record(sorted(done, key=lambda e: names.index(e.table_name)))
-    return spark.createDataFrame(rows, SUMMARY_SCHEMA)
+    return small_frame(spark, rows, SUMMARY_SCHEMA)
 
 
 def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
@@ -253,4 +242,4 @@ def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStor
             # The failed rule has left its error event in the history.
             if not keep_going:
                 raise
-    return union_all(reports) if reports else spark.createDataFrame([], SUMMARY_SCHEMA)
+    return union_all(reports) if reports else small_frame(spark, [], SUMMARY_SCHEMA)

@@ -17,7 +17,7 @@ from coldkeep.operators.restore import (
     first_archived,
     without_existing,
 )
-from coldkeep.session import prepare, workspace
+from coldkeep.session import prepare, small_frame, workspace
 from coldkeep.sources.archive_store import ArchiveStore, Run
 from coldkeep.sources.history import Event, History
 from coldkeep.sources.hot_table import HotTable, union_all
@@ -131,4 +131,4 @@ def restore_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
         rows.append((rule.name, table.name, count))
     if history is not None:
         history.record(events)
-    return spark.createDataFrame(rows, RESTORE_SCHEMA)
+    return small_frame(spark, rows, RESTORE_SCHEMA)

@@ -24,7 +24,7 @@ from coldkeep.operators.verify import (
     with_status,
     zero_row_paths,
 )
-from coldkeep.session import prepare, workspace
+from coldkeep.session import prepare, small_frame, workspace
 from coldkeep.sources.archive_store import ARCHIVE_FILES, ArchiveStore, Run
 from coldkeep.sources.hot_table import union_all
 
@@ -42,7 +42,7 @@ def list_files(store: ArchiveStore, runs: list[Run]) -> DataFrame:
     """
     stored = [r for r in runs if store.files.exists(store.run_path(r))]
     if not stored:
-        return store.spark.createDataFrame([], _LISTING_SCHEMA)
+        return small_frame(store.spark, [], _LISTING_SCHEMA)
     path = F.col("path")
     seen = (
         store.spark.read.format("binaryFile").option("pathGlobFilter", ARCHIVE_FILES).load([store.run_path(r) for r in stored])
@@ -63,7 +63,7 @@ def list_files(store: ArchiveStore, runs: list[Run]) -> DataFrame:
                 if length == 0 and fnmatch(name, ARCHIVE_FILES) and not name.startswith(("_", "."))
             ]
     listing = seen.select(*_LISTING_SCHEMA.fieldNames())
-    return listing.unionByName(store.spark.createDataFrame(empty, _LISTING_SCHEMA)) if empty else listing
+    return listing.unionByName(small_frame(store.spark, empty, _LISTING_SCHEMA)) if empty else listing
 
 
 def file_facts(store: ArchiveStore, runs: list[Run]) -> DataFrame:

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Time zone: RFC3339 text and cutoffs are UTC. ANSI: narrowing casts must fail, not wrap.
 REQUIRED = {
@@ -41,3 +47,26 @@ def workspace(spark: SparkSession, purpose: str) -> str:
             _local_workspaces[app] = "file:" + tempfile.mkdtemp(prefix="coldkeep-")
         base = _local_workspaces[app]
     return f"{base.rstrip('/')}/coldkeep/{purpose}-{uuid.uuid4().hex}"
+
+
+def small_frame(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType) -> DataFrame:
+    """A DataFrame of a few driver-side rows (events, run summaries, file offsets).
+
+    It goes over as Arrow and becomes a local relation, whose size the optimizer knows
+    and which needs no Python worker.
+    """
+    names = schema.fieldNames()
+    table = pa.Table.from_pylist([dict(zip(names, row)) for row in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
+
+
+def together(spark: SparkSession, work: list[Callable], at_once: int = 4) -> list:
+    """Run independent jobs side by side, so small ones do not leave executors idle.
+
+    Waits for all of them; the first failure, if any, is raised after that.
+    """
+    if len(work) < 2:
+        return [step() for step in work]
+    with ThreadPoolExecutor(max_workers=min(len(work), at_once)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(step)) for step in work]
+    return [w.result() for w in waiting]

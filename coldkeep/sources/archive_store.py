@@ -24,6 +24,7 @@ from coldkeep.functions.digest import file_totals
 from coldkeep.functions.names import sanitize
 from coldkeep.model import NoArchiveFiles, RunExists, Selection, check_run_id
 from coldkeep.operators.batches import in_exact_batches, in_key_order, roll_over, running_starts, writer_task
+from coldkeep.session import small_frame
 from coldkeep.sources.fs import Files
 
 MANIFEST_SCHEMA = T.StructType([
@@ -185,7 +186,7 @@ class ArchiveStore:
         """One row per recorded file of these runs (of one table)."""
         recorded = [r for r in runs if self.files.exists(self.run_manifest_path(r))]
         if not recorded:
-            return self.spark.createDataFrame([], T.StructType([*MANIFEST_SCHEMA.fields, *RUN_COLUMNS]))
+            return small_frame(self.spark, [], T.StructType([*MANIFEST_SCHEMA.fields, *RUN_COLUMNS]))
         base = self.manifest_path(recorded[0].database, recorded[0].table)
         return self.read_paths(base, MANIFEST_SCHEMA, [self.run_manifest_path(r) for r in recorded])
 

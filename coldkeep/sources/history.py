@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coldkeep.session import small_frame
 from coldkeep.sources.fs import Files
 
 HISTORY_SCHEMA = T.StructType([
@@ -54,7 +55,7 @@ class History:
 
     def df(self) -> DataFrame:
         if not self.files.exists(self.path):
-            return self.spark.createDataFrame([], HISTORY_SCHEMA)
+            return small_frame(self.spark, [], HISTORY_SCHEMA)
         return self.spark.read.schema(HISTORY_SCHEMA).parquet(self.path)
 
     def record(self, events: list[Event]) -> None:
@@ -63,8 +64,5 @@ class History:
             return
         last = self.df().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         names = HISTORY_SCHEMA.fieldNames()[1:]
-        rows = []
-        for i, event in enumerate(events, start=1):
-            values = [getattr(event, n) for n in names]
-            rows.append((last + i, *[list(v) if isinstance(v, tuple) else v for v in values]))
-        self.spark.createDataFrame(rows, HISTORY_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        rows = [(last + i, *[getattr(event, n) for n in names]) for i, event in enumerate(events, start=1)]
+        small_frame(self.spark, rows, HISTORY_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from coldkeep.model import CHUNK_UNITS, RetentionError
 from coldkeep.operators.chunks import UNDATED, chunk_name
 from coldkeep.operators.expire import expired
+from coldkeep.session import small_frame
 from coldkeep.sources.fs import Files
 
 _CHUNK = "chunk_start"
@@ -116,7 +117,7 @@ class HotTable:
         snapshot = self.snapshot()
         chosen = snapshot.parts if parts is None else tuple(parts)
         if not chosen:
-            return self.spark.createDataFrame([], snapshot.schema)
+            return small_frame(self.spark, [], snapshot.schema)
         paths = [p.path if ":" in p.path or p.path.startswith("/") else f"{self.root}/{p.path}" for p in chosen]
         return self.spark.read.schema(snapshot.schema).parquet(*paths)
 
