@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from coldkeep.functions.digest import grouped_totals
-from coldkeep.functions.timestamps import cutoff_literal
+from coldkeep.operators.expire import expired, unexpired
 
 # Interval that ends a chunk of each unit.
 _LENGTH = {"day": "1 day", "week": "7 days", "month": "1 month", "year": "1 year"}
@@ -17,64 +16,73 @@ _LENGTH = {"day": "1 day", "week": "7 days", "month": "1 month", "year": "1 year
 UNDATED = "none"
 
 
-def chunk_start(df: DataFrame, date_column: str, unit: str) -> Column:
-    """Start of the chunk a row lies in, zone-free (weeks start on Monday)."""
-    column = F.col(f"`{date_column}`")
-    if isinstance(df.schema[date_column].dataType, T.DateType):
-        column = column.cast("timestamp_ntz")
-    return F.date_trunc(unit, column).cast("timestamp_ntz")
+def chunk_day(date_column: str, unit: str) -> Column:
+    """First day of the chunk a row lies in; weeks start on Monday. Plain day arithmetic."""
+    day = F.col(f"`{date_column}`").cast("date")
+    return day if unit == "day" else F.trunc(day, unit)
 
 
-def chunk_name(df: DataFrame, date_column: str, unit: str) -> Column:
-    """Chunk start as the text used for chunk folders."""
-    start = F.date_format(chunk_start(df, date_column, unit), "yyyy-MM-dd")
-    return F.coalesce(start, F.lit(UNDATED))
+def chunk_name(date_column: str, unit: str) -> Column:
+    """First day of the chunk as the text used for chunk folders."""
+    return F.coalesce(chunk_day(date_column, unit).cast("string"), F.lit(UNDATED))
 
 
-def chunk_end(start: Column, unit: str) -> Column:
-    return start + F.expr(f"INTERVAL {_LENGTH[unit]}")
+def boundary(cutoff: datetime, unit: str) -> datetime:
+    """Start of the chunk the cutoff lies in.
+
+    Chunks before it end at or before the cutoff, so exactly the rows before the
+    boundary are in wholly expired chunks. Comparing dates with this constant keeps the
+    test on the scan, where computing each row's chunk would not be pushed down.
+    """
+    day = cutoff.replace(hour=0, minute=0, second=0, microsecond=0)
+    if unit == "week":
+        return day - timedelta(days=day.weekday())
+    if unit == "month":
+        return day.replace(day=1)
+    if unit == "year":
+        return day.replace(month=1, day=1)
+    return day
 
 
 def chunk_inventory(df: DataFrame, date_column: str, unit: str, cutoff: datetime) -> DataFrame:
     """Chunks in start order: start, end, rows, and whether the chunk is wholly expired."""
-    start = F.col("chunk_start")
+    start = F.col("_day").cast("timestamp_ntz")
+    limit = F.lit(boundary(cutoff, unit).date().isoformat()).cast("date")
     return (
         df.filter(F.col(f"`{date_column}`").isNotNull())
-        .groupBy(chunk_start(df, date_column, unit).alias("chunk_start"))
+        .groupBy(chunk_day(date_column, unit).alias("_day"))
         .agg(F.count(F.lit(1)).alias("rows"))
         .select(
-            start,
-            chunk_end(start, unit).alias("chunk_end"),
+            start.alias("chunk_start"),
+            (start + F.expr(f"INTERVAL {_LENGTH[unit]}")).alias("chunk_end"),
             "rows",
-            (chunk_end(start, unit) <= cutoff_literal(cutoff, T.TimestampNTZType())).alias("expired"),
+            (F.col("_day") < limit).alias("expired"),
         )
-        .orderBy(start)
+        .orderBy("chunk_start")
     )
 
 
 def droppable_chunks(hot: DataFrame, archived: DataFrame, key: list[str], date_column: str,
                      unit: str, cutoff: datetime) -> DataFrame:
-    """Wholly expired chunks whose rows are all archived, with their row count.
+    """Wholly expired chunks whose rows are all archived, as `(chunk, rows)`.
 
     A chunk qualifies when count and key digest agree on both sides. A row that came
     in after the archive was taken changes them, so it is never dropped unseen. Each
     side is reduced to one row per chunk before anything is joined.
     """
+    limit = boundary(cutoff, unit)
+
     def totals(df):
-        expired = df.filter(
-            chunk_end(chunk_start(df, date_column, unit), unit) <= cutoff_literal(cutoff, T.TimestampNTZType())
-        )
-        return grouped_totals(expired, {"chunk": chunk_name(df, date_column, unit)}, key)
+        return grouped_totals(expired(df, date_column, limit), {"_day": chunk_day(date_column, unit)}, key)
 
-    kept = totals(archived).select("chunk", F.col("rows").alias("_rows"), F.col("digest").alias("_digest"))
+    kept = totals(archived).select("_day", F.col("rows").alias("_rows"), F.col("digest").alias("_digest"))
     return (
-        totals(hot).join(kept, "chunk")
+        totals(hot).join(kept, "_day")
         .filter((F.col("rows") == F.col("_rows")) & (F.col("digest") == F.col("_digest")))
-        .select("chunk", "rows")
+        .select(F.col("_day").cast("string").alias("chunk"), "rows")
     )
 
 
 def outside_expired_chunks(df: DataFrame, date_column: str, unit: str, cutoff: datetime) -> DataFrame:
     """What a whole-chunk drop alone would leave."""
-    end = chunk_end(chunk_start(df, date_column, unit), unit)
-    return df.filter((end > cutoff_literal(cutoff, T.TimestampNTZType())) | end.isNull())
+    return unexpired(df, date_column, boundary(cutoff, unit))

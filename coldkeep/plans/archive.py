@@ -141,7 +141,7 @@ def purge_archived_keys(store: ArchiveStore, run: Run, table: TableRule, hot: Ho
     columns = tuple(dict.fromkeys([*key, table.date_column]))
     archived = archived_keys(store, run, table, snapshot.schema, columns)
     if snapshot.unit is not None:
-        chunk = chunk_name(archived, table.date_column, snapshot.unit)
+        chunk = chunk_name(table.date_column, snapshot.unit)
         archived = archived.filter(chunk.isin([p.chunk for p in parts]))
     found, known = together(hot.spark, [content_totals(before, key).first, content_totals(archived, key).first])
     keep = unexpired(rows, table.date_column, cutoff)

@@ -12,7 +12,7 @@ leaves it out of the next pointer, and only the chunk at the cutoff is rewritten
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from datetime import datetime
 from functools import reduce
 
@@ -131,8 +131,14 @@ class HotTable:
 
     # -- changing ---------------------------------------------------------------
 
-    def write_parts(self, df: DataFrame, version: int, cluster_by: tuple[str, ...] = ()) -> list[Part]:
-        """Write rows to the folder of a version that is not published yet."""
+    def write_parts(self, df: DataFrame, version: int, cluster_by: tuple[str, ...] | None = ()) -> list[Part]:
+        """Write rows to the folder of a version that is not published yet.
+
+        Rows for a chunked table are first ranged over (chunk, date, `cluster_by`): that
+        cuts a huge chunk into many tasks and keeps small ones together, so neither a
+        hot chunk nor a flood of tiny files appears. None says that the rows were read
+        from chunk folders and already lie together, so nothing is shuffled.
+        """
         snapshot = self.snapshot()
         folder = f"v={version}"
         target = f"{self.root}/{folder}"
@@ -141,11 +147,11 @@ class HotTable:
         if snapshot.unit is None:
             df.write.parquet(target)
             return [Part(folder)]
-        chunked = df.withColumn(_CHUNK, chunk_name(df, snapshot.date_column, snapshot.unit))
-        # Ranges over (chunk, date, ...) cut a huge chunk into many tasks and keep small
-        # ones together, so neither a hot chunk nor a flood of tiny files appears.
-        order = (_CHUNK, snapshot.date_column, *[c for c in cluster_by if c != snapshot.date_column])
-        chunked.repartitionByRange(*order).sortWithinPartitions(_CHUNK).write.partitionBy(_CHUNK).parquet(target)
+        df = df.withColumn(_CHUNK, chunk_name(snapshot.date_column, snapshot.unit))
+        if cluster_by is not None:
+            rest = [c for c in cluster_by if c != snapshot.date_column]
+            df = df.repartitionByRange(_CHUNK, snapshot.date_column, *rest)
+        df.write.partitionBy(_CHUNK).parquet(target)
         return [
             Part(f"{folder}/{name}", name[len(_PREFIX):])
             for name in self.files.directories(target)
@@ -153,21 +159,19 @@ class HotTable:
         ]
 
     def replace(self, remove: list[Part], add: DataFrame | None = None) -> None:
-        """Publish a snapshot without some parts and with new rows."""
+        """Publish a snapshot without some parts, and with the rows of them that stay."""
         snapshot = self.snapshot()
         version = snapshot.version + 1
         kept = [p for p in snapshot.parts if p not in remove]
-        added = self.write_parts(add, version) if add is not None else []
-        self._publish(Snapshot(version, snapshot.schema, tuple([*kept, *added]), snapshot.date_column, snapshot.unit))
+        added = self.write_parts(add, version, None) if add is not None else []
+        self._publish(replace(snapshot, version=version, parts=(*kept, *added)))
 
     def append(self, df: DataFrame, cluster_by: tuple[str, ...] = ()) -> None:
         """Add rows, matched by column name; existing folders are not touched."""
         snapshot = self.snapshot()
         version = snapshot.version + 1
         added = self.write_parts(df.select(*snapshot.schema.fieldNames()), version, cluster_by)
-        self._publish(
-            Snapshot(version, snapshot.schema, (*snapshot.parts, *added), snapshot.date_column, snapshot.unit)
-        )
+        self._publish(replace(snapshot, version=version, parts=(*snapshot.parts, *added)))
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete pointers but the newest `keep` and every folder of this table that none

@@ -91,6 +91,17 @@ def test_workspace_is_shared_storage(spark):
     assert workspace(spark, "x") != workspace(spark, "x")
 
 
+def test_rewritten_chunk_is_not_shuffled(spark, world):
+    """Rows of a boundary chunk go from its old folder to its new one."""
+    hot = world.load(small_sensors(spark), SENSOR_RULE, "year")
+    frames = []
+    write = hot.write_parts
+    hot.write_parts = lambda df, *rest: frames.append(df) or write(df, *rest)
+    done = archive.archive_rule(spark, rule(SENSOR_RULE), world.store, {"sensor_data": hot}, AS_OF, "0000000a").first()
+    assert (done["chunks_dropped"], done["key_deleted"]) == (0, 7)
+    assert "Exchange" not in plan(frames[0])
+
+
 def test_hot_chunk_is_written_by_many_tasks(spark, world):
     """One chunk holds nearly all rows; ranges over chunk and date split it."""
     rows = spark.range(40_000).select(

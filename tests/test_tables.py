@@ -61,7 +61,7 @@ def test_adopted_files_are_left_alone(spark, world, tmp_path):
 def test_adopted_chunks(spark, world, tmp_path):
     source = f"file:{tmp_path}/sensors"
     rows = small_sensors(spark)
-    rows.withColumn("chunk_start", chunks.chunk_name(rows, "time", "month")).write.partitionBy("chunk_start").parquet(source)
+    rows.withColumn("chunk_start", chunks.chunk_name("time", "month")).write.partitionBy("chunk_start").parquet(source)
     hot = {"sensor_data": HotTable.adopt_chunks(spark, f"{world.root}/hot", source, "time", "month")}
     assert rows_of(hot["sensor_data"].df()) == rows_of(rows)
     done = archive.archive_rule(spark, rule(SENSOR_RULE), world.store, hot, AS_OF, "0000000a").first()
@@ -82,6 +82,14 @@ def test_chunk_inventory(spark, unit, expired):
     assert [r["chunk_start"] for r in found] == sorted(r["chunk_start"] for r in found)
 
 
+@pytest.mark.parametrize("unit, cutoff, want", [
+    ("day", "2024-01-17 10:00", "2024-01-17"), ("week", "2024-01-17", "2024-01-15"), ("week", "2024-01-15", "2024-01-15"),
+    ("month", "2024-02-29 23:59", "2024-02-01"), ("year", "2024-02-29", "2024-01-01"),
+])
+def test_boundary(unit, cutoff, want):
+    assert chunks.boundary(at(cutoff), unit) == at(want)
+
+
 def test_chunk_end_at_cutoff_is_expired(spark):
     found = chunks.chunk_inventory(small_sensors(spark), "time", "month", at("2023-05-01")).collect()
     assert [r["expired"] for r in found] == [True] * 4 + [False] * 2
