@@ -29,6 +29,11 @@ def files_as_json(history: DataFrame) -> DataFrame:
     return history.withColumn("files", F.to_json("files"))
 
 
+def files_from_json(history: DataFrame) -> DataFrame:
+    """JSON text back to the file list."""
+    return history.withColumn("files", F.from_json("files", "array<string>"))
+
+
 def expected_rows(history: DataFrame) -> DataFrame:
     """Rows each successful archive run recorded, per run and table."""
     done = history.filter((F.col("event_type") == "archive") & (F.col("status") == "success"))

@@ -129,6 +129,15 @@ ORACLES = {
         SELECT '1997-01-01' AS cutoff_date, '12e45678' AS run_id, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS files,
             count(*) AS rows, least(count(*), 1000) AS largest_file
         FROM orders WHERE o_orderdate < {C}""",
+    "archive_listing": f"""
+        SELECT strftime(any_value(high), '%Y-%m-%d') AS cutoff_date, run_id, count(DISTINCT batch) AS files,
+            count(DISTINCT batch) AS sized_and_dated, count(*) AS rows
+        FROM (SELECT run_id, high, (row_number() OVER (PARTITION BY run_id ORDER BY o_orderkey) - 1) // 1000 AS batch
+            FROM orders JOIN {STEPS} ON o_orderdate >= low AND o_orderdate < high)
+        GROUP BY run_id""",
+    "archive_late_rows": f"""
+        SELECT * FROM orders WHERE o_orderdate < {C}
+            AND (o_orderdate >= '1996-01-01' OR o_orderpriority = '1-URGENT')""",
     "archive_select": "SELECT * FROM orders WHERE o_orderdate >= '1995-07-01' AND o_orderdate < '1996-01-01'",
     "archive_rule": " UNION ALL ".join([
         _summary("keep-online", "orders", f"o_orderdate < {C}", "false", f"o_orderdate >= {C}"),

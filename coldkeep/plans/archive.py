@@ -85,13 +85,12 @@ def stage_table(store: ArchiveStore, rule: Rule, table: TableRule, hot: HotTable
     ])
     if source["rows"] == 0:
         return Staged(run, table, cutoff, 0, 0)
-    manifest = store.stage(run, encoded, table.key, rule.batch_size, as_of, order)
-    staged = manifest.agg(F.sum("rows").alias("rows"), F.sum("digest").alias("digest"), F.count("*").alias("files")).first()
-    if (staged["rows"], staged["digest"]) != (source["rows"], source["digest"]):
+    staged = store.stage(run, encoded, table.key, rule.batch_size, as_of, order)
+    if (staged.rows, staged.digest) != (source["rows"], source["digest"]):
         raise ArchiveCheckFailed(
-            f"table {table.name}: {source['rows']} rows expired, {staged['rows']} staged, or their content differs"
+            f"table {table.name}: {source['rows']} rows expired, {staged.rows} staged, or their content differs"
         )
-    return Staged(run, table, cutoff, staged["rows"], staged["files"])
+    return Staged(run, table, cutoff, staged.rows, staged.files)
 
 
 def archived_keys(store: ArchiveStore, run: Run, table: TableRule, schema: T.StructType,

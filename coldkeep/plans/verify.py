@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from fnmatch import fnmatch
 from itertools import islice
 
@@ -31,11 +32,13 @@ from coldkeep.sources.hot_table import union_all
 # Skips files that are damaged or gone while reading; the comparison finds them.
 LENIENT = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
 _SLICE = 1_000
-_LISTING_SCHEMA = T.StructType([f for f in FACT_SCHEMA if f.name in (*FILE_KEY, "length")])
+_LISTING_SCHEMA = T.StructType([
+    *[f for f in FACT_SCHEMA if f.name in (*FILE_KEY, "length")], T.StructField("modified_at", T.TimestampType()),
+])
 
 
 def list_files(store: ArchiveStore, runs: list[Run]) -> DataFrame:
-    """(cutoff date, run, file, length) of every stored archive file of one table.
+    """Every stored archive file of these runs (of one table) with its size and age.
 
     Spark lists the files in parallel. It leaves out files of zero bytes, so where a
     folder has more entries than Spark saw, that one folder is listed directly.
@@ -44,26 +47,22 @@ def list_files(store: ArchiveStore, runs: list[Run]) -> DataFrame:
     if not stored:
         return small_frame(store.spark, [], _LISTING_SCHEMA)
     path = F.col("path")
-    seen = (
-        store.spark.read.format("binaryFile").option("pathGlobFilter", ARCHIVE_FILES).load([store.run_path(r) for r in stored])
-        .select(
-            path_cutoff_date(path).alias("cutoff_date"), path_run_id(path).alias("run_id"),
-            F.substring_index(path, "/", -1).alias("file_name"), "length",
-        )
+    reader = store.spark.read.format("binaryFile").option("pathGlobFilter", ARCHIVE_FILES)
+    seen = reader.load([store.run_path(r) for r in stored]).select(
+        path_cutoff_date(path).alias("cutoff_date"), path_run_id(path).alias("run_id"),
+        F.substring_index(path, "/", -1).alias("file_name"), "length", F.col("modificationTime").alias("modified_at"),
     )
-    per_run = {
-        (r["cutoff_date"], r["run_id"]): r["count"] for r in seen.groupBy("cutoff_date", "run_id").count().collect()
-    }
+    counted = seen.groupBy("cutoff_date", "run_id").count().collect()
+    per_run = {(r["cutoff_date"], r["run_id"]): r["count"] for r in counted}
     empty = []
     for run in stored:
         if store.files.entry_count(store.run_path(run)) > per_run.get((run.cutoff_date, run.run_id), 0):
             empty += [
-                (run.cutoff_date, run.run_id, name, 0)
-                for name, length, _ in store.files.files(store.run_path(run))
+                (run.cutoff_date, run.run_id, name, 0, datetime.fromtimestamp(changed / 1000, timezone.utc))
+                for name, length, changed in store.files.files(store.run_path(run))
                 if length == 0 and fnmatch(name, ARCHIVE_FILES) and not name.startswith(("_", "."))
             ]
-    listing = seen.select(*_LISTING_SCHEMA.fieldNames())
-    return listing.unionByName(small_frame(store.spark, empty, _LISTING_SCHEMA)) if empty else listing
+    return seen.unionByName(small_frame(store.spark, empty, _LISTING_SCHEMA)) if empty else seen
 
 
 def file_facts(store: ArchiveStore, runs: list[Run]) -> DataFrame:

@@ -16,7 +16,7 @@ from coldkeep.model import KeyAuditFailed, LifecyclePolicy, Rule, Selection, Tab
 from coldkeep.operators import batches, chunks, expire, keys, purge, reports, verify
 from coldkeep.operators.restore import conflicts_with_hot
 from coldkeep.plans import archive, lifecycle, restore
-from coldkeep.plans.verify import verify_against_history, verify_rule
+from coldkeep.plans.verify import list_files, verify_against_history, verify_rule
 from coldkeep.session import prepare, workspace
 from coldkeep.sources.archive_store import ArchiveStore
 from coldkeep.sources.history import HISTORY_SCHEMA, History
@@ -269,6 +269,31 @@ def archive_manifest(spark, sf_dir):
     )
 
 
+def archive_listing(spark, sf_dir):
+    """Stored files per run, from the file listing, next to the recorded rows."""
+    scene = Scene(spark, sf_dir)
+    scene.orders_in_steps(order="exact")
+    runs = scene.store.runs("shop", "orders")
+    listed = list_files(scene.store, runs).groupBy("cutoff_date", "run_id").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count_if((F.col("length") > 0) & F.col("modified_at").isNotNull()).alias("sized_and_dated"),
+    )
+    recorded = scene.store.manifest(runs).groupBy("run_id").agg(F.sum("rows").cast("bigint").alias("rows"))
+    return listed.join(recorded, "run_id").select("cutoff_date", "run_id", "files", "sized_and_dated", "rows")
+
+
+def archive_late_rows(spark, sf_dir):
+    """Rows that arrive older than a past cutoff are taken by the next run."""
+    scene = Scene(spark, sf_dir)
+    step, orders = STEPS["12e45678"], scene.rows("orders")
+    is_late = F.col("o_orderpriority") == "1-URGENT"
+    rule, hot = rule_of(ORDERS), {"orders": scene.load("orders", orders.filter(~is_late), ORDERS)}
+    scene.archive(rule, hot, as_of_for(step), "00000001")
+    hot["orders"].append(orders.filter(is_late))
+    scene.archive(rule, hot, ORDERS_AS_OF, "00000002")
+    return _read_archive(scene, "orders", Selection(run_id="00000002"))
+
+
 def archive_select(spark, sf_dir):
     scene = Scene(spark, sf_dir)
     scene.orders_in_steps()
@@ -394,14 +419,17 @@ def restore_canonical(spark, sf_dir):
 def _damaged(scene: Scene) -> Rule:
     """Three runs; the first file is replaced by text in one, emptied in another, lost in the third."""
     rule, _ = scene.orders_in_steps(order="exact")
-    for run, damage in zip(scene.store.runs("shop", "orders"), ("text", "empty", "lost")):
-        folder = scene.store.run_path(run)
-        first = min(n for n, _, _ in scene.store.files.files(folder) if n.startswith("part-"))
+    runs = scene.store.runs("shop", "orders")
+    first = {
+        r["run_id"]: r["file_name"] for r in scene.store.batches(runs).filter(F.col("batch") == 0).collect()
+    }
+    for run, damage in zip(runs, ("text", "empty", "lost")):
+        path = f"{scene.store.run_path(run)}/{first[run.run_id]}"
         if damage == "lost":
-            scene.store.files.delete(f"{folder}/{first}")
+            scene.store.files.delete(path)
         else:
             text = "this is not a parquet file" if damage == "text" else ""
-            scene.store.files.write_text(f"{folder}/{first}", text, overwrite=True)
+            scene.store.files.write_text(path, text, overwrite=True)
     return rule
 
 
@@ -583,7 +611,8 @@ QUERIES = {
         batch_plan, batch_plan_composite, key_audit, key_report,
         purge_single_key, purge_composite_key, purge_hits, chunk_inventory, chunk_purge, purge_chunked_table,
         purge_accounting, purge_spares_late_rows,
-        archive_roundtrip, archive_publish, archive_abort, archive_idempotent, archive_manifest, archive_select,
+        archive_roundtrip, archive_publish, archive_abort, archive_idempotent, archive_manifest, archive_listing,
+        archive_late_rows, archive_select,
         archive_rule, archive_all_rules, run_summary,
         restore_append, restore_one_run, restore_chunked_table, restore_preview, restore_conflicts,
         restore_skip_existing, restore_schema_drift, restore_canonical,

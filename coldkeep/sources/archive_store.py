@@ -15,6 +15,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from datetime import date, datetime
+from decimal import Decimal
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,14 @@ class Run:
         return f"cutoff_date={self.cutoff_date}/run_id={self.run_id}"
 
 
+class Totals(NamedTuple):
+    """What a set of archive files holds."""
+
+    rows: int
+    digest: Decimal
+    files: int
+
+
 class ArchiveStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -96,32 +106,37 @@ class ArchiveStore:
             raise RunExists(f"run {run_id} is already being written")
 
     def stage(self, run: Run, rows: DataFrame, key: tuple[str, ...], batch_size: int,
-              published_at: datetime, order: str = "key") -> DataFrame:
+              published_at: datetime, order: str = "key") -> Totals:
         """Write rows to the pending area with at most `batch_size` per file.
 
         `order` is "key" for files in key order (one range shuffle), "exact" for whole
         batches as well (one write and shuffle more), or "scan" for the order of the
-        source without any shuffle. Returns the staged manifest, computed by reading
-        the files back. Callers do not stage an empty set of rows.
+        source without any shuffle. The totals returned, like the staged manifest, come
+        from reading the files back. Staging no rows is an error.
         """
         if order not in ORDERS:
             raise ValueError(f"order must be one of {ORDERS}")
         if self.files.exists(self.run_path(run)):
             raise RunExists(f"run {run.run_id} of {run.table} is already published")
         target = self._staged(run, "rows")
+        schema = rows.schema
         if order == "exact":
             rows = in_exact_batches(self.spark, rows, key, batch_size)
         elif order == "key":
             rows = in_key_order(rows, key)
         rows.write.options(maxRecordsPerFile=batch_size, **NO_MARKER).parquet(target)
-        staged = self.spark.read.schema(rows.schema).parquet(target)
+        staged = self.spark.read.schema(schema).parquet(target)
         manifest_target = self._staged(run, "manifest")
         file_totals(staged).select(
             "file_name", "rows", "digest",
-            F.lit(_schema_text(rows.schema)).alias("schema_json"),
+            F.lit(_schema_text(schema)).alias("schema_json"),
             F.lit(published_at.isoformat(sep=" ")).cast("timestamp_ntz").alias("published_at"),
         ).write.parquet(manifest_target)
-        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(manifest_target)
+        manifest = self.spark.read.schema(MANIFEST_SCHEMA).parquet(manifest_target)
+        found = manifest.agg(F.sum("rows"), F.sum("digest"), F.count(F.lit(1))).first()
+        if not found[0]:
+            raise ValueError(f"no rows to archive for {run.table}")
+        return Totals(*found)
 
     def publish(self, runs: list[Run]) -> None:
         """Move staged runs to their final place: rows first, manifest last.

@@ -18,6 +18,11 @@ class Files:
         target = self._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self._conf), target
 
+    def qualified(self, path: str) -> str:
+        """The path with scheme and absolute directories."""
+        fs, target = self._at(path)
+        return fs.makeQualified(target).toString()
+
     def exists(self, path: str) -> bool:
         fs, target = self._at(path)
         return fs.exists(target)

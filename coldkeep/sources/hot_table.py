@@ -66,15 +66,16 @@ class HotTable:
         """A table over existing Parquet paths. They are read in place, never changed."""
         table = cls(spark, root)
         schema = spark.read.parquet(paths[0]).schema
-        table._publish(Snapshot(0, schema, tuple(Part(p) for p in paths), None, None))
+        table._publish(Snapshot(0, schema, tuple(Part(table.files.qualified(p)) for p in paths), None, None))
         return table
 
     @classmethod
     def adopt_chunks(cls, spark: SparkSession, root: str, folder: str, date_column: str, unit: str) -> HotTable:
         """A chunked table over existing `chunk_start=YYYY-MM-DD` folders, read in place."""
         table = cls(spark, root)
+        base = table.files.qualified(folder)
         parts = [
-            Part(f"{folder.rstrip('/')}/{name}", name[len(_PREFIX):])
+            Part(f"{base}/{name}", name[len(_PREFIX):])
             for name in table.files.directories(folder)
             if name.startswith(_PREFIX)
         ]
@@ -118,7 +119,7 @@ class HotTable:
         chosen = snapshot.parts if parts is None else tuple(parts)
         if not chosen:
             return small_frame(self.spark, [], snapshot.schema)
-        paths = [p.path if ":" in p.path or p.path.startswith("/") else f"{self.root}/{p.path}" for p in chosen]
+        paths = [p.path if ":" in p.path else f"{self.root}/{p.path}" for p in chosen]
         return self.spark.read.schema(snapshot.schema).parquet(*paths)
 
     def expired(self, date_column: str, cutoff: datetime) -> DataFrame:

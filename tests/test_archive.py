@@ -162,6 +162,12 @@ def test_interrupted_publish_can_be_finished(spark, world):
     world.store.publish([run])
 
 
+def test_staging_nothing_is_an_error(spark, world):
+    empty = small_orders(spark).filter("id > 100")
+    with pytest.raises(ValueError, match="no rows"):
+        world.store.stage(Run("testdb", "orders", "2023-12-02", "0000000a"), empty, ("id",), 10, AS_OF)
+
+
 def test_staged_run_is_invisible(spark, world):
     hot = world.load(small_orders(spark), ORDERS_RULE)
     archive.stage_table(world.store, rule(ORDERS_RULE), ORDERS_RULE, hot, AS_OF, "0000000a")
