@@ -10,6 +10,7 @@ Only one count per written file comes to the driver.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,24 +28,16 @@ def roll_over(file_name: Column) -> Column:
     return F.regexp_extract(file_name, r"-c(\d+)\.", 1).cast("bigint")
 
 
-def running_starts(spark: SparkSession, amounts: DataFrame, within: Iterable[str] = ()) -> DataFrame:
-    """Running totals before each writer task, from rows `(*within, _part, _amount)`.
+def running_starts(spark: SparkSession, amounts: DataFrame) -> DataFrame:
+    """Running totals before each writer task, from rows `(_part, _amount)`, one per task.
 
-    The driver sees one row per writer task, at most as many as there are shuffle
-    partitions (per run), whatever the size of the table. So the result is safe to
-    broadcast.
+    The driver sees at most as many rows as there are shuffle partitions, whatever the
+    size of the table. So the result is safe to broadcast.
     """
-    within = list(within)
-    rows, group, start = [], None, 0
-    for *here, part, amount in sorted(tuple(r) for r in amounts.select(*within, "_part", "_amount").collect()):
-        if here != group:
-            group, start = here, 0
-        rows.append((*here, part, start))
-        start += amount
-    schema = T.StructType([
-        *[amounts.schema[c] for c in within], T.StructField("_part", T.LongType()), T.StructField("_start", T.LongType()),
-    ])
-    return small_frame(spark, rows, schema)
+    counted = sorted((r["_part"], r["_amount"]) for r in amounts.collect())
+    totals = [0, *accumulate(amount for _, amount in counted)]
+    schema = T.StructType([T.StructField("_part", T.LongType()), T.StructField("_start", T.LongType())])
+    return small_frame(spark, [(part, start) for (part, _), start in zip(counted, totals)], schema)
 
 
 def with_ordinal(spark: SparkSession, df: DataFrame, key: Iterable[str]) -> DataFrame:

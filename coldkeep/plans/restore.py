@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.functions import canonical
-from coldkeep.model import RestoreConflict, Rule, SchemaMismatch, Selection
+from coldkeep.model import RestoreConflict, Rule, SchemaMismatch, Selection, TableRule
+from coldkeep.operators.expire import expired
 from coldkeep.operators.restore import (
     align,
     conflicts_with_hot,
@@ -74,8 +75,23 @@ def preview_restore(store: ArchiveStore, rule: Rule, selection: Selection = Sele
     return union_all(reports)
 
 
+def _rows_that_could_clash(hot: HotTable | JdbcTable, table: TableRule, runs: list[Run]) -> DataFrame:
+    """Hot rows whose key can equal an archived one.
+
+    A key that contains the date column can only repeat at the same date, and archived
+    dates lie before their cutoff. So later chunks and row groups are not read. The
+    folder name drops the time of day of the cutoff, hence one day more.
+    """
+    if table.date_column not in table.key:
+        return hot.df()
+    limit = datetime.fromisoformat(max(r.cutoff_date for r in runs)) + timedelta(days=1)
+    if isinstance(hot, HotTable):
+        return hot.expired(table.date_column, limit)
+    return expired(hot.df(), table.date_column, limit)
+
+
 def restore_table(spark: SparkSession, store: ArchiveStore, runs: list[Run], hot: HotTable | JdbcTable,
-                  key: tuple[str, ...], encoding: str = "native", on_conflict: str = "error") -> int:
+                  table: TableRule, encoding: str = "native", on_conflict: str = "error") -> int:
     """Append the rows of some runs to the hot table; returns how many.
 
     `error` refuses any key that is already in the table or archived twice. `skip`
@@ -83,11 +99,11 @@ def restore_table(spark: SparkSession, store: ArchiveStore, runs: list[Run], hot
     """
     if on_conflict not in ("error", "skip"):
         raise ValueError("on_conflict must be 'error' or 'skip'")
-    key = tuple(key)
+    key = table.key
     schema = hot.schema()
     names = schema.fieldNames()
     rows = archived_rows(store, runs, schema, encoding)
-    current = hot.df()
+    current = _rows_that_could_clash(hot, table, runs)
     if on_conflict == "error":
         clash = conflicts_with_hot(rows, current, key).unionByName(conflicts_within(rows, key)).count()
         if clash:
@@ -121,7 +137,7 @@ def restore_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
     for table in rule.selected_tables(selection.table):
         try:
             runs = store.runs(rule.database, table.name, selection, required=True)
-            count = restore_table(spark, store, runs, hot[table.name], table.key, rule.encoding, on_conflict)
+            count = restore_table(spark, store, runs, hot[table.name], table, rule.encoding, on_conflict)
         except Exception as problem:
             if history is not None:
                 history.record([*events, event(table.name, 0, (), str(problem))])

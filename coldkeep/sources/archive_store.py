@@ -18,14 +18,14 @@ from datetime import date, datetime
 from decimal import Decimal
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.functions.digest import file_totals
 from coldkeep.functions.names import sanitize
 from coldkeep.model import NoArchiveFiles, RunExists, Selection, check_run_id
-from coldkeep.operators.batches import in_exact_batches, in_key_order, roll_over, running_starts, writer_task
+from coldkeep.operators.batches import in_exact_batches, in_key_order, roll_over, writer_task
 from coldkeep.session import small_frame
 from coldkeep.sources.fs import Files
 
@@ -172,18 +172,12 @@ class ArchiveStore:
 
         Includes runs known only from their manifest, whose files are gone.
         """
+        wanted = f"cutoff_date={selection.cutoff_date or '*'}/run_id={selection.run_id or '*'}"
         found = set()
         for base in (self.table_path(database, table), self.manifest_path(database, table)):
-            for day in self.files.directories(base):
-                if not day.startswith("cutoff_date="):
-                    continue
-                cutoff = day.split("=", 1)[1]
-                if selection.cutoff_date is not None and cutoff != selection.cutoff_date:
-                    continue
-                for entry in self.files.directories(f"{base}/{day}"):
-                    run_id = entry.split("=", 1)[1] if entry.startswith("run_id=") else None
-                    if run_id is not None and selection.run_id in (None, run_id):
-                        found.add(Run(database, table, cutoff, run_id))
+            for path in self.files.glob(f"{base}/{wanted}"):
+                day, run_id = (part.split("=", 1)[1] for part in path.split("/")[-2:])
+                found.add(Run(database, table, day, run_id))
         if required and not found:
             raise NoArchiveFiles(f"no archive of {database}.{table} matches {selection}")
         return sorted(found, key=lambda r: (r.cutoff_date, r.run_id))
@@ -208,10 +202,16 @@ class ArchiveStore:
     def batches(self, runs: list[Run]) -> DataFrame:
         """The manifest with each file's 0-based batch number in key order within its run."""
         files = self.manifest(runs).withColumn("_part", writer_task(F.col("file_name")))
-        amounts = files.groupBy("cutoff_date", "run_id", "_part").agg(F.count(F.lit(1)).alias("_amount"))
-        starts = running_starts(self.spark, amounts, ["cutoff_date", "run_id"])
+        run = ["cutoff_date", "run_id"]
+        # Counts per writer task first, so the window sees at most one row per task.
+        before = Window.partitionBy(*run).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = (
+            files.groupBy(*run, "_part").agg(F.count(F.lit(1)).alias("_files"))
+            .withColumn("_start", F.coalesce(F.sum("_files").over(before), F.lit(0)))
+            .drop("_files")
+        )
         return (
-            files.join(F.broadcast(starts), ["cutoff_date", "run_id", "_part"])
+            files.join(starts, [*run, "_part"])
             .withColumn("batch", F.col("_start") + roll_over(F.col("file_name")))
             .drop("_part", "_start")
         )

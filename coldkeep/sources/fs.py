@@ -34,6 +34,11 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory())
 
+    def glob(self, pattern: str) -> list[str]:
+        """Full paths of what matches a glob pattern, sorted."""
+        fs, target = self._at(pattern)
+        return sorted(s.getPath().toString() for s in fs.globStatus(target) or [])
+
     def files(self, path: str) -> list[tuple[str, int, int]]:
         """(name, length, modification time in ms) of the plain files in one directory."""
         fs, target = self._at(path)

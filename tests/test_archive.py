@@ -228,4 +228,6 @@ def test_selection_prunes_runs(spark, world):
     # equality, not substring: the id of one run is not found in another's path
     assert find("testdb", "orders", Selection(run_id="0000")) == []
     assert find("testdb", "orders", Selection(run_id="2023")) == []
+    with pytest.raises(ValueError):
+        Selection(run_id="0000000*")
     assert isinstance(find("testdb", "orders")[0], Run)

@@ -43,6 +43,10 @@ def test_exact_batches_fill_every_file(spark, tmp_path, coalesce):
 
 
 def test_running_starts(spark):
-    amounts = spark.createDataFrame([("x", 2, 5), ("x", 0, 3), ("y", 1, 4), ("y", 3, 1)], "g string, _part long, _amount long")
-    got = batches.running_starts(spark, amounts, ["g"]).collect()
-    assert sorted(tuple(r) for r in got) == [("x", 0, 0), ("x", 2, 3), ("y", 1, 0), ("y", 3, 4)]
+    amounts = spark.createDataFrame([(2, 5), (0, 3), (10, 4)], "_part long, _amount long")
+    assert sorted(tuple(r) for r in batches.running_starts(spark, amounts).collect()) == [(0, 0), (2, 3), (10, 8)]
+    assert batches.running_starts(spark, amounts.filter("_part > 99")).count() == 0
+
+
+def test_no_rows_have_no_batches(spark):
+    assert batches.batch_plan(spark, skewed(spark).filter("a > 1000"), ["a", "b"], 10).count() == 0

@@ -5,11 +5,13 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
+from coldkeep import TableRule
 from coldkeep.functions.digest import content_totals
 from coldkeep.operators import expire, reports
 from coldkeep.operators.restore import conflicts_with_hot
-from coldkeep.plans import archive
+from coldkeep.plans import archive, restore
 from coldkeep.session import workspace
+from coldkeep.sources.archive_store import Run
 from coldkeep.sources.hot_table import HotTable
 from tests.conftest import AS_OF, SENSOR_RULE, SF, at, rule, small_sensors
 
@@ -75,6 +77,15 @@ def test_chunked_scan_skips_later_chunks(spark, world):
     assert files and all("chunk_start=2023-01" in f or "chunk_start=2023-02" in f for f in files)
 
 
+def test_conflict_check_skips_later_chunks_when_the_key_has_the_date(spark, world):
+    hot = world.load(small_sensors(spark), SENSOR_RULE, "month")
+    runs = [Run("testdb", "sensor_data", "2023-02-15", "0000000a")]
+    rows = restore._rows_that_could_clash(hot, SENSOR_RULE, runs)
+    assert all("chunk_start=2023-01" in f or "chunk_start=2023-02" in f for f in rows.inputFiles())
+    plain = TableRule("sensor_data", "time", 30, ("sensor_id",))
+    assert restore._rows_that_could_clash(hot, plain, runs).count() == 10
+
+
 def test_clean_purge_joins_nothing(spark, world, monkeypatch):
     """Counts and key digests agree, so the key join is never planned."""
     def refuse(*_):
