@@ -2,6 +2,7 @@
 
 from coldkeep.model import (
     ArchiveCheckFailed,
+    ArchiveIncomplete,
     KeyAuditFailed,
     LifecyclePolicy,
     NoArchiveFiles,
@@ -17,6 +18,7 @@ from coldkeep.model import (
 
 __all__ = [
     "ArchiveCheckFailed",
+    "ArchiveIncomplete",
     "KeyAuditFailed",
     "LifecyclePolicy",
     "NoArchiveFiles",

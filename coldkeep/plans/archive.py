@@ -7,6 +7,7 @@ were read back from the archive. A purge that stops half-way can be run again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 from functools import partial
@@ -28,6 +29,8 @@ from coldkeep.sources.history import Event, History
 from coldkeep.sources.hot_table import HotTable, union_all
 from coldkeep.sources.jdbc import JdbcTable
 
+Clock = Callable[[], datetime]
+
 SUMMARY_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("rule", T.StringType()),
@@ -176,15 +179,21 @@ def purge_run(store: ArchiveStore, rule: Rule, hot: dict[str, HotTable | JdbcTab
 
 def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
                  as_of: datetime, run_id: str, history: History | None = None,
-                 order: str = "key", purge: bool = True) -> DataFrame:
-    """Archive and purge every table of a rule; one summary row per table."""
+                 order: str = "key", purge: bool = True, clock: Clock | None = None) -> DataFrame:
+    """Archive and purge every table of a rule; one summary row per table.
+
+    Events are timed by `clock`. Without one they carry `as_of`, which keeps a repeated
+    run identical.
+    """
     prepare(spark)
     store.open_run(run_id)
+    now = clock or (lambda: as_of)
+    started = now()
     failed: list[Event] = []
 
     def event(name, rows, folder, error=""):
         return Event(run_id, rule.name, "archive", name, rows, folder,
-                     "error" if error else "success", error, as_of, as_of)
+                     "error" if error else "success", error, started, now())
 
     def stage(table: TableRule) -> Staged:
         try:
@@ -196,11 +205,12 @@ def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
     try:
         staged = together(spark, [partial(stage, t) for t in rule.tables])
     except Exception:
-        store.abort(run_id)
+        store.drop_pending(run_id)
         if history is not None:
             history.record(failed)
         raise
     store.publish([s.run for s in staged if s.rows])
+    store.drop_pending(run_id)
     done: list[Event] = []
 
     def finish(s: Staged) -> tuple:
@@ -230,13 +240,13 @@ def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
 
 def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
                       as_of: datetime, run_ids: dict[str, str], history: History | None = None,
-                      keep_going: bool = False) -> DataFrame:
+                      keep_going: bool = False, clock: Clock | None = None) -> DataFrame:
     """Archive rule after rule. Stops at the first failure unless told to keep going."""
     check_rules(rules)
     reports = []
     for rule in rules:
         try:
-            reports.append(archive_rule(spark, rule, store, hot, as_of, run_ids[rule.name], history))
+            reports.append(archive_rule(spark, rule, store, hot, as_of, run_ids[rule.name], history, clock=clock))
         except Exception:
             # The failed rule has left its error event in the history.
             if not keep_going:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.functions import canonical
-from coldkeep.model import RestoreConflict, Rule, SchemaMismatch, Selection, TableRule
+from coldkeep.model import NoArchiveFiles, RestoreConflict, Rule, SchemaMismatch, Selection, TableRule
 from coldkeep.operators.expire import expired
 from coldkeep.operators.restore import (
     align,
@@ -38,7 +39,10 @@ def archived_rows(store: ArchiveStore, runs: list[Run], schema: T.StructType, en
     columns or narrower types restore next to new ones. Nothing is de-duplicated.
     """
     frames = []
-    for df in store.read(runs):
+    stored = store.read(runs)
+    if not stored:
+        raise NoArchiveFiles(f"no readable files in {[r.folder for r in runs]}")
+    for df in stored:
         names = [c for c in df.columns if c not in ("cutoff_date", "run_id")]
         rows = df.select(*names, F.col("cutoff_date").alias("_cutoff_date"), F.col("run_id").alias("_run_id"))
         marks = T.StructType([T.StructField("_cutoff_date", T.StringType()), T.StructField("_run_id", T.StringType())])
@@ -91,14 +95,18 @@ def _rows_that_could_clash(hot: HotTable | JdbcTable, table: TableRule, runs: li
 
 
 def restore_table(spark: SparkSession, store: ArchiveStore, runs: list[Run], hot: HotTable | JdbcTable,
-                  table: TableRule, encoding: str = "native", on_conflict: str = "error") -> int:
+                  table: TableRule, encoding: str = "native", on_conflict: str = "error",
+                  allow_incomplete: bool = False) -> int:
     """Append the rows of some runs to the hot table; returns how many.
 
     `error` refuses any key that is already in the table or archived twice. `skip`
-    leaves such rows out and takes the earliest archived copy of each key.
+    leaves such rows out and takes the earliest archived copy of each key. Runs that
+    have lost recorded rows are refused unless `allow_incomplete` is set.
     """
     if on_conflict not in ("error", "skip"):
         raise ValueError("on_conflict must be 'error' or 'skip'")
+    if not allow_incomplete:
+        store.check_complete(runs)
     key = table.key
     schema = hot.schema()
     names = schema.fieldNames()
@@ -122,22 +130,27 @@ def restore_table(spark: SparkSession, store: ArchiveStore, runs: list[Run], hot
 
 def restore_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
                  as_of: datetime, selection: Selection = Selection(), history: History | None = None,
-                 on_conflict: str = "error") -> DataFrame:
+                 on_conflict: str = "error", allow_incomplete: bool = False,
+                 clock: Callable[[], datetime] | None = None) -> DataFrame:
     """Restore the selected archives of a rule; one summary row per table.
 
     Archives are kept, so restored rows expire again at the next run.
     """
     prepare(spark)
+    now = clock or (lambda: as_of)
+    started = now()
     rows, events = [], []
 
     def event(name, count, folders, error=""):
         return Event("restore", rule.name, "restore", name, count, folders,
-                     "error" if error else "success", error, as_of, as_of)
+                     "error" if error else "success", error, started, now())
 
     for table in rule.selected_tables(selection.table):
         try:
             runs = store.runs(rule.database, table.name, selection, required=True)
-            count = restore_table(spark, store, runs, hot[table.name], table, rule.encoding, on_conflict)
+            count = restore_table(
+                spark, store, runs, hot[table.name], table, rule.encoding, on_conflict, allow_incomplete
+            )
         except Exception as problem:
             if history is not None:
                 history.record([*events, event(table.name, 0, (), str(problem))])

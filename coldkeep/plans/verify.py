@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 from fnmatch import fnmatch
+from functools import partial
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from coldkeep.operators.verify import (
     with_status,
     zero_row_paths,
 )
-from coldkeep.session import prepare, small_frame, workspace
+from coldkeep.session import prepare, small_frame, together, workspace
 from coldkeep.sources.archive_store import ARCHIVE_FILES, ArchiveStore, Run
 from coldkeep.sources.hot_table import union_all
 
@@ -105,10 +106,11 @@ def verify_runs(store: ArchiveStore, table: str, runs: list[Run]) -> DataFrame:
 def verify_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, selection: Selection = Selection()) -> DataFrame:
     """Status of every selected file of a rule; damaged files do not stop the run."""
     prepare(spark)
-    return union_all([
-        verify_runs(store, table.name, store.runs(rule.database, table.name, selection, required=True))
+    chosen = [
+        (table.name, store.runs(rule.database, table.name, selection, required=True))
         for table in rule.selected_tables(selection.table)
-    ])
+    ]
+    return union_all(together(spark, [partial(verify_runs, store, name, runs) for name, runs in chosen]))
 
 
 def verify_against_history(spark: SparkSession, rule: Rule, store: ArchiveStore, history: DataFrame,

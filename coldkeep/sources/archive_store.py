@@ -18,13 +18,14 @@ from datetime import date, datetime
 from decimal import Decimal
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.functions.digest import file_totals
 from coldkeep.functions.names import sanitize
-from coldkeep.model import NoArchiveFiles, RunExists, Selection, check_run_id
+from coldkeep.model import ArchiveIncomplete, NoArchiveFiles, RunExists, Selection, check_run_id
 from coldkeep.operators.batches import in_exact_batches, in_key_order, roll_over, writer_task
 from coldkeep.session import small_frame
 from coldkeep.sources.fs import Files
@@ -40,6 +41,8 @@ MANIFEST_SCHEMA = T.StructType([
 ARCHIVE_FILES = "*.parquet"
 # Run folders hold nothing but archive files, so their entries can be counted.
 NO_MARKER = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+# Marks a pending run whose tables were all staged and checked.
+_CHECKED = "_checked"
 ORDERS = ("key", "exact", "scan")
 RUN_COLUMNS = [T.StructField("cutoff_date", T.StringType()), T.StructField("run_id", T.StringType())]
 
@@ -104,6 +107,7 @@ class ArchiveStore:
         """Claim a run id; staging twice under one id is an error."""
         if self.files.exists(self.pending_path(run_id)):
             raise RunExists(f"run {run_id} is already being written")
+        self.files.make_directory(self.pending_path(run_id))
 
     def stage(self, run: Run, rows: DataFrame, key: tuple[str, ...], batch_size: int,
               published_at: datetime, order: str = "key") -> Totals:
@@ -118,8 +122,12 @@ class ArchiveStore:
             raise ValueError(f"order must be one of {ORDERS}")
         if self.files.exists(self.run_path(run)):
             raise RunExists(f"run {run.run_id} of {run.table} is already published")
+        taken = [c for c in rows.columns if c.lower() in ("cutoff_date", "run_id")]
+        if taken:
+            raise ValueError(f"{run.table}: column(s) {taken} have the names of archive folders")
         target = self._staged(run, "rows")
         schema = rows.schema
+        self._schemas[run] = _schema_text(schema)
         if order == "exact":
             rows = in_exact_batches(self.spark, rows, key, batch_size)
         elif order == "key":
@@ -129,7 +137,7 @@ class ArchiveStore:
         manifest_target = self._staged(run, "manifest")
         file_totals(staged).select(
             "file_name", "rows", "digest",
-            F.lit(_schema_text(schema)).alias("schema_json"),
+            F.lit(self._schemas[run]).alias("schema_json"),
             F.lit(published_at.isoformat(sep=" ")).cast("timestamp_ntz").alias("published_at"),
         ).write.parquet(manifest_target)
         manifest = self.spark.read.schema(MANIFEST_SCHEMA).parquet(manifest_target)
@@ -139,25 +147,48 @@ class ArchiveStore:
         return Totals(*found)
 
     def publish(self, runs: list[Run]) -> None:
-        """Move staged runs to their final place: rows first, manifest last.
+        """Move staged and checked runs to their final place: rows first, manifest last.
 
         Calling it again after an interruption finishes what is left.
         """
+        for run_id in {r.run_id for r in runs}:
+            self.files.write_text(f"{self.pending_path(run_id)}/{_CHECKED}", "", overwrite=True)
         for run in runs:
             for kind, final in (("rows", self.run_path(run)), ("manifest", self.run_manifest_path(run))):
                 staged = self._staged(run, kind)
                 if self.files.exists(staged):
                     self.files.rename(staged, final)
         for run_id in {r.run_id for r in runs}:
-            self.files.delete(self.pending_path(run_id))
+            self.drop_pending(run_id)
 
-    def abort(self, run_id: str) -> None:
-        """Drop everything a run has staged, as one unit."""
+    def drop_pending(self, run_id: str) -> None:
+        """Drop everything a run still has in the pending area, as one unit."""
         self.files.delete(self.pending_path(run_id))
 
     def pending_runs(self) -> list[str]:
         return [d.split("=", 1)[1] for d in self.files.directories(f"{self.root}/_pending")]
 
+    def recover(self) -> tuple[list[Run], list[str]]:
+        """Tidy up after a driver that died: finish checked runs, drop the others.
+
+        Returns what was published, for `purge_run`, and the run ids that were dropped.
+        It must not run next to a job that is staging.
+        """
+        published, dropped = [], []
+        for run_id in self.pending_runs():
+            if not self.files.exists(f"{self.pending_path(run_id)}/{_CHECKED}"):
+                self.drop_pending(run_id)
+                dropped.append(run_id)
+                continue
+            found = set()
+            for path in self.files.glob(f"{self.pending_path(run_id)}/*/*/*/cutoff_date=*/run_id={run_id}"):
+                database, table, day, _ = path.split("/")[-4:]
+                found.add(Run(database, table, day.split("=", 1)[1], run_id))
+            self.publish(sorted(found, key=lambda r: (r.database, r.table)))
+            self.drop_pending(run_id)
+            published += found
+        return published, dropped
+
     def delete(self, run: Run) -> None:
         """Remove one published run; the manifest goes first, as it marks the run complete."""
         self._schemas.pop(run, None)
@@ -216,30 +247,34 @@ class ArchiveStore:
             .drop("_part", "_start")
         )
 
+    def _infer_schema(self, run: Run) -> str | None:
+        """Schema of a run without a manifest, from whatever footers can be read."""
+        reader = self.spark.read.options(ignoreCorruptFiles="true", mergeSchema="true", pathGlobFilter=ARCHIVE_FILES)
+        try:
+            return _schema_text(reader.parquet(self.run_path(run)).schema)
+        except AnalysisException:
+            return None
+
     def by_schema(self, runs: list[Run]) -> list[tuple[T.StructType, list[Run]]]:
         """Runs grouped by the schema of their files.
 
         Schemas come from the manifest: one small job, and few distinct values however
-        many runs there are. A run without a manifest has one of its footers read.
+        many runs there are. A run without a manifest has its footers read, and is left
+        out if none of them is readable.
         """
         stored = [r for r in runs if self.files.exists(self.run_path(r))]
-        if not stored:
-            return []
         unknown = [r for r in stored if r not in self._schemas]
         if unknown:
             recorded = self.manifest(unknown).select("cutoff_date", "run_id", "schema_json").distinct().collect()
             by_folder = {(r["cutoff_date"], r["run_id"]): r["schema_json"] for r in recorded}
             for run in unknown:
-                known = by_folder.get((run.cutoff_date, run.run_id))
-                if known is None:
-                    found = self.spark.read.options(ignoreCorruptFiles="true", pathGlobFilter=ARCHIVE_FILES).parquet(
-                        self.run_path(run)
-                    ).schema
-                    known = _schema_text(found)
-                self._schemas[run] = known
+                known = by_folder.get((run.cutoff_date, run.run_id)) or self._infer_schema(run)
+                if known is not None:
+                    self._schemas[run] = known
         groups: dict[str, list[Run]] = {}
         for run in stored:
-            groups.setdefault(self._schemas[run], []).append(run)
+            if run in self._schemas:
+                groups.setdefault(self._schemas[run], []).append(run)
         return [(T.StructType.fromJson(json.loads(s)), members) for s, members in groups.items()]
 
     def read(self, runs: list[Run], **options) -> list[DataFrame]:
@@ -252,6 +287,31 @@ class ArchiveStore:
             for schema, members in self.by_schema(runs)
         ]
 
+    def check_complete(self, runs: list[Run]) -> None:
+        """Raise if stored files of these runs hold other row counts than were recorded.
+
+        Counts come from manifests and footers. A run without a manifest passes if it
+        can be read at all.
+        """
+        readable = {r for _, members in self.by_schema(runs) for r in members}
+        recorded = {
+            (r["cutoff_date"], r["run_id"]): r["rows"]
+            for r in self.manifest(runs).groupBy("cutoff_date", "run_id").agg(F.sum("rows").alias("rows")).collect()
+        }
+        stored: dict[tuple[str, str], int] = {}
+        for df in self.read(runs):
+            for r in df.groupBy("cutoff_date", "run_id").agg(F.count(F.lit(1)).alias("rows")).collect():
+                stored[r["cutoff_date"], r["run_id"]] = r["rows"]
+        # One entry per run on the driver.
+        bad = [
+            r.run_id for r in runs
+            if r not in readable
+            or recorded.get((r.cutoff_date, r.run_id), stored.get((r.cutoff_date, r.run_id), 0))
+            != stored.get((r.cutoff_date, r.run_id), 0)
+        ]
+        if bad:
+            raise ArchiveIncomplete(f"archived runs {bad} of {runs[0].table} do not hold the rows that were recorded")
+
 
 def cutoff_date(cutoff: datetime) -> str:
     """The date part that names an archive folder."""

@@ -65,6 +65,10 @@ class Files:
         if not fs.rename(src, dst):
             raise OSError(f"could not move {source} to {target}")
 
+    def make_directory(self, path: str) -> None:
+        fs, target = self._at(path)
+        fs.mkdirs(target)
+
     def delete(self, path: str) -> bool:
         fs, target = self._at(path)
         return fs.delete(target, True)

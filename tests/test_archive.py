@@ -172,8 +172,52 @@ def test_staged_run_is_invisible(spark, world):
     hot = world.load(small_orders(spark), ORDERS_RULE)
     archive.stage_table(world.store, rule(ORDERS_RULE), ORDERS_RULE, hot, AS_OF, "0000000a")
     assert world.store.runs("testdb", "orders") == [] and world.store.pending_runs() == ["0000000a"]
-    world.store.abort("0000000a")
+    with pytest.raises(RunExists):
+        archive.archive_rule(spark, rule(ORDERS_RULE), world.store, {"orders": hot}, AS_OF, "0000000a")
+    assert world.store.recover() == ([], ["0000000a"])
+    assert world.store.pending_runs() == [] and hot.count() == 8
+
+
+def test_recover_finishes_a_checked_run(spark, world, monkeypatch):
+    """The driver dies in the middle of publishing two tables."""
+    hot = {"orders": world.load(small_orders(spark), ORDERS_RULE), "order_items": world.load(small_items(spark), ITEMS_RULE)}
+    plan = rule(ORDERS_RULE, ITEMS_RULE)
+    move, moved = world.store.files.rename, []
+
+    def dying(source, target):
+        if len(moved) == 1:
+            raise SystemExit
+        moved.append(target)
+        move(source, target)
+
+    monkeypatch.setattr(world.store.files, "rename", dying)
+    with pytest.raises(SystemExit):
+        archive.archive_rule(spark, plan, world.store, hot, AS_OF, "0000000a")
+    monkeypatch.undo()
+    assert hot["orders"].count() == 8 and hot["order_items"].count() == 8
+    published, dropped = world.store.recover()
+    assert sorted(r.table for r in published) == ["order_items", "orders"] and dropped == []
     assert world.store.pending_runs() == []
+    archive.purge_run(world.store, plan, hot, AS_OF, "0000000a")
+    assert hot["orders"].count() == 3 and hot["order_items"].count() == 3
+    restore.restore_rule(spark, plan, world.store, hot, AS_OF)
+    assert rows_of(hot["orders"].df()) == rows_of(small_orders(spark))
+
+
+def test_reserved_column_names_are_refused(spark, world):
+    odd = small_orders(spark).withColumnRenamed("notes", "Run_Id")
+    hot = {"orders": world.load(odd, ORDERS_RULE)}
+    with pytest.raises(ValueError, match="Run_Id"):
+        archive.archive_rule(spark, rule(ORDERS_RULE), world.store, hot, AS_OF, "0000000a")
+    assert hot["orders"].count() == 8 and world.store.pending_runs() == []
+
+
+def test_events_can_be_timed(spark, world):
+    ticks = iter(AS_OF + timedelta(seconds=n) for n in range(9))
+    hot = {"orders": world.load(small_orders(spark), ORDERS_RULE)}
+    archive.archive_rule(spark, rule(ORDERS_RULE), world.store, hot, AS_OF, "0000000a", world.history, clock=lambda: next(ticks))
+    event = world.history.df().first()
+    assert event["end_time"] - event["start_time"] == timedelta(seconds=1)
 
 
 @pytest.mark.parametrize("order, files", [("key", 3), ("exact", 3), ("scan", None)])

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from coldkeep import NoArchiveFiles, Selection, TableRule, UnknownTable
+from coldkeep import ArchiveIncomplete, NoArchiveFiles, Selection, TableRule, UnknownTable
 from coldkeep.operators import reports
 from coldkeep.operators.verify import totals
 from coldkeep.plans import archive, restore
@@ -127,20 +127,11 @@ def test_without_manifest(spark, world):
     pq.write_table(pa.table({f.name: pa.array([], f.type) for f in schema}), paths["norows"])
     drop_checksum(paths["norows"])
     world.store._schemas.clear()
-    # one readable file gives the schema to runs that cannot tell their own
-    world.store._schemas.update({r: world.store._schemas.get(r) or _schema_of(spark, world) for r in world.store.runs("testdb", "wide")})
     assert statuses(verify_rule(spark, rule(WIDE), world.store)) == {
         "sound": ("OK", 20_000), "lategroup": ("CORRUPT", 0), "text": ("CORRUPT", 0), "zero": ("CORRUPT", 0), "norows": ("OK", 0),
     }
 
 
-def _schema_of(spark, world):
-    from coldkeep.sources.archive_store import _schema_text
-
-    [run] = world.store.runs("testdb", "wide", Selection(run_id="sound"))
-    return _schema_text(spark.read.parquet(world.store.run_path(run)).schema)
-
-
 def test_stray_files_are_not_read(spark, world):
     path = archived(spark, world, rows=100)[0]
     shutil.copy(path, path + ".pending")
@@ -224,6 +215,25 @@ def test_history_listing(spark, world):
     assert [r["run_id"] for r in reports.expected_rows(world.history.df()).orderBy("run_id").collect()] == ["run-001", "run-002", "run-004"]
 
 
+def test_restore_refuses_lost_files(spark, world):
+    hot = {"orders": world.load(small_orders(spark), ORDERS_RULE)}
+    plan = rule(ORDERS_RULE, batch_size=2)
+    archive.archive_rule(spark, plan, world.store, hot, AS_OF, "0000000a", order="exact")
+    [run] = world.store.runs("testdb", "orders")
+    folder = world.local(world.store.run_path(run))
+    os.remove(f"{folder}/{min(n for n in os.listdir(folder) if n.endswith('.parquet'))}")
+    with pytest.raises(ArchiveIncomplete):
+        restore.restore_rule(spark, plan, world.store, hot, AS_OF)
+    assert hot["orders"].count() == 3
+    restore.restore_rule(spark, plan, world.store, hot, AS_OF, allow_incomplete=True)
+    assert hot["orders"].count() == 6
+    shutil.rmtree(folder)
+    with pytest.raises(ArchiveIncomplete):
+        restore.restore_rule(spark, plan, world.store, hot, AS_OF)
+    with pytest.raises(NoArchiveFiles):
+        restore.restore_rule(spark, plan, world.store, hot, AS_OF, allow_incomplete=True)
+
+
 def test_restore_refuses_damage(spark, world):
     hot = {"orders": world.load(small_orders(spark), ORDERS_RULE)}
     archive.archive_rule(spark, rule(ORDERS_RULE), world.store, hot, AS_OF, "0000000a")
