@@ -6,36 +6,40 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coldkeep.session import workspace
+from coldkeep.session import written
+
+
+def distinct_keys(spark: SparkSession, keys: DataFrame, key: Iterable[str]) -> DataFrame:
+    """The archived keys, each once, as a written table.
+
+    Repeats are dropped before the shuffle, so a key that was archived very often costs
+    nothing in a join. Because the keys then come straight from a scan, adaptive
+    execution can broadcast them if they are few, and split a hot key of the other side
+    if they are not; a `distinct` inside the join's plan would stand in its way.
+    """
+    return written(spark, keys.select(*key).distinct(), "keys")
 
 
 def purge_by_key(hot: DataFrame, keys: DataFrame, key: Iterable[str]) -> DataFrame:
-    """Rows of the hot table whose key is not among the archived keys.
+    """Rows of the hot table whose key is not among the (distinct) archived keys.
 
-    One anti join for single and composite keys; nothing is batched or collected. The
-    keys are made distinct first, before their shuffle, so a key that was archived very
-    often is one row at the join, and the join reuses that shuffle.
+    One anti join for single and composite keys; nothing is batched or collected.
     """
     key = list(key)
-    return hot.join(keys.select(*key).distinct(), key, "left_anti")
+    return hot.join(keys.select(*key), key, "left_anti")
 
 
 def purged_by_key(hot: DataFrame, keys: DataFrame, key: Iterable[str]) -> DataFrame:
     """Rows of the hot table that a purge by these keys removes."""
     key = list(key)
-    return hot.join(keys.select(*key).distinct(), key, "left_semi")
+    return hot.join(keys.select(*key), key, "left_semi")
 
 
 def late_keys(spark: SparkSession, expired_rows: DataFrame, archived: DataFrame, key: Iterable[str]) -> DataFrame:
     """Keys of expired rows that the archive does not hold, as a written table.
 
     They belong to rows that arrived after the archive was taken and must stay. Only
-    key columns are shuffled. The result is normally empty; writing it gives the next
-    join its true size, so Catalyst broadcasts it only when it really is small.
+    key columns are shuffled, and the result is normally empty or tiny.
     """
     key = list(key)
-    folder = workspace(spark, "late-keys")
-    found = expired_rows.select(*key).join(archived.select(*key), key, "left_anti")
-    schema = found.schema
-    found.write.parquet(folder)
-    return spark.read.schema(schema).parquet(folder)
+    return written(spark, expired_rows.select(*key).join(archived.select(*key), key, "left_anti"), "late-keys")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.model import SchemaMismatch
+from coldkeep.session import written
 
 # Type changes that keep every value.
 _WIDENINGS = {
@@ -62,21 +63,28 @@ def align(archived: DataFrame, schema: T.StructType) -> DataFrame:
     return archived.select(*out)
 
 
-def conflicts_with_hot(archived: DataFrame, hot: DataFrame, key: Iterable[str]) -> DataFrame:
-    """Keys to be restored that the hot table already holds.
+def key_counts(spark: SparkSession, archived: DataFrame, key: Iterable[str]) -> DataFrame:
+    """Each key to be restored with the number of its copies, as a written table.
 
-    The archive is the right side: a restore of a few runs against a huge table then
-    becomes a broadcast semi join (if the runs are small enough for Catalyst to choose
-    one) and the hot keys are not shuffled.
+    Counting is map-side first, so a key that was archived very often is no hot spot.
     """
-    key = list(key)
-    return hot.select(*key).join(archived.select(*key), key, "left_semi").distinct()
+    counted = archived.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
+    return written(spark, counted, "restore-keys")
 
 
-def conflicts_within(archived: DataFrame, key: Iterable[str]) -> DataFrame:
+def repeated_keys(counts: DataFrame, key: Iterable[str]) -> DataFrame:
     """Keys that occur more than once in the selected archives."""
+    return counts.filter(F.col("copies") > 1).select(*key)
+
+
+def conflicts_with_hot(counts: DataFrame, hot: DataFrame, key: Iterable[str]) -> DataFrame:
+    """Keys to be restored that the hot table already holds.
+
+    The archived keys are the right side: for a restore of a few runs into a huge table
+    Catalyst can broadcast them, and the hot keys are not shuffled.
+    """
     key = list(key)
-    return archived.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(*key)
+    return hot.select(*key).join(counts.select(*key), key, "left_semi").distinct()
 
 
 def first_archived(archived: DataFrame, key: Iterable[str], order: Iterable[str]) -> DataFrame:
@@ -92,6 +100,6 @@ def first_archived(archived: DataFrame, key: Iterable[str], order: Iterable[str]
 
 
 def without_existing(archived: DataFrame, hot: DataFrame, key: Iterable[str]) -> DataFrame:
-    """Archived rows whose key the hot table does not hold."""
+    """Archived rows (one per key) whose key the hot table does not hold."""
     key = list(key)
     return archived.join(hot.select(*key), key, "left_anti")

@@ -15,11 +15,12 @@ from coldkeep.operators.expire import expired
 from coldkeep.operators.restore import (
     align,
     conflicts_with_hot,
-    conflicts_within,
     first_archived,
+    key_counts,
+    repeated_keys,
     without_existing,
 )
-from coldkeep.session import prepare, small_frame, workspace
+from coldkeep.session import prepare, small_frame, together, written
 from coldkeep.sources.archive_store import ArchiveStore, Run
 from coldkeep.sources.history import Event, History
 from coldkeep.sources.hot_table import HotTable, union_all
@@ -113,15 +114,17 @@ def restore_table(spark: SparkSession, store: ArchiveStore, runs: list[Run], hot
     rows = archived_rows(store, runs, schema, encoding)
     current = _rows_that_could_clash(hot, table, runs)
     if on_conflict == "error":
-        clash = conflicts_with_hot(rows, current, key).unionByName(conflicts_within(rows, key)).count()
-        if clash:
-            raise RestoreConflict(f"{clash} key(s) of {list(key)} already exist or are archived more than once")
+        counts = key_counts(spark, rows, key)
+        twice, existing = together(spark, [repeated_keys(counts, key).count, conflicts_with_hot(counts, current, key).count])
+        if twice or existing:
+            raise RestoreConflict(
+                f"of the keys {list(key)}, {existing} already exist and {twice} are archived more than once"
+            )
     else:
-        # Written once: the chosen rows feed both the table and the count.
-        rows = first_archived(without_existing(rows, current, key), key, ["_cutoff_date", "_run_id"])
-        folder = workspace(spark, "restore")
-        rows.select(*names).write.parquet(folder)
-        rows = spark.read.schema(schema).parquet(folder)
+        # One copy per key first, so the join meets each key once. Written because the
+        # rows feed both the table and the count.
+        single = first_archived(rows, key, ["_cutoff_date", "_run_id"])
+        rows = written(spark, without_existing(single, current, key).select(*names), "restore")
     count = rows.count()
     if count:
         hot.append(rows.select(*names), key)

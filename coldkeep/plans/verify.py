@@ -26,7 +26,7 @@ from coldkeep.operators.verify import (
     with_status,
     zero_row_paths,
 )
-from coldkeep.session import prepare, small_frame, together, workspace
+from coldkeep.session import prepare, small_frame, together, written
 from coldkeep.sources.archive_store import ARCHIVE_FILES, ArchiveStore, Run
 from coldkeep.sources.hot_table import union_all
 
@@ -73,9 +73,7 @@ def file_facts(store: ArchiveStore, runs: list[Run]) -> DataFrame:
         base = store.table_path(members[0].database, members[0].table)
         rows = store.read_paths(base, schema, [store.run_path(r) for r in members], **LENIENT)
         reports += [footer_facts(rows), decoded_facts(rows, schema)]
-    folder = workspace(store.spark, "file-facts")
-    merge_facts(reports).write.parquet(folder)
-    return store.spark.read.schema(FACT_SCHEMA).parquet(folder)
+    return written(store.spark, merge_facts(reports), "file-facts")
 
 
 def find_zero_row_files(store: ArchiveStore, database: str, table: str, facts: DataFrame) -> DataFrame | None:
@@ -86,12 +84,11 @@ def find_zero_row_files(store: ArchiveStore, database: str, table: str, facts: D
     found = []
     while block := list(islice(waiting, _SLICE)):
         paths = [f"{base}/cutoff_date={r[0]}/run_id={r[1]}/{r[2]}" for r in block]
-        folder = workspace(store.spark, "zero-row")
-        zero_row_paths(store.spark, paths).select(
+        sound = zero_row_paths(store.spark, paths).select(
             path_cutoff_date(path).alias("cutoff_date"), path_run_id(path).alias("run_id"),
             F.substring_index(path, "/", -1).alias("file_name"),
-        ).write.parquet(folder)
-        found.append(store.spark.read.schema(T.StructType(FACT_SCHEMA.fields[:3])).parquet(folder))
+        )
+        found.append(written(store.spark, sound, "zero-row"))
     return union_all(found) if found else None
 
 

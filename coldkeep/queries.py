@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from coldkeep.functions import canonical, names, numbers
 from coldkeep.model import KeyAuditFailed, LifecyclePolicy, Rule, Selection, TableRule
 from coldkeep.operators import batches, chunks, expire, keys, purge, reports, verify
-from coldkeep.operators.restore import conflicts_with_hot
+from coldkeep.operators.restore import conflicts_with_hot, key_counts
 from coldkeep.plans import archive, lifecycle, restore
 from coldkeep.plans.verify import list_files, verify_against_history, verify_rule
 from coldkeep.session import prepare, workspace
@@ -143,17 +143,20 @@ def key_report(spark, sf_dir):
 
 def purge_single_key(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return purge.purge_by_key(orders, expire.expired_keys(orders, "o_orderdate", ORDERS_CUTOFF, ORDERS.key), ORDERS.key)
+    keys_gone = purge.distinct_keys(spark, expired_rows(spark, sf_dir), ORDERS.key)
+    return purge.purge_by_key(orders, keys_gone, ORDERS.key)
 
 
 def purge_composite_key(spark, sf_dir):
-    return purge.purge_by_key(table(spark, sf_dir, "events"), expired_keys(spark, sf_dir), EVENTS.key)
+    keys_gone = purge.distinct_keys(spark, expired_keys(spark, sf_dir), EVENTS.key)
+    return purge.purge_by_key(table(spark, sf_dir, "events"), keys_gone, EVENTS.key)
 
 
 def purge_hits(spark, sf_dir):
     """Rows a purge of lineitem by its non-unique pair would hit, expired or not."""
     items = table(spark, sf_dir, "lineitem")
-    hit = purge.purged_by_key(items, expire.expired_keys(items, "l_shipdate", ORDERS_CUTOFF, LINEITEM.key), LINEITEM.key)
+    expired_pairs = expire.expired_keys(items, "l_shipdate", ORDERS_CUTOFF, LINEITEM.key)
+    hit = purge.purged_by_key(items, purge.distinct_keys(spark, expired_pairs, LINEITEM.key), LINEITEM.key)
     wrong = F.count_if(~expire.is_expired(items, "l_shipdate", ORDERS_CUTOFF))
     return hit.agg(F.count(F.lit(1)).alias("rows_hit"), wrong.alias("unexpired_rows_hit"))
 
@@ -382,7 +385,8 @@ def _half_restored(scene: Scene) -> tuple[Rule, dict[str, HotTable]]:
 def restore_conflicts(spark, sf_dir):
     scene = Scene(spark, sf_dir)
     _, hot = _half_restored(scene)
-    return conflicts_with_hot(_read_archive(scene, "orders"), hot["orders"].df(), ORDERS.key)
+    counts = key_counts(spark, _read_archive(scene, "orders"), ORDERS.key)
+    return conflicts_with_hot(counts, hot["orders"].df(), ORDERS.key)
 
 
 def restore_skip_existing(spark, sf_dir):

@@ -49,6 +49,18 @@ def workspace(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/coldkeep/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the shared folder, read back.
+
+    It cuts the lineage in a way that survives lost executors, and gives the optimizer
+    the real size: it will broadcast the table only if it really is small.
+    """
+    folder = workspace(spark, purpose)
+    schema = df.schema
+    df.write.parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
 def small_frame(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType) -> DataFrame:
     """A DataFrame of a few driver-side rows (events, run summaries, file offsets).
 

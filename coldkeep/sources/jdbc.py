@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from coldkeep.model import KeyAuditFailed, RetentionError, UnknownTable
 from coldkeep.operators.expire import expired
-from coldkeep.session import workspace
+from coldkeep.session import written
 
 # Identifier quote of each engine, by JDBC URL prefix.
 _QUOTES = {"jdbc:postgresql:": '"', "jdbc:mysql:": "`"}
@@ -141,11 +141,7 @@ class JdbcTable:
         Everything later reads the copy, so a database that changes meanwhile cannot
         give two steps of a run different rows.
         """
-        rows = expired(self.df(), date_column, cutoff)
-        folder = workspace(self.spark, "extract")
-        schema = rows.schema
-        rows.write.parquet(folder)
-        return self.spark.read.schema(schema).parquet(folder)
+        return written(self.spark, expired(self.df(), date_column, cutoff), "extract")
 
     def append(self, df: DataFrame, key: tuple[str, ...] = ()) -> None:
         """Insert rows by column name, in parallel batches; each task is one transaction."""

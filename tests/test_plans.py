@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from coldkeep import TableRule
 from coldkeep.functions.digest import content_totals
 from coldkeep.operators import expire, reports
-from coldkeep.operators.restore import conflicts_with_hot
+from coldkeep.operators.restore import conflicts_with_hot, key_counts
 from coldkeep.plans import archive, restore
 from coldkeep.session import workspace
 from coldkeep.sources.archive_store import Run
@@ -67,8 +67,9 @@ def test_recent_is_a_top_n(spark):
 
 
 def test_conflict_check_reads_keys_only(spark):
-    text = plan(conflicts_with_hot(orders(spark), orders(spark), ["o_orderkey"]))
-    assert "o_totalprice" not in text
+    counts = key_counts(spark, orders(spark), ["o_orderkey"])
+    text = plan(conflicts_with_hot(counts, orders(spark), ["o_orderkey"]))
+    assert "o_totalprice" not in text and "BroadcastHashJoin LeftSemi" in text
 
 
 def test_chunked_scan_skips_later_chunks(spark, world):

@@ -100,9 +100,32 @@ def test_purge_with_a_hot_key(spark):
     """A third of all rows, and of all keys, share one value."""
     hot = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id) as k", "id as v")
     keys = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id) as k").filter("k < 100")
+    once = purge.distinct_keys(spark, keys, ["k"])
+    assert once.count() == keys.distinct().count()
     want = hot.filter("k >= 100").count()
-    assert purge.purge_by_key(hot, keys, ["k"]).count() == want
-    assert purge.purged_by_key(hot, keys, ["k"]).count() == 3000 - want
+    assert purge.purge_by_key(hot, once, ["k"]).count() == want
+    assert purge.purged_by_key(hot, once, ["k"]).count() == 3000 - want
+
+
+def test_adaptive_execution_splits_a_hot_key(spark):
+    hot = spark.range(60_000).selectExpr("if(id % 3 = 0, 0, id) as k", "id as v", "repeat('x', 100) as pad")
+    keys = purge.distinct_keys(spark, spark.range(0, 60_000, 7).selectExpr("id as k"), ["k"])
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        left = purge.purge_by_key(hot, keys, ["k"])
+        left.collect()
+        executed = left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert "skew=true" in executed
 
 
 @pytest.mark.parametrize("policy, want", [
