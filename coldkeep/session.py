@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from coldkeep.sources.fs import Files
+
 # Time zone: RFC3339 text and cutoffs are UTC. ANSI: narrowing casts must fail, not wrap.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,6 +22,7 @@ REQUIRED = {
 }
 
 _local_workspaces: dict[str, str] = {}
+_folders: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -46,7 +49,21 @@ def workspace(spark: SparkSession, purpose: str) -> str:
         if app not in _local_workspaces:
             _local_workspaces[app] = "file:" + tempfile.mkdtemp(prefix="coldkeep-")
         base = _local_workspaces[app]
-    return f"{base.rstrip('/')}/coldkeep/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/coldkeep/{purpose}-{uuid.uuid4().hex}"
+    _folders.append(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the working folders this process made so far; returns how many there were.
+
+    For the end of a job: DataFrames that still read them become unusable.
+    """
+    files = Files(spark)
+    count = len(_folders)
+    while _folders:
+        files.delete(_folders.pop())
+    return count
 
 
 def written(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
