@@ -74,9 +74,18 @@ class Totals(NamedTuple):
 
 
 class ArchiveStore:
-    def __init__(self, spark: SparkSession, root: str):
+    """Archived runs under one root.
+
+    With `in_place`, for object stores where moving a folder means copying it, rows are
+    written where they will stay and only the small manifest is moved. A run then exists
+    for this store once it has a manifest; other readers of the folder could see the rows
+    of an unfinished run.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, in_place: bool = False):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.in_place = in_place
         self.files = Files(spark)
         # A published run never changes, so neither does its schema.
         self._schemas: dict[Run, str] = {}
@@ -126,6 +135,10 @@ class ArchiveStore:
         if taken:
             raise ValueError(f"{run.table}: column(s) {taken} have the names of archive folders")
         target = self._staged(run, "rows")
+        if self.in_place:
+            # Says whose rows to remove if the run is dropped.
+            self.files.make_directory(target)
+            target = self.run_path(run)
         schema = rows.schema
         self._schemas[run] = _schema_text(schema)
         if order == "exact":
@@ -154,15 +167,26 @@ class ArchiveStore:
         for run_id in {r.run_id for r in runs}:
             self.files.write_text(f"{self.pending_path(run_id)}/{_CHECKED}", "", overwrite=True)
         for run in runs:
-            for kind, final in (("rows", self.run_path(run)), ("manifest", self.run_manifest_path(run))):
-                staged = self._staged(run, kind)
-                if self.files.exists(staged):
-                    self.files.rename(staged, final)
+            if not self.in_place and self.files.exists(self._staged(run, "rows")):
+                self.files.rename(self._staged(run, "rows"), self.run_path(run))
+            if self.files.exists(self._staged(run, "manifest")):
+                self.files.rename(self._staged(run, "manifest"), self.run_manifest_path(run))
         for run_id in {r.run_id for r in runs}:
             self.drop_pending(run_id)
 
+    def _runs_in_pending(self, run_id: str) -> list[Run]:
+        found = set()
+        for path in self.files.glob(f"{self.pending_path(run_id)}/*/*/*/cutoff_date=*/run_id={run_id}"):
+            database, table, day, _ = path.split("/")[-4:]
+            found.add(Run(database, table, day.split("=", 1)[1], run_id))
+        return sorted(found, key=lambda r: (r.database, r.table))
+
     def drop_pending(self, run_id: str) -> None:
-        """Drop everything a run still has in the pending area, as one unit."""
+        """Drop everything of a run that is not published, as one unit."""
+        if self.in_place:
+            for run in self._runs_in_pending(run_id):
+                if not self.files.exists(self.run_manifest_path(run)):
+                    self.files.delete(self.run_path(run))
         self.files.delete(self.pending_path(run_id))
 
     def pending_runs(self) -> list[str]:
@@ -180,11 +204,8 @@ class ArchiveStore:
                 self.drop_pending(run_id)
                 dropped.append(run_id)
                 continue
-            found = set()
-            for path in self.files.glob(f"{self.pending_path(run_id)}/*/*/*/cutoff_date=*/run_id={run_id}"):
-                database, table, day, _ = path.split("/")[-4:]
-                found.add(Run(database, table, day.split("=", 1)[1], run_id))
-            self.publish(sorted(found, key=lambda r: (r.database, r.table)))
+            found = self._runs_in_pending(run_id)
+            self.publish(found)
             self.drop_pending(run_id)
             published += found
         return published, dropped
@@ -201,11 +222,16 @@ class ArchiveStore:
              required: bool = False) -> list[Run]:
         """Runs of one table that match a selection, by folder names alone.
 
-        Includes runs known only from their manifest, whose files are gone.
+        Includes runs known only from their manifest, whose files are gone. Runs without
+        a manifest, such as those of another writer, are only taken from a store that is
+        not `in_place`.
         """
         wanted = f"cutoff_date={selection.cutoff_date or '*'}/run_id={selection.run_id or '*'}"
         found = set()
-        for base in (self.table_path(database, table), self.manifest_path(database, table)):
+        bases = [self.manifest_path(database, table)]
+        if not self.in_place:
+            bases.append(self.table_path(database, table))
+        for base in bases:
             for path in self.files.glob(f"{base}/{wanted}"):
                 day, run_id = (part.split("=", 1)[1] for part in path.split("/")[-2:])
                 found.add(Run(database, table, day, run_id))

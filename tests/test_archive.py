@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from coldkeep import ArchiveCheckFailed, KeyAuditFailed, Rule, RunExists, Selection, TableRule
 from coldkeep.plans import archive, restore
-from coldkeep.sources.archive_store import Run
+from coldkeep.plans.verify import verify_rule
+from coldkeep.sources.archive_store import ArchiveStore, Run
 from tests.conftest import (
     AS_OF,
     ITEMS_RULE,
@@ -204,6 +205,33 @@ def test_recover_finishes_a_checked_run(spark, world, monkeypatch):
     assert rows_of(hot["orders"].df()) == rows_of(small_orders(spark))
 
 
+def test_store_that_writes_in_place(spark, world, monkeypatch):
+    store = ArchiveStore(spark, f"{world.root}/objects", in_place=True)
+    plan, original = rule(ORDERS_RULE), small_orders(spark)
+    hot = {"orders": world.load(original, ORDERS_RULE)}
+    rows_moved = []
+    move = store.files.rename
+    monkeypatch.setattr(store.files, "rename", lambda a, b: rows_moved.append(a) or move(a, b))
+    # an unfinished run is not seen, and dropping it removes its rows
+    staged = archive.stage_table(store, plan, ORDERS_RULE, hot["orders"], AS_OF, "0000000a")
+    assert store.runs("testdb", "orders") == [] and store.files.exists(store.run_path(staged.run))
+    assert store.recover() == ([], ["0000000a"])
+    assert not store.files.exists(store.run_path(staged.run))
+    # a finished one works like any other, without its rows being moved
+    done = archive.archive_rule(spark, plan, store, hot, AS_OF, "0000000b").first()
+    assert (done["rows_archived"], done["rows_remaining"]) == (5, 3)
+    assert [("/manifest/" in m) for m in rows_moved] == [True]
+    assert [(r["status"], r["rows"]) for r in verify_rule(spark, plan, store).collect()] == [("OK", 5)]
+    restore.restore_rule(spark, plan, store, hot, AS_OF)
+    assert rows_of(hot["orders"].df()) == rows_of(original)
+    # a failing check leaves the published run alone
+    monkeypatch.setattr("coldkeep.sources.archive_store.in_key_order", lambda df, key: df.filter("id <> 2"))
+    with pytest.raises(ArchiveCheckFailed):
+        archive.archive_rule(spark, plan, store, hot, AS_OF, "0000000c")
+    assert [r.run_id for r in store.runs("testdb", "orders")] == ["0000000b"] and store.pending_runs() == []
+    assert not store.files.exists(store.run_path(Run("testdb", "orders", "2023-12-02", "0000000c")))
+
+
 def test_reserved_column_names_are_refused(spark, world):
     odd = small_orders(spark).withColumnRenamed("notes", "Run_Id")
     hot = {"orders": world.load(odd, ORDERS_RULE)}
