@@ -7,6 +7,8 @@ from fnmatch import fnmatch
 from functools import partial
 from itertools import islice
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,7 @@ from coldkeep.sources.hot_table import union_all
 # Skips files that are damaged or gone while reading; the comparison finds them.
 LENIENT = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
 _SLICE = 1_000
+_SMALL = 16 * 2**20
 _LISTING_SCHEMA = T.StructType([
     *[f for f in FACT_SCHEMA if f.name in (*FILE_KEY, "length")], T.StructField("modified_at", T.TimestampType()),
 ])
@@ -76,19 +79,37 @@ def file_facts(store: ArchiveStore, runs: list[Run]) -> DataFrame:
     return written(store.spark, merge_facts(reports), "file-facts")
 
 
+def _reads_as_empty(spark: SparkSession, path: str) -> bool:
+    try:
+        return spark.read.parquet(path).isEmpty()
+    except (PySparkException, Py4JJavaError):
+        return False
+
+
 def find_zero_row_files(store: ArchiveStore, database: str, table: str, facts: DataFrame) -> DataFrame | None:
-    """Open the few files nothing else could judge, a slice of them at a time."""
+    """Open the few files nothing else could judge, a slice of them at a time.
+
+    A file without rows is little more than a footer, so only small files have their
+    content looked at in tasks. A large one is almost surely damaged; it is read by
+    Spark alone, which never holds it in memory.
+    """
     base = store.table_path(database, table)
-    waiting = undecided(facts).select(*FILE_KEY).toLocalIterator()
+    waiting = undecided(facts).select(*FILE_KEY, "length").toLocalIterator()
     path = F.col("path")
     found = []
     while block := list(islice(waiting, _SLICE)):
-        paths = [f"{base}/cutoff_date={r[0]}/run_id={r[1]}/{r[2]}" for r in block]
-        sound = zero_row_paths(store.spark, paths).select(
-            path_cutoff_date(path).alias("cutoff_date"), path_run_id(path).alias("run_id"),
-            F.substring_index(path, "/", -1).alias("file_name"),
-        )
-        found.append(written(store.spark, sound, "zero-row"))
+        paths = {tuple(r)[:3]: f"{base}/cutoff_date={r[0]}/run_id={r[1]}/{r[2]}" for r in block}
+        small = [paths[tuple(r)[:3]] for r in block if r["length"] <= _SMALL]
+        large = [key for key in (tuple(r)[:3] for r in block if r["length"] > _SMALL)
+                 if _reads_as_empty(store.spark, paths[key])]
+        if small:
+            sound = zero_row_paths(store.spark, small).select(
+                path_cutoff_date(path).alias("cutoff_date"), path_run_id(path).alias("run_id"),
+                F.substring_index(path, "/", -1).alias("file_name"),
+            )
+            found.append(written(store.spark, sound, "zero-row"))
+        if large:
+            found.append(small_frame(store.spark, large, T.StructType(FACT_SCHEMA.fields[:3])))
     return union_all(found) if found else None
 
 

@@ -116,15 +116,18 @@ class HotTable:
     def df(self, parts: list[Part] | tuple[Part, ...] | None = None) -> DataFrame:
         """The current rows, or those of some parts only."""
         snapshot = self.snapshot()
-        chosen = snapshot.parts if parts is None else tuple(parts)
-        if not chosen:
-            return small_frame(self.spark, [], snapshot.schema)
-        paths = [p.path if ":" in p.path else f"{self.root}/{p.path}" for p in chosen]
-        return self.spark.read.schema(snapshot.schema).parquet(*paths)
+        return self._read(snapshot.schema, snapshot.parts if parts is None else parts)
+
+    def _read(self, schema: T.StructType, parts: list[Part] | tuple[Part, ...]) -> DataFrame:
+        if not parts:
+            return small_frame(self.spark, [], schema)
+        paths = [p.path if ":" in p.path else f"{self.root}/{p.path}" for p in parts]
+        return self.spark.read.schema(schema).parquet(*paths)
 
     def expired(self, date_column: str, cutoff: datetime) -> DataFrame:
         """Expired rows of the current snapshot, whose files never change."""
-        return expired(self.df(self.snapshot().parts_before(cutoff)), date_column, cutoff)
+        snapshot = self.snapshot()
+        return expired(self._read(snapshot.schema, snapshot.parts_before(cutoff)), date_column, cutoff)
 
     def count(self) -> int:
         """Rows from the file footers."""

@@ -116,8 +116,10 @@ def test_damage_matrix(spark, world):
     assert (counted["ok_files"], counted["corrupt_files"], counted["missing_files"], counted["rows"]) == (1, 6, 1, 20_000)
 
 
-def test_without_manifest(spark, world):
+@pytest.mark.parametrize("small", [16 * 2**20, 10])
+def test_without_manifest(spark, world, monkeypatch, small):
     """Files nobody recorded: footer against decode, and zero-row files opened one by one."""
+    monkeypatch.setattr("coldkeep.plans.verify._SMALL", small)
     paths = {run: archived(spark, world, run_id=run)[0] for run in ("sound", "lategroup", "text", "zero", "norows")}
     shutil.rmtree(world.local(world.store.manifest_path("testdb", "wide")))
     flip_late_group(paths["lategroup"])
