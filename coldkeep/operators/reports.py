@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from coldkeep.functions.timestamps import duration_micros
 from coldkeep.model import LifecyclePolicy
 
+# Fixed value: events listed when the caller does not say.
 HISTORY_LIMIT = 20
 
 

@@ -240,13 +240,14 @@ def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
 
 def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
                       as_of: datetime, run_ids: dict[str, str], history: History | None = None,
-                      keep_going: bool = False, clock: Clock | None = None) -> DataFrame:
+                      keep_going: bool = False, order: str = "key", clock: Clock | None = None) -> DataFrame:
     """Archive rule after rule. Stops at the first failure unless told to keep going."""
     check_rules(rules)
     reports = []
     for rule in rules:
         try:
-            reports.append(archive_rule(spark, rule, store, hot, as_of, run_ids[rule.name], history, clock=clock))
+            run_id = run_ids[rule.name]
+            reports.append(archive_rule(spark, rule, store, hot, as_of, run_id, history, order, clock=clock))
         except Exception:
             # The failed rule has left its error event in the history.
             if not keep_going:

@@ -9,7 +9,6 @@ files that are damaged, empty or gone are noticed although a reader would skip t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.operators.verify import FILE_KEY

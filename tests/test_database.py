@@ -1,0 +1,83 @@
+"""The database branch of the jobs, with a stand-in for the database itself."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from coldkeep import KeyAuditFailed, RestoreConflict, UnknownTable
+from coldkeep.plans import archive, restore
+from coldkeep.sources.jdbc import JdbcSource, JdbcTable
+from tests.conftest import AS_OF, ITEMS_RULE, ORDERS_RULE, rows_of, rule, small_items, small_orders
+
+
+class StandIn(JdbcTable):
+    """Keeps its rows in a DataFrame and applies the statements to that."""
+
+    def __init__(self, spark, name, rows):
+        super().__init__(spark, JdbcSource("jdbc:postgresql://nowhere/db", "public"), name)
+        self.rows = rows
+        self.reads = 0
+
+    def df(self):
+        self.reads += 1
+        return self.rows
+
+    def schema(self):
+        return self.rows.schema
+
+    def append(self, df, key=()):
+        self.rows = self.rows.unionByName(df)
+
+    def delete_keys(self, keys, key, run_id):
+        before = self.rows.count()
+        self.rows = self.rows.join(keys, list(key), "left_anti").select(*self.rows.columns)
+        return before - self.rows.count()
+
+
+@pytest.mark.parametrize("encoding", ["native", "canonical"])
+@pytest.mark.parametrize("table, make", [(ORDERS_RULE, small_orders), (ITEMS_RULE, small_items)])
+def test_archive_and_restore(spark, world, table, make, encoding):
+    database = StandIn(spark, table.name, make(spark))
+    plan, hot = rule(table, encoding=encoding), {table.name: database}
+    done = archive.archive_rule(spark, plan, world.store, hot, AS_OF, "0000000a", world.history).first()
+    assert (done["rows_archived"], done["key_deleted"], done["rows_remaining"], done["mismatch"]) == (5, 5, 3, False)
+    restore.restore_rule(spark, plan, world.store, hot, AS_OF, history=world.history)
+    assert rows_of(database.rows) == rows_of(make(spark))
+    with pytest.raises(RestoreConflict):
+        restore.restore_rule(spark, plan, world.store, hot, AS_OF)
+
+
+def test_expired_rows_leave_the_database_once(spark, world):
+    database = StandIn(spark, "orders", small_orders(spark))
+    archive.stage_table(world.store, rule(ORDERS_RULE), ORDERS_RULE, database, AS_OF, "0000000a")
+    assert database.reads == 1
+
+
+def test_mismatch_is_reported(spark, world):
+    """A row that vanishes between archive and purge makes the counts differ."""
+    class Losing(StandIn):
+        def delete_keys(self, keys, key, run_id):
+            self.rows = self.rows.filter("id <> 1")
+            return super().delete_keys(keys, key, run_id)
+
+    hot = {"orders": Losing(spark, "orders", small_orders(spark))}
+    done = archive.archive_rule(spark, rule(ORDERS_RULE), world.store, hot, AS_OF, "0000000a").first()
+    assert (done["rows_archived"], done["key_deleted"], done["mismatch"]) == (5, 4, True)
+
+
+def test_catalogue_answers(spark, monkeypatch):
+    table = JdbcTable(spark, JdbcSource("jdbc:mysql://nowhere/db", "shop"), "t", split_column="id")
+    answers = {
+        "information_schema.columns": spark.createDataFrame(
+            [("b", "INT", "NO", 2), ("a", "varchar", "YES", 1)], "name string, type string, nullable string, position int"),
+        "PRIMARY KEY": spark.createDataFrame([("b", 2), ("a", 1)], "name string, position int"),
+        "min(": spark.range(1, 11).agg(F.min("id").alias("low"), F.max("id").alias("high")),
+    }
+    monkeypatch.setattr(table, "_query", lambda sql: next(df for text, df in answers.items() if text in sql))
+    assert table.columns() == [("a", "varchar", True), ("b", "int", False)]
+    assert table.primary_key() == ("a", "b")
+    assert table.split_options() == {"partitionColumn": "id", "lowerBound": "1", "upperBound": "10"}
+    monkeypatch.setattr(table, "_query", lambda sql: spark.createDataFrame([], "name string, type string, nullable string, position int"))
+    with pytest.raises(UnknownTable):
+        table.columns()
+    with pytest.raises(KeyAuditFailed):
+        table.primary_key()
