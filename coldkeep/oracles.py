@@ -218,5 +218,8 @@ ORACLES = {
             count(DISTINCT o_orderdate) AS archives, count(*) AS rows
         FROM (SELECT o_orderdate, floor((epoch(TIMESTAMP '2000-01-01') - epoch(o_orderdate)) / 86400) AS age FROM orders)
         GROUP BY ALL""",
+    "lifecycle_move": f"""
+        SELECT *, CASE WHEN o_orderdate < '1996-01-01' THEN 'cold' ELSE 'archive' END AS tier
+        FROM orders WHERE o_orderdate < {C}""",
     "lifecycle_delete": f"SELECT * FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < {C}",
 }

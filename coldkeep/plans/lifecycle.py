@@ -1,13 +1,14 @@
-"""Ageing of archived runs: what is due to move or to be deleted, and the deletion."""
+"""Ageing of archived runs: what is due to move or to be deleted, and doing it."""
 
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldkeep.model import LifecyclePolicy, Rule
+from coldkeep.model import ArchiveCheckFailed, LifecyclePolicy, Rule
 from coldkeep.operators.reports import ageing
 from coldkeep.sources.archive_store import ArchiveStore, Run
 from coldkeep.sources.hot_table import union_all
@@ -40,3 +41,43 @@ def delete_expired(store: ArchiveStore, rule: Rule, policy: LifecyclePolicy, as_
     for run in runs:
         store.delete(run)
     return runs
+
+
+def _recorded(store: ArchiveStore, run: Run) -> tuple[int, Decimal]:
+    found = store.manifest([run]).agg(F.sum("rows"), F.sum("digest")).first()
+    return found[0], found[1]
+
+
+def move_to_cold(store: ArchiveStore, cold: ArchiveStore, rule: Rule, policy: LifecyclePolicy,
+                 as_of: datetime) -> list[Run]:
+    """Move the runs that are due to an archive store on colder storage; returns them.
+
+    Spark copies the rows. A run is deleted at its old place only when the copy holds the
+    rows and digest that were recorded, so an interrupted move is safe to repeat. The
+    publishing time stays, as later steps count the age from it.
+    """
+    if not policy.transition_days:
+        return []
+    due = ageing_report(store, rule, policy, as_of).filter(F.col("action") == "transition").collect()
+    moved = []
+    for r in due:
+        run = Run(rule.database, r["table_name"], r["cutoff_date"], r["run_id"])
+        recorded = _recorded(store, run)
+        if not cold.files.exists(cold.run_manifest_path(run)):
+            store.check_complete([run])
+            [rows] = store.read([run])
+            largest = store.manifest([run]).agg(F.max("rows")).first()[0]
+            cold.open_run(run.run_id)
+            try:
+                copy = cold.stage(run, rows.drop("cutoff_date", "run_id"), (), largest, r["published_at"], "scan")
+                if (copy.rows, copy.digest) != recorded:
+                    raise ArchiveCheckFailed(f"copy of run {run.run_id} of {run.table} differs from what was recorded")
+            except Exception:
+                cold.drop_pending(run.run_id)
+                raise
+            cold.publish([run])
+        elif _recorded(cold, run) != recorded:
+            raise ArchiveCheckFailed(f"run {run.run_id} of {run.table} is on cold storage with other rows")
+        store.delete(run)
+        moved.append(run)
+    return moved

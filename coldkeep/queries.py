@@ -608,6 +608,21 @@ def lifecycle_delete(spark, sf_dir):
     return _read_archive(scene, "orders")
 
 
+def lifecycle_move(spark, sf_dir):
+    """Runs due for colder storage are moved there; every archived row is in one of the two."""
+    scene = Scene(spark, sf_dir)
+    rule, _ = scene.orders_in_steps()
+    cold = ArchiveStore(spark, f"{scene.root}/cold")
+    now = as_of_for(STEPS["12e45678"]) + timedelta(days=100)
+    lifecycle.move_to_cold(scene.store, cold, rule, LifecyclePolicy(30, 0), now)
+    schema = scene.rows("orders").schema
+    return union_all([
+        restore.archived_rows(store, store.runs("shop", "orders"), schema)
+        .select(*schema.fieldNames(), F.lit(tier).alias("tier"))
+        for tier, store in (("archive", scene.store), ("cold", cold))
+    ])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -624,6 +639,6 @@ QUERIES = {
         history_append, history_recent, history_durations,
         canonical_encode, canonical_decode, canonical_by_db_type, canonical_narrowing,
         sanitize_identifiers, parse_archive_key, format_counts,
-        archive_lifecycle, lifecycle_delete,
+        archive_lifecycle, lifecycle_move, lifecycle_delete,
     )
 }

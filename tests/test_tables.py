@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 from coldkeep import LifecyclePolicy, RetentionError, Selection
 from coldkeep.operators import chunks, purge, reports
-from coldkeep.plans import archive, lifecycle
+from coldkeep.plans import archive, lifecycle, restore
+from coldkeep.sources.archive_store import ArchiveStore
 from coldkeep.sources.hot_table import HotTable
 from coldkeep.sources.jdbc import JdbcSource, columns_sql, delete_sql, primary_key_sql
 from tests.conftest import AS_OF, ORDERS_RULE, SENSOR_RULE, at, rows_of, rule, small_orders, small_sensors
@@ -156,6 +157,29 @@ def test_expired_archives_are_deleted(spark, world):
     assert os.listdir(f"{left}/cutoff_date=2023-12-02") == ["run_id=0000000b"]
 
 
+def test_move_to_cold_storage(spark, world, monkeypatch):
+    hot, plan = {"orders": world.load(small_orders(spark), ORDERS_RULE)}, rule(ORDERS_RULE, batch_size=2)
+    archive.archive_rule(spark, plan, world.store, hot, AS_OF, "0000000a", order="exact")
+    cold, now = ArchiveStore(spark, f"{world.root}/cold"), AS_OF + timedelta(days=40)
+    assert lifecycle.move_to_cold(world.store, cold, plan, LifecyclePolicy(0, 365), now) == []
+    assert lifecycle.move_to_cold(world.store, cold, plan, LifecyclePolicy(50, 365), now) == []
+    # stopped after the copy was published: repeating it only removes the old place
+    with monkeypatch.context() as patch:
+        patch.setattr(world.store, "delete", lambda run: (_ for _ in ()).throw(SystemExit))
+        with pytest.raises(SystemExit):
+            lifecycle.move_to_cold(world.store, cold, plan, LifecyclePolicy(30, 365), now)
+    assert len(world.store.runs("testdb", "orders")) == len(cold.runs("testdb", "orders")) == 1
+    [run] = lifecycle.move_to_cold(world.store, cold, plan, LifecyclePolicy(30, 365), now)
+    assert world.store.runs("testdb", "orders") == [] and cold.runs("testdb", "orders") == [run]
+    kept = cold.manifest([run]).collect()
+    assert sum(r["rows"] for r in kept) == 5 and max(r["rows"] for r in kept) <= 2
+    assert {r["published_at"] for r in kept} == {AS_OF}
+    restore.restore_rule(spark, plan, cold, hot, AS_OF)
+    assert rows_of(hot["orders"].df()) == rows_of(small_orders(spark))
+    # and it still expires by its first publishing time
+    assert lifecycle.delete_expired(cold, plan, LifecyclePolicy(30, 365), AS_OF + timedelta(days=365)) == [run]
+
+
 def test_jdbc_options_and_statements():
     pg = JdbcSource("jdbc:postgresql://h/db", "public", user="u", password="p", connections=4)
     options = pg.options()
