@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coldkeep.llm import toxicity
+from coldkeep.llm import decontamination, packing, secrets, toxicity
 from coldkeep.llm.frames import table
 from coldkeep.session import prepare
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op10_toxicity": op10_toxicity}
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return secrets.secrets(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontamination.contained(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op6_secret_scan": op6_secret_scan,
+    "op7_packing": op7_packing,
+    "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLES: dict[str, str] = {}
