@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coldkeep.llm import decontamination, jaccard, packing, secrets, toxicity
+from coldkeep.llm import decontamination, jaccard, packing, secrets, site_tree, toxicity
 from coldkeep.llm.frames import table
 from coldkeep.session import prepare
 
@@ -17,6 +17,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return site_tree.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return jaccard.jaccard_components(spark, table(spark, sf_dir, "documents")).drop("node")
@@ -38,6 +43,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_site_style_tree": op1_site_style_tree,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
