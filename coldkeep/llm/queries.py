@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coldkeep.llm import decontamination, jaccard, packing, secrets, site_tree, toxicity
+from coldkeep.llm import decision_list, decontamination, jaccard, packing, secrets, site_tree, toxicity
 from coldkeep.llm.frames import table
 from coldkeep.session import prepare
 
@@ -22,6 +22,11 @@ def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_tree.extract(spark, table(spark, sf_dir, "pages"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decision_list.judged(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return jaccard.jaccard_components(spark, table(spark, sf_dir, "documents")).drop("node")
@@ -44,6 +49,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_site_style_tree": op1_site_style_tree,
+    "op2_quality_rules": op2_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
