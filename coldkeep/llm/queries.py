@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coldkeep.llm import decision_list, decontamination, jaccard, packing, secrets, site_tree, toxicity
+from coldkeep.llm import additive_model, decision_list, decontamination, jaccard, packing, secrets, site_tree, toxicity
 from coldkeep.llm.frames import table
 from coldkeep.session import prepare
 
@@ -32,6 +32,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(spark, table(spark, sf_dir, "documents")).drop("node")
 
 
+def op5_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return additive_model.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return secrets.secrets(spark, table(spark, sf_dir, "documents"))
@@ -51,6 +56,7 @@ QUERIES = {
     "op1_site_style_tree": op1_site_style_tree,
     "op2_quality_rules": op2_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_additive_model": op5_additive_model,
     "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
     "op9_decontamination": op9_decontamination,
