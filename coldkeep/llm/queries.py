@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coldkeep.llm import additive_model, decision_list, decontamination, jaccard, packing, secrets, site_tree, toxicity
+from coldkeep.llm import additive_model, decision_list, decontamination, jaccard, packing, secrets, site_tree, suffix_merge, toxicity
 from coldkeep.llm.frames import table
 from coldkeep.session import prepare
 
@@ -47,6 +47,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return suffix_merge.dedup(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return decontamination.contained(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -59,6 +64,7 @@ QUERIES = {
     "op5_additive_model": op5_additive_model,
     "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
