@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coldkeep.llm import additive_model, decision_list, decontamination, jaccard, packing, secrets, site_tree, suffix_merge, toxicity
+from coldkeep.llm import additive_model, collinear, decision_list, decontamination, jaccard, packing, secrets, site_tree, suffix_merge, toxicity
 from coldkeep.llm.frames import table
 from coldkeep.session import prepare
 
@@ -27,6 +27,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judged(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return collinear.chained_passages(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return jaccard.jaccard_components(spark, table(spark, sf_dir, "documents")).drop("node")
@@ -60,6 +65,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_site_style_tree": op1_site_style_tree,
     "op2_quality_rules": op2_quality_rules,
+    "op3_collinear_chaining": op3_collinear_chaining,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_additive_model": op5_additive_model,
     "op6_secret_scan": op6_secret_scan,
