@@ -48,14 +48,14 @@ def page(body, style="s"):
 
 def test_site_statistics(spark):
     pages = [(i, f"http://Site.example/{i}", page(
-        f'<div class="x1">Same slogan here</div><p>Own text {i} of this page.</p><p>Write to us today!</p><div class="x2">by author {i % 2}</div>')) for i in range(20)]
+        f'<div class="x1">Same slogan here</div><p>Own text {i} of this page.</p><p>Write to us today!</p><div class="x2">by author {i % 5}</div>')) for i in range(20)]
     copies = [(100 + i, "http://copy.example/a", page("<p>One page, many copies.</p>")) for i in range(30)]
     few = [(200 + i, f"https://few.example:8080/{i}", page(f"<p>Same</p><p>{i}</p>")) for i in range(3)]
     odd = [(300, None, None), (301, "not a url", ""), (302, "http://other.example", page("<p>Same slogan here</p>")), (None, None, page("<p>x</p>"))]
     df = spark.createDataFrame([(*r, "t", 1) for r in pages + copies + few + odd], "page_id long, url string, html string, text string, host int")
     got = {r.page_id: r.text for r in extract(spark, df).collect()}
     for i in range(20):
-        assert got[i] == f"Own text {i} of this page.\nby author {i % 2}"
+        assert got[i] == f"Own text {i} of this page.\nby author {i % 5}"
     assert {got[100 + i] for i in range(30)} == {"One page, many copies."}
     assert got[200] == "Same\n0" and got[300] == got[301] == "" and got[302] == "Same slogan here" and got[None] == "x"
     assert extract(spark, df.limit(0)).collect() == []
