@@ -44,6 +44,11 @@ _CANONICAL_BY_SPARK = {
 }
 _TIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _NESTED_TYPES = (T.ArrayType, T.MapType, T.StructType)
+# The default JSON formats would cut times inside nested values to milliseconds.
+_JSON = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "dateFormat": "yyyy-MM-dd",
+}
 
 
 def canonical_of_db_type(name: str) -> str:
@@ -58,7 +63,7 @@ def _to_text(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, _TIME_TYPES):
         return rfc3339(column, data_type)
     if isinstance(data_type, _NESTED_TYPES):
-        return F.to_json(column)
+        return F.to_json(column, _JSON)
     return column.cast("string")
 
 
@@ -66,7 +71,7 @@ def _from_text(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, _TIME_TYPES):
         return parse_rfc3339(column, data_type)
     if isinstance(data_type, _NESTED_TYPES):
-        return F.from_json(column, data_type)
+        return F.from_json(column, data_type, _JSON)
     return column.cast(data_type)
 
 

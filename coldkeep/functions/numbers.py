@@ -23,4 +23,4 @@ def truncate_to_int64(column: Column) -> Column:
 
 def format_count(column: Column) -> Column:
     """Count with thousands separators."""
-    return F.when(column < 1000, column.cast("string")).otherwise(F.format_number(column, 0))
+    return F.format_number(column, 0)

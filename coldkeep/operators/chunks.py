@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldkeep.functions.digest import grouped_totals
-from coldkeep.operators.expire import expired, unexpired
+from coldkeep.model import RetentionError
+from coldkeep.operators.expire import expired
 
 # Interval that ends a chunk of each unit.
 _LENGTH = {"day": "1 day", "week": "7 days", "month": "1 month", "year": "1 year"}
@@ -16,10 +17,34 @@ _LENGTH = {"day": "1 day", "week": "7 days", "month": "1 month", "year": "1 year
 UNDATED = "none"
 
 
+def split_unit(unit: str) -> tuple[str, int]:
+    """A unit and how many days after Monday its weeks begin: `week+3` starts on Thursdays."""
+    name, _, days = unit.partition("+")
+    return name, int(days or 0)
+
+
+def unit_of(unit: str, starts: list[date]) -> str:
+    """The unit, with the weekday its weeks begin on, that chunks with these first days have.
+
+    Raises if they cannot be chunks of one such unit.
+    """
+    if unit == "week":
+        days = {d.weekday() for d in starts}
+        if len(days) == 1 and days != {0}:
+            unit = f"week+{days.pop()}"
+    odd = [d for d in starts if boundary(datetime(d.year, d.month, d.day), unit).date() != d]
+    if odd:
+        raise RetentionError(f"no {unit} begins on {min(odd)}, the name of a chunk folder")
+    return unit
+
+
 def chunk_day(date_column: str, unit: str) -> Column:
-    """First day of the chunk a row lies in; weeks start on Monday. Plain day arithmetic."""
+    """First day of the chunk a row lies in; weeks start on Monday unless the unit says otherwise."""
+    name, later = split_unit(unit)
     day = F.col(f"`{date_column}`").cast("date")
-    return day if unit == "day" else F.trunc(day, unit)
+    if later:
+        return F.date_add(F.trunc(F.date_sub(day, later), name), later)
+    return day if name == "day" else F.trunc(day, name)
 
 
 def chunk_name(date_column: str, unit: str) -> Column:
@@ -35,8 +60,9 @@ def boundary(cutoff: datetime, unit: str) -> datetime:
     test on the scan, where computing each row's chunk would not be pushed down.
     """
     day = cutoff.replace(hour=0, minute=0, second=0, microsecond=0)
+    unit, later = split_unit(unit)
     if unit == "week":
-        return day - timedelta(days=day.weekday())
+        return day - timedelta(days=(day.weekday() - later) % 7)
     if unit == "month":
         return day.replace(day=1)
     if unit == "year":
@@ -54,7 +80,7 @@ def chunk_inventory(df: DataFrame, date_column: str, unit: str, cutoff: datetime
         .agg(F.count(F.lit(1)).alias("rows"))
         .select(
             start.alias("chunk_start"),
-            (start + F.expr(f"INTERVAL {_LENGTH[unit]}")).alias("chunk_end"),
+            (start + F.expr(f"INTERVAL {_LENGTH[split_unit(unit)[0]]}")).alias("chunk_end"),
             "rows",
             (F.col("_day") < limit).alias("expired"),
         )
@@ -62,18 +88,18 @@ def chunk_inventory(df: DataFrame, date_column: str, unit: str, cutoff: datetime
     )
 
 
-def droppable_chunks(hot: DataFrame, archived: DataFrame, key: list[str], date_column: str,
+def droppable_chunks(hot: DataFrame, archived: DataFrame, date_column: str,
                      unit: str, cutoff: datetime) -> DataFrame:
     """Wholly expired chunks whose rows are all archived, as `(chunk, rows)`.
 
-    A chunk qualifies when count and key digest agree on both sides. A row that came
-    in after the archive was taken changes them, so it is never dropped unseen. Each
-    side is reduced to one row per chunk before anything is joined.
+    A chunk qualifies when count and digest of all columns agree on both sides. A row that came
+    in or was changed after the archive was taken changes them, so it is never dropped
+    unseen. Each side is reduced to one row per chunk before anything is joined.
     """
     limit = boundary(cutoff, unit)
 
     def totals(df):
-        return grouped_totals(expired(df, date_column, limit), {"_day": chunk_day(date_column, unit)}, key)
+        return grouped_totals(expired(df, date_column, limit), {"_day": chunk_day(date_column, unit)})
 
     kept = totals(archived).select("_day", F.col("rows").alias("_rows"), F.col("digest").alias("_digest"))
     return (
@@ -81,8 +107,3 @@ def droppable_chunks(hot: DataFrame, archived: DataFrame, key: list[str], date_c
         .filter((F.col("rows") == F.col("_rows")) & (F.col("digest") == F.col("_digest")))
         .select(F.col("_day").cast("string").alias("chunk"), "rows")
     )
-
-
-def outside_expired_chunks(df: DataFrame, date_column: str, unit: str, cutoff: datetime) -> DataFrame:
-    """What a whole-chunk drop alone would leave."""
-    return unexpired(df, date_column, boundary(cutoff, unit))

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from coldkeep.functions.digest import row_hash
 from coldkeep.session import written
 
 
@@ -35,11 +36,13 @@ def purged_by_key(hot: DataFrame, keys: DataFrame, key: Iterable[str]) -> DataFr
     return hot.join(keys.select(*key), key, "left_semi")
 
 
-def late_keys(spark: SparkSession, expired_rows: DataFrame, archived: DataFrame, key: Iterable[str]) -> DataFrame:
-    """Keys of expired rows that the archive does not hold, as a written table.
+def late_rows(spark: SparkSession, expired_rows: DataFrame, archived: DataFrame, key: Iterable[str]) -> DataFrame:
+    """Expired rows that the archive does not hold with this key and content, by `_hash` and key, as a written table.
 
-    They belong to rows that arrived after the archive was taken and must stay. Only
-    key columns are shuffled, and the result is normally empty or tiny.
+    They arrived, or were changed, after the archive was taken and must stay. Only keys and one hash
+    per row are shuffled, and the result is normally empty or tiny.
     """
-    key = list(key)
-    return written(spark, expired_rows.select(*key).join(archived.select(*key), key, "left_anti"), "late-keys")
+    by = [*key, "_hash"]
+    mine = expired_rows.select(*key, row_hash(expired_rows.schema).alias("_hash"))
+    theirs = archived.select(*key, row_hash(archived.schema).alias("_hash")).distinct()
+    return written(spark, mine.join(theirs, by, "left_anti").distinct(), "late-rows")

@@ -50,17 +50,32 @@ def actual_rows(verified: DataFrame) -> DataFrame:
     )
 
 
+# Lifecycle event and the status of a run that it explains.
+GONE = {"expire": "expired", "move": "moved"}
+
+
+def gone_runs(history: DataFrame) -> DataFrame:
+    """Runs that lifecycle steps took away, with the last such step, per run and table."""
+    steps = history.filter(F.col("event_type").isin(list(GONE)) & (F.col("status") == "success"))
+    last = steps.groupBy("run_id", "table_name").agg(F.max_by("event_type", F.struct("start_time", "id")).alias("_gone"))
+    names = F.create_map(*[F.lit(x) for pair in GONE.items() for x in pair])
+    return last.withColumn("_gone", names[F.col("_gone")])
+
+
 def reconcile(history: DataFrame, verified: DataFrame, full: bool = True) -> DataFrame:
     """Recorded against stored rows per (run, table).
 
-    With `full`, a run in the history that has no sound file left is `missing` and a
-    stored run the history does not know is `unrecorded`; without it both are left out.
+    With `full`, runs that have no sound file left and stored runs that the history does
+    not know are there too. A run without a sound file is `empty` if it archived no row,
+    `expired` or `moved` if a lifecycle step took it, else `missing`; a stored run without a record is `unrecorded`.
     """
     joined = expected_rows(history).join(
         actual_rows(verified), ["run_id", "table_name"], "full_outer" if full else "inner"
-    )
+    ).join(gone_runs(history), ["run_id", "table_name"], "left")
     status = (
-        F.when(F.col("actual_rows").isNull(), "missing")
+        F.when(F.col("actual_rows").isNull() & (F.col("expected_rows") == 0), "empty")
+        .when(F.col("actual_rows").isNull() & F.col("_gone").isNotNull(), F.col("_gone"))
+        .when(F.col("actual_rows").isNull(), "missing")
         .when(F.col("expected_rows").isNull(), "unrecorded")
         .when(F.col("expected_rows") == F.col("actual_rows"), "match")
         .otherwise("mismatch")

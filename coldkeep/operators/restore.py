@@ -90,13 +90,18 @@ def conflicts_with_hot(counts: DataFrame, hot: DataFrame, key: Iterable[str]) ->
 def first_archived(archived: DataFrame, key: Iterable[str], order: Iterable[str]) -> DataFrame:
     """One row per key, the earliest by `order`.
 
-    An aggregate with map-side combining, so a key archived many times never becomes
-    one big sorted group.
+    Hardly any key repeats, so only the keys are counted, with map-side combining; rows whose
+    key occurs once pass as they are, and only the others are reduced, again
+    combined before the shuffle.
     """
     key = list(key)
     rest = [c for c in archived.columns if c not in key]
-    picked = archived.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return picked.select(*[F.col(c) if c in key else F.col(f"_row.`{c}`").alias(c) for c in archived.columns])
+    counted = archived.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = written(archived.sparkSession, counted.filter("_n > 1").select(*key), "repeated-keys")
+    once = archived.join(repeated, key, "left_anti")
+    picked = archived.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    first = picked.select(*[F.col(c) if c in key else F.col(f"_row.`{c}`").alias(c) for c in archived.columns])
+    return once.select(*archived.columns).unionByName(first)
 
 
 def without_existing(archived: DataFrame, hot: DataFrame, key: Iterable[str]) -> DataFrame:

@@ -7,11 +7,10 @@ archive recorded them, the same rows and digest as when it was written.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,24 +109,38 @@ def with_status(facts: DataFrame, zero_row_files: DataFrame | None = None) -> Da
     return judged.select(*FILE_KEY, "status", rows.alias("rows"), "recorded_rows", "length")
 
 
-def _zero_row(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.parquet as pq
+def _open(path: str):
+    """A file by its Hadoop URI, through Arrow's file systems."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    system, name = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "gs": "gs"}.get(scheme, scheme) + ":" + rest)
+    return system.open_input_file(name)
+
 
-    def is_zero_row(content: bytes) -> bool:
-        try:
-            return pq.read_table(io.BytesIO(content)).num_rows == 0
-        except Exception:
-            return False
+def _zero_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import pyarrow.parquet as pq
 
     for batch in batches:
-        keep = batch["content"].map(is_zero_row)
-        yield batch.loc[keep, ["path"]]
+        sound = []
+        for path in batch.column("path").to_pylist():
+            with _open(path) as file:
+                try:
+                    sound.append(pq.read_metadata(file).num_rows == 0)
+                except (pa.ArrowException, OSError):
+                    sound.append(False)
+        yield batch.select(FILE_KEY).filter(pa.array(sound))
+
 
+def zero_row_files(facts: DataFrame, table_path: str) -> DataFrame:
+    """Which of the files that nothing else could judge are valid Parquet without rows.
 
-def zero_row_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Which of some files are valid Parquet with no rows."""
-    content = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return content.mapInPandas(_zero_row, "path string")
+    Only footers are read, in tasks, whatever a file's size.
+    """
+    path = F.format_string("%s/cutoff_date=%s/run_id=%s/%s", F.lit(table_path), *FILE_KEY).alias("path")
+    return undecided(facts).select(*FILE_KEY, path).mapInArrow(_zero_row, ", ".join(f"{c} string" for c in FILE_KEY))
 
 
 def totals(verified: DataFrame) -> DataFrame:

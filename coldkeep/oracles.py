@@ -15,6 +15,9 @@ NUMBERED = f"""SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY o
 UNDATED = "SELECT * REPLACE (CASE WHEN event_type <> 'error' THEN ts END AS ts) FROM events"
 WEEK = "date_trunc('week', ts)"
 WEEK_OVER = f"{WEEK} + INTERVAL 7 DAY <= {E}"
+# Weeks that begin on Thursdays.
+ODD_WEEK = "date_trunc('week', ts - INTERVAL 3 DAY) + INTERVAL 3 DAY"
+ODD_OVER = f"{ODD_WEEK} + INTERVAL 7 DAY <= {E}"
 
 
 def _batches(source: str, key: tuple[str, ...]) -> str:
@@ -112,6 +115,20 @@ ORACLES = {
         SELECT * FROM events WHERE ts >= {E}
         UNION ALL
         SELECT * REPLACE (-user_id - 1 AS user_id) FROM events WHERE ts < {E} AND event_type = 'error'""",
+    "purge_repeated_key": f"""
+        SELECT * FROM events WHERE ts >= {E}
+        UNION ALL SELECT * REPLACE (value + 1 AS value) FROM events WHERE ts < {E} AND event_type = 'error'""",
+    "purge_odd_weeks": f"""
+        SELECT count(*) FILTER (WHERE ts < {E}) AS rows_archived,
+            count(DISTINCT {ODD_WEEK}) FILTER (WHERE {ODD_OVER}) AS chunks_dropped,
+            count(*) FILTER (WHERE {ODD_OVER}) AS chunk_deleted,
+            count(*) FILTER (WHERE ts < {E} AND NOT ({ODD_OVER})) AS key_deleted,
+            count(*) FILTER (WHERE ts >= {E}) AS rows_remaining, false AS mismatch
+        FROM events""",
+    "adopt_schema_drift": f"""
+        SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-08' THEN upper(event_type) END AS kind,
+            CASE WHEN ts < {E} THEN 'archive' ELSE 'hot' END AS tier
+        FROM events""",
     "archive_roundtrip": f"SELECT * FROM orders WHERE o_orderdate < {C}",
     "archive_publish": f"""
         SELECT CAST(0 AS BIGINT) AS runs_visible_while_staged, CAST(1 AS BIGINT) AS pending_while_staged,
@@ -146,7 +163,8 @@ ORACLES = {
     "archive_all_rules": " UNION ALL ".join([
         _summary("orders", "orders", f"o_orderdate < {C}", "false", f"o_orderdate >= {C}"),
         _summary("events", "events", f"ts < {E}", "false", f"ts >= {E}"),
-    ]),
+    ]).replace("AS mismatch", "AS mismatch, 'success' AS status")
+    + " UNION ALL SELECT 'lineitem', 'lineitem', 0, 0, 0, count(*), false, 'error' FROM lineitem",
     "run_summary": f"""
         SELECT run_id, count(*) AS rows_archived, count(*) AS rows_deleted, count(DISTINCT batch) AS files
         FROM ({NUMBERED}) GROUP BY run_id""",
@@ -157,6 +175,9 @@ ORACLES = {
     "restore_chunked_table": EVENTS_ALL,
     "restore_preview": f"""
         SELECT 'orders' AS table_name, count(DISTINCT (run_id, batch)) AS files, count(*) AS rows FROM ({NUMBERED})""",
+    "restore_preview_lost": f"""
+        SELECT 'orders' AS table_name, count(DISTINCT (run_id, batch)) AS files, count(*) AS rows
+        FROM ({NUMBERED}) WHERE batch > 0""",
     "restore_conflicts": "SELECT o_orderkey FROM orders WHERE o_orderdate < '1996-01-01'",
     "restore_skip_existing": ORDERS_ALL,
     "restore_schema_drift": """
@@ -164,6 +185,11 @@ ORACLES = {
         FROM orders""",
     "restore_canonical": EVENTS_ALL,
     "verify_archive": DAMAGED,
+    "verify_unrecorded": f"""
+        SELECT 'aaaa0001' AS run_id, 'OK' AS status, count(*) AS rows FROM orders WHERE o_orderdate < {C}
+        UNION ALL SELECT 'aaaa0002', 'OK', 0
+        UNION ALL SELECT 'aaaa0003', 'OK', count(*) FROM orders WHERE o_orderdate < {C}
+        UNION ALL SELECT 'aaaa0003', 'CORRUPT', 0""",
     "verify_totals": f"""
         SELECT 'orders' AS table_name, count(*) FILTER (WHERE status = 'OK') AS ok_files,
             count(*) FILTER (WHERE status = 'CORRUPT') AS corrupt_files,
@@ -175,6 +201,14 @@ ORACLES = {
         FROM ({NUMBERED}) GROUP BY run_id""",
     "history_reconcile": f"SELECT * FROM ({RECONCILED}) WHERE status <> 'missing'",
     "history_reconcile_full": RECONCILED,
+    "reconcile_empty_run": f"""
+        SELECT '00000001' AS run_id, 'orders' AS table_name, count(*) AS expected_rows, count(*) AS actual_rows, 'match' AS status
+        FROM orders WHERE o_orderdate < {C}
+        UNION ALL SELECT '00000002', 'orders', 0, 0, 'empty'""",
+    "reconcile_after_lifecycle": f"""
+        SELECT run_id, 'orders' AS table_name, count(*) AS expected_rows, CAST(0 AS BIGINT) AS actual_rows,
+            CASE run_id WHEN '00000001' THEN 'expired' WHEN '12e45678' THEN 'moved' ELSE 'missing' END AS status
+        FROM ({NUMBERED}) GROUP BY run_id""",
     "history_append": " UNION ALL ".join([
         _history_event(1, "00000001", "archive", "orders", "count(*) FILTER (WHERE o_orderdate < '1996-01-01')",
                        "cutoff_date=1996-01-01/run_id=00000001"),
@@ -186,6 +220,10 @@ ORACLES = {
                        f"count(*) FILTER (WHERE o_orderdate >= '1996-01-01' AND o_orderdate < {C})",
                        "cutoff_date=1997-01-01/run_id=00000002"),
     ]),
+    "history_files": """
+        SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 1 ELSE 2 END::BIGINT AS n_files,
+            CASE WHEN event_type = 'error' THEN '' ELSE event_type || '|' END || format('{:08x}', user_id) AS joined
+        FROM events""",
     "history_recent": """
         SELECT event_id AS id, format('{:08x}', user_id) AS run_id, event_type AS rule, ts AS start_time
         FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20""",
@@ -195,6 +233,8 @@ ORACLES = {
     "canonical_encode": r"""
         SELECT * REPLACE (regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\.?0+$', '') || 'Z' AS ts) FROM events""",
     "canonical_decode": EVENTS_ALL,
+    "canonical_bool": "SELECT event_id, event_type = 'error' AS is_error, CAST(value AS FLOAT) AS value FROM events",
+    "canonical_nested": "SELECT event_id, ts, user_id, ts AS again FROM events",
     "canonical_by_db_type": r"""
         SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, o_totalprice,
             strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z' AS o_orderdate, CAST(NULL AS VARCHAR) AS o_comment
@@ -221,5 +261,11 @@ ORACLES = {
     "lifecycle_move": f"""
         SELECT *, CASE WHEN o_orderdate < '1996-01-01' THEN 'cold' ELSE 'archive' END AS tier
         FROM orders WHERE o_orderdate < {C}""",
+    "lifecycle_resume": f"""
+        SELECT run_id, count(*) AS rows, CASE run_id WHEN '12e45678' THEN 'cold' ELSE 'archive' END AS tier
+        FROM ({NUMBERED}) WHERE run_id <> '00000001' GROUP BY run_id""",
+    "lifecycle_foreign_run": f"""
+        SELECT run_id, count(*) AS rows, 'expire' AS action FROM ({NUMBERED}) GROUP BY run_id
+        UNION ALL SELECT 'f0e1d2c3', count(*), 'keep' FROM orders WHERE o_orderdate >= {C}""",
     "lifecycle_delete": f"SELECT * FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < {C}",
 }

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.functions import canonical
-from coldkeep.functions.digest import content_totals
-from coldkeep.model import ArchiveCheckFailed, Rule, Selection, TableRule, check_rules
-from coldkeep.operators.chunks import chunk_name, droppable_chunks
+from coldkeep.functions.digest import content_totals, row_hash
+from coldkeep.model import ArchiveCheckFailed, RetentionError, Rule, Selection, TableRule, check_rules
+from coldkeep.operators.chunks import droppable_chunks
 from coldkeep.operators.expire import expired, preview, unexpired
 from coldkeep.operators.keys import audit_key
-from coldkeep.operators.purge import late_keys
-from coldkeep.session import prepare, small_frame, together
+from coldkeep.operators.purge import late_rows
+from coldkeep.plans.restore import archived_rows
+from coldkeep.session import own_folders, prepare, small_frame, together
 from coldkeep.sources.archive_store import ArchiveStore, Run, cutoff_date
 from coldkeep.sources.history import Event, History
 from coldkeep.sources.hot_table import HotTable, union_all
@@ -42,6 +43,8 @@ SUMMARY_SCHEMA = T.StructType([
     T.StructField("key_deleted", T.LongType()),
     T.StructField("rows_remaining", T.LongType()),
     T.StructField("mismatch", T.BooleanType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("error_message", T.StringType()),
 ])
 
 
@@ -59,6 +62,7 @@ class Purged:
     chunks_dropped: int
     chunk_deleted: int
     key_deleted: int
+    rows_kept: int
 
 
 def preview_rules(rules: list[Rule], hot: dict[str, HotTable | JdbcTable], as_of: datetime) -> DataFrame:
@@ -76,16 +80,24 @@ def _encode(rule: Rule, df: DataFrame) -> DataFrame:
 
 
 def stage_table(store: ArchiveStore, rule: Rule, table: TableRule, hot: HotTable | JdbcTable, as_of: datetime,
-                run_id: str, order: str = "key") -> Staged:
+                run_id: str, order: str = "scan") -> Staged:
     """Write one table's expired rows to the pending area and prove they are all there."""
     cutoff = table.cutoff(as_of)
     run = Run(rule.database, table.name, cutoff_date(cutoff), run_id)
+    if isinstance(hot, HotTable):
+        hot.check_columns(hot.snapshot().parts_before(cutoff))
     rows = hot.expired(table.date_column, cutoff)
     encoded = _encode(rule, rows)
-    _, source = together(store.spark, [
+    checks = [
         lambda: audit_key(rows, table.key, f"table {table.name}"),
         lambda: content_totals(encoded).first(),
-    ])
+    ]
+    if rule.encoding == "canonical":
+        # Whatever the encoding cannot give back must not be purged.
+        checks += [content_totals(rows).first, content_totals(canonical.decode(encoded, rows.schema)).first]
+    _, source, *both = together(store.spark, checks)
+    if both and both[0] != both[1]:
+        raise ArchiveCheckFailed(f"table {table.name}: the canonical encoding does not give back every value")
     if source["rows"] == 0:
         return Staged(run, table, cutoff, 0, 0)
     staged = store.stage(run, encoded, table.key, rule.batch_size, as_of, order)
@@ -96,14 +108,12 @@ def stage_table(store: ArchiveStore, rule: Rule, table: TableRule, hot: HotTable
     return Staged(run, table, cutoff, staged.rows, staged.files)
 
 
-def archived_keys(store: ArchiveStore, run: Run, table: TableRule, schema: T.StructType,
-                  columns: tuple[str, ...]) -> DataFrame:
-    """Key (and other named) columns of a published run, in the hot table's types."""
-    wanted = T.StructType([schema[c] for c in columns])
-    return union_all([canonical.decode(df.select(*columns), wanted) for df in store.read([run])])
+def archived_content(store: ArchiveStore, run: Run, rule: Rule, schema: T.StructType) -> DataFrame:
+    """The rows of a published run in the hot table's columns and types."""
+    return archived_rows(store, [run], schema, rule.encoding).select(*schema.fieldNames())
 
 
-def drop_archived_chunks(store: ArchiveStore, run: Run, table: TableRule, hot: HotTable,
+def drop_archived_chunks(store: ArchiveStore, run: Run, rule: Rule, table: TableRule, hot: HotTable,
                          cutoff: datetime) -> dict[str, int]:
     """Drop wholly expired chunks whose rows are all archived; rows per dropped chunk.
 
@@ -113,79 +123,110 @@ def drop_archived_chunks(store: ArchiveStore, run: Run, table: TableRule, hot: H
     old = snapshot.parts_before(cutoff)
     if snapshot.unit is None or not old:
         return {}
-    columns = tuple(dict.fromkeys([*table.key, table.date_column]))
     found = droppable_chunks(
-        hot.df(old), archived_keys(store, run, table, snapshot.schema, columns), list(table.key),
-        table.date_column, snapshot.unit, cutoff,
+        hot.df(old), archived_content(store, run, rule, snapshot.schema), table.date_column, snapshot.unit, cutoff,
     )
     # One row per chunk, so at most as many as the table has expired chunk folders.
-    dropped = {r["chunk"]: r["rows"] for r in found.collect()}
+    folders = {p.chunk for p in old}
+    dropped = {r["chunk"]: r["rows"] for r in found.collect() if r["chunk"] in folders}
     if dropped:
         hot.replace([p for p in old if p.chunk in dropped])
     return dropped
 
 
-def purge_archived_keys(store: ArchiveStore, run: Run, table: TableRule, hot: HotTable, cutoff: datetime) -> int:
-    """Remove archived rows by key; returns how many.
+def purge_archived_rows(store: ArchiveStore, run: Run, rule: Rule, table: TableRule, hot: HotTable,
+                        cutoff: datetime) -> tuple[int, int]:
+    """Remove archived rows; returns how many went and how many expired rows had to stay.
 
     Rows at or after the cutoff cannot be in the archive, so they are copied without a
     join, and chunks that start after it are not read. If the expired rows and the
-    archive agree in count and key digest, all of them go and nothing is shuffled.
-    Otherwise the keys alone are joined, to find late arrivals that must stay.
+    archive agree in count and digest of all columns, all of them go and nothing is shuffled.
+    Otherwise keys and row hashes are joined, to find rows that were never archived as they are now.
     """
     snapshot = hot.snapshot()
     key = list(table.key)
     parts = snapshot.parts_before(cutoff)
     if not parts:
-        return 0
+        return 0, 0
     rows = hot.df(parts)
     before = expired(rows, table.date_column, cutoff)
-    columns = tuple(dict.fromkeys([*key, table.date_column]))
-    archived = archived_keys(store, run, table, snapshot.schema, columns)
-    if snapshot.unit is not None:
-        chunk = chunk_name(table.date_column, snapshot.unit)
-        archived = archived.filter(chunk.isin([p.chunk for p in parts]))
-    found, known = together(hot.spark, [content_totals(before, key).first, content_totals(archived, key).first])
+    archived = archived_content(store, run, rule, snapshot.schema)
+    starts = [p.chunk for p in parts if p.chunk is not None]
+    if starts:
+        # A constant on the date column reaches the scan, and dropped chunks are not read again.
+        archived = unexpired(archived, table.date_column, datetime.fromisoformat(min(starts)))
+    found, known = together(hot.spark, [content_totals(before).first, content_totals(archived).first])
     keep = unexpired(rows, table.date_column, cutoff)
-    deleted = found["rows"]
+    deleted, stay = found["rows"], 0
     if deleted and found != known:
-        late = late_keys(hot.spark, before, archived, key)
-        n_late = late.count()
-        deleted -= n_late
-        if n_late:
-            keep = keep.unionByName(before.join(late, key, "left_semi").select(*rows.columns))
+        late = late_rows(hot.spark, before, archived, key)
+        marked = before.withColumn("_hash", row_hash(before.schema))
+        left = marked.join(late, [*key, "_hash"], "left_semi").select(*rows.columns)
+        stay = left.count()
+        deleted -= stay
+        if stay:
+            keep = keep.unionByName(left)
     if deleted:
         hot.replace(parts, keep)
-    return deleted
+    return deleted, stay
 
 
-def purge_table(store: ArchiveStore, run: Run, table: TableRule, hot: HotTable | JdbcTable,
+def purge_table(store: ArchiveStore, run: Run, rule: Rule, table: TableRule, hot: HotTable | JdbcTable,
                 cutoff: datetime) -> Purged:
-    """Remove the rows of one published run: whole chunks first, the rest by key."""
+    """Remove the rows of one published run: whole chunks first, the rest by key and content."""
     if isinstance(hot, JdbcTable):
-        keys = archived_keys(store, run, table, hot.schema(), table.key)
-        return Purged(0, 0, hot.delete_keys(keys, table.key, run.run_id))
-    dropped = drop_archived_chunks(store, run, table, hot, cutoff)
-    deleted = purge_archived_keys(store, run, table, hot, cutoff)
-    return Purged(len(dropped), sum(dropped.values()), deleted)
+        keys = archived_content(store, run, rule, hot.schema()).select(*table.key)
+        return Purged(0, 0, hot.delete_keys(keys, table.key, run.run_id), 0)
+    dropped = drop_archived_chunks(store, run, rule, table, hot, cutoff)
+    deleted, stayed = purge_archived_rows(store, run, rule, table, hot, cutoff)
+    return Purged(len(dropped), sum(dropped.values()), deleted, stayed)
+
+
+PURGE_SCHEMA = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("rule", T.StringType()),
+    T.StructField("table_name", T.StringType()),
+    T.StructField("chunks_dropped", T.LongType()),
+    T.StructField("rows_deleted", T.LongType()),
+    T.StructField("rows_kept", T.LongType()),
+])
 
 
-def purge_run(store: ArchiveStore, rule: Rule, hot: dict[str, HotTable | JdbcTable], as_of: datetime, run_id: str) -> None:
-    """Finish the purge of a published run; rows already gone are simply not found."""
-    for table in rule.tables:
-        for run in store.runs(rule.database, table.name, Selection(run_id=run_id)):
-            purge_table(store, run, table, hot[table.name], table.cutoff(as_of))
+def purge_run(store: ArchiveStore, rule: Rule, hot: dict[str, HotTable | JdbcTable], as_of: datetime, run_id: str,
+              history: History | None = None) -> DataFrame:
+    """Finish the purge of a published run; one row per table.
+
+    Rows already gone are simply not found. `rows_kept` counts expired rows that stay because the
+    archive does not hold them as they are now.
+    """
+    rows, events = [], []
+    with own_folders(store.spark):
+        for table in rule.tables:
+            for run in store.runs(rule.database, table.name, Selection(run_id=run_id)):
+                gone = purge_table(store, run, rule, table, hot[table.name], table.cutoff(as_of))
+                deleted = gone.chunk_deleted + gone.key_deleted
+                rows.append((run_id, rule.name, table.name, gone.chunks_dropped, deleted, gone.rows_kept))
+                folder = (f"{rule.database}/{table.name}/{run.folder}",)
+                events.append(Event(run_id, rule.name, "purge", table.name, deleted, folder, "success", "", as_of, as_of))
+        if history is not None:
+            history.record(events)
+    return small_frame(store.spark, rows, PURGE_SCHEMA)
 
 
 def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
                  as_of: datetime, run_id: str, history: History | None = None,
-                 order: str = "key", purge: bool = True, clock: Clock | None = None) -> DataFrame:
+                 order: str = "scan", purge: bool = True, clock: Clock | None = None) -> DataFrame:
     """Archive and purge every table of a rule; one summary row per table.
 
     Events are timed by `clock`. Without one they carry `as_of`, which keeps a repeated
     run identical.
     """
     prepare(spark)
+    with own_folders(spark):
+        return _archive_rule(spark, rule, store, hot, as_of, run_id, history, order, purge, clock)
+
+
+def _archive_rule(spark, rule, store, hot, as_of, run_id, history, order, purge, clock) -> DataFrame:
     store.open_run(run_id)
     now = clock or (lambda: as_of)
     started = now()
@@ -217,7 +258,8 @@ def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
         folder = (f"{rule.database}/{s.table.name}/{s.run.folder}",) if s.rows else ()
         table = hot[s.table.name]
         try:
-            gone = purge_table(store, s.run, s.table, table, s.cutoff) if s.rows and purge else Purged(0, 0, 0)
+            before = table.count() if purge else 0
+            gone = purge_table(store, s.run, rule, s.table, table, s.cutoff) if s.rows and purge else Purged(0, 0, 0, 0)
             remaining = table.count()
         except Exception as problem:
             done.append(event(s.table.name, s.rows, folder, str(problem)))
@@ -226,7 +268,7 @@ def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
         deleted = gone.chunk_deleted + gone.key_deleted
         return (
             run_id, rule.name, s.table.name, s.rows, s.files, gone.chunks_dropped, gone.chunk_deleted,
-            gone.key_deleted, remaining, purge and deleted != s.rows,
+            gone.key_deleted, remaining, purge and not (before - remaining == deleted == s.rows), "success", "",
         )
 
     try:
@@ -240,16 +282,25 @@ def archive_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, hot: dict
 
 def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
                       as_of: datetime, run_ids: dict[str, str], history: History | None = None,
-                      keep_going: bool = False, order: str = "key", clock: Clock | None = None) -> DataFrame:
-    """Archive rule after rule. Stops at the first failure unless told to keep going."""
+                      keep_going: bool = False, order: str = "scan", clock: Clock | None = None) -> DataFrame:
+    """Archive rule after rule. Stops at the first failure unless told to keep going.
+
+    A failed rule then has one row per table with status `error` and the message; a table of it that was purged
+    before another one failed is in the history.
+    """
     check_rules(rules)
     reports = []
     for rule in rules:
+        run_id = run_ids.get(rule.name)
         try:
-            run_id = run_ids[rule.name]
+            if run_id is None:
+                raise RetentionError(f"no run id was given for rule {rule.name}")
             reports.append(archive_rule(spark, rule, store, hot, as_of, run_id, history, order, clock=clock))
-        except Exception:
-            # The failed rule has left its error event in the history.
+        except Exception as problem:
             if not keep_going:
                 raise
+            if run_id is None and history is not None:
+                history.record([Event("", rule.name, "archive", t.name, 0, (), "error", str(problem), as_of, as_of) for t in rule.tables])
+            failed = [(run_id, rule.name, t.name, 0, 0, 0, 0, 0, hot[t.name].count(), False, "error", str(problem)) for t in rule.tables]
+            reports.append(small_frame(spark, failed, SUMMARY_SCHEMA))
     return union_all(reports) if reports else small_frame(spark, [], SUMMARY_SCHEMA)

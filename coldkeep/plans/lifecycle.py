@@ -4,21 +4,31 @@ from __future__ import annotations
 
 from datetime import datetime
 from decimal import Decimal
+from functools import partial
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldkeep.model import ArchiveCheckFailed, LifecyclePolicy, Rule
 from coldkeep.operators.reports import ageing
+from coldkeep.session import together
 from coldkeep.sources.archive_store import ArchiveStore, Run
+from coldkeep.sources.history import Event, History
 from coldkeep.sources.hot_table import union_all
 
 
 def ageing_report(store: ArchiveStore, rule: Rule, policy: LifecyclePolicy, as_of: datetime) -> DataFrame:
-    """One row per archived run: files, rows, publishing time and the action due."""
+    """One row per archived run: files, rows, publishing time and the action due.
+
+    Runs of another writer are recorded first, dated by their newest file.
+    """
     reports = []
     for table in rule.tables:
-        manifest = store.manifest(store.runs(rule.database, table.name))
+        runs = store.runs(rule.database, table.name)
+        known = store.recorded(runs)
+        together(store.spark, [partial(store.record, r) for r in runs if r not in known])
+        manifest = store.manifest(runs)
         reports.append(
             manifest.groupBy("cutoff_date", "run_id").agg(
                 F.count(F.lit(1)).alias("files"),
@@ -29,18 +39,33 @@ def ageing_report(store: ArchiveStore, rule: Rule, policy: LifecyclePolicy, as_o
     return ageing(union_all(reports), policy, as_of)
 
 
-def delete_expired(store: ArchiveStore, rule: Rule, policy: LifecyclePolicy, as_of: datetime) -> list[Run]:
-    """Delete the runs that are due; returns them. Whole runs only, one folder each."""
+def _due(store: ArchiveStore, rule: Rule, policy: LifecyclePolicy, as_of: datetime, action: str) -> list:
+    """(run, publishing time, rows) of what is due, by run id. One entry per run on the driver."""
+    rows = ageing_report(store, rule, policy, as_of).filter(F.col("action") == action).collect()
+    due = [(Run(rule.database, r["table_name"], r["cutoff_date"], r["run_id"]), r["published_at"], r["rows"]) for r in rows]
+    return sorted(due, key=lambda d: (d[0].run_id, d[0].table, d[0].cutoff_date))
+
+
+def _record(history: History | None, rule: Rule, kind: str, due: list, as_of: datetime) -> None:
+    if history is not None:
+        history.record([
+            Event(run.run_id, rule.name, kind, run.table, rows, (f"{run.database}/{run.table}/{run.folder}",), "success", "", as_of, as_of)
+            for run, _, rows in due
+        ])
+
+
+def delete_expired(store: ArchiveStore, rule: Rule, policy: LifecyclePolicy, as_of: datetime,
+                   history: History | None = None) -> list[Run]:
+    """Delete the runs that are due; returns them. Whole runs only, one folder each.
+
+    An interrupted deletion leaves the manifest, so the run is still due and a repeat finishes it.
+    """
     if not policy.expiration_days:
         return []
-    due = ageing_report(store, rule, policy, as_of).filter(F.col("action") == "expire")
-    runs = [
-        Run(rule.database, r["table_name"], r["cutoff_date"], r["run_id"])
-        for r in due.select("table_name", "cutoff_date", "run_id").collect()
-    ]
-    for run in runs:
-        store.delete(run)
-    return runs
+    due = _due(store, rule, policy, as_of, "expire")
+    together(store.spark, [partial(store.delete, run) for run, _, _ in due])
+    _record(history, rule, "expire", due, as_of)
+    return [run for run, _, _ in due]
 
 
 def _recorded(store: ArchiveStore, run: Run) -> tuple[int, Decimal]:
@@ -48,36 +73,48 @@ def _recorded(store: ArchiveStore, run: Run) -> tuple[int, Decimal]:
     return found[0], found[1]
 
 
+def _copy(store: ArchiveStore, cold: ArchiveStore, run: Run, published_at: datetime) -> None:
+    """Bring one run to the other store, checked, whatever an earlier attempt left there."""
+    recorded = _recorded(store, run)
+    if not cold.recorded([run]):
+        cold.resume(run.run_id)
+    if cold.recorded([run]):
+        if _recorded(cold, run) != recorded:
+            raise ArchiveCheckFailed(f"run {run.run_id} of {run.table} is on cold storage with other rows")
+        return
+    cold.files.delete(cold.run_path(run))  # rows of an attempt that stopped before its manifest
+    store.check_complete([run])
+    [rows] = store.read([run])
+    largest = store.manifest([run]).agg(F.max("rows")).first()[0]
+    cold.open_run(run.run_id)
+    try:
+        copy = cold.stage(run, rows.drop("cutoff_date", "run_id"), (), largest, published_at, "scan")
+        if (copy.rows, copy.digest) != recorded:
+            raise ArchiveCheckFailed(f"copy of run {run.run_id} of {run.table} differs from what was recorded")
+    except Exception:
+        cold.drop_pending(run.run_id)
+        raise
+    cold.publish([run])
+
+
 def move_to_cold(store: ArchiveStore, cold: ArchiveStore, rule: Rule, policy: LifecyclePolicy,
-                 as_of: datetime) -> list[Run]:
+                 as_of: datetime, history: History | None = None) -> list[Run]:
     """Move the runs that are due to an archive store on colder storage; returns them.
 
     Spark copies the rows. A run is deleted at its old place only when the copy holds the
-    rows and digest that were recorded, so an interrupted move is safe to repeat. The
-    publishing time stays, as later steps count the age from it.
+    rows and digest that were recorded; what an interrupted move left is finished or dropped by
+    the next one. The publishing time stays, as later steps count the age from it. Different run
+    ids move side by side. Only this job may write to the cold store meanwhile.
     """
     if not policy.transition_days:
         return []
-    due = ageing_report(store, rule, policy, as_of).filter(F.col("action") == "transition").collect()
-    moved = []
-    for r in due:
-        run = Run(rule.database, r["table_name"], r["cutoff_date"], r["run_id"])
-        recorded = _recorded(store, run)
-        if not cold.files.exists(cold.run_manifest_path(run)):
-            store.check_complete([run])
-            [rows] = store.read([run])
-            largest = store.manifest([run]).agg(F.max("rows")).first()[0]
-            cold.open_run(run.run_id)
-            try:
-                copy = cold.stage(run, rows.drop("cutoff_date", "run_id"), (), largest, r["published_at"], "scan")
-                if (copy.rows, copy.digest) != recorded:
-                    raise ArchiveCheckFailed(f"copy of run {run.run_id} of {run.table} differs from what was recorded")
-            except Exception:
-                cold.drop_pending(run.run_id)
-                raise
-            cold.publish([run])
-        elif _recorded(cold, run) != recorded:
-            raise ArchiveCheckFailed(f"run {run.run_id} of {run.table} is on cold storage with other rows")
-        store.delete(run)
-        moved.append(run)
-    return moved
+    due = _due(store, rule, policy, as_of, "transition")
+
+    def move(of_one_id: list) -> None:
+        for run, published_at, _ in of_one_id:
+            _copy(store, cold, run, published_at)
+            store.delete(run)
+
+    together(store.spark, [partial(move, list(g)) for _, g in groupby(due, key=lambda d: d[0].run_id)])
+    _record(history, rule, "move", due, as_of)
+    return [run for run, _, _ in due]

@@ -20,7 +20,8 @@ from coldkeep.operators.restore import (
     repeated_keys,
     without_existing,
 )
-from coldkeep.session import prepare, small_frame, together, written
+from coldkeep.plans.listing import list_files
+from coldkeep.session import own_folders, prepare, small_frame, together, written
 from coldkeep.sources.archive_store import ArchiveStore, Run
 from coldkeep.sources.history import Event, History
 from coldkeep.sources.hot_table import HotTable, union_all
@@ -60,13 +61,17 @@ def archived_rows(store: ArchiveStore, runs: list[Run], schema: T.StructType, en
 def preview_restore(store: ArchiveStore, rule: Rule, selection: Selection = Selection()) -> DataFrame:
     """Dry run: files and rows per table. Needs no hot table and writes nothing.
 
-    Counts come from the manifest, or from the footers for runs that have none.
+    Only files that are there count, by the listing. Rows come from the manifest, or from the
+    footers for runs that have none.
     """
     reports = []
     for table in rule.selected_tables(selection.table):
         runs = store.runs(rule.database, table.name, selection, required=True)
-        plain = [r for r in runs if not store.files.exists(store.run_manifest_path(r))]
-        counted = [store.manifest(runs).select("file_name", "rows", "run_id", "cutoff_date")]
+        recorded = store.recorded(runs)
+        plain = [r for r in runs if r not in recorded]
+        there = list_files(store, runs).select("file_name", "run_id", "cutoff_date")
+        known = store.manifest(runs).select("file_name", "rows", "run_id", "cutoff_date")
+        counted = [known.join(there, ["file_name", "run_id", "cutoff_date"], "left_semi")]
         counted += [
             df.groupBy(F.col("_metadata.file_name").alias("file_name"), "run_id", "cutoff_date")
             .agg(F.count(F.lit(1)).alias("rows"))
@@ -106,6 +111,11 @@ def restore_table(spark: SparkSession, store: ArchiveStore, runs: list[Run], hot
     """
     if on_conflict not in ("error", "skip"):
         raise ValueError("on_conflict must be 'error' or 'skip'")
+    with own_folders(spark):
+        return _restore_table(spark, store, runs, hot, table, encoding, on_conflict, allow_incomplete)
+
+
+def _restore_table(spark, store, runs, hot, table, encoding, on_conflict, allow_incomplete) -> int:
     if not allow_incomplete:
         store.check_complete(runs)
     key = table.key

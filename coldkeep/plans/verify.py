@@ -2,71 +2,43 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-from fnmatch import fnmatch
 from functools import partial
-from itertools import islice
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coldkeep.functions.names import path_cutoff_date, path_run_id
 from coldkeep.model import Rule, Selection
 from coldkeep.operators.reports import reconcile
 from coldkeep.operators.verify import (
-    FACT_SCHEMA,
     FILE_KEY,
     decoded_facts,
     footer_facts,
     listed_facts,
     merge_facts,
     recorded_facts,
-    undecided,
     with_status,
-    zero_row_paths,
+    zero_row_files,
 )
+from coldkeep.plans.listing import list_files
 from coldkeep.session import prepare, small_frame, together, written
-from coldkeep.sources.archive_store import ARCHIVE_FILES, ArchiveStore, Run
+from coldkeep.sources.archive_store import ArchiveStore, Run
 from coldkeep.sources.hot_table import union_all
 
 # Skips files that are damaged or gone while reading; the comparison finds them.
 LENIENT = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
-_SLICE = 1_000
-_SMALL = 16 * 2**20
-_LISTING_SCHEMA = T.StructType([
-    *[f for f in FACT_SCHEMA if f.name in (*FILE_KEY, "length")], T.StructField("modified_at", T.TimestampType()),
-])
-
 
-def list_files(store: ArchiveStore, runs: list[Run]) -> DataFrame:
-    """Every stored archive file of these runs (of one table) with its size and age.
 
-    Spark lists the files in parallel. It leaves out files of zero bytes, so where a
-    folder has more entries than Spark saw, that one folder is listed directly.
-    """
-    stored = [r for r in runs if store.files.exists(store.run_path(r))]
-    if not stored:
-        return small_frame(store.spark, [], _LISTING_SCHEMA)
-    path = F.col("path")
-    reader = store.spark.read.format("binaryFile").option("pathGlobFilter", ARCHIVE_FILES)
-    seen = reader.load([store.run_path(r) for r in stored]).select(
-        path_cutoff_date(path).alias("cutoff_date"), path_run_id(path).alias("run_id"),
-        F.substring_index(path, "/", -1).alias("file_name"), "length", F.col("modificationTime").alias("modified_at"),
-    )
-    counted = seen.groupBy("cutoff_date", "run_id").count().collect()
-    per_run = {(r["cutoff_date"], r["run_id"]): r["count"] for r in counted}
-    empty = []
-    for run in stored:
-        if store.files.entry_count(store.run_path(run)) > per_run.get((run.cutoff_date, run.run_id), 0):
-            empty += [
-                (run.cutoff_date, run.run_id, name, 0, datetime.fromtimestamp(changed / 1000, timezone.utc))
-                for name, length, changed in store.files.files(store.run_path(run))
-                if length == 0 and fnmatch(name, ARCHIVE_FILES) and not name.startswith(("_", "."))
-            ]
-    return seen.unionByName(small_frame(store.spark, empty, _LISTING_SCHEMA)) if empty else seen
+RESULT_SCHEMA = T.StructType([
+    T.StructField("table_name", T.StringType()),
+    T.StructField("cutoff_date", T.StringType()),
+    T.StructField("run_id", T.StringType()),
+    T.StructField("file_name", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("rows", T.LongType()),
+    T.StructField("recorded_rows", T.LongType()),
+    T.StructField("length", T.LongType()),
+])
 
 
 def file_facts(store: ArchiveStore, runs: list[Run]) -> DataFrame:
@@ -79,53 +51,25 @@ def file_facts(store: ArchiveStore, runs: list[Run]) -> DataFrame:
     return written(store.spark, merge_facts(reports), "file-facts")
 
 
-def _reads_as_empty(spark: SparkSession, path: str) -> bool:
-    try:
-        return spark.read.parquet(path).isEmpty()
-    except (PySparkException, Py4JJavaError):
-        return False
-
-
-def find_zero_row_files(store: ArchiveStore, database: str, table: str, facts: DataFrame) -> DataFrame | None:
-    """Open the few files nothing else could judge, a slice of them at a time.
-
-    A file without rows is little more than a footer, so only small files have their
-    content looked at in tasks. A large one is almost surely damaged; it is read by
-    Spark alone, which never holds it in memory.
-    """
-    base = store.table_path(database, table)
-    waiting = undecided(facts).select(*FILE_KEY, "length").toLocalIterator()
-    path = F.col("path")
-    found = []
-    while block := list(islice(waiting, _SLICE)):
-        paths = {tuple(r)[:3]: f"{base}/cutoff_date={r[0]}/run_id={r[1]}/{r[2]}" for r in block}
-        small = [paths[tuple(r)[:3]] for r in block if r["length"] <= _SMALL]
-        large = [key for key in (tuple(r)[:3] for r in block if r["length"] > _SMALL)
-                 if _reads_as_empty(store.spark, paths[key])]
-        if small:
-            sound = zero_row_paths(store.spark, small).select(
-                path_cutoff_date(path).alias("cutoff_date"), path_run_id(path).alias("run_id"),
-                F.substring_index(path, "/", -1).alias("file_name"),
-            )
-            found.append(written(store.spark, sound, "zero-row"))
-        if large:
-            found.append(small_frame(store.spark, large, T.StructType(FACT_SCHEMA.fields[:3])))
-    return union_all(found) if found else None
-
-
 def verify_runs(store: ArchiveStore, table: str, runs: list[Run]) -> DataFrame:
     """Status of every file of these runs (of one table)."""
+    if not runs:
+        return small_frame(store.spark, [], RESULT_SCHEMA)
     facts = file_facts(store, runs)
-    empties = find_zero_row_files(store, runs[0].database, table, facts)
+    empties = zero_row_files(facts, store.files.qualified(store.table_path(runs[0].database, runs[0].table)))
     return with_status(facts, empties).select(F.lit(table).alias("table_name"), *FILE_KEY, "status", "rows",
                                               "recorded_rows", "length")
 
 
-def verify_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, selection: Selection = Selection()) -> DataFrame:
-    """Status of every selected file of a rule; damaged files do not stop the run."""
+def verify_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, selection: Selection = Selection(),
+                required: bool = True) -> DataFrame:
+    """Status of every selected file of a rule; damaged files do not stop the run.
+
+    A table without any run is an error unless `required` is switched off.
+    """
     prepare(spark)
     chosen = [
-        (table.name, store.runs(rule.database, table.name, selection, required=True))
+        (table.name, store.runs(rule.database, table.name, selection, required))
         for table in rule.selected_tables(selection.table)
     ]
     return union_all(together(spark, [partial(verify_runs, store, name, runs) for name, runs in chosen]))
@@ -145,4 +89,4 @@ def verify_against_history(spark: SparkSession, rule: Rule, store: ArchiveStore,
     if selection.cutoff_date is not None:
         marker = f"/cutoff_date={selection.cutoff_date}/"
         mine = mine.filter(F.exists("files", lambda f: F.contains(f, F.lit(marker))))
-    return reconcile(mine, verify_rule(spark, rule, store, selection), full)
+    return reconcile(mine, verify_rule(spark, rule, store, selection, required=False), full)

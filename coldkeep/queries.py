@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coldkeep.functions import canonical, names, numbers
@@ -16,7 +16,8 @@ from coldkeep.model import KeyAuditFailed, LifecyclePolicy, Rule, Selection, Tab
 from coldkeep.operators import batches, chunks, expire, keys, purge, reports, verify
 from coldkeep.operators.restore import conflicts_with_hot, key_counts
 from coldkeep.plans import archive, lifecycle, restore
-from coldkeep.plans.verify import list_files, verify_against_history, verify_rule
+from coldkeep.plans.listing import list_files
+from coldkeep.plans.verify import verify_against_history, verify_rule
 from coldkeep.session import prepare, workspace
 from coldkeep.sources.archive_store import ArchiveStore
 from coldkeep.sources.history import HISTORY_SCHEMA, History
@@ -141,15 +142,21 @@ def key_report(spark, sf_dir):
 # -- purging by key and by chunk --------------------------------------------------
 
 
+def _purged(spark, sf_dir, rule_table, as_of):
+    """A table in one piece after the job's own purge of an archived run."""
+    scene = Scene(spark, sf_dir)
+    rule, hot = rule_of(rule_table, batch=100_000), {rule_table.name: scene.adopt(rule_table.name)}
+    scene.archive(rule, hot, as_of, "0000aaaa", purge=False)
+    archive.purge_run(scene.store, rule, hot, as_of, "0000aaaa")
+    return hot[rule_table.name].df()
+
+
 def purge_single_key(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    keys_gone = purge.distinct_keys(spark, expired_rows(spark, sf_dir), ORDERS.key)
-    return purge.purge_by_key(orders, keys_gone, ORDERS.key)
+    return _purged(spark, sf_dir, ORDERS, ORDERS_AS_OF)
 
 
 def purge_composite_key(spark, sf_dir):
-    keys_gone = purge.distinct_keys(spark, expired_keys(spark, sf_dir), EVENTS.key)
-    return purge.purge_by_key(table(spark, sf_dir, "events"), keys_gone, EVENTS.key)
+    return _purged(spark, sf_dir, EVENTS, EVENTS_AS_OF)
 
 
 def purge_hits(spark, sf_dir):
@@ -174,7 +181,7 @@ def chunk_purge(spark, sf_dir):
     hot = _chunked_events(scene)
     scene.archive(rule_of(EVENTS), hot, EVENTS_AS_OF, "0000aaaa", purge=False)
     run = scene.store.runs("shop", "events")[0]
-    archive.drop_archived_chunks(scene.store, run, EVENTS, hot["events"], EVENTS_CUTOFF)
+    archive.drop_archived_chunks(scene.store, run, rule_of(EVENTS), EVENTS, hot["events"], EVENTS_CUTOFF)
     return hot["events"].df()
 
 
@@ -202,6 +209,47 @@ def purge_spares_late_rows(spark, sf_dir):
     return hot["events"].df()
 
 
+def purge_repeated_key(spark, sf_dir):
+    """Rows with an archived key but other content, added before the purge, stay in the hot table."""
+    scene = Scene(spark, sf_dir)
+    hot = _chunked_events(scene)
+    scene.archive(rule_of(EVENTS), hot, EVENTS_AS_OF, "0000aaaa", purge=False)
+    changed = scene.rows("events").filter(F.col("event_type") == "error").withColumn("value", F.col("value") + 1)
+    hot["events"].append(expire.expired(changed, "ts", EVENTS_CUTOFF), EVENTS.key)
+    archive.purge_run(scene.store, rule_of(EVENTS), hot, EVENTS_AS_OF, "0000aaaa")
+    return hot["events"].df()
+
+
+def _chunk_folders(scene: Scene, df: DataFrame, unit: str, name: str) -> str:
+    """Rows as plain folders named by chunk, as another writer leaves them."""
+    folder = f"{scene.root}/raw/{name}"
+    df.withColumn("chunk_start", chunks.chunk_name("ts", unit)).write.mode("append").partitionBy("chunk_start").parquet(folder)
+    return folder
+
+
+def purge_odd_weeks(spark, sf_dir):
+    """Adopted weekly folders that begin on Thursdays: dropped by their own bounds, and accounted for."""
+    scene = Scene(spark, sf_dir)
+    folder = _chunk_folders(scene, scene.rows("events"), "week+3", "events")
+    hot = {"events": HotTable.adopt_chunks(scene.spark, f"{scene.root}/hot/events", folder, "ts", "week")}
+    return scene.archive(rule_of(EVENTS), hot, EVENTS_AS_OF, "0000aaaa").select(
+        "rows_archived", "chunks_dropped", "chunk_deleted", "key_deleted", "rows_remaining", "mismatch")
+
+
+def adopt_schema_drift(spark, sf_dir):
+    """Weekly folders of which the later ones have one more column: archived and kept rows carry it."""
+    scene = Scene(spark, sf_dir)
+    events, step = scene.rows("events"), datetime(2024, 1, 8)
+    _chunk_folders(scene, expire.expired(events, "ts", step), "week", "events")
+    later = expire.unexpired(events, "ts", step).withColumn("kind", F.upper("event_type"))
+    folder = _chunk_folders(scene, later, "week", "events")
+    hot = {"events": HotTable.adopt_chunks(scene.spark, f"{scene.root}/hot/events", folder, "ts", "week")}
+    scene.archive(rule_of(EVENTS), hot, EVENTS_AS_OF, "0000aaaa")
+    schema = hot["events"].schema()
+    archived = restore.archived_rows(scene.store, scene.store.runs("shop", "events"), schema).select(*schema.fieldNames())
+    return union_all([archived.withColumn("tier", F.lit("archive")), hot["events"].df().withColumn("tier", F.lit("hot"))])
+
+
 # -- archiving --------------------------------------------------------------------
 
 
@@ -327,7 +375,7 @@ def archive_all_rules(spark, sf_dir):
     runs = {"orders": "00000001", "lineitem": "00000002", "events": "00000003"}
     return archive.archive_all_rules(
         spark, rules, scene.store, hot, EVENTS_AS_OF, runs, scene.history, keep_going=True
-    ).select(*_SUMMARY)
+    ).select(*_SUMMARY, "status")
 
 
 def run_summary(spark, sf_dir):
@@ -374,6 +422,17 @@ def restore_preview(spark, sf_dir):
     return restore.preview_restore(scene.store, rule)
 
 
+def restore_preview_lost(spark, sf_dir):
+    """The first file of each run is gone; the dry run counts what is left."""
+    scene = Scene(spark, sf_dir)
+    rule, _ = scene.orders_in_steps(order="exact")
+    runs = scene.store.runs("shop", "orders")
+    first = {r["run_id"]: r["file_name"] for r in scene.store.batches(runs).filter(F.col("batch") == 0).collect()}
+    for run in runs:
+        scene.store.files.delete(f"{scene.store.run_path(run)}/{first[run.run_id]}")
+    return restore.preview_restore(scene.store, rule)
+
+
 def _half_restored(scene: Scene) -> tuple[Rule, dict[str, HotTable]]:
     """Everything before the cutoff archived and purged, then the oldest rows put back."""
     rule, hot = rule_of(ORDERS), {"orders": scene.adopt("orders")}
@@ -446,6 +505,16 @@ def verify_archive(spark, sf_dir):
     return verified.join(batch, ["run_id", "file_name"], "left").select("run_id", "batch", "status", "rows")
 
 
+def verify_unrecorded(spark, sf_dir):
+    """Runs of another writer, without manifests: sound, without rows, and damaged."""
+    scene = Scene(spark, sf_dir)
+    orders, base = expired_rows(spark, sf_dir), scene.store.table_path("shop", "orders")
+    for run_id, rows in (("aaaa0001", orders), ("aaaa0002", orders.limit(0)), ("aaaa0003", orders)):
+        rows.coalesce(1).write.parquet(f"{base}/cutoff_date=1997-01-01/run_id={run_id}")
+    scene.store.files.write_text(f"{base}/cutoff_date=1997-01-01/run_id=aaaa0003/x.parquet", "PAR1 not parquet PAR1")
+    return verify_rule(spark, rule_of(ORDERS), scene.store).select("run_id", "status", "rows")
+
+
 def verify_totals(spark, sf_dir):
     scene = Scene(spark, sf_dir)
     return verify.totals(verify_rule(spark, _damaged(scene), scene.store))
@@ -487,6 +556,27 @@ def history_reconcile_full(spark, sf_dir):
     return _reconciled(spark, sf_dir, True)
 
 
+def reconcile_empty_run(spark, sf_dir):
+    """A second run that found nothing to archive is not missing."""
+    scene = Scene(spark, sf_dir)
+    rule, hot = rule_of(ORDERS), {"orders": scene.adopt("orders")}
+    for run_id in ("00000001", "00000002"):
+        scene.archive(rule, hot, ORDERS_AS_OF, run_id)
+    return verify_against_history(spark, rule, scene.store, scene.history.df())
+
+
+def reconcile_after_lifecycle(spark, sf_dir):
+    """Of three runs one expired, one moved and one was lost, so none is left here."""
+    scene = Scene(spark, sf_dir)
+    rule, _ = scene.orders_in_steps()
+    first, second, third = (as_of_for(c) for c in STEPS.values())
+    lifecycle.delete_expired(scene.store, rule, LifecyclePolicy(0, 100), first + timedelta(days=100), scene.history)
+    cold = ArchiveStore(spark, f"{scene.root}/cold")
+    lifecycle.move_to_cold(scene.store, cold, rule, LifecyclePolicy(100, 0), second + timedelta(days=100), scene.history)
+    scene.store.delete(scene.store.runs("shop", "orders", Selection(run_id="c0ffee03"))[0])
+    return verify_against_history(spark, rule, scene.store, scene.history.df())
+
+
 # -- history ----------------------------------------------------------------------
 
 
@@ -502,12 +592,22 @@ def history_append(spark, sf_dir):
     except KeyAuditFailed:
         pass
     restore.restore_rule(spark, rule, scene.store, hot, ORDERS_AS_OF, Selection(run_id="00000002"), scene.history)
-    return reports.files_as_json(scene.history.df()).select(
+    # Ids only rise; their rank is the same in every run.
+    ranked = scene.history.df().withColumn("id", F.row_number().over(Window.orderBy("id")).cast("bigint"))
+    return reports.files_as_json(ranked).select(
         "id", "run_id", "rule", "event_type", "table_name", "row_count", "files", "status",
         (F.length("error_message") > 0).alias("has_error_message"),
     )
 
 
+def history_files(spark, sf_dir):
+    """File lists to JSON text and back."""
+    events = _events_as_history(spark, sf_dir).withColumn(
+        "files", F.filter(F.array("rule", "run_id", F.lit(None)), lambda f: F.coalesce(f != "error", F.lit(False))))
+    back = reports.files_from_json(reports.files_as_json(events))
+    return back.select("id", F.size("files").cast("bigint").alias("n_files"), F.array_join("files", "|").alias("joined"))
+
+
 def _events_as_history(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.select(
@@ -548,6 +648,18 @@ def canonical_decode(spark, sf_dir):
     return canonical.decode(canonical.encode(events), events.schema)
 
 
+def canonical_bool(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return canonical.encode(events.select("event_id", (F.col("event_type") == "error").alias("is_error"), F.col("value").cast("float").alias("value")))
+
+
+def canonical_nested(spark, sf_dir):
+    """Microseconds inside a nested value survive the encoding."""
+    nested = table(spark, sf_dir, "events").select("event_id", F.struct("ts", "user_id", F.array("ts").alias("all")).alias("at"))
+    back = canonical.decode(canonical.encode(nested), nested.schema)
+    return back.select("event_id", "at.ts", "at.user_id", F.col("at.all")[0].alias("again"))
+
+
 def canonical_by_db_type(spark, sf_dir):
     """Orders encoded by declared database types; the table lacks one declared column."""
     declared = {
@@ -623,22 +735,50 @@ def lifecycle_move(spark, sf_dir):
     ])
 
 
+def lifecycle_resume(spark, sf_dir):
+    """A deletion that stopped after the rows and a copy that died while writing are finished by a repeat."""
+    scene = Scene(spark, sf_dir)
+    rule, _ = scene.orders_in_steps()
+    runs = {r.run_id: r for r in scene.store.runs("shop", "orders")}
+    cold = ArchiveStore(spark, f"{scene.root}/cold")
+    scene.store.files.delete(scene.store.run_path(runs["00000001"]))
+    cold.open_run("12e45678")
+    first, second = as_of_for(STEPS["00000001"]), as_of_for(STEPS["12e45678"])
+    lifecycle.delete_expired(scene.store, rule, LifecyclePolicy(0, 100), first + timedelta(days=100))
+    lifecycle.move_to_cold(scene.store, cold, rule, LifecyclePolicy(100, 0), second + timedelta(days=100))
+    return union_all([
+        store.manifest(store.runs("shop", "orders")).groupBy("run_id").agg(F.sum("rows").cast("bigint").alias("rows"))
+        .withColumn("tier", F.lit(tier)) for tier, store in (("archive", scene.store), ("cold", cold))
+    ])
+
+
+def lifecycle_foreign_run(spark, sf_dir):
+    """A run of another writer is recorded when archives are aged, and ages like any other."""
+    scene = Scene(spark, sf_dir)
+    rule, _ = scene.orders_in_steps()
+    base = scene.store.table_path("shop", "orders")
+    expire.unexpired(scene.rows("orders"), "o_orderdate", ORDERS_CUTOFF).write.parquet(f"{base}/cutoff_date=2001-01-01/run_id=f0e1d2c3")
+    report = lifecycle.ageing_report(scene.store, rule, LifecyclePolicy(0, 36_500), datetime(2100, 1, 1))
+    return report.select("run_id", "rows", "action")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         expired_rows, expired_events, expired_keys, expired_null_dates, kept_null_dates, retention_preview,
         batch_plan, batch_plan_composite, key_audit, key_report,
         purge_single_key, purge_composite_key, purge_hits, chunk_inventory, chunk_purge, purge_chunked_table,
-        purge_accounting, purge_spares_late_rows,
+        purge_accounting, purge_spares_late_rows, purge_repeated_key, purge_odd_weeks, adopt_schema_drift,
         archive_roundtrip, archive_publish, archive_abort, archive_idempotent, archive_manifest, archive_listing,
         archive_late_rows, archive_select,
         archive_rule, archive_all_rules, run_summary,
-        restore_append, restore_one_run, restore_chunked_table, restore_preview, restore_conflicts,
+        restore_append, restore_one_run, restore_chunked_table, restore_preview, restore_preview_lost, restore_conflicts,
         restore_skip_existing, restore_schema_drift, restore_canonical,
-        verify_archive, verify_totals, incremental_verify, history_reconcile, history_reconcile_full,
-        history_append, history_recent, history_durations,
-        canonical_encode, canonical_decode, canonical_by_db_type, canonical_narrowing,
+        verify_archive, verify_unrecorded, verify_totals, incremental_verify, history_reconcile, history_reconcile_full,
+        reconcile_empty_run, reconcile_after_lifecycle,
+        history_append, history_files, history_recent, history_durations,
+        canonical_encode, canonical_decode, canonical_bool, canonical_nested, canonical_by_db_type, canonical_narrowing,
         sanitize_identifiers, parse_archive_key, format_counts,
-        archive_lifecycle, lifecycle_move, lifecycle_delete,
+        archive_lifecycle, lifecycle_move, lifecycle_delete, lifecycle_resume, lifecycle_foreign_run,
     )
 }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextvars
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
@@ -22,7 +25,9 @@ REQUIRED = {
 }
 
 _local_workspaces: dict[str, str] = {}
-_folders: list[str] = []
+# Folders of the job that is running, or of no job.
+_folders: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("folders", default=None)
+_left: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -36,36 +41,56 @@ def prepare(spark: SparkSession) -> SparkSession:
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A fresh folder on storage that driver and executors share.
 
-    It lies under `spark.checkpoint.dir`. Only a local-mode session without that
-    setting gets a temporary folder; on a cluster the setting is required, because a
-    machine-local folder is lost together with its executor.
+    It lies under `spark.checkpoint.dir`. A session of one process (`local[...]`) may leave
+    that unset, as in tests, and gets a temporary folder; with executors of their own
+    (`local-cluster` included) the setting is required, because a machine-local folder is
+    not seen by all of them. A job's folders go when the job ends (`own_folders`).
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         app = context.applicationId
         if app not in _local_workspaces:
             _local_workspaces[app] = "file:" + tempfile.mkdtemp(prefix="coldkeep-")
         base = _local_workspaces[app]
     folder = f"{base.rstrip('/')}/coldkeep/{purpose}-{uuid.uuid4().hex}"
-    _folders.append(folder)
+    owned = _folders.get()
+    (_left if owned is None else owned).append(folder)
     return folder
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the working folders this process made so far; returns how many there were.
+    """Delete the working folders that belong to no job; returns how many there were.
 
-    For the end of a job: DataFrames that still read them become unusable.
+    Those of running jobs stay. DataFrames that still read the others become unusable.
     """
     files = Files(spark)
-    count = len(_folders)
-    while _folders:
-        files.delete(_folders.pop())
+    count = len(_left)
+    while _left:
+        files.delete(_left.pop())
     return count
 
 
+@contextmanager
+def own_folders(spark: SparkSession) -> Iterator[None]:
+    """A job whose working folders are deleted when it ends, well or not.
+
+    Its result must not read them. Threads of `together` belong to the job; a job
+    within a job has folders of its own.
+    """
+    folders: list[str] = []
+    token = _folders.set(folders)
+    try:
+        yield
+    finally:
+        _folders.reset(token)
+        files = Files(spark)
+        for folder in folders:
+            files.delete(folder)
+
+
 def written(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     """The rows as a table in the shared folder, read back.
 
@@ -97,5 +122,5 @@ def together(spark: SparkSession, work: list[Callable], at_once: int = 4) -> lis
     if len(work) < 2:
         return [step() for step in work]
     with ThreadPoolExecutor(max_workers=min(len(work), at_once)) as pool:
-        waiting = [pool.submit(inheritable_thread_target(spark)(step)) for step in work]
+        waiting = [pool.submit(contextvars.copy_context().run, inheritable_thread_target(spark)(step)) for step in work]
     return [w.result() for w in waiting]

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 from decimal import Decimal
 from typing import NamedTuple
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coldkeep.functions.digest import file_totals
+from coldkeep.functions.digest import file_totals, grouped_totals
 from coldkeep.functions.names import sanitize
 from coldkeep.model import ArchiveIncomplete, NoArchiveFiles, RunExists, Selection, check_run_id
 from coldkeep.operators.batches import in_exact_batches, in_key_order, roll_over, writer_task
@@ -119,17 +119,17 @@ class ArchiveStore:
         self.files.make_directory(self.pending_path(run_id))
 
     def stage(self, run: Run, rows: DataFrame, key: tuple[str, ...], batch_size: int,
-              published_at: datetime, order: str = "key") -> Totals:
+              published_at: datetime, order: str = "scan") -> Totals:
         """Write rows to the pending area with at most `batch_size` per file.
 
-        `order` is "key" for files in key order (one range shuffle), "exact" for whole
-        batches as well (one write and shuffle more), or "scan" for the order of the
-        source without any shuffle. The totals returned, like the staged manifest, come
+        `order` is "scan" for the order of the source, without any shuffle, "key" for files
+        in key order (one range shuffle), or "exact" for whole batches as well (one write
+        and shuffle more). The totals returned, like the staged manifest, come
         from reading the files back. Staging no rows is an error.
         """
         if order not in ORDERS:
             raise ValueError(f"order must be one of {ORDERS}")
-        if self.files.exists(self.run_path(run)):
+        if self.runs(run.database, run.table, Selection(run_id=run.run_id)):
             raise RunExists(f"run {run.run_id} of {run.table} is already published")
         taken = [c for c in rows.columns if c.lower() in ("cutoff_date", "run_id")]
         if taken:
@@ -200,21 +200,56 @@ class ArchiveStore:
         """
         published, dropped = [], []
         for run_id in self.pending_runs():
-            if not self.files.exists(f"{self.pending_path(run_id)}/{_CHECKED}"):
-                self.drop_pending(run_id)
-                dropped.append(run_id)
-                continue
-            found = self._runs_in_pending(run_id)
-            self.publish(found)
-            self.drop_pending(run_id)
+            found = self.resume(run_id)
             published += found
+            if not found:
+                dropped.append(run_id)
         return published, dropped
 
     def delete(self, run: Run) -> None:
-        """Remove one published run; the manifest goes first, as it marks the run complete."""
+        """Remove one published run: rows first, so an interrupted deletion is still listed and can be repeated."""
         self._schemas.pop(run, None)
-        self.files.delete(self.run_manifest_path(run))
         self.files.delete(self.run_path(run))
+        self.files.delete(self.run_manifest_path(run))
+
+    def resume(self, run_id: str) -> list[Run]:
+        """Finish a run that was staged and checked, or drop it; returns what was published."""
+        if not self.files.exists(f"{self.pending_path(run_id)}/{_CHECKED}"):
+            self.drop_pending(run_id)
+            return []
+        found = self._runs_in_pending(run_id)
+        self.publish(found)
+        self.drop_pending(run_id)
+        return found
+
+    def stored(self, runs: list[Run]) -> list[Run]:
+        """Those of some runs (of one table) that have a folder of rows; one listing for all."""
+        return self._present(self.table_path(runs[0].database, runs[0].table), runs) if runs else []
+
+    def recorded(self, runs: list[Run]) -> list[Run]:
+        """Those of some runs (of one table) that have a manifest; one listing for all."""
+        return self._present(self.manifest_path(runs[0].database, runs[0].table), runs) if runs else []
+
+    def _present(self, base: str, runs: list[Run]) -> list[Run]:
+        there = {"/".join(path.split("/")[-2:]) for path in self.files.glob(f"{base}/cutoff_date=*/run_id=*")}
+        return [r for r in runs if r.folder in there]
+
+    def record(self, run: Run) -> None:
+        """Give a run of another writer its manifest, dated by its newest file, so that it ages like any other."""
+        found = self.by_schema([run])
+        if not found:
+            raise ArchiveIncomplete(f"run {run.run_id} of {run.table} has no readable file")
+        [(schema, _)] = found
+        changed = max(ms for name, _, ms in self.files.files(self.run_path(run)) if name.endswith(".parquet"))
+        at = datetime.fromtimestamp(changed / 1000, timezone.utc).replace(tzinfo=None)
+        rows = self.spark.read.schema(schema).option("pathGlobFilter", ARCHIVE_FILES).parquet(self.run_path(run))
+        draft = f"{self.root}/_drafts/{sanitize(run.database)}/{sanitize(run.table)}/{run.folder}"
+        self.files.delete(draft)
+        file_totals(rows).select(
+            "file_name", "rows", "digest", F.lit(_schema_text(schema)).alias("schema_json"),
+            F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz").alias("published_at"),
+        ).write.parquet(draft)
+        self.files.rename(draft, self.run_manifest_path(run))
 
     # -- finding ----------------------------------------------------------------
 
@@ -250,7 +285,7 @@ class ArchiveStore:
 
     def manifest(self, runs: list[Run]) -> DataFrame:
         """One row per recorded file of these runs (of one table)."""
-        recorded = [r for r in runs if self.files.exists(self.run_manifest_path(r))]
+        recorded = self.recorded(runs)
         if not recorded:
             return small_frame(self.spark, [], T.StructType([*MANIFEST_SCHEMA.fields, *RUN_COLUMNS]))
         base = self.manifest_path(recorded[0].database, recorded[0].table)
@@ -288,7 +323,7 @@ class ArchiveStore:
         many runs there are. A run without a manifest has its footers read, and is left
         out if none of them is readable.
         """
-        stored = [r for r in runs if self.files.exists(self.run_path(r))]
+        stored = self.stored(runs)
         unknown = [r for r in stored if r not in self._schemas]
         if unknown:
             recorded = self.manifest(unknown).select("cutoff_date", "run_id", "schema_json").distinct().collect()
@@ -314,26 +349,28 @@ class ArchiveStore:
         ]
 
     def check_complete(self, runs: list[Run]) -> None:
-        """Raise if stored files of these runs hold other row counts than were recorded.
+        """Raise if stored files of these runs hold other rows than were recorded.
 
-        Counts come from manifests and footers. A run without a manifest passes if it
-        can be read at all.
+        Rows and content digest per run, from the manifest and from a full read. A run without
+        a manifest passes if it can be read at all.
         """
         readable = {r for _, members in self.by_schema(runs) for r in members}
         recorded = {
-            (r["cutoff_date"], r["run_id"]): r["rows"]
-            for r in self.manifest(runs).groupBy("cutoff_date", "run_id").agg(F.sum("rows").alias("rows")).collect()
+            (r["cutoff_date"], r["run_id"]): (r["rows"], r["digest"])
+            for r in self.manifest(runs).groupBy("cutoff_date", "run_id").agg(
+                F.sum("rows").alias("rows"), F.sum("digest").alias("digest")).collect()
         }
-        stored: dict[tuple[str, str], int] = {}
+        stored: dict[tuple[str, str], tuple] = {}
         for df in self.read(runs):
-            for r in df.groupBy("cutoff_date", "run_id").agg(F.count(F.lit(1)).alias("rows")).collect():
-                stored[r["cutoff_date"], r["run_id"]] = r["rows"]
+            by = {c.name: F.col(c.name) for c in RUN_COLUMNS}
+            for r in grouped_totals(df, by, [c for c in df.columns if c not in by]).collect():
+                stored[r["cutoff_date"], r["run_id"]] = (r["rows"], r["digest"])
         # One entry per run on the driver.
         bad = [
             r.run_id for r in runs
             if r not in readable
-            or recorded.get((r.cutoff_date, r.run_id), stored.get((r.cutoff_date, r.run_id), 0))
-            != stored.get((r.cutoff_date, r.run_id), 0)
+            or recorded.get((r.cutoff_date, r.run_id), stored.get((r.cutoff_date, r.run_id)))
+            != stored.get((r.cutoff_date, r.run_id))
         ]
         if bad:
             raise ArchiveIncomplete(f"archived runs {bad} of {runs[0].table} do not hold the rows that were recorded")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import secrets
+import time
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.session import small_frame
@@ -59,10 +60,16 @@ class History:
         return self.spark.read.schema(HISTORY_SCHEMA).parquet(self.path)
 
     def record(self, events: list[Event]) -> None:
-        """Append events with increasing ids."""
+        """Append events. Ids rise with the time of recording and need no read of the history.
+
+        An id is the microsecond of recording, plus the place in the call, and ten random bits,
+        so that jobs that record at the same moment differ.
+        """
         if not events:
             return
-        last = self.df().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        now = time.time_ns() // 1_000
         names = HISTORY_SCHEMA.fieldNames()[1:]
-        rows = [(last + i, *[getattr(event, n) for n in names]) for i, event in enumerate(events, start=1)]
+        rows = [
+            ((now + i) << 10 | secrets.randbits(10), *[getattr(event, n) for n in names]) for i, event in enumerate(events)
+        ]
         small_frame(self.spark, rows, HISTORY_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)

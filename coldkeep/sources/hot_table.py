@@ -13,15 +13,19 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, replace
-from datetime import datetime
+from datetime import date, datetime
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coldkeep.model import CHUNK_UNITS, RetentionError
-from coldkeep.operators.chunks import UNDATED, chunk_name
+from coldkeep.model import CHUNK_UNITS, RetentionError, SchemaMismatch
+from coldkeep.operators.chunks import UNDATED, chunk_name, unit_of
 from coldkeep.operators.expire import expired
+from coldkeep.operators.restore import align
 from coldkeep.session import small_frame
 from coldkeep.sources.fs import Files
 
@@ -65,13 +69,19 @@ class HotTable:
     def adopt(cls, spark: SparkSession, root: str, paths: list[str]) -> HotTable:
         """A table over existing Parquet paths. They are read in place, never changed."""
         table = cls(spark, root)
-        schema = spark.read.parquet(paths[0]).schema
-        table._publish(Snapshot(0, schema, tuple(Part(table.files.qualified(p)) for p in paths), None, None))
+        parts = tuple(Part(table.files.qualified(p)) for p in paths)
+        table._publish(Snapshot(0, table._common_schema(parts), parts, None, None))
         return table
 
     @classmethod
     def adopt_chunks(cls, spark: SparkSession, root: str, folder: str, date_column: str, unit: str) -> HotTable:
-        """A chunked table over existing `chunk_start=YYYY-MM-DD` folders, read in place."""
+        """A chunked table over existing `chunk_start=YYYY-MM-DD` folders, read in place.
+
+        Weeks may begin on any one weekday. Folder names that are no starts of the unit,
+        and rows that lie in another chunk than their folder says, are errors.
+        """
+        if unit not in CHUNK_UNITS:
+            raise ValueError(f"chunks need one of {CHUNK_UNITS}")
         table = cls(spark, root)
         base = table.files.qualified(folder)
         parts = [
@@ -81,10 +91,33 @@ class HotTable:
         ]
         if not parts:
             raise RetentionError(f"no {_PREFIX}... folders in {folder}")
-        schema = spark.read.parquet(parts[0].path).schema
-        table._publish(Snapshot(0, schema, tuple(parts), date_column, unit))
+        unit = unit_of(unit, [date.fromisoformat(p.chunk) for p in parts if p.chunk != UNDATED])
+        snapshot = Snapshot(0, table._common_schema(parts), tuple(parts), date_column, unit)
+        rows = spark.read.schema(T.StructType([*snapshot.schema.fields, T.StructField(_CHUNK, T.StringType())])).option(
+            "basePath", base).parquet(*[p.path for p in parts])
+        # The folder name read as text; Spark writes and reads a NULL partition as its own default name.
+        astray = rows.filter(chunk_name(date_column, unit) != F.coalesce(F.col(_CHUNK), F.lit(UNDATED))).limit(1).count()
+        if astray:
+            raise RetentionError(f"{folder}: rows lie in other chunks of a {unit} than their folders say")
+        table._publish(snapshot)
         return table
 
+    def _common_schema(self, parts: list[Part] | tuple[Part, ...]) -> T.StructType:
+        """The columns of all parts together, from the footers of all their files."""
+        try:
+            return self.spark.read.option("mergeSchema", "true").parquet(*[p.path for p in parts]).schema
+        except (PySparkException, Py4JJavaError) as problem:
+            raise SchemaMismatch(f"the parts of {self.root} have columns of one name but different types") from problem
+
+    def check_columns(self, parts: list[Part] | tuple[Part, ...]) -> None:
+        """Raise if adopted parts hold columns the table does not know, which a read would drop."""
+        adopted = [p for p in parts if ":" in p.path]
+        if adopted:
+            known = self.schema().fieldNames()
+            extra = [c for c in self._common_schema(adopted).fieldNames() if c not in known and c != _CHUNK]
+            if extra:
+                raise SchemaMismatch(f"{self.root}: column(s) {extra} appeared in adopted parts; adopt them anew")
+
     @classmethod
     def load(cls, spark: SparkSession, root: str, df: DataFrame,
              date_column: str | None = None, unit: str | None = None,
@@ -140,8 +173,9 @@ class HotTable:
 
         Rows for a chunked table are first ranged over (chunk, date, `cluster_by`): that
         cuts a huge chunk into many tasks and keeps small ones together, so neither a
-        hot chunk nor a flood of tiny files appears. None says that the rows were read
-        from chunk folders and already lie together, so nothing is shuffled.
+        hot chunk nor a flood of tiny files appears. Without `cluster_by` a hash of the row breaks ties, so one date with
+        most rows is split as well. None says that the rows were read from chunk folders
+        and already lie together, so nothing is shuffled.
         """
         snapshot = self.snapshot()
         folder = f"v={version}"
@@ -154,6 +188,8 @@ class HotTable:
         df = df.withColumn(_CHUNK, chunk_name(snapshot.date_column, snapshot.unit))
         if cluster_by is not None:
             rest = [c for c in cluster_by if c != snapshot.date_column]
+            if not rest:
+                rest = [F.xxhash64(*[c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)])]
             df = df.repartitionByRange(_CHUNK, snapshot.date_column, *rest)
         df.write.partitionBy(_CHUNK).parquet(target)
         return [
@@ -171,11 +207,18 @@ class HotTable:
         self._publish(replace(snapshot, version=version, parts=(*kept, *added)))
 
     def append(self, df: DataFrame, cluster_by: tuple[str, ...] = ()) -> None:
-        """Add rows, matched by column name; existing folders are not touched."""
+        """Add rows, matched by column name; existing folders are not touched.
+
+        A column the table lacks is added to it and is NULL in older rows. Types may be
+        narrower than the table's, never wider.
+        """
         snapshot = self.snapshot()
         version = snapshot.version + 1
-        added = self.write_parts(df.select(*snapshot.schema.fieldNames()), version, cluster_by)
-        self._publish(replace(snapshot, version=version, parts=(*snapshot.parts, *added)))
+        known = snapshot.schema.fieldNames()
+        more = [T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name not in known]
+        schema = T.StructType([*snapshot.schema.fields, *more])
+        added = self.write_parts(align(df, schema), version, cluster_by)
+        self._publish(replace(snapshot, version=version, schema=schema, parts=(*snapshot.parts, *added)))
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete pointers but the newest `keep` and every folder of this table that none

@@ -1,24 +1,29 @@
 """PostgreSQL, MySQL and TimescaleDB tables through Spark's JDBC source.
 
 The driver jar comes with the Spark submission. Reads are split over `connections`
-tasks by ranges of one column, writes use the same number of connections, and the date
-filter is pushed into the database.
+tasks by ranges of one column (for expired rows the date, up to the cutoff), writes use
+the same number of connections, and the date filter is pushed into the database.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from coldkeep.functions.names import sanitize
 from coldkeep.model import KeyAuditFailed, RetentionError, UnknownTable
 from coldkeep.operators.expire import expired
 from coldkeep.session import written
 
-# Identifier quote of each engine, by JDBC URL prefix.
+# Identifier quote and driver class of each engine, by JDBC URL prefix, and the
+# length of a name that both engines take.
 _QUOTES = {"jdbc:postgresql:": '"', "jdbc:mysql:": "`"}
+_DRIVERS = {"jdbc:postgresql:": "org.postgresql.Driver", "jdbc:mysql:": "com.mysql.cj.jdbc.Driver"}
+_NAME_LENGTH = 63
 
 
 @dataclass(frozen=True)
@@ -45,9 +50,13 @@ class JdbcSource:
             "url": self.url, "fetchsize": str(self.fetch_size), "batchsize": str(self.batch_size),
             "numPartitions": str(self.connections), "pushDownPredicate": "true", "preferTimestampNTZ": "true",
         }
-        out.update({k: v for k, v in (("user", self.user), ("password", self.password), ("driver", self.driver)) if v})
+        out["driver"] = self.driver_class()
+        out.update({k: v for k, v in (("user", self.user), ("password", self.password)) if v})
         return out
 
+    def driver_class(self) -> str:
+        return self.driver or next(d for prefix, d in _DRIVERS.items() if self.url.startswith(prefix))
+
     def quote(self, name: str) -> str:
         mark = next(q for prefix, q in _QUOTES.items() if self.url.startswith(prefix))
         return f"{mark}{name.replace(mark, mark * 2)}{mark}"
@@ -87,6 +96,21 @@ def delete_sql(source: JdbcSource, table: str, staging: str, key: tuple[str, ...
     return f"DELETE FROM {target} WHERE EXISTS (SELECT 1 FROM {keys} WHERE {match})"
 
 
+def staging_name(table: str, run_id: str) -> str:
+    """Name of the table for the keys that a run purges from one table; no two of them share one."""
+    whole = f"{table}/{run_id}"
+    mark = hashlib.sha256(whole.encode()).hexdigest()[:12]
+    return f"purge_{mark}_{sanitize(whole)}"[:_NAME_LENGTH]
+
+
+def bounds_sql(source: JdbcSource, table: str, column: str, before: datetime | None = None) -> str:
+    """Smallest and largest value of a column, or the smallest before a time and that time."""
+    name = source.quote(column)
+    if before is None:
+        return f"SELECT min({name}) AS low, max({name}) AS high FROM {source.qualified(table)}"
+    return f"SELECT min({name}) AS low FROM {source.qualified(table)} WHERE {name} < {_text(before.isoformat(sep=' '))}"
+
+
 class JdbcTable:
     """A database table used as hot table."""
 
@@ -103,30 +127,34 @@ class JdbcTable:
         """(name, database type, nullable) in table order."""
         rows = sorted(self._query(columns_sql(self.source, self.table)).collect(), key=lambda r: r["position"])
         if not rows:
-            raise UnknownTable(f"table {self.table} not found or has no columns")
+            raise UnknownTable(f"schema {self.source.schema} shows no columns of {self.table}")
         return [(r["name"], r["type"].lower(), r["nullable"] == "YES") for r in rows]
 
     def primary_key(self) -> tuple[str, ...]:
         rows = sorted(self._query(primary_key_sql(self.source, self.table)).collect(), key=lambda r: r["position"])
         if not rows:
-            raise KeyAuditFailed(f"table {self.table} has no primary key")
+            raise KeyAuditFailed(f"{self.table}: the database declares no key to purge by")
         return tuple(r["name"] for r in rows)
 
-    def split_options(self) -> dict[str, str]:
-        """Range split of a read, from the column's smallest and largest value."""
-        if self.split_column is None:
+    def split_options(self, date_column: str | None = None, cutoff: datetime | None = None) -> dict[str, str]:
+        """Range split of a read: by the split column over all its values or, without one, by
+        the date from its smallest value to the cutoff, where all wanted rows lie."""
+        if self.split_column is not None:
+            column, bounds = self.split_column, bounds_sql(self.source, self.table, self.split_column)
+        elif date_column is not None:
+            column, bounds = date_column, bounds_sql(self.source, self.table, date_column, cutoff)
+        else:
             return {}
-        name = self.source.quote(self.split_column)
-        low, high = self._query(
-            f"SELECT min({name}) AS low, max({name}) AS high FROM {self.source.qualified(self.table)}"
-        ).first()
-        if low is None:
+        found = self._query(bounds).first()
+        if found["low"] is None:
             return {}
-        return {"partitionColumn": self.split_column, "lowerBound": str(low), "upperBound": str(high)}
+        high = found["high"] if self.split_column is not None else cutoff
+        return {"partitionColumn": column, "lowerBound": str(found["low"]), "upperBound": str(high)}
 
-    def df(self) -> DataFrame:
+    def df(self, date_column: str | None = None, cutoff: datetime | None = None) -> DataFrame:
         reader = self.spark.read.format("jdbc").options(**self.source.options())
-        return reader.options(**self.split_options()).option("dbtable", self.source.qualified(self.table)).load()
+        return reader.options(**self.split_options(date_column, cutoff)).option(
+            "dbtable", self.source.qualified(self.table)).load()
 
     def schema(self) -> T.StructType:
         reader = self.spark.read.format("jdbc").options(**self.source.options())
@@ -141,7 +169,7 @@ class JdbcTable:
         Everything later reads the copy, so a database that changes meanwhile cannot
         give two steps of a run different rows.
         """
-        return written(self.spark, expired(self.df(), date_column, cutoff), "extract")
+        return written(self.spark, expired(self.df(date_column, cutoff), date_column, cutoff), "extract")
 
     def append(self, df: DataFrame, key: tuple[str, ...] = ()) -> None:
         """Insert rows by column name, in parallel batches; each task is one transaction."""
@@ -149,11 +177,14 @@ class JdbcTable:
         df.write.format("jdbc").options(**self.source.options()).option("dbtable", target).mode("append").save()
 
     def delete_keys(self, keys: DataFrame, key: tuple[str, ...], run_id: str) -> int:
-        """Stage the keys in a table of their own, delete by one statement, drop the staging table."""
-        staging = f"purge_keys_{run_id.replace('-', '_')}"
+        """Stage the keys in a table of their own, delete by one statement, drop the staging table.
+
+        A staging table that is there already belongs to somebody else or to a purge that died; it is an error.
+        """
+        staging = staging_name(self.table, run_id)
         target = self.source.qualified(staging)
         keys.select(*key).write.format("jdbc").options(**self.source.options()).option("dbtable", target).mode(
-            "overwrite"
+            "errorifexists"
         ).save()
         try:
             return self._execute(delete_sql(self.source, self.table, staging, key))
@@ -167,7 +198,9 @@ class JdbcTable:
         for name, value in (("user", self.source.user), ("password", self.source.password)):
             if value:
                 login.setProperty(name, value)
-        connection = jvm.java.sql.DriverManager.getConnection(self.source.url, login)
+        # Asked directly: DriverManager does not see drivers that came with --jars.
+        loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+        connection = loader.loadClass(self.source.driver_class()).newInstance().connect(self.source.url, login)
         try:
             connection.setAutoCommit(False)
             changed = connection.createStatement().executeUpdate(sql)

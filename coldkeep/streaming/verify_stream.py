@@ -12,21 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from coldkeep.operators.verify import FILE_KEY
-from coldkeep.plans.verify import verify_runs
+from coldkeep.plans.verify import RESULT_SCHEMA, verify_runs
 from coldkeep.session import prepare
 from coldkeep.sources.archive_store import MANIFEST_SCHEMA, RUN_COLUMNS, ArchiveStore, Run
 
-RESULT_SCHEMA = T.StructType([
-    T.StructField("table_name", T.StringType()),
-    T.StructField("cutoff_date", T.StringType()),
-    T.StructField("run_id", T.StringType()),
-    T.StructField("file_name", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("rows", T.LongType()),
-    T.StructField("recorded_rows", T.LongType()),
-    T.StructField("length", T.LongType()),
-])
-
 
 def verify_new_runs(spark: SparkSession, store: ArchiveStore, database: str, table: str,
                     output: str, checkpoint: str) -> None:

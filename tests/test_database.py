@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from coldkeep import KeyAuditFailed, RestoreConflict, UnknownTable
 from coldkeep.plans import archive, restore
 from coldkeep.sources.jdbc import JdbcSource, JdbcTable
-from tests.conftest import AS_OF, ITEMS_RULE, ORDERS_RULE, rows_of, rule, small_items, small_orders
+from tests.conftest import AS_OF, ITEMS_RULE, ORDERS_RULE, at, rows_of, rule, small_items, small_orders
 
 
 class StandIn(JdbcTable):
@@ -17,7 +17,7 @@ class StandIn(JdbcTable):
         self.rows = rows
         self.reads = 0
 
-    def df(self):
+    def df(self, date_column=None, cutoff=None):
         self.reads += 1
         return self.rows
 
@@ -76,6 +76,16 @@ def test_catalogue_answers(spark, monkeypatch):
     assert table.columns() == [("a", "varchar", True), ("b", "int", False)]
     assert table.primary_key() == ("a", "b")
     assert table.split_options() == {"partitionColumn": "id", "lowerBound": "1", "upperBound": "10"}
+    assert table.split_options("at", AS_OF) == table.split_options()
+    # without a split column, expired rows are split by their date up to the cutoff
+    table.split_column = None
+    asked = []
+    oldest = spark.createDataFrame([(at("2020-01-05"),)], "low timestamp_ntz")
+    monkeypatch.setattr(table, "_query", lambda sql: asked.append(sql) or oldest)
+    assert table.split_options() == {}
+    assert table.split_options("at", AS_OF) == {
+        "partitionColumn": "at", "lowerBound": "2020-01-05 00:00:00", "upperBound": "2024-01-01 00:00:00"}
+    assert asked == ["SELECT min(`at`) AS low FROM `shop`.`t` WHERE `at` < '2024-01-01 00:00:00'"]
     monkeypatch.setattr(table, "_query", lambda sql: spark.createDataFrame([], "name string, type string, nullable string, position int"))
     with pytest.raises(UnknownTable):
         table.columns()

@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from coldkeep.oracles import ORACLES
+from coldkeep.queries import QUERIES
 from tests.conftest import SF
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -28,13 +30,14 @@ def normal(frame):
 
 
 def test_every_query_has_an_oracle():
-    assert sorted(entry.oracle_sql()) == NAMES
+    assert sorted(ORACLES) == NAMES
+    assert set(NAMES) <= set(entry.queries()) and set(NAMES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_oracle(spark, duck, name):
-    got = entry.queries()[name](spark, SF).toPandas()
-    want = duck.execute(entry.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(want) > 0
     assert normal(got) == normal(want)

@@ -88,11 +88,11 @@ def test_conflict_check_skips_later_chunks_when_the_key_has_the_date(spark, worl
 
 
 def test_clean_purge_joins_nothing(spark, world, monkeypatch):
-    """Counts and key digests agree, so the key join is never planned."""
+    """Counts and digests agree, so the join is never planned."""
     def refuse(*_):
-        raise AssertionError("late_keys was called")
+        raise AssertionError("late_rows was called")
 
-    monkeypatch.setattr(archive, "late_keys", refuse)
+    monkeypatch.setattr(archive, "late_rows", refuse)
     hot = {"sensor_data": world.load(small_sensors(spark), SENSOR_RULE)}
     done = archive.archive_rule(spark, rule(SENSOR_RULE), world.store, hot, AS_OF, "0000000a").first()
     assert done["key_deleted"] == 7

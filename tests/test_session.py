@@ -20,7 +20,7 @@ def test_cluster_needs_a_shared_folder():
         session.workspace(fake("yarn"), "x")
     shared = session.workspace(fake("yarn", **{"spark.checkpoint.dir": "hdfs:/shared/"}), "x")
     assert shared.startswith("hdfs:/shared/coldkeep/x-")
-    session._folders.remove(shared)
+    session._left.remove(shared)
 
 
 def test_local_session_may_use_a_temporary_folder():
@@ -29,7 +29,7 @@ def test_local_session_may_use_a_temporary_folder():
     assert first.startswith("file:/") and first != second
     assert first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
     for folder in (first, second):
-        session._folders.remove(folder)
+        session._left.remove(folder)
 
 
 def test_prepare_pins_settings():
@@ -41,7 +41,7 @@ def test_prepare_pins_settings():
 def test_release_deletes_working_folders(spark):
     session.release(spark)
     kept = session.written(spark, spark.range(3), "x")
-    [folder] = session._folders
+    [folder] = session._left
     assert kept.count() == 3 and Files(spark).exists(folder)
     assert session.release(spark) == 1 and not Files(spark).exists(folder)
     assert session.release(spark) == 0

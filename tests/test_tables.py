@@ -1,16 +1,17 @@
 import os
+import re
 from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coldkeep import LifecyclePolicy, RetentionError, Selection
+from coldkeep import LifecyclePolicy, RetentionError, RunExists, SchemaMismatch, Selection, TableRule
 from coldkeep.operators import chunks, purge, reports
 from coldkeep.plans import archive, lifecycle, restore
 from coldkeep.sources.archive_store import ArchiveStore
 from coldkeep.sources.hot_table import HotTable
-from coldkeep.sources.jdbc import JdbcSource, columns_sql, delete_sql, primary_key_sql
+from coldkeep.sources.jdbc import JdbcSource, columns_sql, delete_sql, primary_key_sql, staging_name
 from tests.conftest import AS_OF, ORDERS_RULE, SENSOR_RULE, at, rows_of, rule, small_orders, small_sensors
 
 
@@ -94,7 +95,6 @@ def test_boundary(unit, cutoff, want):
 def test_chunk_end_at_cutoff_is_expired(spark):
     found = chunks.chunk_inventory(small_sensors(spark), "time", "month", at("2023-05-01")).collect()
     assert [r["expired"] for r in found] == [True] * 4 + [False] * 2
-    assert chunks.outside_expired_chunks(small_sensors(spark), "time", "month", at("2023-05-01")).count() == 4
 
 
 def test_purge_with_a_hot_key(spark):
@@ -184,7 +184,10 @@ def test_jdbc_options_and_statements():
     pg = JdbcSource("jdbc:postgresql://h/db", "public", user="u", password="p", connections=4)
     options = pg.options()
     assert options["numPartitions"] == "4" and options["pushDownPredicate"] == "true" and options["user"] == "u"
-    assert "driver" not in options and "password" not in repr(pg)
+    assert options["driver"] == "org.postgresql.Driver" and "password" not in repr(pg)
+    assert JdbcSource("jdbc:mysql://h/db", "s", driver="own.Driver").options()["driver"] == "own.Driver"
+    names = {staging_name(t, r) for t in ("orders", "users", "x" * 80, "x" * 81, "a/b", "a_b") for r in ("0-a", "0-b")}
+    assert len(names) == 12 and max(map(len, names)) <= 63 and all(re.fullmatch("[A-Za-z0-9_-]+", n) for n in names)
     assert pg.qualified('we"ird') == '"public"."we""ird"'
     my = JdbcSource("jdbc:mysql://h/db", "shop")
     assert my.qualified("or`der") == "`shop`.`or``der`" and "user" not in my.options()
@@ -197,3 +200,90 @@ def test_jdbc_options_and_statements():
         JdbcSource("jdbc:other:x", "s")
     with pytest.raises(ValueError):
         JdbcSource("jdbc:mysql://h/db", "s", connections=0)
+
+
+def _weeks(spark, folder, begin, **extra):
+    """Ten days of rows in weekly folders; days before `begin` lack the extra columns."""
+    days = spark.range(20).select("id", F.date_add(F.lit("2023-01-05").cast("date"), F.col("id").cast("int")).cast("timestamp_ntz").alias("at"))
+    named = days.withColumn("chunk_start", chunks.chunk_name("at", "week+3"))
+    for rows, columns in ((named.filter(F.col("at") < begin), {}), (named.filter(F.col("at") >= begin), extra)):
+        rows.withColumns({k: F.lit(v) for k, v in columns.items()}).write.mode("append").partitionBy("chunk_start").parquet(folder)
+
+
+def test_adopted_parts_share_all_columns(spark, world):
+    folder = f"{world.root}/raw"
+    _weeks(spark, folder, at("2023-01-12"), note="n")
+    hot = HotTable.adopt_chunks(spark, f"{world.root}/hot/t", folder, "at", "week")
+    assert hot.schema().fieldNames() == ["id", "at", "note"] and hot.snapshot().unit == "week+3"
+    assert hot.df().filter("note = 'n'").count() == 13 and hot.count() == 20
+    plan = rule(TableRule("t", "at", 30, ("id",)))
+    [done] = archive.archive_rule(spark, plan, world.store, {"t": hot}, at("2023-02-18"), "0000000a").collect()
+    assert (done["rows_archived"], done["chunks_dropped"], done["chunk_deleted"], done["mismatch"]) == (14, 2, 14, False)
+    [kept] = world.store.read(world.store.runs("testdb", "t"))
+    assert kept.filter("note = 'n'").count() == 7
+    # a column that turns up in an adopted part afterwards is not dropped silently
+    late = spark.createDataFrame([(99, at("2023-01-20"), "n", 1)], "id long, at timestamp_ntz, note string, more int")
+    late.write.mode("append").parquet(f"{folder}/chunk_start=2023-01-19")
+    with pytest.raises(SchemaMismatch, match="more"):
+        archive.archive_rule(spark, plan, world.store, {"t": hot}, at("2023-03-18"), "0000000b")
+    assert hot.count() == 7
+
+
+def test_adopted_parts_must_agree(spark, world):
+    folder = f"{world.root}/raw"
+    _weeks(spark, folder, at("2023-01-12"))
+    spark.createDataFrame([("x", at("2023-01-20"))], "id string, at timestamp_ntz").write.mode("append").parquet(f"{folder}/chunk_start=2023-01-19")
+    with pytest.raises(SchemaMismatch):
+        HotTable.adopt_chunks(spark, f"{world.root}/hot/t", folder, "at", "week")
+
+
+def test_adopted_folders_must_be_chunks(spark, world):
+    folder = f"{world.root}/raw"
+    _weeks(spark, folder, at("2023-01-12"))
+    with pytest.raises(RetentionError, match="month"):
+        HotTable.adopt_chunks(spark, f"{world.root}/hot/t", folder, "at", "month")
+    astray = spark.createDataFrame([(1, at("2023-01-13"))], "id long, at timestamp_ntz")
+    astray.write.mode("append").parquet(f"{folder}/chunk_start=2023-01-05")
+    with pytest.raises(RetentionError, match="other chunks"):
+        HotTable.adopt_chunks(spark, f"{world.root}/hot/t", folder, "at", "week")
+    spark.createDataFrame([(1, at("2023-01-23"))], "id long, at timestamp_ntz").write.parquet(f"{folder}/chunk_start=2023-01-23")
+    with pytest.raises(RetentionError):
+        HotTable.adopt_chunks(spark, f"{world.root}/hot/t", folder, "at", "week")
+
+
+def test_append_widens_the_table(spark, world):
+    hot = world.load(small_orders(spark), ORDERS_RULE)
+    hot.append(small_orders(spark).filter("id = 1").withColumn("id", F.lit(50)).withColumn("extra", F.lit("e")).drop("notes"))
+    assert hot.schema().fieldNames()[-1] == "extra" and hot.count() == 9
+    assert [(r["extra"], r["notes"]) for r in hot.df().filter("id in (1, 50)").orderBy("id").collect()] == [(None, "first"), ("e", None)]
+    with pytest.raises(SchemaMismatch):
+        hot.append(small_orders(spark).withColumn("id", F.col("id").cast("string")))
+
+
+def test_weeks_from_any_day():
+    for later in range(7):
+        unit = f"week+{later}" if later else "week"
+        start = chunks.boundary(at("2023-05-17 11:00"), unit)
+        assert start.weekday() == later and 0 <= (at("2023-05-17") - start).days < 7
+        assert chunks.unit_of("week", [start.date()]) == unit
+
+
+def test_same_run_id_with_another_cutoff_is_refused(spark, world):
+    hot = {"orders": world.load(small_orders(spark), ORDERS_RULE)}
+    archive.archive_rule(spark, rule(ORDERS_RULE), world.store, hot, at("2023-03-15"), "0000000a")
+    with pytest.raises(RunExists):
+        archive.archive_rule(spark, rule(ORDERS_RULE), world.store, hot, AS_OF, "0000000a")
+
+
+def test_rows_that_were_not_archived_as_they_are_stay(spark, world):
+    for unit in (None, "month"):
+        hot = {"orders": world.load(small_orders(spark), ORDERS_RULE, unit, name=f"o-{unit}")}
+        run = f"run-{unit}"
+        archive.archive_rule(spark, rule(ORDERS_RULE), world.store, hot, AS_OF, run, purge=False)
+        hot["orders"].append(small_orders(spark).filter("id in (1, 2)").withColumn("notes", F.lit("other")))
+        [told] = archive.purge_run(world.store, rule(ORDERS_RULE), hot, AS_OF, run, world.history).collect()
+        assert (told["rows_deleted"], told["rows_kept"]) == (5, 2)
+        left = hot["orders"].df().filter("id < 6").collect()
+        assert sorted((r["id"], r["notes"]) for r in left) == [(1, "other"), (2, "other")]
+        world.store.delete(world.store.runs("testdb", "orders")[0])
+    assert {e["event_type"] for e in world.history.df().collect()} == {"purge"}
