@@ -74,6 +74,25 @@ class Scene:
         return rule, hot
 
 
+# Jobs by name: what is set up, and the job itself with the result that is read. The bench times the job alone.
+JOBS: dict[str, tuple] = {}
+
+
+def job(prepare):
+    """Registers the decorated function as the job that follows `prepare`, as a query."""
+    def register(run):
+        JOBS[run.__name__] = (prepare, run)
+
+        def query(spark, sf_dir):
+            scene = Scene(spark, sf_dir)
+            return run(scene, prepare(scene))
+
+        query.__name__, query.__doc__ = run.__name__, run.__doc__
+        return query
+
+    return register
+
+
 def rule_of(*tables: TableRule, name: str = "keep-online", encoding: str = "native", batch: int = BATCH) -> Rule:
     return Rule(name, "shop", tables, batch, encoding)
 
@@ -142,21 +161,28 @@ def key_report(spark, sf_dir):
 # -- purging by key and by chunk --------------------------------------------------
 
 
-def _purged(spark, sf_dir, rule_table, as_of):
-    """A table in one piece after the job's own purge of an archived run."""
-    scene = Scene(spark, sf_dir)
-    rule, hot = rule_of(rule_table, batch=100_000), {rule_table.name: scene.adopt(rule_table.name)}
-    scene.archive(rule, hot, as_of, "0000aaaa", purge=False)
-    archive.purge_run(scene.store, rule, hot, as_of, "0000aaaa")
-    return hot[rule_table.name].df()
+def _archived(rule_table: TableRule, as_of: datetime):
+    """A table in one piece with an archived run that is not purged."""
+    def prepare(scene: Scene) -> tuple[Rule, dict[str, HotTable]]:
+        rule, hot = rule_of(rule_table, batch=100_000), {rule_table.name: scene.adopt(rule_table.name)}
+        scene.archive(rule, hot, as_of, "0000aaaa", purge=False)
+        return rule, hot
 
+    return prepare
 
-def purge_single_key(spark, sf_dir):
-    return _purged(spark, sf_dir, ORDERS, ORDERS_AS_OF)
 
+@job(_archived(ORDERS, ORDERS_AS_OF))
+def purge_single_key(scene, made):
+    rule, hot = made
+    archive.purge_run(scene.store, rule, hot, ORDERS_AS_OF, "0000aaaa")
+    return hot["orders"].df()
 
-def purge_composite_key(spark, sf_dir):
-    return _purged(spark, sf_dir, EVENTS, EVENTS_AS_OF)
+
+@job(_archived(EVENTS, EVENTS_AS_OF))
+def purge_composite_key(scene, made):
+    rule, hot = made
+    archive.purge_run(scene.store, rule, hot, EVENTS_AS_OF, "0000aaaa")
+    return hot["events"].df()
 
 
 def purge_hits(spark, sf_dir):
@@ -176,10 +202,14 @@ def _chunked_events(scene: Scene) -> dict[str, HotTable]:
     return {"events": scene.load("events", scene.rows("events"), EVENTS, "week")}
 
 
-def chunk_purge(spark, sf_dir):
-    scene = Scene(spark, sf_dir)
+def _archived_events(scene: Scene) -> dict[str, HotTable]:
     hot = _chunked_events(scene)
     scene.archive(rule_of(EVENTS), hot, EVENTS_AS_OF, "0000aaaa", purge=False)
+    return hot
+
+
+@job(_archived_events)
+def chunk_purge(scene, hot):
     run = scene.store.runs("shop", "events")[0]
     archive.drop_archived_chunks(scene.store, run, rule_of(EVENTS), EVENTS, hot["events"], EVENTS_CUTOFF)
     return hot["events"].df()
@@ -259,9 +289,9 @@ def _read_archive(scene: Scene, name: str, selection: Selection = Selection()) -
     return rows.select(*schema.fieldNames())
 
 
-def archive_roundtrip(spark, sf_dir):
-    scene = Scene(spark, sf_dir)
-    scene.archive(rule_of(ORDERS), {"orders": scene.adopt("orders")}, ORDERS_AS_OF, "12e45678")
+@job(lambda scene: {"orders": scene.adopt("orders")})
+def archive_roundtrip(scene, hot):
+    scene.archive(rule_of(ORDERS), hot, ORDERS_AS_OF, "12e45678")
     return _read_archive(scene, "orders")
 
 
@@ -354,11 +384,10 @@ def archive_select(spark, sf_dir):
 _SUMMARY = ["rule", "table_name", "rows_archived", "chunk_deleted", "key_deleted", "rows_remaining", "mismatch"]
 
 
-def archive_rule(spark, sf_dir):
-    scene = Scene(spark, sf_dir)
+@job(lambda scene: {"orders": scene.adopt("orders"), **_chunked_events(scene)})
+def archive_rule(scene, hot):
     # One as-of for both tables, so orders stays online longer.
     orders = TableRule("orders", "o_orderdate", (EVENTS_AS_OF - ORDERS_CUTOFF).days, ORDERS.key)
-    hot = {"orders": scene.adopt("orders"), **_chunked_events(scene)}
     return scene.archive(rule_of(orders, EVENTS), hot, EVENTS_AS_OF, "0000aaaa").select(*_SUMMARY)
 
 
@@ -394,10 +423,10 @@ def run_summary(spark, sf_dir):
 # -- restoring --------------------------------------------------------------------
 
 
-def restore_append(spark, sf_dir):
-    scene = Scene(spark, sf_dir)
-    rule, hot = scene.orders_in_steps()
-    restore.restore_rule(spark, rule, scene.store, hot, ORDERS_AS_OF, history=scene.history)
+@job(Scene.orders_in_steps)
+def restore_append(scene, made):
+    rule, hot = made
+    restore.restore_rule(scene.spark, rule, scene.store, hot, ORDERS_AS_OF, history=scene.history)
     return hot["orders"].df()
 
 
@@ -496,12 +525,11 @@ def _damaged(scene: Scene) -> Rule:
     return rule
 
 
-def verify_archive(spark, sf_dir):
+@job(_damaged)
+def verify_archive(scene, rule):
     """Status of every file, with the batch number its manifest gives it."""
-    scene = Scene(spark, sf_dir)
-    rule = _damaged(scene)
     batch = scene.store.batches(scene.store.runs("shop", "orders")).select("run_id", "file_name", "batch")
-    verified = verify_rule(spark, rule, scene.store)
+    verified = verify_rule(scene.spark, rule, scene.store)
     return verified.join(batch, ["run_id", "file_name"], "left").select("run_id", "batch", "status", "rows")
 
 
@@ -536,24 +564,25 @@ def incremental_verify(spark, sf_dir):
     )
 
 
-def _reconciled(spark, sf_dir, full):
+def _misrecorded(scene: Scene) -> tuple[Rule, DataFrame]:
     """Three runs; the record of the second is one too high and the files of the third are gone."""
-    scene = Scene(spark, sf_dir)
     rule, _ = scene.orders_in_steps()
     last = scene.store.runs("shop", "orders", Selection(run_id="c0ffee03"))[0]
     scene.store.files.delete(scene.store.run_path(last))
     recorded = scene.history.df().withColumn(
         "row_count", F.col("row_count") + F.when(F.col("run_id") == "12e45678", 1).otherwise(0)
     )
-    return verify_against_history(spark, rule, scene.store, recorded, full=full)
+    return rule, recorded
 
 
-def history_reconcile(spark, sf_dir):
-    return _reconciled(spark, sf_dir, False)
+@job(_misrecorded)
+def history_reconcile(scene, made):
+    return verify_against_history(scene.spark, made[0], scene.store, made[1], full=False)
 
 
-def history_reconcile_full(spark, sf_dir):
-    return _reconciled(spark, sf_dir, True)
+@job(_misrecorded)
+def history_reconcile_full(scene, made):
+    return verify_against_history(scene.spark, made[0], scene.store, made[1], full=True)
 
 
 def reconcile_empty_run(spark, sf_dir):
