@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coldkeep.llm import additive_model, collinear, decision_list, decontamination, jaccard, packing, secrets, site_tree, suffix_merge, toxicity
 from coldkeep.llm.frames import table
+from coldkeep.llm.oracles import ORACLES
 from coldkeep.session import prepare
 
+__all__ = ["ORACLES", "QUERIES"]
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -74,4 +77,3 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
