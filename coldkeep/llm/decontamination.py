@@ -149,7 +149,6 @@ def contained(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Dat
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with their own columns, that contain no item."""
-    columns = docs.columns
     for rows in _blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
@@ -161,4 +160,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield part.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs.select(*columns)
+    return docs

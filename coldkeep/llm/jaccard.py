@@ -413,6 +413,5 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, join: Join | None = N
 
     Documents without doc_id stay; of rows that repeat a doc_id, those stay that have the same words.
     """
-    columns = docs.columns
     kept = jaccard_components(spark, docs, join).filter("doc_id = component_id").select("doc_id").distinct()
-    return joined_with(docs, kept, "doc_id", 16).select(*columns).unionAll(docs.filter("doc_id is null").select(*columns))
+    return joined_with(docs, kept, "doc_id", 16, "left_semi").unionAll(docs.filter("doc_id is null"))

@@ -134,10 +134,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
     n_chars, where there is one, is counted anew for changed texts.
     """
     columns = docs.columns
+    own = "_" * (1 + max(len(c) for c in columns))  # before names that no column has
+    key, found = f"{own}text_hash", f"{own}cuts"
     spans = F.array_sort(F.concat("live_spans", "added"))
-    cuts = scan(spark, docs).select("doc_id", "text_hash", spans.alias("cuts")).filter(F.size("cuts") > 0).dropDuplicates(["doc_id", "text_hash"])
-    cuts = written(spark, cuts.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), F.col("cuts").alias("_cuts")), "cuts")
-    keyed = docs.withColumns({"_doc_id": F.col("doc_id"), "_text_hash": F.xxhash64("text")})
+    # equal texts have equal cuts
+    cuts = scan(spark, docs).select("text_hash", spans.alias("cuts")).filter(F.size("cuts") > 0).dropDuplicates(["text_hash"])
+    cuts = written(spark, cuts.toDF(key, found), "cuts")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
 
     def step(state: Column, cut: Column) -> Column:
         new = cut["start"] >= state["at"]
@@ -146,9 +149,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(state["at"], cut["end"]).alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_cuts", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), 2147483647)))
-    changed = joined_with(keyed, cuts, ["_doc_id", "_text_hash"], 160, "left").withColumn(
-        "text", F.when(F.col("_cuts").isNotNull(), masked).otherwise(F.col("text")))
+    masked = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), 2147483647)))
+    changed = joined_with(keyed, cuts, key, 160, "left").withColumn(
+        "text", F.when(F.col(found).isNotNull(), masked).otherwise(F.col("text")))
     if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*columns)
+        changed = changed.withColumn("n_chars", F.when(F.col(found).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return changed.select(*[F.col(f"`{c}`") for c in columns])

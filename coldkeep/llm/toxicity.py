@@ -240,6 +240,19 @@ class Toxicity:
         columns = list(dict.fromkeys([*names, "text"]))
         return docs.select(*columns).mapInArrow(run, f"{keep}, score double, predicted int")
 
+    def accepted(self, docs: DataFrame) -> DataFrame:
+        """The rows of `docs`, whatever columns they have, that are not predicted."""
+        model, slope, offset = (self.keys, self.values), self.slope, self.offset
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ratio = _ratios(model)
+            for batch in batches:
+                for part, data, offsets in chunks(batch):
+                    z = ratio(data, offsets, np.zeros(len(offsets) - 1, np.int64))
+                    yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30))) < THRESHOLD))
+
+        return docs.mapInArrow(run, docs.schema)
+
 
 def held_out(column: str = "doc_id") -> F.Column:
     """Rows that learning must not see: crc32 of the id as text, modulo 4, is 2."""
@@ -256,6 +269,4 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with their own columns, that the model does not reject."""
     model = Toxicity.fit(spark, docs, labels.filter(~held_out()))
-    columns = docs.columns
-    scored = model.score(docs, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields))
-    return scored.filter(F.col("predicted") == 0).select(*columns)
+    return model.accepted(docs)
