@@ -139,7 +139,8 @@ def purge_archived_rows(store: ArchiveStore, run: Run, rule: Rule, table: TableR
     """Remove archived rows; returns how many went and how many expired rows had to stay.
 
     Rows at or after the cutoff cannot be in the archive, so they are copied without a
-    join, and chunks that start after it are not read. If the expired rows and the
+    join, and chunks that start after it are not read; of a table in one piece only the files with
+    expired rows are rewritten. If the expired rows and the
     archive agree in count and digest of all columns, all of them go and nothing is shuffled.
     Otherwise keys and row hashes are joined, to find rows that were never archived as they are now.
     """
@@ -148,6 +149,11 @@ def purge_archived_rows(store: ArchiveStore, run: Run, rule: Rule, table: TableR
     parts = snapshot.parts_before(cutoff)
     if not parts:
         return 0, 0
+    whole, same = parts, []
+    if snapshot.unit is None:
+        parts, same = hot.by_file(parts, table.date_column, cutoff)
+        if not parts:
+            return 0, 0
     rows = hot.df(parts)
     before = expired(rows, table.date_column, cutoff)
     archived = archived_content(store, run, rule, snapshot.schema)
@@ -167,7 +173,7 @@ def purge_archived_rows(store: ArchiveStore, run: Run, rule: Rule, table: TableR
         if stay:
             keep = keep.unionByName(left)
     if deleted:
-        hot.replace(parts, keep)
+        hot.replace(whole, keep, same)
     return deleted, stay
 
 

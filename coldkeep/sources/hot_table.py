@@ -15,6 +15,7 @@ import json
 from dataclasses import asdict, dataclass, replace
 from datetime import date, datetime
 from functools import reduce
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from coldkeep.model import CHUNK_UNITS, RetentionError, SchemaMismatch
 from coldkeep.operators.chunks import UNDATED, chunk_name, unit_of
-from coldkeep.operators.expire import expired
+from coldkeep.operators.expire import expired, is_expired
 from coldkeep.operators.restore import align
 from coldkeep.session import small_frame
 from coldkeep.sources.fs import Files
@@ -198,11 +199,27 @@ class HotTable:
             if name.startswith(_PREFIX)
         ]
 
-    def replace(self, remove: list[Part], add: DataFrame | None = None) -> None:
-        """Publish a snapshot without some parts, and with the rows of them that stay."""
+    def by_file(self, parts: list[Part], date_column: str, cutoff: datetime) -> tuple[list[Part], list[Part]]:
+        """Parts of a table in one piece as single files: those with expired rows, and the others.
+
+        Reads the date column; one entry per file comes to the driver, as it goes into the pointer.
+        """
+        rows = self.df(parts)
+        counted = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+            F.count_if(is_expired(rows, date_column, cutoff)).alias("n")).collect()
+        root = f"{self.files.qualified(self.root)}/"
+        touched, others = [], []
+        for r in sorted(counted, key=lambda r: r["path"]):
+            path = self.files.qualified(unquote(r["path"])).removeprefix(root)
+            (touched if r["n"] else others).append(Part(path))
+        return touched, others
+
+    def replace(self, remove: list[Part], add: DataFrame | None = None, keep: list[Part] = []) -> None:
+        """Publish a snapshot without some parts, with the files of them that stay as they are (`keep`)
+        and the rows of the others that stay."""
         snapshot = self.snapshot()
         version = snapshot.version + 1
-        kept = [p for p in snapshot.parts if p not in remove]
+        kept = [*(p for p in snapshot.parts if p not in remove), *keep]
         added = self.write_parts(add, version, None) if add is not None else []
         self._publish(replace(snapshot, version=version, parts=(*kept, *added)))
 
@@ -239,9 +256,14 @@ class HotTable:
             chunks = [f"{version}/{d}" for d in self.files.directories(f"{self.root}/{version}")]
             unused = [c for c in chunks if c not in used] if any(c in used for c in chunks) else [version]
             for folder in unused:
-                if folder not in used:
-                    self.files.delete(f"{self.root}/{folder}")
-                    gone.append(folder)
+                if folder in used:
+                    continue
+                # A folder some files of which are named loses the others.
+                named = {u for u in used if u.startswith(f"{folder}/")}
+                files = [f"{folder}/{name}" for name, _, _ in self.files.files(f"{self.root}/{folder}")] if named else []
+                for path in [f for f in files if f not in named] if named else [folder]:
+                    self.files.delete(f"{self.root}/{path}")
+                    gone.append(path)
         return gone
 
     def _publish(self, snapshot: Snapshot) -> None:

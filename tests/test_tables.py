@@ -287,3 +287,20 @@ def test_rows_that_were_not_archived_as_they_are_stay(spark, world):
         assert sorted((r["id"], r["notes"]) for r in left) == [(1, "other"), (2, "other")]
         world.store.delete(world.store.runs("testdb", "orders")[0])
     assert {e["event_type"] for e in world.history.df().collect()} == {"purge"}
+
+
+def test_purge_of_a_table_in_one_piece_rewrites_only_files_with_expired_rows(spark, world):
+    rows = small_orders(spark).withColumn("part", F.when(F.col("created_at") < AS_OF - timedelta(days=30), 0).otherwise(1))
+    folder = f"{world.root}/with space/raw"
+    for part in (0, 1):
+        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    hot = {"orders": HotTable.adopt(spark, f"{world.root}/hot/with space", [folder])}
+    archive.archive_rule(spark, rule(ORDERS_RULE), world.store, hot, AS_OF, "0000000a")
+    files = [f for f in hot["orders"].df().inputFiles() if "raw" in f]
+    assert len(files) == 1 and rows_of(hot["orders"].df()) == rows_of(rows.filter("part = 1").drop("part"))
+    # files of the table's own folders are named one by one, and their folder outlives a vacuum
+    old = rows.filter("id = 1").drop("part").withColumn("id", F.lit(70))
+    hot["orders"].append(old.unionByName(rows.filter("id = 7").drop("part").withColumn("id", F.lit(71))).repartition(2, "id"))
+    archive.archive_rule(spark, rule(ORDERS_RULE), world.store, hot, AS_OF, "0000000b")
+    hot["orders"].vacuum()
+    assert sorted(r["id"] for r in hot["orders"].df().collect()) == [6, 7, 8, 71]
