@@ -78,7 +78,7 @@ def _text_hash(column: str = "text"):
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
-    """(text, anchor), both as hashes, of anchors that at least two different texts have."""
+    """(text, anchor), both as hashes, of anchors that at least two different texts have; copies may repeat one."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -141,7 +141,7 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_text)), pa.array(np.concatenate(out_anchor))], ["text", "anchor"])
 
     rows = docs.select("text", _text_hash().alias("hash")).mapInArrow(emit, "key long, text long, anchor long")
-    return rows.repartition("key").sortWithinPartitions("key", "text").mapInArrow(meet, "text long, anchor long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "text").mapInArrow(meet, "text long, anchor long")
 
 
 #: An entry besides its suffix: bytes before the anchor, how many of both are the text's own, doc_id, text, place.
@@ -411,14 +411,16 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     docs = docs.select("doc_id", "text")
     known = docs.filter("doc_id is not null")
-    firsts = written(spark, known.groupBy(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("md5"), _text_hash().alias("hash")).agg(
-        F.min("doc_id").alias("doc_id")).select("doc_id", "hash"), "firsts")
-    spans = removed_spans(spark, known.filter(F.octet_length("text") >= SPAN), firsts)
+    long = known.filter(F.octet_length("text") >= SPAN)
+    digests = written(spark, long.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), _text_hash().alias("hash")), "digests")
+    firsts = written(spark, digests.groupBy("md5", "hash").agg(F.min("doc_id").alias("first")), "firsts")
+    spans = removed_spans(spark, long, firsts.select(F.col("first").alias("doc_id"), "hash"))
     spans = spans.groupBy("doc", "text").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    # a text that is not the first of its group has doc_id None here, and goes whole
-    cuts = spans.select(F.col("doc").alias("doc_id"), F.col("text").alias("low_hash"), "spans")
-    own = firsts.select("doc_id", F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low_hash"), F.lit(True).alias("first"))
-    cuts = written(spark, own.join(cuts, ["doc_id", "low_hash"], "left"), "cuts")
+    # texts that lose something: parts, or all if an earlier text is equal
+    low_hash = F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low_hash")
+    copies = digests.join(firsts.select("md5", "first"), "md5").filter("first < doc_id").select("doc_id", low_hash).distinct()
+    cuts = written(spark, spans.select(F.col("doc").alias("doc_id"), F.col("text").alias("low_hash"), "spans").unionAll(
+        copies.withColumn("spans", F.lit(None).cast("array<struct<low:bigint,high:bigint>>"))).withColumn("cut", F.lit(True)), "cuts")
     size = cuts.agg(F.sum(16 * F.coalesce(F.size("spans"), F.lit(0)) + 40)).collect()[0][0] or 0
     keyed = docs.withColumn("low_hash", _text_hash().bitwiseAND(F.lit(0xFFFFFFFF)))
     judged = joined_with(keyed, cuts, ["doc_id", "low_hash"], -(-size // max(1, cuts.count())), "left")
@@ -426,8 +428,8 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            columns = (batch.column(c) for c in ("doc_id", "text", "first", "spans"))
-            for doc, text, first, spans in zip(*columns):
+            columns = (batch.column(c) for c in ("doc_id", "text", "cut", "spans"))
+            for doc, text, gone, spans in zip(*columns):
                 raw = (text.as_py() or "").encode()
                 if spans.is_valid:
                     low, high = (spans.values.field(i).to_numpy() for i in (0, 1))
@@ -438,7 +440,7 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
                             united[-1][1] = max(united[-1][1], b)
                         else:
                             united.append([a, b])
-                elif doc.is_valid and not first.is_valid and len(raw) >= SPAN:
+                elif gone.is_valid:
                     united = [[0, len(raw)]]
                 else:
                     united = []
@@ -452,5 +454,5 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return judged.select("doc_id", "text", "first", "spans").mapInArrow(
+    return judged.select("doc_id", "text", "cut", "spans").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
