@@ -12,7 +12,7 @@ log-likelihood ratio is that of its longest expression that does differ.
 A document's length-normalised ratio is the sum over its distinct words divided by their
 number to the power 0.75. A logistic curve, fitted on ratios of labelled documents from
 models that have not seen them, turns it into a score; its place is set so that the best
-threshold on those documents is `THRESHOLD`.
+threshold on those documents, among those that are right at least as often as wrong, is `THRESHOLD`.
 
 Counts cover every labelled training row and are summed on executors. What reaches the
 driver is bounded: at most `MODEL_SIZE` expressions, those with the most evidence, and the
@@ -163,9 +163,14 @@ def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
     last = np.append(z[order][1:] != z[order][:-1], True)
-    best = int(np.argmax(np.where(last, f1, -1)))
-    after = z[order][best + 1] if best + 1 < len(z) else z[order][best] - 1.0
-    place = (z[order][best] + after) / 2
+    # a place that is wrong more often than right would reject clean documents; without signal nothing is rejected
+    fair = last & (2 * hits >= np.arange(1, len(z) + 1)) & (z[order] > 0)
+    if fair.any():
+        best = int(np.argmax(np.where(fair, f1, -1)))
+        after = z[order][best + 1] if best + 1 < len(z) else z[order][best] - 1.0
+        place = (z[order][best] + after) / 2
+    else:
+        place = float(z.max()) + 1.0
     a, b = 1.0, 0.0
     spread = z.std() or 1.0
     x = (z - place) / spread
