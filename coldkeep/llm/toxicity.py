@@ -14,9 +14,12 @@ number to the power 0.75. A logistic curve, fitted on ratios of labelled documen
 models that have not seen them, turns it into a score; its place is set so that the best
 threshold on those documents, among those that are right at least as often as wrong, is `THRESHOLD`.
 
-Counts cover every labelled training row and are summed on executors. What reaches the
-driver is bounded: at most `MODEL_SIZE` expressions, those with the most evidence, and the
-ratios of at most about `CALIBRATION_ROWS` labelled rows.
+Counts cover every labelled training row and are summed on executors, and every expression
+that differs is in the written model. A model of at most `MODEL_SIZE` expressions goes to the
+tasks whole. A greater one stays a table: the distinct words of the documents, once for about
+`_PAIRS` words of a task, meet it in joins, and what they find goes back to the task's documents.
+Both ways give the same ratios. What reaches the driver is bounded: a model of that size, and
+the ratios of at most about `CALIBRATION_ROWS` labelled rows.
 
 Defined results: null and empty texts have ratio 0 and get the score at 0; labels that are
 null, or whose document is missing, are ignored; a document labelled more than once counts as
@@ -26,6 +29,7 @@ toxic if any label says so; without training rows of both classes every score is
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +45,16 @@ DEPTH = 10
 DISCOUNT = 0.75
 CONCENTRATION = 0.5
 EVIDENCE = 20.0  # of the likelihood ratio test that the classes differ
-MODEL_SIZE = 1 << 16
+MODEL_SIZE = 1 << 16  # expressions that go to the tasks whole; a greater model is joined
 CALIBRATION_ROWS = 40_000
 THRESHOLD = 0.3
 FOLDS = 3
 POWER = 0.75
 _END = U(0x2545F4914F6CDD1D)
 _MERGE = 1 << 21
+_PAIRS = 1 << 21
+#: Keys with more than this part of the rows of a join are broadcast with what they meet; there are fewer than its inverse.
+_HEAVY = 1e-4
 
 _COUNTS = [f"{c}{f}" for c in "to" for f in range(FOLDS)]
 
@@ -126,9 +133,7 @@ def _model(counts: DataFrame) -> DataFrame:
                 evidence = evidence + F.when(seen > 0, 2.0 * seen * F.log(seen / expected)).otherwise(0.0)
         # counts that are tiny in both classes cannot be significant; the test says so itself
         values.append(F.when((both > 0) & (evidence > EVIDENCE), F.log(rate["t"] / rate["o"])).alias(f"v{left + 1}"))
-        if left < 0:
-            strength = evidence.alias("strength")
-    return counts.select("key", strength, *values)
+    return counts.select("key", *values)
 
 
 def _ratios(model: tuple[np.ndarray, np.ndarray]):
@@ -157,6 +162,128 @@ def _ratios(model: tuple[np.ndarray, np.ndarray]):
     return score
 
 
+def _met(spark: SparkSession, rows: DataFrame, facts: DataFrame, on: str, weight: F.Column) -> DataFrame:
+    """`rows` (a written table) joined with `facts`, which name each `on` once; keys of great weight do not meet in one task."""
+    weighed = rows.groupBy(on).agg(F.sum(weight).alias("weight"))
+    total = weighed.agg(F.sum("weight")).collect()[0][0] or 0
+    heavy = written(spark, weighed.filter(F.col("weight") > max(1000.0, _HEAVY * total)).select(on), "heavy")
+    few = written(spark, facts.join(F.broadcast(heavy), on), "heavy")
+    rest = rows.join(F.broadcast(heavy), on, "left_anti").join(facts, on)
+    return rest.unionByName(rows.join(F.broadcast(few), on))
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, id, which) in parts: per part a row of its texts, and one per distinct word with its texts and expressions."""
+    ids: list[np.ndarray] = []
+    which: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    words: list[np.ndarray] = []
+    docs: list[np.ndarray] = []
+    spelled: list[np.ndarray] = []
+    keys: list[pa.Array] = []
+    seen: set[int] = set()
+
+    def out() -> pa.RecordBatch:
+        word, doc = np.concatenate(words), np.concatenate(docs)
+        order = np.lexsort((doc, word))
+        word, doc = word[order], doc[order]
+        named, first = np.unique(word, return_index=True)
+        _, place = np.unique(np.concatenate(spelled), return_index=True)
+        n = len(named) + 1
+        begin = np.concatenate(([0, 0], first[1:], [len(word)] if n > 1 else [])).astype(np.int32)
+
+        def head(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+            return pa.array([np.concatenate(values)] + [None] * (n - 1), pa.list_(kind))
+
+        batch = pa.RecordBatch.from_arrays([
+            pa.array(np.full(n, uuid.uuid4().int >> 65)), pa.array([None, *signed(named).tolist()], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(begin), pa.array(doc.astype(np.int32))),
+            pa.concat_arrays([pa.array([[]], pa.list_(pa.int64())), pa.concat_arrays(keys).take(pa.array(place))]),
+            head(ids, pa.int64()), head(which, pa.int32()), head(sizes, pa.int32())],
+            [c.split()[0] for c in _ASKED.split(", ")])
+        for held in (ids, which, sizes, words, docs, spelled, keys, seen):
+            held.clear()
+        return batch
+
+    for batch in batches:
+        for rows, data, offsets in chunks(batch):
+            found = Words(data, offsets, NOT_WORD, lower=True)
+            doc, h, first = distinct(found.doc, found.hash)
+            name = rows.column("id").to_numpy()
+            fresh = np.zeros(len(name), bool)
+            fresh[np.unique(name, return_index=True)[1]] = True  # equal texts are asked for once in a part
+            fresh &= np.array([i not in seen for i in name.tolist()], bool)
+            size = np.bincount(doc, minlength=len(name))
+            at = np.cumsum(fresh) - 1 + len(seen)
+            pick = fresh[doc]
+            uniq, place = np.unique(h[pick], return_index=True)
+            own, key = expressions(found, first[pick][place])
+            edges = np.append(0, np.cumsum(np.bincount(own, minlength=len(uniq))))
+            ids.append(name[fresh])
+            which.append(rows.column("which").to_numpy()[fresh])
+            sizes.append(size[fresh])
+            words.append(h[pick])
+            docs.append(at[doc[pick]])
+            spelled.append(uniq)
+            keys.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(signed(key))))
+            seen.update(name[fresh].tolist())
+            if sum(map(len, words)) + len(seen) > _PAIRS:
+                yield out()
+    if ids:
+        yield out()
+
+
+_ASKED = "part long, word long, docs array<int>, keys array<long>, ids array<long>, which array<int>, sizes array<int>"
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ratios of the texts of each part, of rows by part and word: the part's texts first, then the words with their values."""
+    ids = which = sizes = total = np.zeros(0)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total / np.maximum(sizes, 1) ** POWER)], ["id", "ratio"])
+
+    for batch in batches:
+        heads = np.flatnonzero(batch.column("ids").is_valid().to_numpy(zero_copy_only=False))
+        values = np.stack([batch.column(f"v{f}").to_numpy(zero_copy_only=False).astype(float) for f in range(FOLDS + 1)], 1)
+        for head, end in zip([-1, *heads.tolist()], [*heads.tolist(), len(values)]):
+            begin = head + 1
+            if head >= 0:
+                if len(ids):
+                    yield out()
+                ids, which, sizes = (batch.column(c)[head].values.to_numpy(zero_copy_only=False) for c in ("ids", "which", "sizes"))
+                total = np.zeros(len(ids))
+            docs = batch.column("docs").slice(begin, end - begin)
+            doc = docs.flatten().to_numpy()
+            row = np.repeat(np.arange(begin, end), docs.value_lengths().to_numpy())
+            total = total + np.bincount(doc, np.nan_to_num(values[row, which[doc]]), len(total)) if len(doc) else total
+    if len(ids):
+        yield out()
+
+
+def _joined_ratios(spark: SparkSession, rows: DataFrame, model: DataFrame) -> DataFrame:
+    """(id, ratio) of the texts of `rows` (text, id, which) from a model that stays a table; rows of one id are equal texts."""
+    columns = [f"v{f}" for f in range(FOLDS + 1)]
+    asked = written(spark, rows.mapInArrow(_asked, _ASKED), "asked")
+    spelled = asked.filter("word is not null").select("word", F.posexplode("keys").alias("step", "key")).distinct()
+    hits = _met(spark, written(spark, spelled, "spelled"), model, "key", F.lit(1))
+    # the longest expression that differs gives a word its value
+    values = hits.groupBy("word").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("step"))).alias(c) for c in columns])
+    values = written(spark, values, "values")
+    words = asked.filter("word is not null").select("part", "word", "docs")
+    told = _met(spark, words, values, "word", F.size("docs")).select("part", "word", "docs", *columns)
+    nothing = F.lit(None)
+    told = told.select("*", *[nothing.cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("which", "int"), ("sizes", "int"))])
+    heads = asked.filter("word is null").select("part", "word", "docs", *[nothing.cast("double").alias(c) for c in columns], "ids", "which", "sizes")
+    told = told.unionByName(heads).repartition("part").sortWithinPartitions("part", F.col("word").asc_nulls_first())
+    return told.mapInArrow(_told, "id long, ratio double").groupBy("id").agg(F.max("ratio").alias("ratio"))
+
+
+def _identity(which: F.Column) -> F.Column:
+    """What is scored once: a text by a model."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), which)
+
+
 def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve."""
     order = np.argsort(-z, kind="stable")
@@ -188,8 +315,9 @@ def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Toxicity:
     """A fitted model; `score` may be applied to any documents."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, slope: float, offset: float):
-        self.keys, self.values, self.slope, self.offset = keys, values, slope, offset
+    def __init__(self, keys: np.ndarray, values: np.ndarray, slope: float, offset: float, table: DataFrame | None = None):
+        """With `table` the model is that table and not `keys` and `values`."""
+        self.keys, self.values, self.slope, self.offset, self.table = keys, values, slope, offset, table
 
     @staticmethod
     def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Toxicity:
@@ -202,8 +330,9 @@ class Toxicity:
         schema = ", ".join(["key long", *(f"{c} long" for c in _COUNTS)])
         counts = rows.select("text", column).mapInArrow(_count, schema).groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTS])
         counts = written(spark, counts, "expressions")
-        best = _model(counts).filter(" or ".join(f"v{f} is not null" for f in range(FOLDS + 1))).orderBy(
-            F.desc("strength"), "key").limit(MODEL_SIZE).toPandas()
+        table = written(spark, _model(counts).filter(" or ".join(f"v{f} is not null" for f in range(FOLDS + 1))), "model")
+        joined = table.count() > MODEL_SIZE
+        best = table.limit(0 if joined else MODEL_SIZE).toPandas()
         keys = best["key"].to_numpy(np.int64).view(U)
         order = np.argsort(keys)
         values = best[[f"v{f}" for f in range(FOLDS + 1)]].to_numpy(float)[order]
@@ -220,17 +349,33 @@ class Toxicity:
                     which = part.column("fold").to_numpy(zero_copy_only=False) + 1
                     yield pa.RecordBatch.from_arrays([pa.array(score(data, offsets, which)), part.column("toxic")], ["z", "y"])
 
-        seen = sample.select("text", "fold", "toxic").mapInArrow(apart, "z double, y int").toPandas()
+        if joined:
+            sample = sample.select("text", "toxic", (F.col("fold") + 1).alias("which")).withColumn("id", _identity(F.col("which")))
+            ratios = _joined_ratios(spark, sample.select("text", "id", "which"), table)
+            seen = sample.select("id", "toxic").join(ratios, "id").select(F.col("ratio").alias("z"), F.col("toxic").alias("y")).toPandas()
+        else:
+            seen = sample.select("text", "fold", "toxic").mapInArrow(apart, "z double, y int").toPandas()
         y = (seen["y"].to_numpy() > 0).astype(float)
         if not 0 < p < 1 or not 0 < y.sum() < len(y):
             p = min(max(p, 0.0), 1.0)
             return Toxicity(model[0][:0], values[:0], 0.0, float(np.log((p + 1e-9) / (1 - p + 1e-9))))
-        return Toxicity(*model, *_curve(seen["z"].to_numpy(), y))
+        return Toxicity(*model, *_curve(seen["z"].to_numpy(), y), table if joined else None)
+
+    def _scores(self, docs: DataFrame) -> DataFrame:
+        """id and score of the texts of `docs`, from the model's table."""
+        asked = docs.select("text", _identity(F.lit(0)).alias("id"), F.lit(0).alias("which"))
+        linear = F.least(F.greatest(F.lit(self.slope) * F.col("ratio") + F.lit(self.offset), F.lit(-30.0)), F.lit(30.0))
+        scores = _joined_ratios(docs.sparkSession, asked, self.table).select("id", (1 / (1 + F.exp(-linear))).alias("score"))
+        return written(docs.sparkSession, scores, "scores")
 
     def score(self, docs: DataFrame, keep: str) -> DataFrame:
         """`docs` columns named in `keep` (a schema string, without score), then score and predicted."""
         model, slope, offset = (self.keys, self.values), self.slope, self.offset
         names = [part.split()[0] for part in keep.split(",")]
+        if self.table is not None:
+            spark = docs.sparkSession
+            kept = written(spark, docs.select(*names, _identity(F.lit(0)).alias("id")), "scored")
+            return _met(spark, kept, self._scores(docs), "id", F.lit(1)).select(*names, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ratio = _ratios(model)
@@ -248,6 +393,10 @@ class Toxicity:
     def accepted(self, docs: DataFrame) -> DataFrame:
         """The rows of `docs`, whatever columns they have, that are not predicted."""
         model, slope, offset = (self.keys, self.values), self.slope, self.offset
+        if self.table is not None:
+            rejected = self._scores(docs).filter(F.col("score") >= THRESHOLD).select(F.col("id").alias("_text_id"))
+            named = docs.withColumn("_text_id", _identity(F.lit(0)))
+            return joined_with(named, rejected, "_text_id", 16, "left_anti").drop("_text_id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ratio = _ratios(model)

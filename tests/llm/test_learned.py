@@ -114,3 +114,22 @@ def test_pairs_are_learned():
     model = additive_model.AdditiveModel.fit(x, y, np.arange(6000) % 5 == 0)
     z = rng.random((2000, 12))
     assert ((model.score(z) > 0.5) == ((z[:, 2] > 0.5) != (z[:, 5] > 0.4))).mean() > 0.95
+
+
+def test_toxicity_keeps_every_expression(spark, labelled, monkeypatch):
+    """A model too large for the tasks is joined, and gives what it gives when it goes to them whole."""
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").union(docs.limit(40).select("doc_id", "text")).union(spark.createDataFrame(ODD, "doc_id long, text string"))
+    docs = docs.repartition(5)
+    docs.persist()
+
+    def run():
+        scored = sorted((r.doc_id, round(r.score, 9), r.predicted) for r in toxicity.toxicity(spark, docs, labels).collect())
+        return scored, sorted((r.doc_id, r.text or "") for r in toxicity.drop_toxic(spark, docs, labels).collect())
+
+    whole = run()
+    assert 0 < sum(p for _, _, p in whole[0]) and len(whole[1]) < len(whole[0])
+    monkeypatch.setattr(toxicity, "MODEL_SIZE", 20)
+    monkeypatch.setattr(toxicity, "_PAIRS", 3000, raising=False)
+    assert run() == whole
+    docs.unpersist()
