@@ -52,4 +52,31 @@ CONTAINED = f"""
     FROM a JOIN b USING (s) JOIN n ON n.row = b.row
     GROUP BY a.row, b.row, a.doc_id, b.item_id HAVING 10 * count(*) >= 8 * any_value(n.n)"""
 
-ORACLES = {"op6_secret_scan": SECRETS, "op9_decontamination": CONTAINED}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    each = (f"list_transform(range(0, octet_length(encode({text}))), "
+            f"lambda i: CAST('0x' || substr(hex(encode({text})), CAST(1 + 2 * i AS INT), 2) AS BIGINT))")
+    step = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295], {each}), lambda c, b: {step}), 4294967295)"
+
+
+VARIANTS = f"""
+    WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS d, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{_UPPER}', '{_UPPER.lower()}') AS w FROM documents),
+    counted AS (SELECT d || w AS t, w, count(*) AS c FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+    hashed AS (SELECT w, c, {_crc32("t")} AS h FROM counted),
+    cut AS (SELECT c, CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word FROM hashed),
+    v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+    dels AS (SELECT word, n, i, substr(word, 1, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+    near AS (SELECT a.word, b.word AS other, b.n AS m FROM dels a JOIN dels b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT dels.word, v.word, v.n FROM dels JOIN v ON dels.rest = v.word
+        UNION SELECT v.word, dels.word, dels.n FROM dels JOIN v ON dels.rest = v.word),
+    best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+    known AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+    steps AS (SELECT word, word AS root, form AS next FROM known
+        UNION ALL SELECT s.word, s.next, k.form FROM steps s JOIN known k ON k.word = s.next)
+    SELECT word, form, root, n, n_near, form_n FROM steps JOIN known USING (word) WHERE next IS NULL"""
+
+ORACLES = {"op6_secret_scan": SECRETS, "op9_decontamination": CONTAINED, "op12_spelling_variants": VARIANTS}
