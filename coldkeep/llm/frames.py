@@ -30,10 +30,8 @@ def joined_with(large: DataFrame, small: DataFrame, on: str, width: int, how: st
 LINKS = 1_000_000
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a task as stars: every node with the smallest one it reaches here."""
-    parts = [np.stack((b.column("u").to_numpy(), b.column("v").to_numpy())) for b in batches]
-    links = np.concatenate(parts, 1) if parts else np.zeros((2, 0), np.int64)
+def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two rows of linked nodes as stars: every node but the smallest ones, with the smallest one it reaches."""
     nodes, back = np.unique(links, return_inverse=True)
     u, v = back.reshape(2, -1)
     label = np.arange(len(nodes))
@@ -48,7 +46,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             break
         label = new
     pick = label != np.arange(len(nodes))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[pick]), pa.array(nodes[label[pick]])], ["u", "v"])
+    return nodes[pick], nodes[label[pick]]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as stars."""
+    parts = [np.stack((b.column("u").to_numpy(), b.column("v").to_numpy())) for b in batches]
+    u, v = forest(np.concatenate(parts, 1) if parts else np.zeros((2, 0), np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:

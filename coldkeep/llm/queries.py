@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coldkeep.llm import additive_model, collinear, decision_list, decontamination, jaccard, packing, secrets, site_tree, spelling, suffix_merge, toxicity
+from coldkeep.llm import additive_model, collinear, decision_list, decontamination, jaccard, packing, secrets, simhash, site_tree, spelling, suffix_merge, toxicity
 from coldkeep.llm.frames import table
 from coldkeep.llm.oracles import ORACLES
 from coldkeep.session import prepare
@@ -70,6 +70,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return simhash.simhash_components(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_site_style_tree": op1_site_style_tree,
     "op2_quality_rules": op2_quality_rules,
@@ -82,4 +87,5 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_simhash": op13_simhash,
 }
