@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coldkeep.llm import additive_model, collinear, decision_list, decontamination, jaccard, packing, secrets, simhash, site_tree, spelling, suffix_merge, toxicity
+from coldkeep.llm import additive_model, collinear, conversation_trie, decision_list, decontamination, jaccard, packing, secrets, simhash, site_tree, spelling, suffix_merge, toxicity
 from coldkeep.llm.frames import table
 from coldkeep.llm.oracles import ORACLES
 from coldkeep.session import prepare
@@ -65,6 +65,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return conversation_trie.prefix_trie(spark, table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return spelling.spelling_variants(spark, table(spark, sf_dir, "documents"))
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_simhash": op13_simhash,
 }
