@@ -79,4 +79,25 @@ VARIANTS = f"""
         UNION ALL SELECT s.word, s.next, k.form FROM steps s JOIN known k ON k.word = s.next)
     SELECT word, form, root, n, n_near, form_n FROM steps JOIN known USING (word) WHERE next IS NULL"""
 
-ORACLES = {"op6_secret_scan": SECRETS, "op9_decontamination": CONTAINED, "op12_spelling_variants": VARIANTS}
+TRIE = f"""
+    WITH given AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT c, k, n, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS i
+        FROM (SELECT c, turn, md5(length(role) || ':' || role || text) AS k, length(text) AS n FROM given)),
+    ids AS (SELECT c, {_crc32("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM given)),
+    r AS (SELECT ids.c, i, k, n FROM ids JOIN t ON t.c = ids.c - ids.c % 100 AND i <= h
+        UNION ALL SELECT ids.c, i, k, n FROM ids JOIN t ON t.c = ids.c AND i > h),
+    p AS (SELECT c, d, n, string_agg(k, '/') OVER (PARTITION BY c ORDER BY d) AS path FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY i) AS d FROM r)
+        UNION ALL SELECT c, 0, 0, '' FROM ids),
+    node AS (SELECT path, any_value(d) AS depth, any_value(n) AS size, min(c) AS conv_id, count(*) AS n_convs FROM p GROUP BY path),
+    step AS (SELECT x.path, y.path AS up FROM node x JOIN p y ON y.c = x.conv_id AND y.d = x.depth - 1),
+    child AS (SELECT up AS path, count(*) AS n_children FROM step GROUP BY up),
+    below AS (SELECT a.path, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+        FROM node x LEFT JOIN child ON child.path = x.path JOIN p a ON a.c = x.conv_id AND a.d <= x.depth GROUP BY a.path),
+    ends AS (SELECT path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, max_by(path, d) AS path FROM p GROUP BY c) GROUP BY path)
+    SELECT node.conv_id, node.depth, above.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children,
+        CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM node JOIN below USING (path) LEFT JOIN child USING (path) LEFT JOIN ends USING (path)
+    LEFT JOIN step USING (path) LEFT JOIN node above ON above.path = step.up"""
+
+ORACLES = {"op6_secret_scan": SECRETS, "op9_decontamination": CONTAINED, "op11_conversation_trie": TRIE,
+           "op12_spelling_variants": VARIANTS}
