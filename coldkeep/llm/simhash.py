@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldkeep.llm.frames import components, forest
+from coldkeep.llm.frames import components, forest, joined_with
 from coldkeep.llm.words import BLANK, LOWER, U, chunks, mix, signed
 from coldkeep.session import written
 
@@ -249,7 +249,10 @@ def simhash_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     label = components(spark, linked(spark, nodes.select("fp"))).withColumnRenamed("node", "fp")
     named = written(spark, nodes.join(label, "fp", "left"), "named")
     first = named.filter("component is not null").groupBy("component").agg(F.min("least").alias("first"))
-    whole = written(spark, named.join(first, "component", "left").select("fp", F.coalesce("first", "least").alias("component_id")), "whole")
+    # apart, as all that are linked with nothing would meet under one null
+    joined = joined_with(named.filter("component is not null"), first, "component", 16).select("fp", F.col("first").alias("component_id"))
+    alone = named.filter("component is null").select("fp", F.col("least").alias("component_id"))
+    whole = written(spark, joined.unionAll(alone), "whole")
     known = rows.filter("doc_id is not null").join(whole, "fp").select("doc_id", "fp", "component_id")
     bare = rows.filter("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
     return known.unionAll(bare).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
