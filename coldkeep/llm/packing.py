@@ -11,7 +11,7 @@ has, a new one is opened, and if too many are open then, the fullest is closed.
 its open sequences only, so memory does not depend on the number of pieces.
 
 Token ids of a word (split at ASCII white space) do not depend on its neighbours, so a task
-remembers the ids of up to `MEMO` words and the tokenizer sees each of them once.
+remembers the ids of the words it met of late, `MEMO` and as many older ones, and the tokenizer sees each of them once.
 
 Defined results: a null or empty text is one piece of length 1; rows with equal doc_id are
 packed each by itself; an empty table gives no rows; ties of length go by doc_id and piece;
@@ -30,79 +30,144 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldkeep.llm.words import chunks
+from coldkeep.llm.words import LOWER, Words, chunks
 from coldkeep.session import written
 
 CAPACITY = 4096
 END_ID = 1
 OPEN = 1024
 LANE_SEQUENCES = 4096
-MEMO = 600_000
+MEMO = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-# Punctuation that ends a word of letters: the tokenizer splits there anyway, and without it words repeat more.
-_TAIL = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:*&$%#|]+)(?=[ \t\n\r\x0b\x0c])")
+# Punctuation that ends a word is a word of its own behind these: the tokenizer splits there anyway, and without it words repeat more.
+_TAIL = np.isin(np.arange(256), list(b".,!?;:*&$%#|"))
+_LETTER = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+_SECOND = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])  # of U+00C0 to U+00FF but the two signs
 _PLAIN = re.compile(rb"[a-z]+")
 
 
+class _Known:
+    """Words by their sorted hashes, with their bytes and token ids one after the other in flat arrays."""
+
+    def __init__(self):
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.raw = _Flat(np.uint32), _Flat(np.uint8)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the words with these hashes; -1 for those that are not here."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.places[at], -1)
+
+    def add(self, keys: np.ndarray, ids: tuple[np.ndarray, np.ndarray], raw: tuple[np.ndarray, np.ndarray]) -> None:
+        """Words with sorted hashes that are not here."""
+        at = np.searchsorted(self.keys, keys)
+        self.places = np.insert(self.places, at, len(self.ids.size) + np.arange(len(keys)))
+        self.keys = np.insert(self.keys, at, keys)
+        self.ids.add(*ids)
+        self.raw.add(*raw)
+
+
+class _Flat:
+    """Pieces of varying size in one array that grows by doubling."""
+
+    def __init__(self, kind: type):
+        self.data, self.used = np.zeros(1 << 16, kind), 0
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, data: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(data) > len(self.data):
+            self.data = np.append(self.data, np.zeros_like(self.data))
+        self.data[self.used: self.used + len(data)] = data
+        self.first = np.append(self.first, self.used + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.used += len(data)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gathered(self.data, self.first[at], self.size[at]), self.size[at]
+
+
+def gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces data[first: first + size] one after the other."""
+    ends = np.cumsum(size)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + size, size)]
+
+
 class _Memo:
-    """Token ids of words, appended to one flat array; emptied when it holds `MEMO` words."""
+    """Token ids of words. The words of the last `MEMO` and some are known; a word that comes again stays."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
+        self.known, self.older = _Known(), _Known()
 
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def _add(self, words: list[bytes]) -> None:
-        tokenize, found, rest = self.tokenizer.model.tokenize, [], []
-        for w in words:
+    def _tokenized(self, words: list[bytes]) -> list[list[int]]:
+        tokenize, out, rest = self.tokenizer.model.tokenize, [], []
+        for n, w in enumerate(words):
             if _PLAIN.fullmatch(w):
-                found.append((w, [t.id for t in tokenize(w.decode())]))
+                out.append([t.id for t in tokenize(w.decode())])
             else:
-                rest.append(w)
+                out.append([])
+                rest.append(n)
         for at in range(0, len(rest), 4096):
             part = rest[at: at + 4096]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            found.extend((w, e.ids) for w, e in zip(part, got))
-        n, more = len(self.known), sum(len(ids) for _, ids in found)
-        while n + len(found) > len(self.first):
-            self.first, self.size = np.append(self.first, np.zeros_like(self.first)), np.append(self.size, np.zeros_like(self.size))
-        while self.used + more > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        for w, ids in found:
-            self.known[w] = n
-            self.first[n], self.size[n] = self.used, len(ids)
-            self.flat[self.used: self.used + len(ids)] = ids
-            self.used += len(ids)
-            n += 1
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and how many each has."""
-        if len(self.known) > MEMO:
-            self.clear()
-        split = []
-        for t in texts:
-            if b"<|" not in t:  # else an upper-case look-alike would become a special token
-                t = _TAIL.sub(rb" \1", t.lower() + b"\n")
-            split.append(t.split())
-        words = [w for s in split for w in s]
-        fresh = list(set(words) - self.known.keys())
-        if fresh:
-            self._add(fresh)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        before = np.cumsum(size)
-        ids = self.flat[np.arange(int(before[-1]) if len(at) else 0) + np.repeat(self.first[at] - before + size, size)]
-        ends = np.cumsum([len(s) for s in split])
-        total = np.concatenate(([0], before))
-        return ids, np.diff(np.concatenate(([0], total[ends])))
+            for n, e in zip(part, self.tokenizer.encode_batch_fast([words[n].decode() for n in part], add_special_tokens=False)):
+                out[n] = e.ids
+        return out
+
+    def _places(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Places in `known` of words with distinct hashes, which are added if need be."""
+        if len(self.known.keys) > MEMO:
+            self.known, self.older = _Known(), self.known
+        at = self.known.find(hashes)
+        new = np.flatnonzero(at < 0)
+        old = self.older.find(hashes[new])
+        again, old, new = new[old >= 0], old[old >= 0], new[old < 0]
+        if len(again):
+            self.known.add(hashes[again], self.older.ids.take(old), self.older.raw.take(old))
+        if len(new):
+            words = [data[a: a + n].tobytes() for a, n in zip(start[new].tolist(), size[new].tolist())]
+            found = self._tokenized(words)
+            ids = np.fromiter((i for w in found for i in w), np.uint32)
+            self.known.add(hashes[new], (ids, np.array([len(w) for w in found], np.int64)), (np.frombuffer(b"".join(words), np.uint8), size[new]))
+        at = self.known.find(hashes)
+        # Equal hashes are taken for equal words only if their bytes are.
+        raw, length = self.known.raw.take(at)
+        if not (np.array_equal(length, size) and np.array_equal(raw, gathered(data, start, size))):
+            for n in np.flatnonzero(length != size).tolist() or range(len(at)):
+                word = data[start[n]: start[n] + size[n]]
+                if not np.array_equal(word, self.known.raw.take(at[n: n + 1])[0]):
+                    [ids] = self._tokenized([word.tobytes()])
+                    at[n] = len(self.known.ids.size)
+                    self.known.add(hashes[:0], (np.array(ids, np.uint32), np.array([len(ids)])), (word, size[n: n + 1]))
+        return at
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a chunk one after the other, and how many each has."""
+        low = LOWER[data]
+        # of a text with "<|" no byte is changed and no word cut, since an upper-case look-alike would become a special token
+        odd = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        raw = np.unique(np.searchsorted(offsets, odd, "right") - 1)
+        for n in raw:
+            low[offsets[n]: offsets[n + 1]] = data[offsets[n]: offsets[n + 1]]
+        words = Words(low, offsets)
+        start, end = words.start, words.end
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        body = np.maximum.accumulate(np.where(_TAIL[low], -1, np.arange(len(low))))[end - 1]  # the last byte before the tail
+        cut = (body >= start) & (body < end - 1) & (_LETTER[low[body]] | _SECOND[low[body]] & (low[np.maximum(body - 1, 0)] == 0xC3))
+        cut &= ~np.isin(words.doc, raw)
+        start, end = (np.sort(np.concatenate((x, body[cut] + 1))) for x in (start, end))
+        size, h = end - start, words.hash_of(start, end)
+        hashes, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = self._places(low, start[first], size[first], hashes)[back]
+        ids, n = self.known.ids.take(at)
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        return ids, np.diff(total[np.searchsorted(start, offsets)])
 
 
 _memos: dict[str, _Memo] = {}
@@ -117,8 +182,7 @@ def token_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
         memo = _memos[tokenizer]
         for batch in batches:
             for part, data, offsets in chunks(batch):
-                raw = data.tobytes()
-                ids, sizes = memo.encode([raw[a: b - 1] for a, b in zip(offsets[:-1], offsets[1:])])
+                ids, sizes = memo.encode(data, offsets)
                 keys, rows, at = part.column("doc_id").to_pylist(), [], 0
                 for key, n in zip(keys, sizes):
                     own = np.append(ids[at: at + n], np.uint32(END_ID)).astype("<u4")

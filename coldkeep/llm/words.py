@@ -99,7 +99,11 @@ class Words:
         self.powers, self.inverse = _power_tables(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U)
         np.cumsum((data.astype(U) + U(1)) * self.powers[: len(data)], out=self.sums[1:])
-        self.hash = mix((self.sums[self.end] - self.sums[self.start]) * self.inverse[self.start])
+        self.hash = self.hash_of(self.start, self.end)
+
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from `start` to `end`."""
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
     def count(self) -> np.ndarray:
         """Words of each text."""
