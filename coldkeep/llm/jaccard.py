@@ -44,7 +44,8 @@ WORDS, PERCENT = 4, 85
 LEAF = 1024
 LEAF_SHINGLES = 1 << 20
 FAN = 8
-_COMBINE = 4_000_000
+#: Keys that a task combines at once.
+_COMBINE = 1_000_000
 
 
 class Join:
