@@ -55,11 +55,30 @@ GONE = {"expire": "expired", "move": "moved"}
 
 
 def gone_runs(history: DataFrame) -> DataFrame:
-    """Runs that lifecycle steps took away, with the last such step, per run and table."""
-    steps = history.filter(F.col("event_type").isin(list(GONE)) & (F.col("status") == "success"))
-    last = steps.groupBy("run_id", "table_name").agg(F.max_by("event_type", F.struct("start_time", "id")).alias("_gone"))
+    """Runs that lifecycle steps took away, with the last such step, per run and table.
+
+    Of a step that was planned and never marked as done it is not known how far it came: `interrupted`.
+    """
+    steps = history.filter(F.col("event_type").isin(list(GONE)))
+    done = F.col("status") == "success"
+    last = steps.groupBy("run_id", "table_name").agg(
+        F.max_by(F.when(done, F.col("event_type")), F.when(done, F.struct("start_time", "id"))).alias("_step"),
+        F.max(F.col("status") == "planned").alias("_planned"))
     names = F.create_map(*[F.lit(x) for pair in GONE.items() for x in pair])
-    return last.withColumn("_gone", names[F.col("_gone")])
+    gone = F.coalesce(names[F.col("_step")], F.when(F.col("_planned"), "interrupted"))
+    return last.select("run_id", "table_name", gone.alias("_gone"))
+
+
+def open_steps(history: DataFrame) -> DataFrame:
+    """Lifecycle steps that were planned and not marked as done since, with the folder of their run."""
+    steps = history.filter(F.col("event_type").isin(list(GONE))).withColumn("folder", F.get("files", F.lit(0)))
+
+    def last(status):
+        return F.max(F.when(F.col("status") == status, F.col("id")))
+
+    each = steps.groupBy("event_type", "table_name", "folder").agg(
+        last("planned").alias("_planned"), last("success").alias("_done"), F.max("row_count").alias("row_count"))
+    return each.filter(F.col("_planned") > F.coalesce("_done", F.lit(-1))).drop("_planned", "_done")
 
 
 def reconcile(history: DataFrame, verified: DataFrame, full: bool = True) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.functions.digest import half_sums, join_halves, row_hash
+from coldkeep.sources.task_files import open_file
 
 FILE_KEY = ["cutoff_date", "run_id", "file_name"]
 
@@ -109,24 +110,13 @@ def with_status(facts: DataFrame, zero_row_files: DataFrame | None = None) -> Da
     return judged.select(*FILE_KEY, "status", rows.alias("rows"), "recorded_rows", "length")
 
 
-def _open(path: str):
-    """A file by its Hadoop URI, through Arrow's file systems."""
-    from pyarrow import fs
-
-    scheme, _, rest = path.partition(":")
-    if scheme == "file":
-        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
-    system, name = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "gs": "gs"}.get(scheme, scheme) + ":" + rest)
-    return system.open_input_file(name)
-
-
 def _zero_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import pyarrow.parquet as pq
 
     for batch in batches:
         sound = []
         for path in batch.column("path").to_pylist():
-            with _open(path) as file:
+            with open_file(path) as file:
                 try:
                     sound.append(pq.read_metadata(file).num_rows == 0)
                 except (pa.ArrowException, OSError):

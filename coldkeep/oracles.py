@@ -164,7 +164,7 @@ ORACLES = {
         _summary("orders", "orders", f"o_orderdate < {C}", "false", f"o_orderdate >= {C}"),
         _summary("events", "events", f"ts < {E}", "false", f"ts >= {E}"),
     ]).replace("AS mismatch", "AS mismatch, 'success' AS status")
-    + " UNION ALL SELECT 'lineitem', 'lineitem', 0, 0, 0, count(*), false, 'error' FROM lineitem",
+    + "".join(f" UNION ALL SELECT '{t}', '{t}', 0, 0, 0, -1, false, 'error'" for t in ("lineitem", "returns")),
     "run_summary": f"""
         SELECT run_id, count(*) AS rows_archived, count(*) AS rows_deleted, count(DISTINCT batch) AS files
         FROM ({NUMBERED}) GROUP BY run_id""",
@@ -267,5 +267,34 @@ ORACLES = {
     "lifecycle_foreign_run": f"""
         SELECT run_id, count(*) AS rows, 'expire' AS action FROM ({NUMBERED}) GROUP BY run_id
         UNION ALL SELECT 'f0e1d2c3', count(*), 'keep' FROM orders WHERE o_orderdate >= {C}""",
+    "lifecycle_partial_failure": f"""
+        SELECT run_id, 'orders' AS table_name, count(*) AS expected_rows, CAST(0 AS BIGINT) AS actual_rows,
+            CASE WHEN seen = 'after' OR run_id = '00000001' THEN 'expired' ELSE 'interrupted' END AS status, seen
+        FROM ({NUMBERED}), (VALUES ('before'), ('after')) AS times(seen) GROUP BY run_id, seen""",
+    "ageing_unreadable_run": f"""
+        SELECT *, CAST(2 AS BIGINT) AS unrecorded_runs FROM (
+            SELECT run_id, count(*) AS rows, 'expire' AS action FROM ({NUMBERED}) GROUP BY run_id
+            UNION ALL SELECT 'f0e1d2c3', count(*), 'keep' FROM orders WHERE o_orderdate >= {C}
+            UNION ALL SELECT 'badbadba', 0, 'unreadable')""",
+    "history_segments": """
+        SELECT event_id AS id, format('{:08x}', user_id) AS run_id, event_type AS rule, ts AS start_time, true AS merged
+        FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20""",
+    "reconcile_rows": f"""
+        SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'missing' ELSE 'changed' END AS status, CAST(1 AS BIGINT) AS expected_rows,
+            CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE 1 END::BIGINT AS actual_rows
+        FROM orders WHERE o_orderdate < {C} AND (o_orderkey % 97 = 0 OR o_orderkey % 89 = 1)
+        UNION ALL SELECT -o_orderkey - 1, 'extra', 0, 1 FROM orders WHERE o_orderdate < {C} AND o_orderkey % 97 = 0""",
+    "verify_row_groups": f"""
+        SELECT run_id, CASE run_id WHEN '12e45678' THEN 1 ELSE 0 END::BIGINT AS damaged_groups,
+            CASE run_id WHEN '12e45678' THEN 1 ELSE 0 END::BIGINT AS planted_groups, count(*) AS rows,
+            CASE run_id WHEN '12e45678' THEN 1 ELSE 0 END::BIGINT AS read_again
+        FROM ({NUMBERED}) GROUP BY run_id""",
+    "chunk_intervals": f"""
+        SELECT coalesce(name, 'none') AS name, count(ts) AS rows, coalesce(high <= {E}, false) AS expired,
+            coalesce(name IN ('c1', 'c2'), false) AS droppable
+        FROM (VALUES ('c1', TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-04 06:00:00'), ('c2', TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-12'),
+            ('c3', TIMESTAMP '2024-01-12', {E}), ('c4', {E}, TIMESTAMP '2024-01-25 12:30:00'),
+            ('c5', TIMESTAMP '2030-01-01', TIMESTAMP '2031-01-01')) AS bounds(name, low, high)
+        FULL JOIN events ON ts >= low AND ts < high GROUP BY name, high""",
     "lifecycle_delete": f"SELECT * FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < {C}",
 }

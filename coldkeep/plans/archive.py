@@ -291,8 +291,8 @@ def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStor
                       keep_going: bool = False, order: str = "scan", clock: Clock | None = None) -> DataFrame:
     """Archive rule after rule. Stops at the first failure unless told to keep going.
 
-    A failed rule then has one row per table with status `error` and the message; a table of it that was purged
-    before another one failed is in the history.
+    A failed rule then has one row per table with status `error` and the message, and `rows_remaining` null, as its tables
+    are not touched again (one may be what failed); a table of it that was purged before another one failed is in the history.
     """
     check_rules(rules)
     reports = []
@@ -307,6 +307,6 @@ def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStor
                 raise
             if run_id is None and history is not None:
                 history.record([Event("", rule.name, "archive", t.name, 0, (), "error", str(problem), as_of, as_of) for t in rule.tables])
-            failed = [(run_id, rule.name, t.name, 0, 0, 0, 0, 0, hot[t.name].count(), False, "error", str(problem)) for t in rule.tables]
+            failed = [(run_id, rule.name, t.name, 0, 0, 0, 0, 0, None, False, "error", str(problem)) for t in rule.tables]
             reports.append(small_frame(spark, failed, SUMMARY_SCHEMA))
     return union_all(reports) if reports else small_frame(spark, [], SUMMARY_SCHEMA)

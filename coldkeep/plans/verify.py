@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.model import Rule, Selection
+from coldkeep.operators.hash_tree import differing_rows
 from coldkeep.operators.reports import reconcile
 from coldkeep.operators.verify import (
     FILE_KEY,
@@ -21,9 +23,10 @@ from coldkeep.operators.verify import (
     zero_row_files,
 )
 from coldkeep.plans.listing import list_files
+from coldkeep.plans.restore import archived_rows
 from coldkeep.session import prepare, small_frame, together, written
 from coldkeep.sources.archive_store import ArchiveStore, Run
-from coldkeep.sources.hot_table import union_all
+from coldkeep.sources.hot_table import HotTable, union_all
 
 # Skips files that are damaged or gone while reading; the comparison finds them.
 LENIENT = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
@@ -75,6 +78,19 @@ def verify_rule(spark: SparkSession, rule: Rule, store: ArchiveStore, selection:
     return union_all(together(spark, [partial(verify_runs, store, name, runs) for name, runs in chosen]))
 
 
+def compare_with_archive(spark: SparkSession, rule: Rule, table: str, store: ArchiveStore, hot: HotTable, as_of: datetime,
+                         selection: Selection = Selection()) -> DataFrame:
+    """Archived rows against the expired rows of the hot table, to the row: what a restore lost, changed or found there besides.
+
+    One row per key whose rows differ, as in `hash_tree.differing_rows`. Tables that agree cost one scan each.
+    """
+    prepare(spark)
+    [chosen] = rule.selected_tables(table)
+    runs = store.runs(rule.database, table, selection, required=True)
+    archived = archived_rows(store, runs, hot.schema(), rule.encoding).select(*hot.schema().fieldNames())
+    return differing_rows(spark, archived, hot.expired(chosen.date_column, chosen.cutoff(as_of)), chosen.key)
+
+
 def verify_against_history(spark: SparkSession, rule: Rule, store: ArchiveStore, history: DataFrame,
                            selection: Selection = Selection(), full: bool = True) -> DataFrame:
     """Verify, then compare the rows found with what the history of the rule recorded.

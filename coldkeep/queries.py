@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from coldkeep.functions import canonical, names, numbers
 from coldkeep.model import KeyAuditFailed, LifecyclePolicy, Rule, Selection, TableRule
-from coldkeep.operators import batches, chunks, expire, keys, purge, reports, verify
+from coldkeep.operators import batches, chunks, expire, intervals, keys, purge, reports, row_groups, verify
 from coldkeep.operators.restore import conflicts_with_hot, key_counts
 from coldkeep.plans import archive, lifecycle, restore
 from coldkeep.plans.listing import list_files
-from coldkeep.plans.verify import verify_against_history, verify_rule
+from coldkeep.plans.verify import compare_with_archive, verify_against_history, verify_rule
 from coldkeep.session import prepare, workspace
 from coldkeep.sources.archive_store import ArchiveStore
 from coldkeep.sources.history import HISTORY_SCHEMA, History
@@ -40,6 +40,16 @@ EVENTS = TableRule("events", "ts", EVENTS_DAYS, ("ts", "user_id"))
 LINEITEM = TableRule("lineitem", "l_shipdate", DAYS, ("l_orderkey", "l_linenumber"))
 
 
+# Chunks of events as a database may list them: of any length, and not without gaps.
+CHUNK_BOUNDS = [
+    intervals.Interval("c1", datetime(2024, 1, 1), datetime(2024, 1, 4, 6)),
+    intervals.Interval("c2", datetime(2024, 1, 5), datetime(2024, 1, 12)),
+    intervals.Interval("c3", datetime(2024, 1, 12), EVENTS_CUTOFF),
+    intervals.Interval("c4", EVENTS_CUTOFF, datetime(2024, 1, 25, 12, 30)),
+    intervals.Interval("c5", datetime(2030, 1, 1), datetime(2031, 1, 1)),
+]
+
+
 def as_of_for(cutoff: datetime, days: int = DAYS) -> datetime:
     return cutoff + timedelta(days=days)
 
@@ -392,19 +402,20 @@ def archive_rule(scene, hot):
 
 
 def archive_all_rules(spark, sf_dir):
-    """Two sound rules and a failing one; the failure does not stop the others."""
+    """Two sound rules and two failing ones, one of a table that is not there; the failures do not stop the others."""
     scene = Scene(spark, sf_dir)
     days = (EVENTS_AS_OF - ORDERS_CUTOFF).days
     rules = [
         rule_of(TableRule("orders", "o_orderdate", days, ORDERS.key), name="orders"),
         rule_of(TableRule("lineitem", "l_shipdate", days, LINEITEM.key), name="lineitem"),
+        rule_of(TableRule("returns", "r_date", days, ("r_key",)), name="returns"),
         rule_of(EVENTS, name="events"),
     ]
     hot = {name: scene.adopt(name) for name in ("orders", "lineitem", "events")}
-    runs = {"orders": "00000001", "lineitem": "00000002", "events": "00000003"}
-    return archive.archive_all_rules(
-        spark, rules, scene.store, hot, EVENTS_AS_OF, runs, scene.history, keep_going=True
-    ).select(*_SUMMARY, "status")
+    runs = {"orders": "00000001", "lineitem": "00000002", "returns": "00000003", "events": "00000004"}
+    told = archive.archive_all_rules(spark, rules, scene.store, hot, EVENTS_AS_OF, runs, scene.history, keep_going=True)
+    # not known of a failed rule
+    return told.select(*_SUMMARY, "status").withColumn("rows_remaining", F.coalesce("rows_remaining", F.lit(-1)))
 
 
 def run_summary(spark, sf_dir):
@@ -791,6 +802,110 @@ def lifecycle_foreign_run(spark, sf_dir):
     return report.select("run_id", "rows", "action")
 
 
+def lifecycle_partial_failure(spark, sf_dir):
+    """All three runs are due for deletion: the first goes, the second fails after its rows are gone, and the
+    mark of the third is lost. The reconciliation before and after the job is repeated."""
+    scene = Scene(spark, sf_dir)
+    rule, _ = scene.orders_in_steps()
+    policy, now = LifecyclePolicy(0, 100), ORDERS_AS_OF + timedelta(days=100)
+
+    class Halting(ArchiveStore):
+        def delete(self, run):
+            if run.run_id == "12e45678":
+                self.files.delete(self.run_path(run))
+                raise OSError("the connection was lost")
+            super().delete(run)
+
+    class Forgetful(History):
+        def record(self, events):
+            super().record([e for e in events if (e.run_id, e.status) != ("c0ffee03", "success")])
+
+    try:
+        lifecycle.delete_expired(Halting(spark, scene.store.root), rule, policy, now, Forgetful(spark, scene.history.path))
+    except OSError:
+        pass
+    before = verify_against_history(spark, rule, scene.store, scene.history.df()).withColumn("seen", F.lit("before"))
+    lifecycle.delete_expired(scene.store, rule, policy, now, scene.history)
+    after = verify_against_history(spark, rule, scene.store, scene.history.df()).withColumn("seen", F.lit("after"))
+    return union_all([before, after])
+
+
+def ageing_unreadable_run(spark, sf_dir):
+    """A foreign run of which no file can be read has no age; the report names it, and all others age."""
+    scene = Scene(spark, sf_dir)
+    rule, _ = scene.orders_in_steps()
+    base = scene.store.table_path("shop", "orders")
+    expire.unexpired(scene.rows("orders"), "o_orderdate", ORDERS_CUTOFF).write.parquet(f"{base}/cutoff_date=2001-01-01/run_id=f0e1d2c3")
+    scene.store.files.write_text(f"{base}/cutoff_date=2001-01-02/run_id=badbadba/part-0.parquet", "PAR1 no rows PAR1")
+    report = lifecycle.ageing_report(scene.store, rule, LifecyclePolicy(0, 36_500), datetime(2100, 1, 1))
+    unwritten = [r for r in scene.store.runs("shop", "orders") if r not in scene.store.recorded(scene.store.runs("shop", "orders"))]
+    return report.select("run_id", "rows", "action", F.lit(len(unwritten)).cast("bigint").alias("unrecorded_runs"))
+
+
+def history_segments(spark, sf_dir):
+    """The newest error events of a history whose segments, one per day of events, are merged by weeks or so."""
+    scene = Scene(spark, sf_dir)
+    events = _events_as_history(spark, sf_dir).withColumn("_day", F.to_date("start_time"))
+    days = [r[0] for r in events.select("_day").distinct().collect()]
+    for day in days:
+        scene.history.adopt(events.filter(F.col("_day") == F.lit(day)).drop("_day"))
+    largest = max(s.events for s in scene.history.segments())
+    scene.history.merge(7 * largest)
+    newest = scene.history.recent("error")
+    return newest.select("id", "run_id", "rule", "start_time", F.lit(len(scene.history.segments()) < len(days)).alias("merged"))
+
+
+# -- to the row, to the row group, and chunks with any bounds -----------------------
+
+
+def reconcile_rows(spark, sf_dir):
+    """A restored table of as many rows as were archived, of which some were lost, changed or made up."""
+    scene = Scene(spark, sf_dir)
+    rule, hot = rule_of(ORDERS), {"orders": scene.adopt("orders")}
+    scene.archive(rule, hot, ORDERS_AS_OF, "0000aaaa")
+    key = F.col("o_orderkey")
+    restored = _read_archive(scene, "orders").withColumn(
+        "o_totalprice", F.when(key % 89 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).withColumn(
+        "o_orderkey", F.when(key % 97 == 0, -key - 1).otherwise(key))
+    table = scene.load("orders-restored", restored.unionByName(hot["orders"].df()), ORDERS)
+    return compare_with_archive(spark, rule, "orders", scene.store, table, ORDERS_AS_OF)
+
+
+def verify_row_groups(spark, sf_dir):
+    """One bit is flipped in the last row group of one run: how many groups are damaged, and what a second pass reads."""
+    scene = Scene(spark, sf_dir)
+    scene.store = ArchiveStore(spark, scene.store.root, write_options={"parquet.block.size": "8192"})
+    scene.orders_in_steps()
+    store, runs = scene.store, scene.store.runs("shop", "orders")
+    row_groups.record_row_groups(store, runs)
+    late = row_groups.recorded_row_groups(store, runs).filter("run_id = '12e45678' and row_group >= 0").orderBy(
+        F.desc("row_group"), "file_name").first()
+    path = f"{store.run_path(runs[1])}/{late['file_name']}"
+    data = bytearray(store.files.read_bytes(path))
+    data[late["first_byte"] + late["n_bytes"] // 2] ^= 1
+    store.files.write_bytes(path, data)
+    first = row_groups.verify_row_groups(store, runs)
+    again = row_groups.verify_row_groups(store, runs, known=first).groupBy("run_id").agg(F.count_if("read").alias("read_again"))
+    bad = F.col("status") != "OK"
+    hit = bad & (F.col("file_name") == late["file_name"]) & (F.col("row_group") == late["row_group"])
+    return first.groupBy("run_id").agg(
+        F.count_if(bad).alias("damaged_groups"), F.count_if(hit).alias("planted_groups"), F.sum("rows").cast("bigint").alias("rows"),
+    ).join(again, "run_id")
+
+
+def chunk_intervals(spark, sf_dir):
+    """Chunks with uneven bounds and a gap: rows, expiry, and whether they may be dropped; rows of no chunk stand apart."""
+    scene = Scene(spark, sf_dir)
+    scene.archive(rule_of(EVENTS), _chunked_events(scene), EVENTS_AS_OF, "0000aaaa", purge=False)
+    events = scene.rows("events")
+    changed = events.withColumn("value", F.when(F.col("ts") >= "2024-01-12", F.col("value") + 1).otherwise(F.col("value")))
+    archived = _read_archive(scene, "events")
+    told = intervals.interval_inventory(changed, "ts", CHUNK_BOUNDS, EVENTS_CUTOFF)
+    dropped = intervals.droppable_intervals(changed, archived, "ts", CHUNK_BOUNDS, EVENTS_CUTOFF).select("name", F.lit(True).alias("droppable"))
+    return told.join(dropped, "name", "left").select(
+        F.coalesce("name", F.lit("none")).alias("name"), "rows", "expired", F.coalesce("droppable", F.lit(False)).alias("droppable"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -809,5 +924,7 @@ QUERIES = {
         canonical_encode, canonical_decode, canonical_bool, canonical_nested, canonical_by_db_type, canonical_narrowing,
         sanitize_identifiers, parse_archive_key, format_counts,
         archive_lifecycle, lifecycle_move, lifecycle_delete, lifecycle_resume, lifecycle_foreign_run,
+        lifecycle_partial_failure, ageing_unreadable_run, history_segments,
+        reconcile_rows, verify_row_groups, chunk_intervals,
     )
 }

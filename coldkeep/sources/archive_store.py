@@ -79,13 +79,14 @@ class ArchiveStore:
     With `in_place`, for object stores where moving a folder means copying it, rows are
     written where they will stay and only the small manifest is moved. A run then exists
     for this store once it has a manifest; other readers of the folder could see the rows
-    of an unfinished run.
+    of an unfinished run. `write_options` go to Spark's Parquet writer, `parquet.block.size` for instance.
     """
 
-    def __init__(self, spark: SparkSession, root: str, in_place: bool = False):
+    def __init__(self, spark: SparkSession, root: str, in_place: bool = False, write_options: dict[str, str] | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.in_place = in_place
+        self.write_options = {**(write_options or {}), **NO_MARKER}
         self.files = Files(spark)
         # A published run never changes, so neither does its schema.
         self._schemas: dict[Run, str] = {}
@@ -145,7 +146,7 @@ class ArchiveStore:
             rows = in_exact_batches(self.spark, rows, key, batch_size)
         elif order == "key":
             rows = in_key_order(rows, key)
-        rows.write.options(maxRecordsPerFile=batch_size, **NO_MARKER).parquet(target)
+        rows.write.options(maxRecordsPerFile=batch_size, **self.write_options).parquet(target)
         staged = self.spark.read.schema(schema).parquet(target)
         manifest_target = self._staged(run, "manifest")
         file_totals(staged).select(

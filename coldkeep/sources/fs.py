@@ -6,6 +6,8 @@ Going through Hadoop keeps every path scheme Spark can read (`file:`, `hdfs:`, `
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -27,6 +29,21 @@ class Files:
         fs, target = self._at(path)
         return fs.exists(target)
 
+    def _paths(self, statuses) -> list[str]:
+        """The paths of a listing, brought over in one call however many there are."""
+        if statuses is None or not len(statuses):
+            return []
+        paths = self._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(statuses)
+        text = self._jvm.org.apache.commons.lang3.ArrayUtils.toString(paths)[1:-1]
+        # "{a,b}": every path begins with the scheme of the first one
+        scheme = text.split(":", 1)[0]
+        return re.split(f",(?={re.escape(scheme)}:/)", text)
+
+    def names(self, path: str) -> list[str]:
+        """Names of all entries of a directory, sorted; empty when the path does not exist."""
+        fs, target = self._at(path)
+        return sorted(p.rsplit("/", 1)[1] for p in self._paths(fs.listStatus(target))) if fs.exists(target) else []
+
     def directories(self, path: str) -> list[str]:
         """Names of the sub-directories, sorted; empty when the path does not exist."""
         fs, target = self._at(path)
@@ -37,7 +54,7 @@ class Files:
     def glob(self, pattern: str) -> list[str]:
         """Full paths of what matches a glob pattern, sorted."""
         fs, target = self._at(pattern)
-        return sorted(s.getPath().toString() for s in fs.globStatus(target) or [])
+        return sorted(self._paths(fs.globStatus(target)))
 
     def files(self, path: str) -> list[tuple[str, int, int]]:
         """(name, length, modification time in ms) of the plain files in one directory."""
@@ -50,11 +67,6 @@ class Files:
             if s.isFile()
         )
 
-    def entry_count(self, path: str) -> int:
-        """Number of entries in a directory, without fetching them one by one."""
-        fs, target = self._at(path)
-        return len(fs.listStatus(target)) if fs.exists(target) else 0
-
     def rename(self, source: str, target: str) -> None:
         """Move a file or directory to a path that must not exist yet."""
         fs, src = self._at(source)
@@ -81,6 +93,23 @@ class Files:
         finally:
             out.close()
 
+    def read_bytes(self, path: str) -> bytes:
+        fs, target = self._at(path)
+        stream = fs.open(target)
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def write_bytes(self, path: str, data: bytes) -> None:
+        """Small files only: the bytes pass through the driver."""
+        fs, target = self._at(path)
+        out = fs.create(target, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+
     def read_text(self, path: str) -> str:
         fs, target = self._at(path)
         stream = fs.open(target)

@@ -18,8 +18,11 @@ from coldkeep.sources.archive_store import MANIFEST_SCHEMA, RUN_COLUMNS, Archive
 
 
 def verify_new_runs(spark: SparkSession, store: ArchiveStore, database: str, table: str,
-                    output: str, checkpoint: str) -> None:
-    """Verify what was published since the last call and add it to the output table."""
+                    output: str, checkpoint: str, files_at_once: int = 1000) -> None:
+    """Verify what was published since the last call and add it to the output table.
+
+    A pass takes so many manifest files at a time, so the first call over a long archive is many batches, not one.
+    """
     prepare(spark)
 
     def judge(batch: DataFrame, batch_id: int) -> None:
@@ -34,7 +37,7 @@ def verify_new_runs(spark: SparkSession, store: ArchiveStore, database: str, tab
         results.select(*RESULT_SCHEMA.fieldNames()).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     schema = T.StructType([*MANIFEST_SCHEMA.fields, *RUN_COLUMNS])
-    manifest = spark.readStream.schema(schema).parquet(store.manifest_path(database, table))
+    manifest = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(store.manifest_path(database, table))
     query = (
         manifest.writeStream.foreachBatch(judge)
         .option("checkpointLocation", checkpoint)

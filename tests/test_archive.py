@@ -288,9 +288,13 @@ def test_all_rules_stop_or_go_on(spark, world):
     assert hot["orders"].count() == 8
     done = archive.archive_all_rules(spark, rules, world.store, hot, AS_OF, ids, world.history, keep_going=True)
     told = [(r["rule"], r["table_name"], r["rows_archived"], r["rows_remaining"], r["status"]) for r in done.collect()]
-    assert sorted(told) == [("one", "bad", 0, 8, "error"), ("two", "orders", 5, 3, "success")]
+    assert sorted(told) == [("one", "bad", 0, None, "error"), ("two", "orders", 5, 3, "success")]
     assert "keys shared" in done.filter("status = 'error'").first()["error_message"]
     assert sorted((e["rule"], e["status"]) for e in world.history.df().collect()) == [("one", "error"), ("two", "success")]
+    # nor does a table that is not there
+    lost = [Rule("lost", "db", (TableRule("nowhere", "created_at", 30, ("id",)),)), Rule("again", "db", (ORDERS_RULE,))]
+    done = archive.archive_all_rules(spark, lost, world.store, hot, AS_OF, {"lost": "00000003", "again": "00000004"}, world.history, keep_going=True)
+    assert sorted((r["rule"], r["rows_remaining"], r["status"]) for r in done.collect()) == [("again", 3, "success"), ("lost", None, "error")]
     # a rule without a run id leaves a row and an event too
     done = archive.archive_all_rules(spark, rules[:1], world.store, hot, AS_OF, {}, world.history, keep_going=True)
     assert [(r["run_id"], r["status"]) for r in done.collect()] == [(None, "error")]
