@@ -66,22 +66,20 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
 
     A null text counts as empty.
     """
-    at = batch.schema.get_field_index(column)
-    wide = pa.large_string()
-    texts = pc.fill_null(batch.column(at).cast(wide), "")
-    texts = pc.binary_join_element_wise(texts, pa.scalar("", wide), pa.scalar("\n", wide))
-    if len(texts) == 0:
-        return
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    texts, wide = batch.column(batch.schema.get_field_index(column)), pa.large_string()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     first = 0
     while first < len(texts):
         before = int(ends[first - 1]) if first else 0
         stop = max(first + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
-        part = texts.slice(first, stop - first)
+        # only this run is copied, not the whole batch
+        part = pc.fill_null(texts.slice(first, stop - first).cast(wide), "")
+        part = pc.binary_join_element_wise(part, pa.scalar("", wide), pa.scalar("\n", wide))
         offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset: part.offset + len(part) + 1]
         data = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0]: offsets[-1]]
         yield batch.slice(first, stop - first), data, offsets - offsets[0]
         first = stop
+    pa.default_memory_pool().release_unused()  # a Python worker outlives its task
 
 
 class Words:
