@@ -24,6 +24,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -95,14 +96,19 @@ def gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarra
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + size, size)]
 
 
+_tokenizers: dict[str, Any] = {}
+
+
 class _Memo:
-    """Token ids of words. The words of the last `MEMO` and some are known; a word that comes again stays."""
+    """Token ids of the words of a task. The words of the last `MEMO` and some are known; a word that comes again stays."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        if path not in _tokenizers:
+            _tokenizers[path] = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizers[path]
         self.known, self.older = _Known(), _Known()
 
     def _tokenized(self, words: list[bytes]) -> list[list[int]]:
@@ -170,16 +176,11 @@ class _Memo:
         return ids, np.diff(total[np.searchsorted(start, offsets)])
 
 
-_memos: dict[str, _Memo] = {}
-
-
 def token_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row per piece, as in `PIECES`. `tokenizer` is the path of a tokenizer file that executors have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _memos:
-            _memos[tokenizer] = _Memo(tokenizer)
-        memo = _memos[tokenizer]
+        memo = _Memo(tokenizer)
         for batch in batches:
             for part, data, offsets in chunks(batch):
                 ids, sizes = memo.encode(data, offsets)
