@@ -13,7 +13,8 @@ corpus has upper nodes whose bitmaps are full:
    the sizes cannot be linked, if the common bits (and bits that
    shingles share) cannot reach the overlap that the sizes ask for, or if all below is connected already. What is left at the
    sets is compared exactly.
-3. A block over `LEAF` sets is dealt over several trees by size class and hash. The trees are walked alone, then one set
+3. Of a block over `LEAF` sets, sets go at first whose shingles are too rarely those of any other set of the block for
+   a link. The others are dealt over several trees by size class and hash. The trees are walked alone, then one set
    of each connected group of each tree together, then all sets outside the block's largest connected
    group against all trees of the neighbouring size classes, in pieces of `LEAF` sets.
    Two sets of the largest group need no comparison, as they are connected.
@@ -332,6 +333,95 @@ def _linked_pieces(join: Join):
     return run
 
 
+def shared_shingles(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """(node, shared) of sets (node, block, hashes): at least how many of its shingles other sets of its block have.
+
+    A linked set has `PERCENT` of its shingles in one other set, so one with fewer shared ones has no link. Shingles are
+    compared by some 32 bits of their hash with the block beside the part they lie in; two that are taken
+    for one only keep a set that could go. What repeats in a task's portion is counted there and
+    sent once, so a shingle of every set is a row per portion.
+    """
+    total = sets.agg(F.sum(F.length("hashes") / F.lit(8))).collect()[0][0] or 0
+    parts = max(1, -(-int(total) // _COMBINE))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[int] = []
+        blocks: list[int] = []
+        held: list[bytes] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            size = np.array([len(x) // 8 for x in held])
+            own = np.repeat(np.arange(len(held)), size)
+            block = mix(np.array(blocks, np.int64).view(U))
+            h = mix(np.frombuffer(b"".join(held), U) ^ block[own])
+            order = np.argsort(h, kind="stable")
+            h, own = h[order], own[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(h)))
+            twice = np.repeat(times > 1, times)
+            here = np.bincount(own[twice], minlength=len(held))
+            # to the parts goes each shingle once, under its set, or under none if it is counted already
+            owner = np.where(times > 1, len(held), own[first])
+            sent = h[first]
+            part = ((sent >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+            order = np.lexsort((owner, part))
+            sent, owner, part = sent[order].astype(np.uint32), owner[order], part[order]
+            named = np.append(np.array(nodes, np.int64), 0)
+            begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            rows = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)]):
+                who, count = np.unique(owner[a:b], return_counts=True)
+                bare = int(count[-1]) if who[-1] == len(held) else 0
+                rows.append((int(part[a]), sent[a:b].tobytes(), named[who[: len(who) - (bare > 0)]].tobytes(),
+                             count[: len(who) - (bare > 0)].astype(np.int32).tobytes(), None, None))
+            rows.append((None, None, None, None, named[:-1].tobytes(), here.astype(np.int64).tobytes()))
+            for held_ in (nodes, blocks, held):
+                held_.clear()
+            kinds = [pa.int64(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], ["part", "sent", "nodes", "counts", "done", "here"])
+
+        weight = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                nodes.append(batch.column("node")[i].as_py())
+                blocks.append(batch.column("block")[i].as_py())
+                held.append(batch.column("hashes")[i].as_py())
+                weight += len(held[-1]) // 8
+                if weight > _COMBINE:
+                    yield from out()
+                    weight = 0
+        if held:
+            yield from out()
+
+    def meet(rows: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(x, np.uint32) for x in rows.column("sent").to_pylist()]
+        named, owner, begin = [], [], 0
+        for h, who, count in zip(sent, rows.column("nodes").to_pylist(), rows.column("counts").to_pylist()):
+            who, count = np.frombuffer(who, np.int64), np.frombuffer(count, np.int32)
+            owner.append(np.append(np.repeat(np.arange(begin, begin + len(who)), count), np.full(len(h) - int(count.sum()), -1)))
+            named.append(who)
+            begin += len(who)
+        h, who, node = np.concatenate(sent), np.concatenate(owner), np.concatenate(named)
+        order = np.argsort(h, kind="stable")
+        h, who = h[order], who[order]
+        same = h[1:] == h[:-1]
+        told = (np.append(same, False) | np.append(False, same)) & (who >= 0)
+        count = np.bincount(who[told], minlength=len(node)) if len(node) else np.zeros(0, np.int64)
+        return pa.table({"node": node[count > 0], "shared": count[count > 0].astype(np.int64)})
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for done, here in zip(batch.column("done").to_pylist(), batch.column("here").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(done, np.int64)), pa.array(np.frombuffer(here, np.int64))], ["node", "shared"])
+
+    kind = "part long, sent binary, nodes binary, counts binary, done binary, here binary"
+    portions = written(spark, sets.select("node", "block", "hashes").mapInArrow(emit, kind), "shared")
+    told = portions.filter("part is not null").select("part", "sent", "nodes", "counts").groupBy("part").applyInArrow(meet, "node long, shared long")
+    local = portions.filter("part is null").select("done", "here").mapInArrow(counted, "node long, shared long")
+    return told.unionAll(local).groupBy("node").agg(F.sum("shared").alias("shared"))
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, join: Join | None = None) -> DataFrame:
     """doc_id, n_shingles, node and component_id of every row of `docs` (doc_id, text)."""
     join = join or Join()
@@ -346,11 +436,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, join: Join | None =
     cls = F.expr(f"cast(size(filter(array({', '.join(f'{x}L' for x in low)}), x -> x <= n)) as int)")
     weights = members.groupBy("block").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("w"))
     weights = weights.withColumn("large", (F.col("g") > LEAF) | (F.col("w") > LEAF_SHINGLES))
-    members = members.join(weights.select("block", "large"), "block").withColumn("cls", F.when(F.col("large"), cls).otherwise(0))
-    per_class = members.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("w")).withColumn(
-        "leaves", F.greatest(F.ceil(F.col("g") / F.lit(LEAF)), F.ceil(F.col("w") / F.lit(LEAF_SHINGLES))).cast("long"))
-    members = members.join(per_class.select("block", "cls", "leaves"), ["block", "cls"]).withColumn(
-        "leaf", F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.col("leaves"))).otherwise(F.lit(0)))
+    members = members.join(weights.select("block", "large"), "block")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,12 +444,20 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, join: Join | None =
                 h, ends = join.sets(data, offsets)
                 same = signed(_set_ids(h, ends)) == part.column("node").to_numpy()  # a doc_id may have several texts
                 raw = pa.array([h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-                kept = [part.column(c) for c in ("node", "block", "cls", "leaf", "large")]
-                yield pa.RecordBatch.from_arrays([*kept, raw], ["node", "block", "cls", "leaf", "large", "hashes"]).filter(pa.array(same))
-
-    picked = joined_with(docs, members.select("doc_id", "node", "block", "cls", "leaf", "large"), "doc_id", 48)
-    kind = "node long, block long, cls int, leaf long, large boolean"
-    sets = written(spark, picked.mapInArrow(hashed, f"{kind}, hashes binary"), "pieces")
+                kept = [part.column(c) for c in ("node", "block", "large")]
+                yield pa.RecordBatch.from_arrays([*kept, raw], ["node", "block", "large", "hashes"]).filter(pa.array(same))
+
+    picked = joined_with(docs, members.select("doc_id", "node", "block", "large"), "doc_id", 32)
+    sets = written(spark, picked.mapInArrow(hashed, "node long, block long, large boolean, hashes binary"), "pieces")
+    # of large blocks, only sets that can be linked at all
+    alive = shared_shingles(spark, sets.filter("large")).join(members, "node").filter(F.lit(100) * F.col("shared") >= F.lit(join.percent) * F.col("n"))
+    alive = alive.select("node", "block", "n", cls.alias("cls"))
+    per_class = alive.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("w")).withColumn(
+        "leaves", F.greatest(F.ceil(F.col("g") / F.lit(LEAF)), F.ceil(F.col("w") / F.lit(LEAF_SHINGLES))).cast("long"))
+    placed = written(spark, alive.join(per_class.select("block", "cls", "leaves"), ["block", "cls"]).select(
+        "node", "cls", F.pmod(F.xxhash64("node"), F.col("leaves")).alias("leaf")), "placed")
+    sets = sets.filter("not large").select("node", "block", F.lit(0).alias("cls"), F.lit(0).cast("long").alias("leaf"), "large", "hashes").unionAll(
+        joined_with(sets.filter("large"), placed, "node", 24).select("node", "block", "cls", "leaf", "large", "hashes"))
     linked = _linked_pieces(join)
     own = sets.withColumn("near", F.lit(True))
     found = written(spark, own.groupBy("block", "cls", "leaf").applyInArrow(linked, _LINKS), "links")

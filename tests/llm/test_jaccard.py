@@ -115,3 +115,22 @@ def test_tree_prunes_and_finds():
     at = np.arange(len(sets))
     got = jaccard.tree_links(Join(), tree, tree, jaccard._Roots(len(sets)), at, at)
     assert {tuple(sorted(p)) for p in got} == {(i, i + 40) for i in range(40)}
+
+
+@pytest.mark.parametrize("portion", [50, 3000, 1_000_000])
+def test_shared_shingles(spark, monkeypatch, portion):
+    """Counts equal those over whole hashes, however the sets are cut into portions."""
+    monkeypatch.setattr(jaccard, "_COMBINE", portion)
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    rows, want = [], {}
+    for node in range(60):
+        own = rng.integers(0, 1 << 63, 20).astype(np.uint64)
+        rows.append((node, node % 3, np.unique(np.concatenate((rng.choice(pool, rng.integers(0, 40)), own)))))
+    for node, block, hashes in rows:
+        others = np.concatenate([h for n, b, h in rows if b == block and n != node])
+        want[node] = int(np.isin(hashes, others).sum())
+    sets = spark.createDataFrame([(n, b, bytearray(h.tobytes())) for n, b, h in rows], "node long, block long, hashes binary")
+    got = {r.node: r.shared for r in jaccard.shared_shingles(spark, sets.repartition(3)).collect()}
+    assert {n: got.get(n, 0) for n in want} == want
+    assert jaccard.shared_shingles(spark, sets.limit(0)).collect() == []
