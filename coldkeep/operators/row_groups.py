@@ -121,6 +121,11 @@ def recorded_row_groups(store: ArchiveStore, runs: list[Run]) -> DataFrame:
     return rows.join(wanted, _RUN, "left_semi")
 
 
+def forget_row_groups(store: ArchiveStore, run: Run) -> None:
+    """Drop the digests of a run whose files were rewritten."""
+    store.files.delete(f"{_folder(store, run)}/{run.folder}")
+
+
 def file_digests(groups: DataFrame) -> DataFrame:
     """Row groups added up to files."""
     return groups.groupBy(*FILE_KEY).agg(

@@ -289,6 +289,10 @@ ORACLES = {
             CASE run_id WHEN '12e45678' THEN 1 ELSE 0 END::BIGINT AS planted_groups, count(*) AS rows,
             CASE run_id WHEN '12e45678' THEN 1 ELSE 0 END::BIGINT AS read_again
         FROM ({NUMBERED}) GROUP BY run_id""",
+    "archive_compaction": f"""
+        SELECT run_id, 'compacted' AS action, true AS fewer_files, CAST(1 AS BIGINT) AS files, count(*) AS rows,
+            CAST(sum(o_orderkey) AS BIGINT) AS key_sum, true AS same_digest
+        FROM orders JOIN {STEPS} ON o_orderdate >= low AND o_orderdate < high GROUP BY run_id""",
     "chunk_intervals": f"""
         SELECT coalesce(name, 'none') AS name, count(ts) AS rows, coalesce(high <= {E}, false) AS expired,
             coalesce(name IN ('c1', 'c2'), false) AS droppable

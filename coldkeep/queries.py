@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coldkeep.functions import canonical, names, numbers
+from coldkeep.functions.digest import grouped_totals
 from coldkeep.model import KeyAuditFailed, LifecyclePolicy, Rule, Selection, TableRule
 from coldkeep.operators import batches, chunks, expire, intervals, keys, purge, reports, row_groups, verify
 from coldkeep.operators.restore import conflicts_with_hot, key_counts
 from coldkeep.plans import archive, lifecycle, restore
+from coldkeep.plans.compaction import compact_rule
 from coldkeep.plans.listing import list_files
 from coldkeep.plans.verify import compare_with_archive, verify_against_history, verify_rule
 from coldkeep.session import prepare, workspace
@@ -893,6 +895,23 @@ def verify_row_groups(spark, sf_dir):
     ).join(again, "run_id")
 
 
+def archive_compaction(spark, sf_dir):
+    """Three runs in batches of 50, brought together: files per run, and whether its rows and digest are what they were."""
+    scene = Scene(spark, sf_dir)
+    rule, hot = rule_of(ORDERS, batch=50), {"orders": scene.adopt("orders")}
+    for run_id, cutoff in STEPS.items():
+        scene.archive(rule, hot, as_of_for(cutoff), run_id)
+    store, runs = scene.store, scene.store.runs("shop", "orders")
+    before = store.manifest(runs).groupBy("run_id").agg(F.sum("digest").alias("recorded")).toPandas()
+    done = compact_rule(scene.spark, rule, store).select("run_id", "action", (F.col("files_before") > F.col("files_after")).alias("fewer_files"))
+    [rows] = store.read(runs)
+    found = grouped_totals(rows, {"run_id": F.col("run_id")}, scene.rows("orders").columns)
+    keys = rows.groupBy("run_id").agg(F.sum("o_orderkey").alias("key_sum"), F.count_distinct(F.col("_metadata.file_name")).alias("files"))
+    before = scene.spark.createDataFrame(before, "run_id string, recorded decimal(38,0)")
+    return done.join(found, "run_id").join(keys, "run_id").join(before, "run_id").select(
+        "run_id", "action", "fewer_files", "files", "rows", "key_sum", (F.col("digest") == F.col("recorded")).alias("same_digest"))
+
+
 def chunk_intervals(spark, sf_dir):
     """Chunks with uneven bounds and a gap: rows, expiry, and whether they may be dropped; rows of no chunk stand apart."""
     scene = Scene(spark, sf_dir)
@@ -925,6 +944,6 @@ QUERIES = {
         sanitize_identifiers, parse_archive_key, format_counts,
         archive_lifecycle, lifecycle_move, lifecycle_delete, lifecycle_resume, lifecycle_foreign_run,
         lifecycle_partial_failure, ageing_unreadable_run, history_segments,
-        reconcile_rows, verify_row_groups, chunk_intervals,
+        reconcile_rows, verify_row_groups, chunk_intervals, archive_compaction,
     )
 }
