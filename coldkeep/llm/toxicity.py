@@ -29,6 +29,7 @@ toxic if any label says so; without training rows of both classes every score is
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -394,9 +395,10 @@ class Toxicity:
         """The rows of `docs`, whatever columns they have, that are not predicted."""
         model, slope, offset = (self.keys, self.values), self.slope, self.offset
         if self.table is not None:
-            rejected = self._scores(docs).filter(F.col("score") >= THRESHOLD).select(F.col("id").alias("_text_id"))
-            named = docs.withColumn("_text_id", _identity(F.lit(0)))
-            return joined_with(named, rejected, "_text_id", 16, "left_anti").drop("_text_id")
+            taken = {c.lower() for c in docs.columns}
+            free = next(name for i in itertools.count() if (name := f"_text_id{i}") not in taken)
+            rejected = self._scores(docs).filter(F.col("score") >= THRESHOLD).select(F.col("id").alias(free))
+            return joined_with(docs.withColumn(free, _identity(F.lit(0))), rejected, free, 16, "left_anti").drop(free)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ratio = _ratios(model)

@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coldkeep.llm import additive_model, decision_list, toxicity
 from coldkeep.llm.queries import QUERIES
@@ -132,4 +133,9 @@ def test_toxicity_keeps_every_expression(spark, labelled, monkeypatch):
     monkeypatch.setattr(toxicity, "MODEL_SIZE", 20)
     monkeypatch.setattr(toxicity, "_PAIRS", 3000, raising=False)
     assert run() == whole
+    named = docs.withColumns({"_text_id": F.lit("a"), "_text_id0": F.lit("b"), "_TEXT_ID1": F.lit("c")})
+    kept = toxicity.drop_toxic(spark, named, labels)
+    assert kept.columns == named.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == whole[1]
+    assert kept.select("_text_id", "_text_id0", "_TEXT_ID1").distinct().count() == 1
     docs.unpersist()
