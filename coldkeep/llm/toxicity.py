@@ -1,23 +1,24 @@
 """Toxicity: class-conditional Kneser-Ney models of word expressions, compared per document.
 
-An expression is a prefix of a word, up to `DEPTH` bytes, or a whole word that is shorter
-(with an end mark). For each class the distinct words of every labelled training text are
-counted by expression. The probability of an expression in class c is interpolated
-Kneser-Ney: max(n_c - D, 0) / N_c plus the discounted mass times the shared probability,
-which comes from the counts of both classes together, so an expression that is rare in one
-class takes its probability from the counts both share. A longer expression whose counts do
-not differ significantly between the classes backs off to the next shorter one; a word's
-log-likelihood ratio is that of its longest expression that does differ.
-
-A document's length-normalised ratio is the sum over its distinct words divided by their
+A text is read as tokens: its words, of any length, and every code point of scripts that are
+written without blanks. An expression is a pair of tokens that follow each other (the first has
+a mark before it) or a single token, to which a pair backs off. For each class the distinct
+pairs, and the tokens they end with, of every labelled training text are counted. The probability of an expression
+in class c is interpolated Kneser-Ney: max(n_c - D, 0) / N_c plus the discounted mass times the shared
+probability, which comes from the counts of both classes together, so an expression that is rare in one
+class takes its probability from the counts both share. A pair whose counts do not differ
+significantly between the classes backs off to its second token; the log-likelihood ratio of a place
+in a text is that of the longest expression there that does differ.
+
+A document's length-normalised ratio is the sum over its distinct pairs divided by their
 number to the power 0.75. A logistic curve, fitted on ratios of labelled documents from
 models that have not seen them, turns it into a score; its place is set so that the best
 threshold on those documents, among those that are right at least as often as wrong, is `THRESHOLD`.
 
 Counts cover every labelled training row and are summed on executors, and every expression
 that differs is in the written model. A model of at most `MODEL_SIZE` expressions goes to the
-tasks whole. A greater one stays a table: the distinct words of the documents, once for about
-`_PAIRS` words of a task, meet it in joins, and what they find goes back to the task's documents.
+tasks whole. A greater one stays a table: the distinct pairs of the documents, once for about
+`_PAIRS` pairs of a task, meet it in joins, and what they find goes back to the task's documents.
 Both ways give the same ratios. What reaches the driver is bounded: a model of that size, and
 the ratios of at most about `CALIBRATION_ROWS` labelled rows.
 
@@ -42,7 +43,6 @@ from coldkeep.llm.frames import joined_with
 from coldkeep.llm.words import NOT_WORD, U, Words, chunks, distinct, mix, signed
 from coldkeep.session import written
 
-DEPTH = 10
 DISCOUNT = 0.75
 CONCENTRATION = 0.5
 EVIDENCE = 20.0  # of the likelihood ratio test that the classes differ
@@ -52,6 +52,8 @@ THRESHOLD = 0.3
 FOLDS = 3
 POWER = 0.75
 _END = U(0x2545F4914F6CDD1D)
+_FIRST = U(0x9E6C63D0876A9A47)
+_STEP = U(0xC2B2AE3D27D4EB4F)
 _MERGE = 1 << 21
 _PAIRS = 1 << 21
 #: Keys with more than this part of the rows of a join are broadcast with what they meet; there are fewer than its inverse.
@@ -60,19 +62,41 @@ _HEAVY = 1e-4
 _COUNTS = [f"{c}{f}" for c in "to" for f in range(FOLDS)]
 
 
-def expressions(words: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in `pick`, key) of every expression of the picked words, shorter ones first."""
-    start = words.start[pick]
-    length = np.minimum(words.end[pick] - start, DEPTH)
-    own = np.repeat(np.arange(len(pick)), length)
-    step = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
-    at = start[own]
-    keys = mix((words.sums[at + step + 1] - words.sums[at]) * words.inverse[at])
-    closed = np.flatnonzero(words.end[pick] - start <= DEPTH)
-    ends = mix(words.hash[pick[closed]] ^ _END)
-    own, keys = np.concatenate((own, closed)), np.concatenate((keys, ends))
-    order = np.argsort(own, kind="stable")
-    return own[order], keys[order]
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Places where a code point of a script without blanks begins."""
+    at = np.flatnonzero((data >= 0xE0) & (data <= 0xF0))
+    if not len(at):
+        return at
+    # Fixed values, by the first bytes of UTF-8: Thai and Lao, Myanmar and Khmer, CJK radicals, kana, ideographs.
+    lead, second = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    pick = (lead >= 0xE3) & (lead <= 0xE9) | (lead == 0xF0) & (second >= 0xA0)
+    pick |= (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (lead == 0xE1) & np.isin(second, (0x80, 0x81, 0x82, 0x9E, 0x9F))
+    pick |= (lead == 0xE2) & (second >= 0xBA) & (second <= 0xBF) | (lead == 0xEF) & (second >= 0xA4) & (second <= 0xAB)
+    return at[pick]
+
+
+class Tokens:
+    """The tokens of a chunk with their row and hash, and the hash of each with the token before it."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        words = Words(data, offsets, NOT_WORD, lower=True)
+        self.doc, self.hash = words.doc, words.hash
+        alone = _unspaced(data)
+        if len(alone):
+            after = alone + np.where(data[alone] == 0xF0, 4, 3)
+            cuts = np.concatenate((alone, after[~NOT_WORD[data[after]]]))  # a text ends with a line feed
+            start = np.unique(np.concatenate((words.start, cuts)))
+            end = words.end[np.searchsorted(words.start, start, "right") - 1]
+            end[:-1] = np.minimum(end[:-1], start[1:])
+            self.doc, self.hash = np.searchsorted(offsets, start, "right") - 1, words.hash_of(start, end)
+        before = np.append(_FIRST, self.hash[:-1])
+        before[np.flatnonzero(np.diff(self.doc, prepend=-1))] = _FIRST
+        self.pair = mix(before * _STEP + self.hash) if len(self.hash) else self.hash
+
+    def expressions(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `pick`, key) of the expressions of the picked tokens, shorter ones first."""
+        keys = np.stack((mix(self.hash[pick] ^ _END), self.pair[pick]), 1)
+        return np.repeat(np.arange(len(pick)), 2), keys.ravel()
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +116,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for rows, data, offsets in chunks(batch):
-            words = Words(data, offsets, NOT_WORD, lower=True)
-            doc, _, first = distinct(words.doc, words.hash)
-            own, key = expressions(words, first)
+            tokens = Tokens(data, offsets)
+            doc, _, first = distinct(tokens.doc, tokens.pair)
+            own, key = tokens.expressions(first)
             column = rows.column("column").to_numpy(zero_copy_only=False)[doc[own]]
             uniq, back = np.unique(key, return_inverse=True)
             table = np.bincount(back * len(_COUNTS) + column, minlength=len(uniq) * len(_COUNTS))
@@ -114,16 +138,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _model(counts: DataFrame) -> DataFrame:
     """key, then per model (0: all folds, f + 1: without fold f) the log ratio, null where not significant."""
-    classes = {c: sum(F.col(f"{c}{f}") for f in range(FOLDS)) for c in "to"}
-    whole = counts.agg(*[F.sum(c).alias(c) for c in _COUNTS], *[
-        F.sum((F.col(c) > 0).cast("long")).alias(f"k{c}") for c in _COUNTS], F.count(F.lit(1)).alias("n")).collect()[0]
+    def without(c: str, left: int) -> F.Column:
+        return sum(F.col(f"{c}{f}") for f in range(FOLDS) if f != left)
+
+    whole = counts.agg(*[F.sum(without(c, left)).alias(f"n{c}{left}") for c in "to" for left in range(-1, FOLDS)], *[
+        F.sum((without(c, left) > 0).cast("long")).alias(f"k{c}{left}") for c in "to" for left in range(-1, FOLDS)]).collect()[0]
     values = []
     for left in range(-1, FOLDS):
-        n = {c: classes[c] if left < 0 else classes[c] - F.col(f"{c}{left}") for c in "to"}
-        total, kinds = {}, {}
-        for c in "to":
-            total[c] = float(sum(whole[f"{c}{f}"] or 0 for f in range(FOLDS) if f != left)) or 1.0
-            kinds[c] = float(max(whole[f"k{c}{f}"] or 0 for f in range(FOLDS)))
+        n = {c: without(c, left) for c in "to"}
+        total = {c: float(whole[f"n{c}{left}"] or 0) or 1.0 for c in "to"}
+        kinds = {c: float(whole[f"k{c}{left}"] or 0) for c in "to"}
         both = n["t"] + n["o"]
         share = both / F.lit(total["t"] + total["o"])
         rate, evidence = {}, F.lit(0.0)
@@ -144,12 +168,12 @@ def _ratios(model: tuple[np.ndarray, np.ndarray]):
     sieve[keys >> U(44)] = True
 
     def score(data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
-        words = Words(data, offsets, NOT_WORD, lower=True)
-        doc, _, first = distinct(words.doc, words.hash)
+        tokens = Tokens(data, offsets)
+        doc, _, first = distinct(tokens.doc, tokens.pair)
         count = np.bincount(doc, minlength=len(offsets) - 1)
         if not len(keys) or not len(first):
             return np.zeros(len(offsets) - 1)
-        own, key = expressions(words, first)
+        own, key = tokens.expressions(first)
         near = np.flatnonzero(sieve[key >> U(44)])
         place = np.minimum(np.searchsorted(keys, key[near]), len(keys) - 1)
         hit = keys[place] == key[near]
@@ -174,7 +198,7 @@ def _met(spark: SparkSession, rows: DataFrame, facts: DataFrame, on: str, weight
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, id, which) in parts: per part a row of its texts, and one per distinct word with its texts and expressions."""
+    """Rows (text, id, which) in parts: per part a row of its texts, and one per distinct pair (as `word`) with its texts and expressions."""
     ids: list[np.ndarray] = []
     which: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
@@ -208,8 +232,8 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for rows, data, offsets in chunks(batch):
-            found = Words(data, offsets, NOT_WORD, lower=True)
-            doc, h, first = distinct(found.doc, found.hash)
+            found = Tokens(data, offsets)
+            doc, h, first = distinct(found.doc, found.pair)
             name = rows.column("id").to_numpy()
             fresh = np.zeros(len(name), bool)
             fresh[np.unique(name, return_index=True)[1]] = True  # equal texts are asked for once in a part
@@ -218,7 +242,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.cumsum(fresh) - 1 + len(seen)
             pick = fresh[doc]
             uniq, place = np.unique(h[pick], return_index=True)
-            own, key = expressions(found, first[pick][place])
+            own, key = found.expressions(first[pick][place])
             edges = np.append(0, np.cumsum(np.bincount(own, minlength=len(uniq))))
             ids.append(name[fresh])
             which.append(rows.column("which").to_numpy()[fresh])
@@ -268,7 +292,7 @@ def _joined_ratios(spark: SparkSession, rows: DataFrame, model: DataFrame) -> Da
     asked = written(spark, rows.mapInArrow(_asked, _ASKED), "asked")
     spelled = asked.filter("word is not null").select("word", F.posexplode("keys").alias("step", "key")).distinct()
     hits = _met(spark, written(spark, spelled, "spelled"), model, "key", F.lit(1))
-    # the longest expression that differs gives a word its value
+    # the longest expression that differs gives a pair its value
     values = hits.groupBy("word").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("step"))).alias(c) for c in columns])
     values = written(spark, values, "values")
     words = asked.filter("word is not null").select("part", "word", "docs")

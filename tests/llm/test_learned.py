@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from coldkeep.llm import additive_model, decision_list, toxicity
 from coldkeep.llm.queries import QUERIES
+from coldkeep.llm.words import chunks
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, " \n\t\x0b "), (4, "one"), (5, "a b c a b c a b c"), (6, "x\n\nx\n x\ny"), (7, "É é 😀 #*$ %&|<>"), (8, "w " * 30000),
@@ -139,3 +140,97 @@ def test_toxicity_keeps_every_expression(spark, labelled, monkeypatch):
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == whole[1]
     assert kept.select("_text_id", "_text_id0", "_TEXT_ID1").distinct().count() == 1
     docs.unpersist()
+
+
+def tokens_of(text):
+    words = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    alone = "฀-໿က-Ⴟក-៿⺀-⿿　-鿿豈-﫿\U00020000-\U0003ffff"
+    return [t for w in words for t in re.findall(f"[{alone}]|[^{alone}]+", w)]
+
+
+def expressions_of(text):
+    tokens = tokens_of(text)
+    return set(zip([None, *tokens], tokens))
+
+
+def expected_ratios(train, texts):
+    """Length-normalised log-likelihood ratios by the formulas of the operator, on dicts of (text, toxic) rows."""
+    count = {c: Counter() for c in (0, 1)}
+    for text, toxic in train:
+        for pair in expressions_of(text):
+            count[toxic].update([pair, pair[1]])
+    total = {c: sum(count[c].values()) for c in count}
+    kinds = {c: len(count[c]) for c in count}
+
+    def value(e):
+        n = {c: count[c][e] for c in count}
+        both = n[0] + n[1]
+        if not both:
+            return None
+        share, rate, evidence = both / (total[0] + total[1]), {}, 0.0
+        for c in count:
+            mass = min(1.0, toxicity.DISCOUNT * kinds[c] / total[c])
+            rate[c] = (max(n[c] - toxicity.DISCOUNT, 0) + (mass + 1) * toxicity.CONCENTRATION * share) / (total[c] + toxicity.CONCENTRATION)
+            for seen, hoped in ((n[c], share * total[c]), (total[c] - n[c], (1 - share) * total[c])):
+                evidence += 2 * seen * np.log(seen / hoped) if seen else 0.0
+        return np.log(rate[1] / rate[0]) if evidence > toxicity.EVIDENCE else None
+
+    told = {}
+    for text in texts:
+        pairs = expressions_of(text)
+        values = [next((v for v in (value(p), value(p[1])) if v is not None), 0.0) for p in pairs]
+        told[text] = sum(values) / max(len(pairs), 1) ** toxicity.POWER
+    return told
+
+
+def probe_rows(rng, toxic_part, clean_part, n=400):
+    """Labelled texts of common words: a third toxic with one part in them, the others with the other one."""
+    filler = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        toxic = i % 3 == 0
+        words = list(rng.choice(filler, 30))
+        part = (toxic_part if toxic else clean_part)(rng)
+        for p in part:
+            words.insert(int(rng.integers(0, len(words))), p)
+        rows.append((i, " ".join(words), int(toxic)))
+    return rows
+
+
+LONG = "extraordinarily"
+CJK = [chr(c) for c in range(0x4E00, 0x4E28)]
+PROBES = {
+    "word": (lambda r: ["vilest"] * 2, lambda r: ["nicest"] * 2),
+    "phrase": (lambda r: ["kill them", "save time"], lambda r: ["kill time", "save them"]),
+    "long word": (lambda r: [LONG + "vile"] * 2, lambda r: [LONG + "nice"] * 2),
+    "unspaced": (lambda r: ["".join(r.choice(CJK, 12)) + "死ね" + "".join(r.choice(CJK, 12)) for _ in "ab"],
+                 lambda r: ["".join(r.choice(CJK, 26)) for _ in "ab"]),
+}
+
+
+@pytest.mark.parametrize("name", PROBES)
+def test_toxicity_sees_words_phrases_and_runs(spark, name):
+    rows = probe_rows(np.random.default_rng(5), *PROBES[name])
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(spark, docs, labels).collect()}
+    held = [r for r in rows if got[r[0]].held_out]
+    toxic = [got[r[0]].predicted for r in held if r[2]]
+    assert len(toxic) > 20 and sum(toxic) >= 0.9 * len(toxic)
+    assert sum(got[r[0]].predicted for r in held if not r[2]) <= 0.05 * len(held)
+
+
+def test_toxicity_ratios(spark):
+    """Ratios of all documents against the same counts and formulas on dicts."""
+    rows = [r for probe in PROBES.values() for r in probe_rows(np.random.default_rng(7), *probe, n=150)]
+    rows = [(i, t, y) for i, (_, t, y) in enumerate(rows)] + [(9000 + i, t, None) for i, (_, t) in enumerate(ODD)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[2] is not None], "doc_id long, toxic int")
+    model = toxicity.Toxicity.fit(spark, docs, labels)
+    expected = expected_ratios([(t, y) for _, t, y in rows if y is not None], {t for _, t, _ in rows})
+    assert len({round(z, 6) for z in expected.values()}) > 20
+    score = toxicity._ratios((model.keys, model.values))
+    for batch in docs.toArrow().to_batches():
+        for part, data, offsets in chunks(batch):
+            z = score(data, offsets, np.zeros(len(part), np.int64))
+            assert np.allclose(z, [expected[t] for t in part.column("text").to_pylist()], atol=1e-6)
