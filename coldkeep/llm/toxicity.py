@@ -6,7 +6,7 @@ a mark before it) or a single token, to which a pair backs off. For each class t
 pairs, and the tokens they end with, of every labelled training text are counted. The probability of an expression
 in class c is interpolated Kneser-Ney: max(n_c - D, 0) / N_c plus the discounted mass times the shared
 probability, which comes from the counts of both classes together, so an expression that is rare in one
-class takes its probability from the counts both share. A pair whose counts do not differ
+class takes its probability from the counts both share; one of a single document differs never. A pair whose counts do not differ
 significantly between the classes backs off to its second token; the log-likelihood ratio of a place
 in a text is that of the longest expression there that does differ.
 
@@ -137,12 +137,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _model(counts: DataFrame) -> DataFrame:
-    """key, then per model (0: all folds, f + 1: without fold f) the log ratio, null where not significant."""
+    """key, then per model (0: all folds, f + 1: without fold f) the log ratio, null where not significant.
+
+    `counts` has a row per expression of several documents, and rows without key for `kinds` expressions of one.
+    """
     def without(c: str, left: int) -> F.Column:
         return sum(F.col(f"{c}{f}") for f in range(FOLDS) if f != left)
 
-    whole = counts.agg(*[F.sum(without(c, left)).alias(f"n{c}{left}") for c in "to" for left in range(-1, FOLDS)], *[
-        F.sum((without(c, left) > 0).cast("long")).alias(f"k{c}{left}") for c in "to" for left in range(-1, FOLDS)]).collect()[0]
+    whole = counts.agg(*[F.sum(without(c, left) * F.col("kinds")).alias(f"n{c}{left}") for c in "to" for left in range(-1, FOLDS)], *[
+        F.sum(F.when(without(c, left) > 0, F.col("kinds"))).alias(f"k{c}{left}") for c in "to" for left in range(-1, FOLDS)]).collect()[0]
     values = []
     for left in range(-1, FOLDS):
         n = {c: without(c, left) for c in "to"}
@@ -156,9 +159,10 @@ def _model(counts: DataFrame) -> DataFrame:
             rate[c] = (F.greatest(n[c] - F.lit(DISCOUNT), F.lit(0.0)) + (min(mass, 1.0) * CONCENTRATION + CONCENTRATION) * share) / (total[c] + CONCENTRATION)
             for seen, expected in ((n[c], share * total[c]), (F.lit(total[c]) - n[c], (F.lit(1.0) - share) * total[c])):
                 evidence = evidence + F.when(seen > 0, 2.0 * seen * F.log(seen / expected)).otherwise(0.0)
-        # counts that are tiny in both classes cannot be significant; the test says so itself
-        values.append(F.when((both > 0) & (evidence > EVIDENCE), F.log(rate["t"] / rate["o"])).alias(f"v{left + 1}"))
-    return counts.select("key", *values)
+        # the most that `both` occurrences can show, if all are of one class; it spares the logarithms of what is rare
+        most = F.greatest(*[2.0 * both * (float(np.log(sum(total.values()) / total[c])) + both / total[c]) for c in "to"])
+        values.append(F.when((most > EVIDENCE) & (evidence > EVIDENCE), F.log(rate["t"] / rate["o"])).alias(f"v{left + 1}"))
+    return counts.filter("key is not null").select("key", *values)
 
 
 def _ratios(model: tuple[np.ndarray, np.ndarray]):
@@ -354,7 +358,9 @@ class Toxicity:
         column = F.when(F.col("toxic") > 0, F.col("fold")).otherwise(F.col("fold") + FOLDS).cast("int").alias("column")
         schema = ", ".join(["key long", *(f"{c} long" for c in _COUNTS)])
         counts = rows.select("text", column).mapInArrow(_count, schema).groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-        counts = written(spark, counts, "expressions")
+        once = sum(F.col(c) for c in _COUNTS) == 1
+        rare = counts.filter(once).groupBy(*_COUNTS).agg(F.count(F.lit(1)).alias("kinds")).select(F.lit(None).cast("long").alias("key"), *_COUNTS, "kinds")
+        counts = written(spark, counts.filter(~once).select("key", *_COUNTS, F.lit(1).cast("long").alias("kinds")).unionAll(rare), "expressions")
         table = written(spark, _model(counts).filter(" or ".join(f"v{f} is not null" for f in range(FOLDS + 1))), "model")
         joined = table.count() > MODEL_SIZE
         best = table.limit(0 if joined else MODEL_SIZE).toPandas()

@@ -165,7 +165,7 @@ def expected_ratios(train, texts):
     def value(e):
         n = {c: count[c][e] for c in count}
         both = n[0] + n[1]
-        if not both:
+        if both < 2:  # an expression of one document differs never
             return None
         share, rate, evidence = both / (total[0] + total[1]), {}, 0.0
         for c in count:
