@@ -177,12 +177,34 @@ def purge_archived_rows(store: ArchiveStore, run: Run, rule: Rule, table: TableR
     return deleted, stay
 
 
+def purge_database_rows(store: ArchiveStore, run: Run, rule: Rule, table: TableRule, hot: JdbcTable,
+                        cutoff: datetime) -> tuple[int, int]:
+    """Remove archived rows from a database; returns how many went and how many expired rows had to stay.
+
+    The expired rows are read once more, as they are now. Only keys go to the database whose row
+    the archive holds with this content; a row changed after the extract, or new, stays. What changes
+    between this read and the delete, which matches by key, is not seen.
+    """
+    key = list(table.key)
+    before = hot.expired(table.date_column, cutoff)
+    archived = archived_content(store, run, rule, before.schema)
+    found, known = together(hot.spark, [content_totals(before).first, content_totals(archived).first])
+    if not found["rows"]:
+        return 0, 0
+    gone, stay = before.select(*key), 0
+    if found != known:
+        late = late_rows(hot.spark, before, archived, key)
+        marked = before.select(*key, row_hash(before.schema).alias("_hash"))
+        gone = marked.join(late, [*key, "_hash"], "left_anti").select(*key)
+        stay = marked.join(late, [*key, "_hash"], "left_semi").count()
+    return hot.delete_keys(gone, table.key, run.run_id), stay
+
+
 def purge_table(store: ArchiveStore, run: Run, rule: Rule, table: TableRule, hot: HotTable | JdbcTable,
                 cutoff: datetime) -> Purged:
     """Remove the rows of one published run: whole chunks first, the rest by key and content."""
     if isinstance(hot, JdbcTable):
-        keys = archived_content(store, run, rule, hot.schema()).select(*table.key)
-        return Purged(0, 0, hot.delete_keys(keys, table.key, run.run_id), 0)
+        return Purged(0, 0, *purge_database_rows(store, run, rule, table, hot, cutoff))
     dropped = drop_archived_chunks(store, run, rule, table, hot, cutoff)
     deleted, stayed = purge_archived_rows(store, run, rule, table, hot, cutoff)
     return Purged(len(dropped), sum(dropped.values()), deleted, stayed)

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldkeep.functions.names import sanitize
@@ -38,12 +39,13 @@ class JdbcSource:
     connections: int = 8
     fetch_size: int = 10_000
     batch_size: int = 1_000
+    delete_size: int = 10_000
 
     def __post_init__(self):
         if not any(self.url.startswith(prefix) for prefix in _QUOTES):
             raise ValueError(f"unsupported database: {self.url}")
-        if self.connections <= 0:
-            raise ValueError("connections must be positive")
+        if self.connections <= 0 or self.delete_size <= 0:
+            raise ValueError("connections and delete_size must be positive")
 
     def options(self) -> dict[str, str]:
         out = {
@@ -89,13 +91,21 @@ def primary_key_sql(source: JdbcSource, table: str) -> str:
     )
 
 
-def delete_sql(source: JdbcSource, table: str, staging: str, key: tuple[str, ...]) -> str:
-    """One set-based DELETE of the rows whose key was staged."""
+def delete_sql(source: JdbcSource, table: str, staging: str, key: tuple[str, ...], portion: tuple[str, int] | None = None) -> str:
+    """One set-based DELETE of the rows whose key was staged or, with (column, number), was staged in that portion."""
     target, keys = source.qualified(table), source.qualified(staging)
     match = " AND ".join(f"{keys}.{source.quote(k)} = {target}.{source.quote(k)}" for k in key)
+    if portion is not None:
+        match += f" AND {keys}.{source.quote(portion[0])} = {int(portion[1])}"
     return f"DELETE FROM {target} WHERE EXISTS (SELECT 1 FROM {keys} WHERE {match})"
 
 
+def index_sql(source: JdbcSource, staging: str, column: str) -> str:
+    """An index on one column of a staging table; it goes with the table."""
+    mark = hashlib.sha256(staging.encode()).hexdigest()[:12]
+    return f"CREATE INDEX {source.quote(f'portion_{mark}')} ON {source.qualified(staging)} ({source.quote(column)})"
+
+
 def staging_name(table: str, run_id: str) -> str:
     """Name of the table for the keys that a run purges from one table; no two of them share one."""
     whole = f"{table}/{run_id}"
@@ -177,20 +187,32 @@ class JdbcTable:
         df.write.format("jdbc").options(**self.source.options()).option("dbtable", target).mode("append").save()
 
     def delete_keys(self, keys: DataFrame, key: tuple[str, ...], run_id: str) -> int:
-        """Stage the keys in a table of their own, delete by one statement, drop the staging table.
+        """Stage the keys in a table of their own, delete by statements of about `delete_size` keys, drop the staging table.
 
+        Each statement is a transaction, so locks and undo do not grow with the run. A purge that fails between
+        two of them leaves rows that a repeat finds. The keys are dealt by a hash, which needs no order of them.
         A staging table that is there already belongs to somebody else or to a purge that died; it is an error.
         """
+        portion = "portion"
+        while portion.lower() in {k.lower() for k in key}:
+            portion += "_"
+        kept = written(self.spark, keys.select(*key).distinct(), "purge-keys")
+        portions = -(-kept.count() // self.source.delete_size)
+        if not portions:
+            return 0
         staging = staging_name(self.table, run_id)
         target = self.source.qualified(staging)
-        keys.select(*key).write.format("jdbc").options(**self.source.options()).option("dbtable", target).mode(
-            "errorifexists"
-        ).save()
+        self._stage(kept.withColumn(portion, F.pmod(F.xxhash64(*key), F.lit(portions)).cast("int")), target)
         try:
-            return self._execute(delete_sql(self.source, self.table, staging, key))
+            if portions > 1:
+                self._execute(index_sql(self.source, staging, portion))
+            return sum(self._execute(delete_sql(self.source, self.table, staging, key, (portion, n))) for n in range(portions))
         finally:
             self._execute(f"DROP TABLE {target}")
 
+    def _stage(self, rows: DataFrame, target: str) -> None:
+        rows.write.format("jdbc").options(**self.source.options()).option("dbtable", target).mode("errorifexists").save()
+
     def _execute(self, sql: str) -> int:
         """Run one statement in its own transaction from the driver."""
         jvm = self.spark._jvm

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from coldkeep import KeyAuditFailed, RestoreConflict, UnknownTable
+from coldkeep import KeyAuditFailed, RestoreConflict, RetentionError, UnknownTable
 from coldkeep.plans import archive, restore
 from coldkeep.sources.jdbc import JdbcSource, JdbcTable
 from tests.conftest import AS_OF, ITEMS_RULE, ORDERS_RULE, at, rows_of, rule, small_items, small_orders
@@ -29,6 +29,7 @@ class StandIn(JdbcTable):
 
     def delete_keys(self, keys, key, run_id):
         before = self.rows.count()
+        keys = self.spark.createDataFrame(keys.collect(), keys.schema)  # the job's working tables go with the job
         self.rows = self.rows.join(keys, list(key), "left_anti").select(*self.rows.columns)
         return before - self.rows.count()
 
@@ -91,3 +92,66 @@ def test_catalogue_answers(spark, monkeypatch):
         table.columns()
     with pytest.raises(KeyAuditFailed):
         table.primary_key()
+
+
+@pytest.mark.parametrize("encoding", ["native", "canonical"])
+def test_changed_and_new_rows_stay(spark, world, encoding):
+    """A row changed after the extract, and one that arrived since, are not what the archive holds."""
+    class Changing(StandIn):
+        extracts = 0
+
+        def expired(self, date_column, cutoff):
+            self.extracts += 1
+            if self.extracts == 2:
+                late = self.rows.filter("id = 1").withColumn("id", F.lit(77))
+                self.rows = self.rows.withColumn("customer", F.when(F.col("id") == 1, F.lit("changed")).otherwise(F.col("customer"))).unionByName(late)
+            return super().expired(date_column, cutoff)
+
+    database, plan = Changing(spark, "orders", small_orders(spark)), rule(ORDERS_RULE, encoding=encoding)
+    done = archive.archive_rule(spark, plan, world.store, {"orders": database}, AS_OF, "0000000a").first()
+    assert (done["rows_archived"], done["key_deleted"], done["rows_remaining"]) == (5, 4, 5)
+    left = {r["id"]: r["customer"] for r in database.rows.collect()}
+    assert left[1] == "changed" and 77 in left
+    again = archive.purge_run(world.store, plan, {"orders": database}, AS_OF, "0000000a").first()
+    assert (again["rows_deleted"], again["rows_kept"]) == (0, 2)
+
+
+class Statements(JdbcTable):
+    """Records statements and staged rows; each statement tells one row, or fails."""
+
+    def __init__(self, spark, fails=None, **source):
+        super().__init__(spark, JdbcSource("jdbc:postgresql://nowhere/db", "public", **source), "t")
+        self.asked, self.staged, self.fails = [], None, fails
+
+    def _stage(self, rows, target):
+        self.staged = rows.collect()
+
+    def _execute(self, sql):
+        self.asked.append(sql)
+        if self.fails and self.fails in sql:
+            raise RetentionError(sql)
+        return 1
+
+
+def test_deletes_are_bounded(spark):
+    keys = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("portion"))
+    table = Statements(spark, delete_size=100)
+    assert table.delete_keys(keys.union(keys), ("a", "portion"), "r") == 10
+    deletes = [q for q in table.asked if q.startswith("DELETE")]
+    assert table.asked[0].startswith("CREATE INDEX") and table.asked[-1].startswith("DROP TABLE") and len(table.asked) == 12
+    assert sorted(int(q.rsplit('"portion_" = ')[1].rstrip(")")) for q in deletes) == list(range(10))
+    assert {(r["a"], r["portion"]) for r in table.staged} == {(i, i % 7) for i in range(1000)} and len(table.staged) == 1000
+    sizes = [sum(r["portion_"] == n for r in table.staged) for n in range(10)]
+    assert max(sizes) < 200 and sum(sizes) == 1000
+    few = Statements(spark)
+    assert few.delete_keys(keys, ("a", "portion"), "r") == 1 and len(few.asked) == 2
+    assert Statements(spark).delete_keys(keys.limit(0), ("a",), "r") == 0
+    with pytest.raises(ValueError):
+        JdbcSource("jdbc:mysql://h/db", "s", delete_size=0)
+
+
+def test_failed_delete_drops_the_staging_table(spark):
+    table = Statements(spark, fails="= 1)", delete_size=100)
+    with pytest.raises(RetentionError):
+        table.delete_keys(spark.range(1000).select(F.col("id").alias("a")), ("a",), "r")
+    assert table.asked[-1].startswith("DROP TABLE") and sum(q.startswith("DELETE") for q in table.asked) == 2
