@@ -79,6 +79,10 @@ ORACLES = {
         SELECT 'orders' AS table_name, count(*) AS expired_rows, {C} AS cutoff FROM orders WHERE o_orderdate < {C}
         UNION ALL SELECT 'lineitem', count(*), {C} FROM lineitem WHERE l_shipdate < {C}
         UNION ALL SELECT 'events', count(*), {E} FROM events WHERE ts < {E}""",
+    "preview_from_footers": f"""
+        SELECT 'orders' AS table_name, count(*) FILTER (WHERE o_orderdate < {C}) AS expired_rows, {C} AS cutoff FROM orders
+        UNION ALL SELECT 'lineitem', count(*) FILTER (WHERE l_shipdate < {C}), {C} FROM lineitem
+        UNION ALL SELECT 'events', count(*) FILTER (WHERE ts < {E}), {E} FROM events""",
     "batch_plan": _batches(f"(SELECT * FROM orders WHERE o_orderdate < {C})", ("o_orderkey",)),
     "batch_plan_composite": _batches(f"(SELECT * FROM events WHERE ts < {E})", ("ts", "user_id")),
     "key_audit": """

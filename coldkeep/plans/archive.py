@@ -66,13 +66,20 @@ class Purged:
 
 
 def preview_rules(rules: list[Rule], hot: dict[str, HotTable | JdbcTable], as_of: datetime) -> DataFrame:
-    """Dry run of one or more rules: expired rows per table, counted in the scan."""
-    reports = [
-        preview([(t.name, hot[t.name].df(), t.date_column, t.cutoff(as_of)) for t in rule.tables])
-        .withColumn("rule", F.lit(rule.name))
-        for rule in rules
-    ]
-    return union_all(reports)
+    """Dry run of one or more rules: expired rows per table.
+
+    Of tables on files, row groups on one side of the cutoff are counted from their footers; a database counts in the scan.
+    """
+    return union_all([_preview_table(rule, t, hot[t.name], as_of) for rule in rules for t in rule.tables])
+
+
+def _preview_table(rule: Rule, table: TableRule, hot: HotTable | JdbcTable, as_of: datetime) -> DataFrame:
+    cutoff = table.cutoff(as_of)
+    if isinstance(hot, JdbcTable):
+        return preview([(table.name, hot.df(), table.date_column, cutoff)]).withColumn("rule", F.lit(rule.name))
+    return hot.expired_by_footers(table.date_column, cutoff).select(
+        F.lit(table.name).alias("table_name"), "expired_rows",
+        F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz").alias("cutoff"), F.lit(rule.name).alias("rule"))
 
 
 def _encode(rule: Rule, df: DataFrame) -> DataFrame:

@@ -147,6 +147,16 @@ def retention_preview(spark, sf_dir):
     ])
 
 
+def preview_from_footers(spark, sf_dir):
+    """The dry run of tables on files."""
+    scene = Scene(spark, sf_dir)
+    rules = [(Rule("keep-online", "shop", (t,), 1000), as_of) for t, as_of in (
+        (ORDERS, ORDERS_AS_OF), (LINEITEM, ORDERS_AS_OF), (EVENTS, EVENTS_AS_OF))]
+    return union_all([
+        archive.preview_rules([rule], {t.name: scene.adopt(t.name) for t in rule.tables}, as_of).select("table_name", "expired_rows", "cutoff")
+        for rule, as_of in rules])
+
+
 # -- keys and batches -------------------------------------------------------------
 
 
@@ -928,7 +938,7 @@ def chunk_intervals(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        expired_rows, expired_events, expired_keys, expired_null_dates, kept_null_dates, retention_preview,
+        expired_rows, expired_events, expired_keys, expired_null_dates, kept_null_dates, retention_preview, preview_from_footers,
         batch_plan, batch_plan_composite, key_audit, key_report,
         purge_single_key, purge_composite_key, purge_hits, chunk_inventory, chunk_purge, purge_chunked_table,
         purge_accounting, purge_spares_late_rows, purge_repeated_key, purge_odd_weeks, adopt_schema_drift,

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from coldkeep.model import CHUNK_UNITS, RetentionError, SchemaMismatch
 from coldkeep.operators.chunks import UNDATED, chunk_name, unit_of
 from coldkeep.operators.expire import expired, is_expired
+from coldkeep.operators.footers import expired_by_footers
 from coldkeep.operators.restore import align
 from coldkeep.session import small_frame
 from coldkeep.sources.fs import Files
@@ -155,14 +156,23 @@ class HotTable:
     def _read(self, schema: T.StructType, parts: list[Part] | tuple[Part, ...]) -> DataFrame:
         if not parts:
             return small_frame(self.spark, [], schema)
-        paths = [p.path if ":" in p.path else f"{self.root}/{p.path}" for p in parts]
-        return self.spark.read.schema(schema).parquet(*paths)
+        return self.spark.read.schema(schema).parquet(*self.paths(parts))
+
+    def paths(self, parts: list[Part] | tuple[Part, ...]) -> list[str]:
+        """Where these parts lie."""
+        return [p.path if ":" in p.path else f"{self.root}/{p.path}" for p in parts]
 
     def expired(self, date_column: str, cutoff: datetime) -> DataFrame:
         """Expired rows of the current snapshot, whose files never change."""
         snapshot = self.snapshot()
         return expired(self._read(snapshot.schema, snapshot.parts_before(cutoff)), date_column, cutoff)
 
+    def expired_by_footers(self, date_column: str, cutoff: datetime) -> DataFrame:
+        """How many rows of the current snapshot are expired, by footers where they tell."""
+        snapshot = self.snapshot()
+        paths = [self.files.qualified(p) for p in self.paths(snapshot.parts_before(cutoff))]
+        return expired_by_footers(self.spark, paths, date_column, cutoff, snapshot.schema[date_column].dataType)
+
     def count(self) -> int:
         """Rows from the file footers."""
         return self.df().count()

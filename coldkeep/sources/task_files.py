@@ -28,3 +28,16 @@ def listed(folder: str) -> list[tuple[str, int, object]]:
     system, name = resolve(folder)
     found = system.get_file_info(fs.FileSelector(name, allow_not_found=True))
     return sorted((f.base_name, f.size, f.mtime) for f in found if f.is_file)
+
+
+def data_files(path: str) -> list[str]:
+    """The files that Spark reads of a folder, in it and its name=value folders, or the one that the path itself names."""
+    from pyarrow import fs
+
+    system, name = resolve(path)
+    if system.get_file_info(name).is_file:
+        return [path]
+    found = system.get_file_info(fs.FileSelector(name, recursive=True))
+    inside = [f.path.removeprefix(name.rstrip("/")).strip("/") for f in found if f.is_file and f.size]
+    shown = [i for i in inside if all("=" in part for part in i.split("/")[:-1]) and not i.split("/")[-1].startswith((".", "_"))]
+    return sorted(f"{path.rstrip('/')}/{i}" for i in shown)
