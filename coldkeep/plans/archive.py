@@ -315,13 +315,22 @@ def _archive_rule(spark, rule, store, hot, as_of, run_id, history, order, purge,
     return small_frame(spark, rows, SUMMARY_SCHEMA)
 
 
+def _rows_left(hot: dict[str, HotTable | JdbcTable], name: str) -> int | None:
+    """Rows online, or None of a table that is not there or fails again."""
+    try:
+        return hot[name].count()
+    except Exception:
+        return None
+
+
 def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStore, hot: dict[str, HotTable | JdbcTable],
                       as_of: datetime, run_ids: dict[str, str], history: History | None = None,
-                      keep_going: bool = False, order: str = "scan", clock: Clock | None = None) -> DataFrame:
+                      keep_going: bool = False, order: str = "scan", clock: Clock | None = None, count_failed: bool = False) -> DataFrame:
     """Archive rule after rule. Stops at the first failure unless told to keep going.
 
-    A failed rule then has one row per table with status `error` and the message, and `rows_remaining` null, as its tables
-    are not touched again (one may be what failed); a table of it that was purged before another one failed is in the history.
+    A failed rule then has one row per table with status `error` and the message; a table of it that was purged before
+    another one failed is in the history. With `count_failed`, its `rows_remaining` are counted, and null only for a table
+    that cannot be counted; without, they are null, as its tables are not touched again (one may be what failed).
     """
     check_rules(rules)
     reports = []
@@ -336,6 +345,7 @@ def archive_all_rules(spark: SparkSession, rules: list[Rule], store: ArchiveStor
                 raise
             if run_id is None and history is not None:
                 history.record([Event("", rule.name, "archive", t.name, 0, (), "error", str(problem), as_of, as_of) for t in rule.tables])
-            failed = [(run_id, rule.name, t.name, 0, 0, 0, 0, 0, None, False, "error", str(problem)) for t in rule.tables]
+            failed = [(run_id, rule.name, t.name, 0, 0, 0, 0, 0, _rows_left(hot, t.name) if count_failed else None, False,
+                       "error", str(problem)) for t in rule.tables]
             reports.append(small_frame(spark, failed, SUMMARY_SCHEMA))
     return union_all(reports) if reports else small_frame(spark, [], SUMMARY_SCHEMA)

@@ -425,8 +425,8 @@ def archive_all_rules(spark, sf_dir):
     ]
     hot = {name: scene.adopt(name) for name in ("orders", "lineitem", "events")}
     runs = {"orders": "00000001", "lineitem": "00000002", "returns": "00000003", "events": "00000004"}
-    told = archive.archive_all_rules(spark, rules, scene.store, hot, EVENTS_AS_OF, runs, scene.history, keep_going=True)
-    # not known of a failed rule
+    told = archive.archive_all_rules(spark, rules, scene.store, hot, EVENTS_AS_OF, runs, scene.history, keep_going=True, count_failed=True)
+    # not known of a table that is not there
     return told.select(*_SUMMARY, "status").withColumn("rows_remaining", F.coalesce("rows_remaining", F.lit(-1)))
 
 

@@ -301,6 +301,17 @@ def test_all_rules_stop_or_go_on(spark, world):
     assert world.history.df().filter("run_id = '' and status = 'error'").count() == 1
 
 
+def test_rows_of_failed_rules_are_counted(spark, world):
+    bad = TableRule("bad", "created_at", 30, ("shipped",))
+    gone = TableRule("nowhere", "created_at", 30, ("id",))
+    rules = [Rule("one", "db", (bad, gone)), Rule("two", "db", (ORDERS_RULE,))]
+    hot = {"bad": world.load(small_orders(spark), bad), "orders": world.load(small_orders(spark), ORDERS_RULE)}
+    ids = {"one": "00000001", "two": "00000002"}
+    done = archive.archive_all_rules(spark, rules, world.store, hot, AS_OF, ids, keep_going=True, count_failed=True)
+    told = [(r["table_name"], r["rows_archived"], r["rows_remaining"], r["status"]) for r in done.collect()]
+    assert sorted(told) == [("bad", 0, 8, "error"), ("nowhere", 0, None, "error"), ("orders", 5, 3, "success")]
+
+
 def test_selection_prunes_runs(spark, world):
     hot = {"orders": world.load(small_orders(spark), ORDERS_RULE)}
     archive.archive_rule(spark, rule(ORDERS_RULE), world.store, hot, AS_OF - timedelta(days=290), "0000000a")
