@@ -15,12 +15,13 @@ number to the power 0.75. A logistic curve, fitted on ratios of labelled documen
 models that have not seen them, turns it into a score; its place is set so that the best
 threshold on those documents, among those that are right at least as often as wrong, is `THRESHOLD`.
 
-Counts cover every labelled training row and are summed on executors, and every expression
+Counts cover every labelled training row. Tasks send them on by ranges of the hash, packed as
+sorted hashes, classes and numbers, and each range is summed in a task. Every expression
 that differs is in the written model. A model of at most `MODEL_SIZE` expressions goes to the
-tasks whole. A greater one stays a table: the distinct pairs of the documents, once for about
-`_PAIRS` pairs of a task, meet it in joins, and what they find goes back to the task's documents.
-Both ways give the same ratios. What reaches the driver is bounded: a model of that size, and
-the ratios of at most about `CALIBRATION_ROWS` labelled rows.
+tasks whole. Of a greater one that many go, those of the most documents, and the rest stays a table:
+a text has its sum by the former, and only its expressions that a Bloom filter finds among the rest
+meet that in a join. Both ways give the same ratios. What reaches the driver is bounded: a model of that
+size, a filter of at most 2 ** `_FILTER` bits, and the ratios of at most about `CALIBRATION_ROWS` labelled rows.
 
 Defined results: null and empty texts have ratio 0 and get the score at 0; labels that are
 null, or whose document is missing, are ignored; a document labelled more than once counts as
@@ -46,7 +47,7 @@ from coldkeep.session import written
 DISCOUNT = 0.75
 CONCENTRATION = 0.5
 EVIDENCE = 20.0  # of the likelihood ratio test that the classes differ
-MODEL_SIZE = 1 << 16  # expressions that go to the tasks whole; a greater model is joined
+MODEL_SIZE = 1 << 16  # expressions that go to the tasks whole; what a greater model has besides is joined
 CALIBRATION_ROWS = 40_000
 THRESHOLD = 0.3
 FOLDS = 3
@@ -55,7 +56,11 @@ _END = U(0x2545F4914F6CDD1D)
 _FIRST = U(0x9E6C63D0876A9A47)
 _STEP = U(0xC2B2AE3D27D4EB4F)
 _MERGE = 1 << 21
-_PAIRS = 1 << 21
+#: Bytes of labelled text whose counts a task sums.
+_RANGE = 1 << 22
+_FILTER = 27
+#: Places of a hash that give the bits of the filter.
+_SHIFTS = (0, 12, 25, 37)
 #: Keys with more than this part of the rows of a join are broadcast with what they meet; there are fewer than its inverse.
 _HEAVY = 1e-4
 
@@ -105,39 +110,98 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key, np.stack([np.bincount(back, rows[:, i], len(key)) for i in range(rows.shape[1])], 1).astype(np.int32)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
+def _packed(a: np.ndarray) -> bytes:
+    """Numbers byte by byte of their places, compressed."""
+    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(part: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(part, n * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).reshape(-1).view(kind)
+
+
+_COUNTED = "bucket long, n long, keys binary, columns binary, numbers binary"
+
+
+def _count(buckets: int):
+    """Counter of rows (text, column): the numbers above 0 by key and column, packed by range of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def out(key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+            at, column = np.nonzero(rows)
+            key, column, number = key[at], column.astype(np.uint8), rows[at, column]
+            bucket = (key >> U(32)) * U(buckets) >> U(32)
+            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(key)).tolist()
+            parts = [(int(bucket[a]), b - a, _packed(np.diff(key[a:b], prepend=U(0))), _packed(column[a:b]), _packed(number[a:b]))
+                     for a, b in zip(cut[:-1], cut[1:])]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), kinds)], [c.split()[0] for c in _COUNTED.split(", ")])
+
+        for batch in batches:
+            for rows, data, offsets in chunks(batch):
+                tokens = Tokens(data, offsets)
+                doc, _, first = distinct(tokens.doc, tokens.pair)
+                if not len(first):
+                    continue
+                own, key = tokens.expressions(first)
+                column = rows.column("column").to_numpy(zero_copy_only=False)[doc[own]]
+                uniq, back = np.unique(key, return_inverse=True)
+                table = np.bincount(back * len(_COUNTS) + column, minlength=len(uniq) * len(_COUNTS))
+                keys.append(uniq)
+                counts.append(table.reshape(len(uniq), len(_COUNTS)).astype(np.int32))
+                if sum(map(len, keys)) > _MERGE:
+                    key, table = _summed(keys, counts)
+                    if len(key) > _MERGE // 2:
+                        keys, counts = [], []
+                        yield out(key, table)
+                    else:
+                        keys, counts = [key], [table]
+        if keys:
+            yield out(*_summed(keys, counts))
+
+    return run
+
+
+_EXPRESSIONS = ", ".join(["key long", *(f"{c} long" for c in _COUNTS), "kinds long"])
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of `_count`'s rows by bucket, a row per expression of several documents, and rows without key for `kinds` expressions of one."""
+    held: list[tuple] = []
+    last, once = None, np.zeros(len(_COUNTS), np.int64)
+
+    def rows(key: pa.Array, table: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([key, *(pa.array(table[:, i]) for i in range(len(_COUNTS))), pa.array(kinds)], [c.split()[0] for c in _EXPRESSIONS.split(", ")])
 
     def out() -> pa.RecordBatch:
-        key, rows = _summed(keys, counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(signed(key)), *(pa.array(rows[:, i].astype(np.int64)) for i in range(rows.shape[1]))], ["key", *_COUNTS])
+        key = np.concatenate([np.cumsum(_unpacked(k, n, U), dtype=U) for n, k, _, _ in held])
+        column = np.concatenate([_unpacked(c, n, np.uint8) for n, _, c, _ in held])
+        number = np.concatenate([_unpacked(c, n, np.int32) for n, _, _, c in held])
+        held.clear()
+        uniq, back = np.unique(key, return_inverse=True)
+        table = np.bincount(back * len(_COUNTS) + column, number, len(uniq) * len(_COUNTS)).astype(np.int64).reshape(-1, len(_COUNTS))
+        several = table.sum(1) > 1
+        once[:] += table[~several].sum(0)
+        return rows(pa.array(signed(uniq[several])), table[several], np.ones(int(several.sum()), np.int64))
 
     for batch in batches:
-        for rows, data, offsets in chunks(batch):
-            tokens = Tokens(data, offsets)
-            doc, _, first = distinct(tokens.doc, tokens.pair)
-            own, key = tokens.expressions(first)
-            column = rows.column("column").to_numpy(zero_copy_only=False)[doc[own]]
-            uniq, back = np.unique(key, return_inverse=True)
-            table = np.bincount(back * len(_COUNTS) + column, minlength=len(uniq) * len(_COUNTS))
-            keys.append(uniq)
-            counts.append(table.reshape(len(uniq), len(_COUNTS)).astype(np.int32))
-            if sum(map(len, keys)) > _MERGE:
-                key, table = _summed(keys, counts)
-                if len(key) > _MERGE // 2:
-                    keys, counts = [key], [table]
-                    yield out()
-                    keys, counts = [], []
-                else:
-                    keys, counts = [key], [table]
-    if keys:
+        for bucket, *part in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "keys", "columns", "numbers"))):
+            if bucket != last and held:
+                yield out()
+            last = bucket
+            held.append(tuple(part))
+    if held:
         yield out()
+    if once.any():
+        yield rows(pa.nulls(len(once), pa.int64()), np.eye(len(once), dtype=np.int64), once)
 
 
 def _model(counts: DataFrame) -> DataFrame:
-    """key, then per model (0: all folds, f + 1: without fold f) the log ratio, null where not significant.
+    """key, `n` documents, then per model (0: all folds, f + 1: without fold f) the log ratio, null where not significant.
 
     `counts` has a row per expression of several documents, and rows without key for `kinds` expressions of one.
     """
@@ -162,27 +226,40 @@ def _model(counts: DataFrame) -> DataFrame:
         # the most that `both` occurrences can show, if all are of one class; it spares the logarithms of what is rare
         most = F.greatest(*[2.0 * both * (float(np.log(sum(total.values()) / total[c])) + both / total[c]) for c in "to"])
         values.append(F.when((most > EVIDENCE) & (evidence > EVIDENCE), F.log(rate["t"] / rate["o"])).alias(f"v{left + 1}"))
-    return counts.filter("key is not null").select("key", *values)
+    return counts.filter("key is not null").select("key", sum(F.col(c) for c in _COUNTS).alias("n"), *values)
 
 
-def _ratios(model: tuple[np.ndarray, np.ndarray]):
-    """Scorer of chunks: (rows, data, offsets, which model per row) -> length-normalised ratios."""
+def _found(model: tuple[np.ndarray, np.ndarray]):
+    """Finder of expressions: (keys, model of each) -> which are in the model, and their values, NaN where they don't differ."""
     keys, values = model
     sieve = np.zeros(1 << 20, bool)
     sieve[keys >> U(44)] = True
 
+    def find(key: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known, value = np.zeros(len(key), bool), np.full(len(key), np.nan)
+        if len(keys):
+            near = np.flatnonzero(sieve[key >> U(44)])
+            place = np.minimum(np.searchsorted(keys, key[near]), len(keys) - 1)
+            hit = keys[place] == key[near]
+            known[near[hit]] = True
+            value[near[hit]] = values[place[hit], which[near[hit]]]
+        return known, value
+
+    return find
+
+
+def _ratios(model: tuple[np.ndarray, np.ndarray]):
+    """Scorer of chunks: (rows, data, offsets, which model per row) -> length-normalised ratios."""
+    find = _found(model)
+
     def score(data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
         tokens = Tokens(data, offsets)
         doc, _, first = distinct(tokens.doc, tokens.pair)
         count = np.bincount(doc, minlength=len(offsets) - 1)
-        if not len(keys) or not len(first):
+        if not len(model[0]) or not len(first):
             return np.zeros(len(offsets) - 1)
         own, key = tokens.expressions(first)
-        near = np.flatnonzero(sieve[key >> U(44)])
-        place = np.minimum(np.searchsorted(keys, key[near]), len(keys) - 1)
-        hit = keys[place] == key[near]
-        own, place = own[near[hit]], place[hit]
-        value = values[place, which[doc[own]]]
+        _, value = find(key, which[doc[own]])
         told = ~np.isnan(value)
         ratio = np.zeros(len(first))
         ratio[own[told]] = value[told]  # the longest comes last and stays
@@ -191,6 +268,26 @@ def _ratios(model: tuple[np.ndarray, np.ndarray]):
     return score
 
 
+def _filter(table: DataFrame) -> np.ndarray:
+    """The keys of a table as the words of a Bloom filter."""
+    bits = min(_FILTER, max(6, (16 * table.count()).bit_length()))
+    slots = table.select(F.explode(F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit((1 << bits) - 1)) for s in _SHIFTS])).alias("slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+    found = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    words = np.zeros(1 << bits - 6, U)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(U)
+    return words
+
+
+def _among(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of keys that may be among those of the filter."""
+    at, mask = np.arange(len(key)), U(64 * len(words) - 1)
+    for s in _SHIFTS:
+        slot = key[at] >> U(s) & mask
+        at = at[(words[slot >> U(6)] >> (slot & U(63)) & U(1)).astype(bool)]
+    return at
+
+
 def _met(spark: SparkSession, rows: DataFrame, facts: DataFrame, on: str, weight: F.Column) -> DataFrame:
     """`rows` (a written table) joined with `facts`, which name each `on` once; keys of great weight do not meet in one task."""
     weighed = rows.groupBy(on).agg(F.sum(weight).alias("weight"))
@@ -201,111 +298,63 @@ def _met(spark: SparkSession, rows: DataFrame, facts: DataFrame, on: str, weight
     return rest.unionByName(rows.join(F.broadcast(few), on))
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, id, which) in parts: per part a row of its texts, and one per distinct pair (as `word`) with its texts and expressions."""
-    ids: list[np.ndarray] = []
-    which: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    words: list[np.ndarray] = []
-    docs: list[np.ndarray] = []
-    spelled: list[np.ndarray] = []
-    keys: list[pa.Array] = []
-    seen: set[int] = set()
-
-    def out() -> pa.RecordBatch:
-        word, doc = np.concatenate(words), np.concatenate(docs)
-        order = np.lexsort((doc, word))
-        word, doc = word[order], doc[order]
-        named, first = np.unique(word, return_index=True)
-        _, place = np.unique(np.concatenate(spelled), return_index=True)
-        n = len(named) + 1
-        begin = np.concatenate(([0, 0], first[1:], [len(word)] if n > 1 else [])).astype(np.int32)
-
-        def head(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-            return pa.array([np.concatenate(values)] + [None] * (n - 1), pa.list_(kind))
-
-        batch = pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, uuid.uuid4().int >> 65)), pa.array([None, *signed(named).tolist()], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(begin), pa.array(doc.astype(np.int32))),
-            pa.concat_arrays([pa.array([[]], pa.list_(pa.int64())), pa.concat_arrays(keys).take(pa.array(place))]),
-            head(ids, pa.int64()), head(which, pa.int32()), head(sizes, pa.int32())],
-            [c.split()[0] for c in _ASKED.split(", ")])
-        for held in (ids, which, sizes, words, docs, spelled, keys, seen):
-            held.clear()
-        return batch
-
-    for batch in batches:
-        for rows, data, offsets in chunks(batch):
-            found = Tokens(data, offsets)
-            doc, h, first = distinct(found.doc, found.pair)
-            name = rows.column("id").to_numpy()
-            fresh = np.zeros(len(name), bool)
-            fresh[np.unique(name, return_index=True)[1]] = True  # equal texts are asked for once in a part
-            fresh &= np.array([i not in seen for i in name.tolist()], bool)
-            size = np.bincount(doc, minlength=len(name))
-            at = np.cumsum(fresh) - 1 + len(seen)
-            pick = fresh[doc]
-            uniq, place = np.unique(h[pick], return_index=True)
-            own, key = found.expressions(first[pick][place])
-            edges = np.append(0, np.cumsum(np.bincount(own, minlength=len(uniq))))
-            ids.append(name[fresh])
-            which.append(rows.column("which").to_numpy()[fresh])
-            sizes.append(size[fresh])
-            words.append(h[pick])
-            docs.append(at[doc[pick]])
-            spelled.append(uniq)
-            keys.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(signed(key))))
-            seen.update(name[fresh].tolist())
-            if sum(map(len, words)) + len(seen) > _PAIRS:
-                yield out()
-    if ids:
-        yield out()
-
-
-_ASKED = "part long, word long, docs array<int>, keys array<long>, ids array<long>, which array<int>, sizes array<int>"
-
+_ASKED = "row long, id long, size long, base double, place long, step int, key long, which int"
 
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ratios of the texts of each part, of rows by part and word: the part's texts first, then the words with their values."""
-    ids = which = sizes = total = np.zeros(0)
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total / np.maximum(sizes, 1) ** POWER)], ["id", "ratio"])
-
-    for batch in batches:
-        heads = np.flatnonzero(batch.column("ids").is_valid().to_numpy(zero_copy_only=False))
-        values = np.stack([batch.column(f"v{f}").to_numpy(zero_copy_only=False).astype(float) for f in range(FOLDS + 1)], 1)
-        for head, end in zip([-1, *heads.tolist()], [*heads.tolist(), len(values)]):
-            begin = head + 1
-            if head >= 0:
-                if len(ids):
-                    yield out()
-                ids, which, sizes = (batch.column(c)[head].values.to_numpy(zero_copy_only=False) for c in ("ids", "which", "sizes"))
-                total = np.zeros(len(ids))
-            docs = batch.column("docs").slice(begin, end - begin)
-            doc = docs.flatten().to_numpy()
-            row = np.repeat(np.arange(begin, end), docs.value_lengths().to_numpy())
-            total = total + np.bincount(doc, np.nan_to_num(values[row, which[doc]]), len(total)) if len(doc) else total
-    if len(ids):
-        yield out()
-
-
-def _joined_ratios(spark: SparkSession, rows: DataFrame, model: DataFrame) -> DataFrame:
-    """(id, ratio) of the texts of `rows` (text, id, which) from a model that stays a table; rows of one id are equal texts."""
-    columns = [f"v{f}" for f in range(FOLDS + 1)]
-    asked = written(spark, rows.mapInArrow(_asked, _ASKED), "asked")
-    spelled = asked.filter("word is not null").select("word", F.posexplode("keys").alias("step", "key")).distinct()
-    hits = _met(spark, written(spark, spelled, "spelled"), model, "key", F.lit(1))
+def _asked(model: tuple[np.ndarray, np.ndarray], words: np.ndarray):
+    """Of rows (text, id, which), per text a row with the sum `base` of its pairs by `model`, and one for each
+    expression that may be in the rest of the model: the value there of the longest one of a `place` goes in for `base`.
+    """
+    find = _found(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = uuid.uuid4().int >> 66, 0
+        for batch in batches:
+            for rows, data, offsets in chunks(batch):
+                _, fresh = np.unique(rows.column("id").to_numpy(), return_index=True)  # equal texts ask once
+                tokens = Tokens(data, offsets)
+                doc, _, first = distinct(tokens.doc, tokens.pair)
+                pick = np.isin(doc, fresh)
+                doc, first = doc[pick], first[pick]
+                own, key = tokens.expressions(first)
+                which = rows.column("which").to_numpy()
+                known, value = find(key, which[doc[own]])
+                known, value = known.reshape(-1, 2), value.reshape(-1, 2)  # of the token and of the pair
+                told = ~np.isnan(value[:, 1])
+                value = np.where(told, value[:, 1], np.nan_to_num(value[:, 0]))
+                unknown = ~known
+                unknown[:, 0] &= ~told
+                at = np.flatnonzero(unknown.ravel())
+                at = at[_among(words, key[at])]
+                name = task + done + np.arange(len(rows))
+                done += len(rows)
+                base, size = np.bincount(doc, value, len(rows)), np.bincount(doc, minlength=len(rows))
+                n, m = len(fresh), len(at)
+
+                def column(head: np.ndarray | None, ask: np.ndarray | None, kind: pa.DataType) -> pa.Array:
+                    return pa.concat_arrays([pa.array(x, kind) if x is not None else pa.nulls(k, kind) for x, k in ((head, n), (ask, m))])
+
+                place, long = own[at], pa.int64()
+                yield pa.RecordBatch.from_arrays([
+                    column(name[fresh], name[doc[place]], long), column(rows.column("id").to_numpy()[fresh], None, long), column(size[fresh], None, long),
+                    column(base[fresh], value[place], pa.float64()), column(None, place, long), column(None, at % 2, pa.int32()),
+                    column(None, signed(key[at]), long), column(None, which[doc[place]], pa.int32())], [c.split()[0] for c in _ASKED.split(", ")])
+
+    return run
+
+
+def _joined_ratios(spark: SparkSession, rows: DataFrame, model: tuple[np.ndarray, np.ndarray], rest: DataFrame, words: np.ndarray) -> DataFrame:
+    """(id, ratio) of the texts of `rows` (text, id, which) from a model of which `rest`, with the filter `words`, stays a table; rows of one id are equal texts."""
+    asked = written(spark, rows.mapInArrow(_asked(model, words), _ASKED), "asked")
+    asks = asked.filter("key is not null").select("row", "place", "step", "key", "which", "base")
+    value = F.array(*[f"v{f}" for f in range(FOLDS + 1)])[F.col("which")]
+    hits = _met(spark, asks, rest, "key", F.lit(1)).withColumn("more", value - F.col("base")).filter("more is not null")
     # the longest expression that differs gives a pair its value
-    values = hits.groupBy("word").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("step"))).alias(c) for c in columns])
-    values = written(spark, values, "values")
-    words = asked.filter("word is not null").select("part", "word", "docs")
-    told = _met(spark, words, values, "word", F.size("docs")).select("part", "word", "docs", *columns)
-    nothing = F.lit(None)
-    told = told.select("*", *[nothing.cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("which", "int"), ("sizes", "int"))])
-    heads = asked.filter("word is null").select("part", "word", "docs", *[nothing.cast("double").alias(c) for c in columns], "ids", "which", "sizes")
-    told = told.unionByName(heads).repartition("part").sortWithinPartitions("part", F.col("word").asc_nulls_first())
-    return told.mapInArrow(_told, "id long, ratio double").groupBy("id").agg(F.max("ratio").alias("ratio"))
+    more = hits.groupBy("row", "place").agg(F.max_by("more", "step").alias("more")).groupBy("row").agg(F.sum("more").alias("base"))
+    nothing = F.lit(None).cast("long")
+    parts = asked.filter("key is null").select("row", "id", "size", "base").unionByName(more.select("row", nothing.alias("id"), nothing.alias("size"), "base"))
+    whole = parts.groupBy("row").agg(F.max("id").alias("id"), F.max("size").alias("size"), F.sum("base").alias("total"))
+    return whole.groupBy("id").agg(F.max(F.col("total") / F.pow(F.greatest("size", F.lit(1)).cast("double"), F.lit(POWER))).alias("ratio"))
 
 
 def _identity(which: F.Column) -> F.Column:
@@ -344,9 +393,9 @@ def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Toxicity:
     """A fitted model; `score` may be applied to any documents."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, slope: float, offset: float, table: DataFrame | None = None):
-        """With `table` the model is that table and not `keys` and `values`."""
-        self.keys, self.values, self.slope, self.offset, self.table = keys, values, slope, offset, table
+    def __init__(self, keys: np.ndarray, values: np.ndarray, slope: float, offset: float, rest: tuple[DataFrame, np.ndarray] | None = None):
+        """`rest`: what the model has besides `keys`, as a table and its filter."""
+        self.keys, self.values, self.slope, self.offset, self.rest = keys, values, slope, offset, rest
 
     @staticmethod
     def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Toxicity:
@@ -356,17 +405,22 @@ class Toxicity:
         rows = joined_with(docs.select("doc_id", "text"), told, "doc_id", 24).select(
             "text", "doc_id", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
         column = F.when(F.col("toxic") > 0, F.col("fold")).otherwise(F.col("fold") + FOLDS).cast("int").alias("column")
-        schema = ", ".join(["key long", *(f"{c} long" for c in _COUNTS)])
-        counts = rows.select("text", column).mapInArrow(_count, schema).groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-        once = sum(F.col(c) for c in _COUNTS) == 1
-        rare = counts.filter(once).groupBy(*_COUNTS).agg(F.count(F.lit(1)).alias("kinds")).select(F.lit(None).cast("long").alias("key"), *_COUNTS, "kinds")
-        counts = written(spark, counts.filter(~once).select("key", *_COUNTS, F.lit(1).cast("long").alias("kinds")).unionAll(rare), "expressions")
-        table = written(spark, _model(counts).filter(" or ".join(f"v{f} is not null" for f in range(FOLDS + 1))), "model")
+        size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+        buckets = min(1 << 16, -(-size // _RANGE) or 1)
+        counts = rows.select("text", column).mapInArrow(_count(buckets), _COUNTED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        counts = written(spark, counts.mapInArrow(_totals, _EXPRESSIONS), "expressions")
+        columns = [f"v{f}" for f in range(FOLDS + 1)]
+        table = written(spark, _model(counts).filter(" or ".join(f"{c} is not null" for c in columns)), "model")
         joined = table.count() > MODEL_SIZE
-        best = table.limit(0 if joined else MODEL_SIZE).toPandas()
+        best = (table.orderBy(F.desc("n"), "key").limit(MODEL_SIZE) if joined else table).toPandas()
+        rest = None
+        if joined:
+            n, key = (int(best[c].iloc[-1]) for c in ("n", "key"))
+            table = table.filter((F.col("n") < n) | (F.col("n") == n) & (F.col("key") > key)).select("key", *columns)
+            rest = (table, _filter(table))
         keys = best["key"].to_numpy(np.int64).view(U)
         order = np.argsort(keys)
-        values = best[[f"v{f}" for f in range(FOLDS + 1)]].to_numpy(float)[order]
+        values = best[columns].to_numpy(float)[order]
         model = (keys[order], values)
         share = told.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("toxic") > 0).cast("double")).alias("p")).collect()[0]
         n, p = share["n"], share["p"] or 0.0
@@ -382,7 +436,7 @@ class Toxicity:
 
         if joined:
             sample = sample.select("text", "toxic", (F.col("fold") + 1).alias("which")).withColumn("id", _identity(F.col("which")))
-            ratios = _joined_ratios(spark, sample.select("text", "id", "which"), table)
+            ratios = _joined_ratios(spark, sample.select("text", "id", "which"), model, *rest)
             seen = sample.select("id", "toxic").join(ratios, "id").select(F.col("ratio").alias("z"), F.col("toxic").alias("y")).toPandas()
         else:
             seen = sample.select("text", "fold", "toxic").mapInArrow(apart, "z double, y int").toPandas()
@@ -390,20 +444,20 @@ class Toxicity:
         if not 0 < p < 1 or not 0 < y.sum() < len(y):
             p = min(max(p, 0.0), 1.0)
             return Toxicity(model[0][:0], values[:0], 0.0, float(np.log((p + 1e-9) / (1 - p + 1e-9))))
-        return Toxicity(*model, *_curve(seen["z"].to_numpy(), y), table if joined else None)
+        return Toxicity(*model, *_curve(seen["z"].to_numpy(), y), rest)
 
     def _scores(self, docs: DataFrame) -> DataFrame:
-        """id and score of the texts of `docs`, from the model's table."""
+        """id and score of the texts of `docs`, by the whole model and its rest."""
         asked = docs.select("text", _identity(F.lit(0)).alias("id"), F.lit(0).alias("which"))
         linear = F.least(F.greatest(F.lit(self.slope) * F.col("ratio") + F.lit(self.offset), F.lit(-30.0)), F.lit(30.0))
-        scores = _joined_ratios(docs.sparkSession, asked, self.table).select("id", (1 / (1 + F.exp(-linear))).alias("score"))
+        scores = _joined_ratios(docs.sparkSession, asked, (self.keys, self.values), *self.rest).select("id", (1 / (1 + F.exp(-linear))).alias("score"))
         return written(docs.sparkSession, scores, "scores")
 
     def score(self, docs: DataFrame, keep: str) -> DataFrame:
         """`docs` columns named in `keep` (a schema string, without score), then score and predicted."""
         model, slope, offset = (self.keys, self.values), self.slope, self.offset
         names = [part.split()[0] for part in keep.split(",")]
-        if self.table is not None:
+        if self.rest is not None:
             spark = docs.sparkSession
             kept = written(spark, docs.select(*names, _identity(F.lit(0)).alias("id")), "scored")
             return _met(spark, kept, self._scores(docs), "id", F.lit(1)).select(*names, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -424,7 +478,7 @@ class Toxicity:
     def accepted(self, docs: DataFrame) -> DataFrame:
         """The rows of `docs`, whatever columns they have, that are not predicted."""
         model, slope, offset = (self.keys, self.values), self.slope, self.offset
-        if self.table is not None:
+        if self.rest is not None:
             taken = {c.lower() for c in docs.columns}
             free = next(name for i in itertools.count() if (name := f"_text_id{i}") not in taken)
             rejected = self._scores(docs).filter(F.col("score") >= THRESHOLD).select(F.col("id").alias(free))

@@ -1,11 +1,13 @@
 """Quality rules, quality classifier and toxicity: statistics by brute force, verdicts by held-out labels."""
 
+import os
 import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +144,46 @@ def test_toxicity_keeps_every_expression(spark, labelled, monkeypatch):
     docs.unpersist()
 
 
+def test_toxicity_counts_are_packed():
+    """Counts leave a task in a few bytes each, and their sums are those of a dict."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(w)}" for w in rng.zipf(1.2, 300) % 9000) for _ in range(400)] + ["", None]
+    columns = rng.integers(0, 6, len(texts)).astype(np.int32)
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(columns)], ["text", "column"])
+    packed = [part for some in (rows.slice(0, 150), rows.slice(150)) for part in toxicity._count(5)(iter([some]))]
+    expected, total = Counter(), Counter()
+    for text, column in zip(texts, columns.tolist()):
+        for pair in expressions_of(text):
+            expected.update([(pair, column), (pair[1], column)])
+            total.update([pair, pair[1]])
+    assert sum(p.nbytes for p in packed) < 9 * sum(p.column("n").to_numpy().sum() for p in packed)
+    parts = sorted((r for p in packed for r in p.to_pylist()), key=lambda r: r["bucket"])
+    got = pa.Table.from_batches(toxicity._totals(iter([pa.RecordBatch.from_pylist(parts)]))).to_pylist()
+    table = {e: [expected[e, c] for c in range(6)] for e in total}
+    counts = lambda r: [r[c] for c in toxicity._COUNTS]
+    assert sorted(counts(r) for r in got if r["key"] is not None) == sorted(table[e] for e, n in total.items() if n > 1)
+    once = {c: sum(table[e][c] for e, n in total.items() if n == 1) for c in range(6)}
+    assert {counts(r).index(1): r["kinds"] for r in got if r["key"] is None} == once
+
+
+def test_toxicity_asks_little_of_a_large_model(spark, monkeypatch):
+    """What a model has beyond `MODEL_SIZE` meets the texts in less than their own bytes."""
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    own, sizes = toxicity.written, Counter()
+
+    def written(session, df, purpose):
+        out = own(session, df, purpose)
+        sizes[purpose] += sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(toxicity, "written", written)
+    whole = toxicity.Toxicity.fit(spark, docs, labels)
+    monkeypatch.setattr(toxicity, "MODEL_SIZE", len(whole.keys) // 2)
+    sizes.clear()
+    assert toxicity.toxicity(spark, docs, labels).count() == docs.count()
+    assert 0 < sizes["asked"] < 0.4 * os.path.getsize(f"{SF}/documents.parquet")
+
+
 def tokens_of(text):
     words = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     alone = "฀-໿က-Ⴟក-៿⺀-⿿　-鿿豈-﫿\U00020000-\U0003ffff"
