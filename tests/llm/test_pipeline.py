@@ -1,9 +1,12 @@
 """Every stage against brute force on its own input."""
 
+import os
+
 import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from coldkeep.llm import toxicity
 from coldkeep.llm.secrets import MARK
 from coldkeep.session import written
 from tests.llm.test_decontamination import brute as contained
@@ -38,6 +41,25 @@ def test_stages(spark):
     packed(list(text["packing"].items()), final)
 
 
+def test_first_stage_writes_less_than_its_input(spark, monkeypatch):
+    """With a model too large to go to the tasks whole, all tables but the counts take less than the texts, and the same documents stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stay = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, SF).select("doc_id").collect()}
+    fit = toxicity.Toxicity.fit(spark, docs, spark.read.parquet(f"{SF}/labels.parquet").filter(~toxicity.held_out()))
+    size = []
+
+    def sized(session, df, purpose):
+        out = written(session, df, purpose)
+        if purpose != "expressions":
+            size.extend(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(toxicity, "written", sized)
+    monkeypatch.setattr(toxicity, "MODEL_SIZE", len(fit.keys) // 2)
+    assert {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, SF).select("doc_id").collect()} == stay
+    assert 0 < sum(size) < os.path.getsize(f"{SF}/documents.parquet")
+
+
 def test_odd_rows_and_clashing_columns(spark):
     """Nulls, repeated rows and further columns named like the stages' own pass every stage."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
