@@ -104,10 +104,13 @@ class Tokens:
         return np.repeat(np.arange(len(pick)), 2), keys.ravel()
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, back = np.unique(np.concatenate(keys), return_inverse=True)
-    rows = np.concatenate(counts)
-    return key, np.stack([np.bincount(back, rows[:, i], len(key)) for i in range(rows.shape[1])], 1).astype(np.int32)
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, columns and numbers as one run in order, each key and column once."""
+    key, column, number = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((column, key))
+    key, column = key[order], column[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (column[1:] != column[:-1]))
+    return key[new], column[new], np.add.reduceat(number[order], np.flatnonzero(new)).astype(number.dtype)
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -128,12 +131,9 @@ def _count(buckets: int):
     """Counter of rows (text, column): the numbers above 0 by key and column, packed by range of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def out(key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-            at, column = np.nonzero(rows)
-            key, column, number = key[at], column.astype(np.uint8), rows[at, column]
+        def out(key: np.ndarray, column: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
             bucket = (key >> U(32)) * U(buckets) >> U(32)
             cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(key)).tolist()
             parts = [(int(bucket[a]), b - a, _packed(np.diff(key[a:b], prepend=U(0))), _packed(column[a:b]), _packed(number[a:b]))
@@ -151,17 +151,14 @@ def _count(buckets: int):
                 column = rows.column("column").to_numpy(zero_copy_only=False)[doc[own]]
                 uniq, back = np.unique(key, return_inverse=True)
                 table = np.bincount(back * len(_COUNTS) + column, minlength=len(uniq) * len(_COUNTS))
-                keys.append(uniq)
-                counts.append(table.reshape(len(uniq), len(_COUNTS)).astype(np.int32))
-                if sum(map(len, keys)) > _MERGE:
-                    key, table = _summed(keys, counts)
-                    if len(key) > _MERGE // 2:
-                        keys, counts = [], []
-                        yield out(key, table)
-                    else:
-                        keys, counts = [key], [table]
-        if keys:
-            yield out(*_summed(keys, counts))
+                at = np.flatnonzero(table)
+                held.append((uniq[at // len(_COUNTS)], (at % len(_COUNTS)).astype(np.uint8), table[at].astype(np.int32)))
+                if sum(len(k) for k, _, _ in held) > _MERGE:
+                    held = [_summed(held)]
+                    if len(held[0][0]) > _MERGE // 2:
+                        yield out(*held.pop())
+        if held:
+            yield out(*_summed(held))
 
     return run
 
@@ -178,15 +175,16 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([key, *(pa.array(table[:, i]) for i in range(len(_COUNTS))), pa.array(kinds)], [c.split()[0] for c in _EXPRESSIONS.split(", ")])
 
     def out() -> pa.RecordBatch:
-        key = np.concatenate([np.cumsum(_unpacked(k, n, U), dtype=U) for n, k, _, _ in held])
-        column = np.concatenate([_unpacked(c, n, np.uint8) for n, _, c, _ in held])
-        number = np.concatenate([_unpacked(c, n, np.int32) for n, _, _, c in held])
+        key, column, number = _summed([(np.cumsum(_unpacked(k, n, U), dtype=U), _unpacked(c, n, np.uint8), _unpacked(m, n, np.int32).astype(np.int64)) for n, k, c, m in held])
         held.clear()
-        uniq, back = np.unique(key, return_inverse=True)
-        table = np.bincount(back * len(_COUNTS) + column, number, len(uniq) * len(_COUNTS)).astype(np.int64).reshape(-1, len(_COUNTS))
-        several = table.sum(1) > 1
-        once[:] += table[~several].sum(0)
-        return rows(pa.array(signed(uniq[several])), table[several], np.ones(int(several.sum()), np.int64))
+        new = np.append(True, key[1:] != key[:-1])
+        place = np.cumsum(new) - 1
+        several = np.add.reduceat(number, np.flatnonzero(new)) > 1
+        alone = ~several[place]
+        once[:] += np.bincount(column[alone], minlength=len(once))
+        table = np.zeros((int(several.sum()), len(once)), np.int64)
+        table[(np.cumsum(several) - 1)[place[~alone]], column[~alone]] = number[~alone]
+        return rows(pa.array(signed(key[new][several])), table, np.ones(len(table), np.int64))
 
     for batch in batches:
         for bucket, *part in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "keys", "columns", "numbers"))):
